@@ -35,7 +35,9 @@ from .shared import connected_components, shuffle_partitions, union_all, written
 from .words import mix, shingle_sets
 
 SHINGLE, PERCENT, BLOCK, ROUNDS = 5, 75, 256, 3
-FREQUENT, FREQUENT_MOST = 8, 2_000_000
+#: Shingles that occur FREQUENT times or more are known by their count, at most FREQUENT_MOST
+#: of them; all that occur twice or more, by a bit in a map of 2**SHARED_BITS bits.
+FREQUENT, FREQUENT_MOST, SHARED_BITS = 8, 2_000_000, 28
 SIEVE_BITS = 1 << 25
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -66,7 +68,8 @@ def _ranged_counts(size: int, ranges: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From hashes of whole ranges: those that occur FREQUENT times or more, with log2 of the count."""
+    """From hashes of whole ranges: those that occur FREQUENT times or more with log2 of the
+    count, and (as level -1) the bytes of the map of those that occur twice or more."""
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for k, b in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -74,29 +77,54 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for parts in held.values():
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         many = n >= FREQUENT
-        yield pa.record_batch([pa.array(h[many].astype(np.int64)), pa.array(np.log2(n[many]).astype(np.int32))], ["hash", "level"])
+        yield pa.record_batch([pa.array(h[many].astype(np.int64)), pa.array(np.log2(n[many]).astype(np.int32)), pa.nulls(int(many.sum()), pa.binary())], ["hash", "level", "bits"])
+        slot = np.unique(h[n >= 2] >> np.uint32(32 - SHARED_BITS))
+        if len(slot):
+            first = int(slot[0]) & ~7
+            bits = np.zeros((int(slot[-1]) | 7) + 1 - first, bool)
+            bits[slot - first] = True
+            yield pa.record_batch([pa.array([first >> 3]), pa.array([-1], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["hash", "level", "bits"])
 
 
-def shingle_levels(texts: DataFrame, size: int = SHINGLE, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingle hashes (upper 32 bits, ascending) and log2 of their frequency.
+class ShingleLevels:
+    """Ranks shingles by how often they occur in all texts: 0 once, 1 a few times, then log2 of the count."""
 
-    Counts cover all texts. At most `most` of the most frequent levels come to the driver,
-    whatever the input; rarer shingles rank alike, which changes the cost, never the result.
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray, shared: np.ndarray) -> None:
+        self.hashes, self.levels, self.shared = hashes, levels, shared
+
+    def ranks(self, s: np.ndarray) -> np.ndarray:
+        h = (s >> np.uint64(32)).astype(np.uint32)
+        slot = h >> np.uint32(32 - SHARED_BITS)
+        rank = (self.shared[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
+        if len(self.hashes) and rank.any():
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            rank = np.where(self.hashes[at] == h, self.levels[at], rank)
+        return rank
+
+
+def shingle_levels(texts: DataFrame, size: int = SHINGLE, most: int = FREQUENT_MOST) -> ShingleLevels:
+    """Counts of all shingles of all texts, as what ranks them.
+
+    The driver gets the map (32 MB) and at most `most` of the most frequent hashes, whatever
+    the input; what these cannot tell apart ranks alike, which changes the cost, never the result.
     """
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    counts = texts.mapInArrow(_ranged_counts(size, parts), "range int, hashes binary").repartition(parts, "range").mapInArrow(_frequent, "hash long, level int")
+    counts = texts.mapInArrow(_ranged_counts(size, parts), "range int, hashes binary").repartition(parts, "range").mapInArrow(_frequent, "hash long, level int, bits binary")
     counts = written(counts, "frequent")
-    per = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    per = {r["level"]: r["n"] for r in counts.where("level >= 0").groupBy("level").agg(F.count("*").alias("n")).collect()}
     least, total = 99, 0
     for level in sorted(per, reverse=True):
         if (total := total + per[level]) > most:
             break
         least = level
-    got = counts.where(F.col("level") >= least).toArrow()
+    got = counts.where(F.col("level") >= least).select("hash", "level").toArrow()
     h, level = got["hash"].to_numpy().astype(np.uint32), got["level"].to_numpy().astype(np.uint8)
     order = np.argsort(h)
-    return h[order], level[order]
+    shared = np.zeros(1 << (SHARED_BITS - 3), np.uint8)
+    for row in counts.where("level = -1").select("hash", "bits").toLocalIterator():
+        shared[row["hash"] : row["hash"] + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)
+    return ShingleLevels(h[order], level[order], shared)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -116,7 +144,7 @@ def _prefixes(size: int, percent: int, levels):
     """(id, set size, set hash, prefix shingles); the prefix only with the first copy that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, level = levels.value
+        ranked = levels.value
         seen: set[int] = set()
         for batch in batches:
             n, node, prefix = [], [], []
@@ -128,11 +156,7 @@ def _prefixes(size: int, percent: int, levels):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node[-1])
-                rank = np.zeros(len(s), np.uint8)
-                if len(hot):
-                    h = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    rank = np.where(hot[at] == h, level[at], 0).astype(np.uint8)
+                rank = ranked.ranks(s)
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1
                 prefix.append(s[np.argsort(rank, kind="stable")[:keep]] if rank.any() else s[:keep])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], ["id", "n_shingles", "node", "prefix"])
