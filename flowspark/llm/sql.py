@@ -22,3 +22,51 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
 """
+
+# a bucket (prefix) above the limit splits on one more bit; every row ends in the first that fits
+EXTENDIBLE_SHARDS = """
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(md5(text), 'null'))) AS digest
+  FROM documents
+), rows AS (
+  SELECT doc_id, n_bytes, lpad(bin(CAST('0x' || substr(digest, 1, 15) AS BIGINT)), 60, '0') AS bits FROM hashed
+), buckets AS (
+  SELECT doc_id, n_bytes, bits, 0 AS depth, CAST(sum(n_bytes) OVER () AS BIGINT) AS bytes FROM rows
+  UNION ALL
+  SELECT doc_id, n_bytes, bits, depth + 1,
+    CAST(sum(n_bytes) OVER (PARTITION BY substr(bits, 1, depth + 1)) AS BIGINT)
+  FROM buckets WHERE bytes > 1048576 AND depth < 60
+)
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, bytes AS shard_bytes
+FROM buckets WHERE bytes <= 1048576 OR depth = 60
+"""
+
+# retrieval only prunes: the verified overlap of all pairs that share a shingle gives the same rows
+DECONTAMINATE = rf"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') FROM benchmark
+), shingles AS (
+  SELECT kind, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+  FROM words
+), halves AS (
+  SELECT id, 0 AS half, unnest(list_distinct(s[1:(len(s) + 1) // 2])) AS token FROM shingles WHERE kind = 1
+  UNION ALL
+  SELECT id, 1, unnest(list_distinct(CASE WHEN len(s) > 1 THEN s[(len(s) + 1) // 2 + 1:] ELSE s END)) FROM shingles WHERE kind = 1
+), sizes AS (
+  SELECT id, count(*) FILTER (half = 0) AS q, count(*) FILTER (half = 1) AS a FROM halves GROUP BY id
+), held AS (
+  SELECT DISTINCT id, unnest(s) AS token FROM shingles WHERE kind = 0
+), hits AS (
+  SELECT d.id AS doc_id, h.id AS item_id, count(*) FILTER (half = 0) AS q, count(*) FILTER (half = 1) AS a
+  FROM held d JOIN halves h USING (token) GROUP BY d.id, h.id
+), leaked AS (
+  SELECT doc_id, item_id, (h.q + h.a) / (s.q + s.a) AS overlap FROM hits h JOIN sizes s ON s.id = h.item_id
+  WHERE (h.q + h.a) / (s.q + s.a) >= 0.6 AND h.q / s.q >= 0.3 AND h.a / s.a >= 0.3
+)
+SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id)) AS items, max(overlap) AS overlap
+FROM leaked GROUP BY doc_id
+"""

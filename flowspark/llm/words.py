@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 BATCH_BYTES = 4 << 20
 _RNG = np.random.default_rng(20240607)
 _VALUE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True) | np.uint64(1)
+_VALUE_BYTES = _VALUE.copy()
 _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,11 +39,12 @@ _UP = _powers(_R, 1 << 16)
 _DOWN = _powers(_R_INV, 1 << 16)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of them at least."""
     global _UP, _DOWN
-    if n > len(_UP):
-        _UP, _DOWN = _powers(_R, n), _powers(_R_INV, n)
-    return _UP[:n], _DOWN
+    if n >= len(_UP):
+        _UP, _DOWN = _powers(_R, n + 1), _powers(_R_INV, n + 1)
+    return _UP[:n], _DOWN[: n + 1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = inside.copy()
     ends[:-1] &= begins[1:] | ~inside[1:]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _tables(n)
+    up, down = powers(n)
     acc = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[buf] * up, out=acc[1:])
     h = mix((acc[stop] - acc[start]) * down[start] + (stop - start).astype(np.uint64))
