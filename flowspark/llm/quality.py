@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import written
 from .words import shingle_hashes, slices, text_buffers, word_hashes
 
-SHRINK, POOL = 0.1, 0.1
-NAMES = ("letters", "upper", "digits", "marks", "stops", "breaks", "word_length", "size", "types", "top_word", "shingles", "marked_words", "wide")
+SHRINK, POOL, SOFT = 0.1, 0.1, 30
+NAMES = ("letters", "upper", "doubled", "marks", "stops", "breaks", "word_length", "size", "types", "top_word", "shingles", "marked_words", "wide")
 
 
 def _counter(table: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -56,6 +56,9 @@ def statistics(column: pa.Array) -> Iterator[np.ndarray]:
         if len(words):
             marked = _MARK[buf[stop - 1]] | _MARK[buf[start]]
         marked = np.concatenate(([0], np.cumsum(marked)))
+        again = np.zeros(len(words), bool)
+        again[1:] = words[1:] == words[:-1]
+        doubled = np.concatenate(([0], np.cumsum(again)))
         types, top, runs = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a)
         for i in range(b - a):
             w = words[at[i] : at[i + 1]]
@@ -66,11 +69,12 @@ def statistics(column: pa.Array) -> Iterator[np.ndarray]:
             types[i], top[i] = len(cut) - 1, np.diff(cut).max()
             sh = np.sort(shingle_hashes(w))
             runs[i] = (1 + np.count_nonzero(sh[1:] != sh[:-1])) / len(sh)
-        some, has = np.maximum(n, 1), np.maximum(k, 1)
+        # shares of short texts are drawn towards those of plain prose
         root = lambda x: np.sqrt(np.maximum(x, 0))
+        share = lambda x, of, usual: (x + SOFT * usual) / (of + SOFT)
         yield np.column_stack([
-            counts["letters"] / some, root(counts["upper"] / np.maximum(counts["letters"], 1)), root(counts["digits"] / some), root(counts["marks"] / some), root(counts["stops"] / some),
-            root(counts["breaks"] / some), np.log1p(counts["letters"] / has), np.log1p(k), np.log1p(types) - 0.85 * np.log1p(k), root(top / has), runs, root((marked[at[1:]] - marked[at[:-1]]) / has), root(counts["wide"] / some),
+            share(counts["letters"], n - counts["digits"], 0.78), root(share(counts["upper"], counts["letters"], 0.03)), root(share(doubled[at[1:]] - doubled[at[:-1]], k, 0)), root(share(counts["marks"], n, 0)), root(share(counts["stops"], n, 0.02)),
+            root(share(counts["breaks"], n, 0.005)), np.log(share(counts["letters"], k, 5)), np.log1p(k), np.log(share(types, SOFT + k**0.85, 1)), root(share(top, k, 0.05)), share(runs * k, k, 1), root(share(marked[at[1:]] - marked[at[:-1]], k, 0)), root(share(counts["wide"], n, 0.02)),
         ])
 
 
