@@ -23,23 +23,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .words import slices, text_buffers, word_hashes
+from .words import slices, span_hashes, text_buffers, word_hashes
 
-EXAMPLES, WORDS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
+EXAMPLES, WORDS, NEIGHBOURS, BLOCK, PRIOR = 4000, 4096, 15, 64, 0.2
 _TRIM = np.zeros(256, bool)
-_TRIM[[ord(c) for c in ".,;:!?\"'()"]] = True
+_TRIM[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Words of more bytes also count by their first so many.
+STEMS = (6, 7)
 
 
 def _bags(column: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each text its distinct word hashes and their counts, a few MB of text at a time.
+    """For each text the distinct hashes of its words and stems and their counts, a few MB of text at a time.
 
-    The marks .,;:!?"'() count as spaces.
+    ASCII marks count as spaces.
     """
     for a, b in slices(column):
         buf, off = text_buffers(column.slice(a, b - a))
         buf = np.where(_TRIM[buf], np.uint8(32), buf)
-        h, _, _, at = word_hashes(buf, off)
-        yield [np.unique(h[at[i] : at[i + 1]], return_counts=True) for i in range(b - a)]
+        h, start, stop, at = word_hashes(buf, off)
+        hashes = span_hashes(buf)
+        terms, owner = [h], [np.arange(len(h))]
+        for n in STEMS:
+            long = np.flatnonzero(stop - start > n)
+            terms.append(hashes(start[long], start[long] + n) + np.uint64(n))
+            owner.append(long)
+        terms, owner = np.concatenate(terms), np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        terms, cut = terms[order], np.searchsorted(owner[order], at)
+        yield [np.unique(terms[cut[i] : cut[i + 1]], return_counts=True) for i in range(b - a)]
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +126,7 @@ class NearestExamples:
     def score(self, words: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         cos, places = self.nearest(words, counts)
         weight = cos.astype(float) ** 2
-        score = (float(weight @ self.labels[places]) + 0.5 * self.base) / (float(weight.sum()) + 0.5)
+        score = (float(weight @ self.labels[places]) + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
         return min(1.0, max(0.0, score)), self.ids[places[:3]].tolist()
 
 

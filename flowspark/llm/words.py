@@ -10,7 +10,7 @@ Null texts are empty texts: no words, no shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,13 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, in
         yield start, len(size)
 
 
+def span_hashes(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from start and end places to the hashes of the bytes between, A-Z as a-z."""
+    up, down = powers(len(buf))
+    acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[buf] * up)))
+    return lambda start, stop: mix((acc[stop] - acc[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte of each word; for each text the index of its first word, and the total)."""
     n = len(buf)
@@ -96,10 +103,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = inside.copy()
     ends[:-1] &= begins[1:] | ~inside[1:]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[buf] * up, out=acc[1:])
-    h = mix((acc[stop] - acc[start]) * down[start] + (stop - start).astype(np.uint64))
+    h = span_hashes(buf)(start, stop)
     return h, start, stop, np.searchsorted(start, off)
 
 
