@@ -92,47 +92,50 @@ def _passage_terms(term: np.ndarray, start: int, end: int) -> np.ndarray:
     return np.unique(t[t >= 0])
 
 
+def _found(items: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+    """(place of the text, place of the item, question, answer, overlap) for what shares shingles."""
+    for lo, hi in slices(texts):
+        buf, off = text_buffers(texts.slice(lo, hi - lo))
+        h, _, _, at = word_hashes(buf, off)
+        if not len(h) or not len(items.words):
+            continue
+        term = np.minimum(np.searchsorted(items.words, h), len(items.words) - 1)
+        term = np.where(items.words[term] == h, term, -1)
+        # upper bounds: a repeated word counts again, which only raises them
+        bound = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, items.most[term], 0.0))))
+        n = np.diff(at)
+        per = np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1) * (n > 0)
+        doc = np.repeat(np.arange(len(n)), per)
+        first = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
+        last = np.minimum(first + PASSAGE, at[doc + 1])
+        hits: dict[int, set[int]] = {}
+        for p in np.flatnonzero(bound[last] - bound[first] >= items.least).tolist():
+            terms = _passage_terms(term, first[p], last[p])
+            if items.most[terms].sum() >= items.least and (got := items.candidates(terms)):
+                hits.setdefault(int(doc[p]), set()).update(got)
+        for d, found in hits.items():
+            own = np.unique(shingle_hashes(h[at[d] : at[d + 1]]))
+            for i in sorted(found):
+                q, a = (np.isin(x, own, assume_unique=True) for x in items.parts[i])
+                if q.any() or a.any():
+                    yield lo + d, i, float(q.mean()), float(a.mean()), float(np.concatenate((q, a)).mean())
+
+
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
-        out: list[tuple[int | None, int, float, float, float]] = []
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                buf, off = text_buffers(part.column(1))
-                h, _, _, at = word_hashes(buf, off)
-                if not len(h) or not len(items.words):
-                    continue
-                term = np.minimum(np.searchsorted(items.words, h), len(items.words) - 1)
-                term = np.where(items.words[term] == h, term, -1)
-                # upper bounds: a repeated word counts again, which only raises them
-                bound = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, items.most[term], 0.0))))
-                n = np.diff(at)
-                per = np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1) * (n > 0)
-                doc = np.repeat(np.arange(len(n)), per)
-                first = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-                last = np.minimum(first + PASSAGE, at[doc + 1])
-                may = np.flatnonzero(bound[last] - bound[first] >= items.least)
-                hits: dict[int, set[int]] = {}
-                for p in may.tolist():
-                    terms = _passage_terms(term, first[p], last[p])
-                    if items.most[terms].sum() >= items.least and (got := items.candidates(terms)):
-                        hits.setdefault(int(doc[p]), set()).update(got)
-                for d, found in hits.items():
-                    own = np.unique(shingle_hashes(h[at[d] : at[d + 1]]))
-                    for i in sorted(found):
-                        q, a = items.parts[i]
-                        q_in, a_in = (np.isin(x, own, assume_unique=True) for x in (q, a))
-                        both = np.concatenate((q_in, a_in)).mean()
-                        if q_in.any() or a_in.any():
-                            out.append((part.column(0)[d].as_py(), int(items.ids[i]), float(q_in.mean()), float(a_in.mean()), float(both)))
-            if out:
-                yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 3))], ["id", "item_id", "question", "answer", "overlap"])
-                out = []
+            ids = batch.column(0)
+            out = [(ids[d].as_py(), int(items.ids[i]), q, a, both) for d, i, q, a, both in _found(items, batch.column(1))]
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 3))], ["id", "item_id", "question", "answer", "overlap"])
 
     return run
 
 
+def _leaked(question, answer, overlap):
+    return (overlap >= OVERLAP) & (question >= EITHER) & (answer >= EITHER)
+
+
 def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of at most `size`, in id order."""
     block: list[tuple[int, str | None]] = []
@@ -156,7 +159,7 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block]))
         found.append(rows.mapInArrow(_search(index), schema))
     pairs = union_all(found) if found else docs.sparkSession.createDataFrame([], schema)
-    leaked = (F.col("overlap") >= OVERLAP) & (F.col("question") >= EITHER) & (F.col("answer") >= EITHER)
+    leaked = _leaked(F.col("question"), F.col("answer"), F.col("overlap"))
     return pairs.select(F.col("id").alias(id_col), "item_id", "question", "answer", "overlap", leaked.alias("leaked"))
 
 
@@ -164,3 +167,23 @@ def leaked_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """(id_col, n_items, items, overlap) of the texts that leak an item; items: their ids, ascending."""
     pairs = benchmark_overlaps(docs, items, id_col, text_col).where("leaked")
     return pairs.groupBy(id_col).agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows and columns of docs whose text leaks no item; texts are not shuffled."""
+    for block in item_blocks(items, item_col, item_text):
+        docs = docs.where(~_leaks(docs, block)(F.col(f"`{text_col}`").cast("string")))
+    return docs
+
+
+def _leaks(docs: DataFrame, block: list[tuple[int, str | None]]):
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block]))
+
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        for d, _, q, a, both in _found(index.value, texts):
+            out[d] |= _leaked(q, a, both)
+        return pa.array(out)
+
+    return leaks

@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, shuffle_partitions, union_all, written
+from .shared import Sieve, connected_components, shuffle_partitions, union_all, written
 from .words import mix, shingle_sets
 
 SHINGLE, PERCENT, BLOCK, ROUNDS = 5, 75, 256, 3
 #: Shingles that occur FREQUENT times or more are known by their count, at most FREQUENT_MOST
 #: of them; all that occur twice or more, by a bit in a map of 2**SHARED_BITS bits.
 FREQUENT, FREQUENT_MOST, SHARED_BITS = 8, 2_000_000, 28
-SIEVE_BITS = 1 << 25
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -168,11 +167,9 @@ def _chosen_sets(size: int, sieve):
     """(set hash, shingles) of the rows whose id passes the sieve; a null id passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sieve.value
         for batch in batches:
             ids = batch.column(0)
-            h = _slot(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            keep = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            keep = sieve.value.passes(ids.fill_null(0).to_numpy(zero_copy_only=False))
             keep |= ids.is_null().to_numpy(zero_copy_only=False)
             sets = [s for s in shingle_sets(batch.column(1).filter(pa.array(keep)), size) if len(s)]
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), _lists(sets)], ["node", "shingles"])
@@ -180,24 +177,6 @@ def _chosen_sets(size: int, sieve):
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(SIEVE_BITS)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        s = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
-        yield pa.record_batch([pa.array((s >> np.uint64(3)).astype(np.int32)), pa.array((1 << (s & np.uint64(7)).astype(np.int32)).astype(np.int32))], ["byte", "bits"])
-
-
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot that an id of the column falls into: SIEVE_BITS / 8 bytes, whatever the input."""
-    got = ids.mapInArrow(_slots, "byte int, bits int").groupBy("byte").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    out[got["byte"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
-    return out
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each (region, block), which lie together."""
     held: list[pa.RecordBatch] = []
@@ -341,7 +320,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     chosen = members.select("node").distinct()
     holders = rows.where(F.size("prefix") > 0).join(chosen.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sieve = spark.sparkContext.broadcast(_sieve(holders.where("id is not null").select("id")))
+    sieve = spark.sparkContext.broadcast(Sieve(holders.where("id is not null").select("id")))
     sets = written(texts.mapInArrow(_chosen_sets(size, sieve), "node long, shingles array<long>").join(chosen.hint("shuffle_hash"), "node", "left_semi"), "sets")
 
     roots = connected_components(union_all(_region_links(members, sets, percent, block, rounds)))
@@ -351,3 +330,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = classes.join(component.hint("shuffle_hash"), "root").select("node", "component_id")
     out = rows.select("id", "n_shingles", "node").join(classes.hint("merge"), "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but of each component only the row with the least id.
+
+    Of repeated ids one row stays. Rows with a null id stay. Texts are not shuffled, but for
+    rows whose id passes a sieve of the ids that are concerned.
+    """
+    found = ngram_jaccard_join(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    concerned = found.groupBy(F.col(id_col).alias("_id")).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
+    concerned = written(concerned.where((F.col("_id") != F.col("_component")) | (F.col("_n") > 1)), "concerned")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(concerned.select("_id")))
+
+    @F.arrow_udf("boolean")
+    def may(ids: pa.Array) -> pa.Array:
+        return pa.array(sieve.value.passes(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumn("_may", may(key))
+    # the least of the rows with an id stays, where rows repeat it
+    hit = rows.where("_may").join(concerned.hint("merge"), key == F.col("_id"), "left")
+    single = hit.where("_id IS NULL").select(docs.columns)
+    kept = hit.where((F.col("_id") == F.col("_component"))).dropDuplicates(["_id"]).select(docs.columns)
+    return union_all([rows.where("NOT _may").select(docs.columns), single, kept])

@@ -133,6 +133,20 @@ def _digest(model: str):
     return run
 
 
+def _both(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable(model)
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                own = encoded_texts(table, part.column(1).fill_null("").to_pylist())
+                n = [len(x) for x in own]
+                back = [table.sp.decode(x.tolist()) for x in own]
+                yield pa.record_batch([part.column(0), _lists(np.concatenate(own), np.concatenate(([0], np.cumsum(n)))), pa.array(n, pa.int64()), pa.array(back, pa.string())], ["id", "ids", "n_tokens", "text"])
+
+    return run
+
+
 def _rows(df: DataFrame, id_col: str, col: str, kind: str) -> tuple[DataFrame, str]:
     rows = df.select(F.col(id_col).alias("id"), F.col(col).cast(kind).alias("value"))
     return rows, f"id {dict(rows.dtypes)['id']}"
@@ -155,3 +169,9 @@ def round_trip_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_
     rows, kind = _rows(docs, id_col, text_col, "string")
     got = rows.mapInArrow(_digest(model), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return got.withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, ids, n_tokens, and the text decoded from the ids, in one pass."""
+    rows, kind = _rows(docs, id_col, text_col, "string")
+    return rows.mapInArrow(_both(model), f"{kind}, ids array<int>, n_tokens long, text string").withColumnRenamed("id", id_col)

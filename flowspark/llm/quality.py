@@ -155,6 +155,23 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int) -> DataFrame:
+    return labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where(~held_out(F.col("id"), folds, fold))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
+    """The rows and columns of docs whose text scores the threshold at least; texts are not shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    stats = written(rows.mapInArrow(_statistics, "id long, x array<double>"), "statistics")
+    model = docs.sparkSession.sparkContext.broadcast(fit(stats.join(_known(labels, id_col, label_col, folds, fold).hint("merge"), "id")))
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *map(model.value.scores, statistics(texts))]))
+
+    return docs.where(score(F.col(f"`{text_col}`").cast("string")) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: id_col, held_out, score (0 to 1), predicted (score >= threshold).
 
@@ -162,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     stats = written(rows.mapInArrow(_statistics, "id long, x array<double>"), "statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where(~held_out(F.col("id"), folds, fold))
+    known = _known(labels, id_col, label_col, folds, fold)
     model = docs.sparkSession.sparkContext.broadcast(fit(stats.join(known.hint("merge"), "id")))
     scored = stats.mapInArrow(_scored(model), "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local temporary one only where that is unset."""
@@ -73,3 +78,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+SIEVE_BITS = 1 << 25
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(SIEVE_BITS)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
+        yield pa.record_batch([pa.array((s >> np.uint64(3)).astype(np.int32)), pa.array((1 << (s & np.uint64(7)).astype(np.int32)).astype(np.int32))], ["byte", "bits"])
+
+
+class Sieve:
+    """One bit for each slot that an id falls into: SIEVE_BITS / 8 bytes, whatever the input.
+
+    Ids of the set always pass; others pass as often as the set fills the slots.
+    """
+
+    def __init__(self, ids: DataFrame) -> None:
+        """ids: one column of longs, no nulls."""
+        got = ids.mapInArrow(_slots, "byte int, bits int").groupBy("byte").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        self.bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        self.bits[got["byte"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        h = _slot(ids)
+        return (self.bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
