@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers all of them."""
 
-from . import encoding
+from . import encoding, profiles
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "encoding"]
+__all__ = ["ORACLE_SQL", "QUERIES", "encoding", "profiles"]
