@@ -2,9 +2,10 @@
 block-max WAND, then verification of question and answer.
 
 Items are short and few beside the corpus: they come to the driver in blocks of at most
-ITEM_BLOCK items, and the texts are searched once per block. A text is cut into overlapping
-passages of words, and each passage is a query. First every passage gets its upper bound,
-the sum of the largest impacts of its distinct words, vectorised over all passages; only those
+ITEM_BLOCK items, and the texts are searched once per block. Terms are pairs of adjacent words
+(single words occur in most items by chance, so that their bounds rule nothing out). A text is
+cut into overlapping passages of words, and each passage is a query. First every passage gets its upper bound,
+the sum of the largest impacts of its terms, vectorised over all passages; only those
 that could reach the threshold go through the postings: the largest impacts of their blocks
 rule out blocks, then documents, before full scores are computed. All items above the
 threshold (a share of the item's score for itself) are candidates, and each is verified on
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import union_all
-from .words import shingle_hashes, slices, text_buffers, word_hashes
+from .words import _GAP, mix, shingle_hashes, slices, text_buffers, word_hashes
 
 ITEM_BLOCK, PASSAGE, STRIDE, POSTINGS = 20_000, 96, 48, 32
 K1, B = 1.2, 0.75
@@ -38,12 +39,12 @@ class ItemIndex:
         self.ids = np.asarray(ids, np.int64)
         buf, off = text_buffers(pa.array(texts, pa.string()))
         h, _, _, at = word_hashes(buf, off)
-        bags = [h[at[i] : at[i + 1]] for i in range(len(ids))]
-        self.words = np.unique(h)
+        terms = [shingle_hashes(h[at[i] : at[i + 1]], 2) for i in range(len(ids))]
+        self.words = np.unique(np.concatenate(terms)) if terms else h
         n = len(ids)
-        mean = max(1.0, len(h) / max(n, 1))
+        mean = max(1.0, sum(map(len, terms)) / max(n, 1))
         rows = []
-        for i, bag in enumerate(bags):
+        for i, bag in enumerate(terms):
             w, c = np.unique(bag, return_counts=True)
             rows.append((np.searchsorted(self.words, w), np.full(len(w), i), c / (c + K1 * (1 - B + B * len(bag) / mean)) * (K1 + 1)))
         t, item, tf = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, int) for k in range(3))
@@ -60,8 +61,8 @@ class ItemIndex:
         self.enough = threshold * own
         self.least = float(self.enough[own > 0].min()) if (own > 0).any() else np.inf
         self.parts = []
-        for bag in bags:
-            s = shingle_hashes(bag)
+        for i in range(n):
+            s = shingle_hashes(h[at[i] : at[i + 1]])
             half = (len(s) + 1) // 2
             self.parts.append((np.unique(s[:half]), np.unique(s[half:] if len(s) > 1 else s)))
 
@@ -87,6 +88,18 @@ class ItemIndex:
         return set(items[score >= self.enough[items]].tolist())
 
 
+def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each word with the next one, as shingle_hashes(words of a text, 2) has them; 0 at the last word of a text."""
+    pair = np.full(len(h), np.uint64(2)) + h * _GAP[0]
+    pair[:-1] += h[1:] * _GAP[1]
+    pair = mix(pair)
+    n = np.diff(at)
+    pair[at[1:][n > 0] - 1] = 0
+    single = at[:-1][n == 1]
+    pair[single] = mix(np.uint64(1) + h[single] * _GAP[0])
+    return pair
+
+
 def _passage_terms(term: np.ndarray, start: int, end: int) -> np.ndarray:
     t = term[start:end]
     return np.unique(t[t >= 0])
@@ -99,8 +112,9 @@ def _found(items: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float,
         h, _, _, at = word_hashes(buf, off)
         if not len(h) or not len(items.words):
             continue
-        term = np.minimum(np.searchsorted(items.words, h), len(items.words) - 1)
-        term = np.where(items.words[term] == h, term, -1)
+        pair = _pairs(h, at)
+        term = np.minimum(np.searchsorted(items.words, pair), len(items.words) - 1)
+        term = np.where(items.words[term] == pair, term, -1)
         # upper bounds: a repeated word counts again, which only raises them
         bound = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, items.most[term], 0.0))))
         n = np.diff(at)
