@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers all of them."""
 
-from . import decisions, encoding, profiles, splits
+from . import audits, decisions, encoding, profiles, splits
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "encoding", "profiles", "splits"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "decisions", "encoding", "profiles", "splits"]
