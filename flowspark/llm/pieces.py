@@ -27,7 +27,7 @@ from .words import slices
 
 MARK = "▁"
 TABLE = 300_000
-_CHUNK = re.compile(r" *[^ ]+| +\Z")
+_CHUNK = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+\Z")
 
 
 @functools.lru_cache(maxsize=2)
@@ -60,7 +60,7 @@ class ChunkTable:
         at = [0]
         for t in texts:
             if t:
-                if "  " in t or t[0] == " " or t[-1] == " ":
+                if "  " in t or MARK in t or t[0] == " " or t[-1] == " ":
                     chunks += [c[1:] for c in _CHUNK.findall(" " + t)]
                 else:
                     chunks += t.split(" ")
