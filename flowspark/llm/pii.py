@@ -30,7 +30,7 @@ _DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`|]+")
-_ID = re.compile(r"[\x20:#=. -]{0,4}(?:(?:no|nr|number|num)\b[\x20:#=.]{0,3})?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}|[0-9](?:-?[0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE)
+_ID = re.compile(r"[\x20:#=. -]{0,4}(?:(?i:no|nr|number|num)\b[\x20:#=.]{0,3})?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}|[0-9](?:-?[0-9]){5,19})(?![A-Za-z0-9])")
 _SCHEMES = ("http://", "https://", "ftp://", "mailto:", "www.")
 _CUES = ("account", "acct", "iban", "passport", "konto", "cuenta", "compte", "ssn")
 
@@ -124,9 +124,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     out["url"].append(("url", i, end))
                     done["url"] = end
         elif i >= done["account"] and not (i and text[i - 1].isalnum()) and (m := _ID.match(text, last + 1)):
-            if m[1][0].isdigit() or _iban(m[1]):
-                out["account"].append(("account", m.start(1), m.end(1)))
-                done["account"] = m.end()
+            code = m[1]
+            while code and not code[0].isdigit() and not _iban(code):
+                code = code.rpartition(" ")[0]  # words after the number may look like its last group
+            if code:
+                out["account"].append(("account", m.start(1), m.start(1) + len(code)))
+                done["account"] = m.start(1) + len(code)
     return [x for k in KINDS for x in out[k]]
 
 
