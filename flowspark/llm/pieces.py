@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .words import slices
 
 MARK = "▁"
-TABLE = 300_000
+TABLE = 200_000
 _CHUNK = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+\Z")
 
 
@@ -50,7 +50,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # all ids, and where those of each chunk end
 
     def ragged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the offsets of the texts (one more than texts); no begin or end ids."""
@@ -67,19 +67,16 @@ class ChunkTable:
             at.append(len(chunks))
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
         if new:
-            found = self.sp.encode(new, num_threads=1)
-            for c, ids in zip(new, found):
-                self.index[c] = len(self.ids)
-                self.ids.append(np.asarray(ids if c else [self.mark], np.int32))
+            found = [ids if c else [self.mark] for c, ids in zip(new, self.sp.encode(new, num_threads=1))]
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.pool = np.concatenate((self.pool, np.asarray([i for ids in found for i in ids], np.int32)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(list(map(len, found)))))
         where = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        used, where = np.unique(where, return_inverse=True)
-        own = [self.ids[k] for k in used.tolist()]
-        length = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-        begin = np.cumsum(length) - length
+        begin = self.ends[:-1]
+        length = np.diff(self.ends)
         n = length[where]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.arange(ends[-1]) + np.repeat(begin[where] - ends[:-1], n)]
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(begin[where] - ends[:-1], n)]
         return ids, ends[np.asarray(at)]
 
 

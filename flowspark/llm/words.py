@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _RNG = np.random.default_rng(20240607)
 _VALUE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True) | np.uint64(1)
 _VALUE_BYTES = _VALUE.copy()
@@ -85,7 +85,9 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, in
 def span_hashes(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function from start and end places to the hashes of the bytes between, A-Z as a-z."""
     up, down = powers(len(buf))
-    acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[buf] * up)))
+    acc = np.zeros(len(buf) + 1, np.uint64)
+    np.multiply(_VALUE[buf], up, out=acc[1:])
+    np.cumsum(acc[1:], out=acc[1:])
     return lambda start, stop: mix((acc[stop] - acc[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
