@@ -33,7 +33,7 @@ from .words import slices
 
 BLOCK_IDS, SLOTS, REBUILD = 4096, 4096, 64
 #: Ids that one call codes at a time, in blocks side by side.
-BATCH_IDS = 8_000_000
+BATCH_IDS = 4_000_000
 _TOP, _BOT = np.uint64(1 << 24), np.uint64(1 << 16)
 _MASK = np.uint64(0xFFFFFFFF)
 FIELDS = "part int, block int, n_ids int, n_docs int, crc long, doc_ids binary, lengths binary, payload binary"
@@ -269,7 +269,7 @@ def _written_blocks(vocabulary: str, end: int):
             return pa.record_batch([*[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], pa.array(made, pa.binary())], [f.split()[0] for f in FIELDS.split(", ")])
 
         for batch in batches:
-            for a, b in slices(batch.column(2)):
+            for a, b in slices(batch.column(2), 1 << 20):
                 rows = batch.slice(a, b - a)
                 coded = tok.encode_batch_fast(rows.column(2).fill_null("").to_pylist(), add_special_tokens=False)
                 for p, name, enc in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), coded):
