@@ -6,6 +6,8 @@ a branch that is off has a NULL threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,36 +37,29 @@ def tau_to_plane(tau: Column, mu0: Column | str = "mu0", sd0: Column | str = "sd
     return (F.log10(tau) - mu0) / sd0
 
 
-def and_theta(z: DataFrame, alpha: float) -> DataFrame:
-    """One row theta_z, capped: the logit threshold at which the AND rule flags a share alpha of z.
+def and_theta(z: DataFrame, tau_z: float, alpha: float) -> tuple[float, bool]:
+    """(theta_z, capped): the logit threshold at which the AND rule flags a share alpha of z.
 
-    z: benign selection rows (z0, z1) with the constant column tau_z. No row above tau_z: +inf. A
-    budget that covers all of them: -inf.
+    z: benign selection rows (z0, z1). No row above tau_z: +inf. A budget that covers all of them:
+    -inf. Counts come to the driver, the quantile from prefix sums over distinct values.
     """
-    n = z.agg(F.count("*").alias("n"), F.count_if(F.col("z0") > F.col("tau_z")).alias("g"))
-    row = n.select("n", "g", (F.lit(alpha) * F.col("n")).alias("k"))
-    gated = z.where(F.col("z0") > F.col("tau_z")).crossJoin(F.broadcast(row.select("n"))).withColumnRenamed("n", "n_all")
-    q = interpolated_quantile_of_gated(gated, alpha)
-    got = row.crossJoin(F.broadcast(q))
-    theta = F.when(F.col("g") == 0, F.lit(INF)).when(F.col("k") >= F.col("g"), F.lit(-INF)).otherwise(F.col("q"))
-    return got.select(theta.alias("theta_z"), ((F.col("g") == 0) | (F.col("k") >= F.col("g"))).alias("capped"))
-
+    c = z.agg(F.count("*").alias("n"), F.count_if(F.col("z0") > tau_z).alias("g")).first()
+    k = alpha * c["n"]
+    if c["g"] == 0:
+        return INF, True
+    if k >= c["g"]:
+        return -INF, True
+    return interpolated_quantile(z.where(F.col("z0") > tau_z), "z1", F.lit(1 - k / c["g"]), "q").first()[0], False
 
-def interpolated_quantile_of_gated(gated: DataFrame, alpha: float) -> DataFrame:
-    n_all = gated.agg(F.max("n_all")).first()[0] or 0
-    return interpolated_quantile(gated, "z1", 1 - F.lit(alpha * n_all) / F.col("_n"), "q")
 
-
-def union_theta(z: DataFrame, target: float) -> DataFrame:
-    """One row theta_union: the logit threshold over rows that the AND rule leaves, for a total share `target`.
-
-    z: benign selection rows (z0, z1) with constant columns tau_z and theta_z. A budget already used: +inf.
-    """
-    hit = (F.col("z0") > F.col("tau_z")) & (F.col("z1") > F.col("theta_z"))
-    n = z.agg(F.count("*").alias("n"), F.count_if(hit).alias("h")).first()
-    left = target * n["n"] - n["h"]
-    q = interpolated_quantile(z.where(~hit), "z1", 1 - F.lit(left) / F.col("_n"), "q")
-    return q.select((F.lit(INF) if left <= 0 or n["n"] == n["h"] else F.col("q")).alias("theta_union"))
+def union_theta(z: DataFrame, tau_z: float, theta_z: float, target: float) -> float:
+    """The logit threshold over rows that the AND rule leaves, for a total share `target`; a budget already used: +inf."""
+    hit = (F.col("z0") > tau_z) & (F.col("z1") > theta_z)
+    c = z.agg(F.count("*").alias("n"), F.count_if(hit).alias("h")).first()
+    left = target * c["n"] - c["h"]
+    if left <= 0 or c["n"] == c["h"]:
+        return INF
+    return interpolated_quantile(z.where(~hit), "z1", F.lit(1 - left / (c["n"] - c["h"])), "q").first()[0]
 
 
 def fuse_predict(z0: Column, z1: Column, p: dict[str, Column]) -> Column:
@@ -82,29 +77,20 @@ def fired_branch(z0: Column, z1: Column, p: dict[str, Column]) -> Column:
 PARAMETERS = ["mu0", "sd0", "mu1", "sd1", "tau_z", "theta_z", "theta_union", "tau_hi_z"]
 
 
-def calibrate(train: DataFrame, select: DataFrame, tau_pct: float | None, alpha: float, target: float | None, hi_pct: float | None, s: str = "s_dae", logit: str = "logit", tau: float | None = None) -> DataFrame:
-    """One row of PARAMETERS from benign training and selection rows.
-
-    tau: the threshold of the first score, if it is not a percentile of the selection rows.
-    """
-    st = standardiser(train, s, logit)
-    wanted = [p / 100 for p in (tau_pct if tau_pct is not None else 50.0, hi_pct if hi_pct is not None else 50.0)]
-    q = select.agg(F.percentile(s, F.array(*map(F.lit, wanted))).alias("q"))
-    one = st.crossJoin(F.broadcast(q))
-    tau_raw = F.lit(tau) if tau is not None else F.col("q")[0]
-    one = one.withColumn("tau_z", tau_to_plane(tau_raw)).withColumn("tau_hi_z", tau_to_plane(F.col("q")[1]) if hi_pct is not None else F.lit(None).cast("double")).drop("q")
-    z = to_plane(select.select(s, logit), one, s, logit).select("z0", "z1").crossJoin(F.broadcast(one.select("tau_z")))
-    t = and_theta(z, alpha)
-    one = one.crossJoin(F.broadcast(t.select("theta_z")))
-    if target is None:
-        return one.withColumn("theta_union", F.lit(None).cast("double")).select(PARAMETERS)
-    u = union_theta(z.crossJoin(F.broadcast(t.select("theta_z"))), target)
-    return one.crossJoin(F.broadcast(u)).withColumn("theta_union", F.when(F.col("theta_union") != INF, F.col("theta_union"))).select(PARAMETERS)
-
-
-def pinned(params: DataFrame) -> DataFrame:
-    """The one row computed now, so that later plans hold literals instead of the calibration."""
-    return params.sparkSession.createDataFrame(params.collect(), params.schema)
+def calibrate(train: DataFrame, select: DataFrame, tau_pct: float, alpha: float, target: float | None, hi_pct: float | None, s: str = "s_dae", logit: str = "logit") -> DataFrame:
+    """One row of PARAMETERS from benign training and selection rows, computed now: each step needs the
+    numbers of the one before, and later plans hold literals."""
+    spark = train.sparkSession
+    st = standardiser(train, s, logit).first()
+    wanted = [p / 100 for p in (tau_pct, hi_pct if hi_pct is not None else tau_pct)]
+    q = select.agg(F.percentile(s, F.array(*map(F.lit, wanted))).alias("q")).first()["q"]
+    on_plane = lambda t: (math.log10(max(t, 1e-12)) - st["mu0"]) / st["sd0"]
+    tau_z, tau_hi = on_plane(q[0]), on_plane(q[1]) if hi_pct is not None else None
+    z = select.select(((log10_floor(F.col(s)) - st["mu0"]) / st["sd0"]).alias("z0"), ((F.col(logit) - st["mu1"]) / st["sd1"]).alias("z1"))
+    theta, _ = and_theta(z, tau_z, alpha)
+    union = None if target is None else union_theta(z, tau_z, theta, target)
+    row = (*map(float, st), tau_z, theta, None if union in (None, INF) else union, tau_hi)
+    return spark.createDataFrame([row], ", ".join(f"{c} double" for c in PARAMETERS))
 
 
 def fusion_modes(scores: DataFrame, s: str = "s_dae", logit: str = "logit") -> DataFrame:
@@ -112,7 +98,7 @@ def fusion_modes(scores: DataFrame, s: str = "s_dae", logit: str = "logit") -> D
     ben = scores.where("label = 0")
     out = None
     for mode, (tau_pct, alpha, target, hi) in FUSION_MODES.items():
-        p = pinned(calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, target, hi, s, logit)).withColumn("mode", F.lit(mode))
+        p = calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, target, hi, s, logit).withColumn("mode", F.lit(mode))
         out = p if out is None else out.unionByName(p)
     return out.select("mode", *PARAMETERS)
 

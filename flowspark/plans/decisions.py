@@ -197,7 +197,7 @@ def _presets(spark: SparkSession, d: str) -> DataFrame:
     ben = _scores(spark, d).where("label = 0")
     out = None
     for name, target in FUSION_PRESETS.items():
-        p = X.pinned(X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), 99.0, 0.005, target, None)).withColumn("mode", F.lit(name))
+        p = X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), 99.0, 0.005, target, None).withColumn("mode", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -248,18 +248,16 @@ def rule_sweep(scores: DataFrame, grid: list[float], rules: tuple[str, ...] = ("
     Thresholds are a table of rules x grid rows; the test rows are read once for all of them.
     """
     ben = scores.where("label = 0")
-    p = X.pinned(X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, None, None))
+    p = X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, None, None)
     one = p.first()
     sel = X.to_plane(ben.where("pool = 'select'").select("s_dae", "logit"), p).select("z0", "z1")
     theta: dict[str, list[float]] = {}
     q = sel.agg(*[F.percentile(z, F.array(*[F.lit(1 - t) for t in grid])).alias(z) for z in ("z0", "z1")]).first()
     theta["first"], theta["logit"] = q["z0"], q["z1"]
     if "and" in rules:
-        gated = sel.withColumn("tau_z", F.lit(one["tau_z"]))
-        theta["and"] = [X.and_theta(gated, t).first()[0] for t in grid]
+        theta["and"] = [X.and_theta(sel, one["tau_z"], t)[0] for t in grid]
     if "and_or_logit" in rules:
-        base = sel.withColumns({"tau_z": F.lit(one["tau_z"]), "theta_z": F.lit(one["theta_z"])})
-        theta["and_or_logit"] = [X.union_theta(base, t).first()[0] for t in grid]
+        theta["and_or_logit"] = [X.union_theta(sel, one["tau_z"], one["theta_z"], t) for t in grid]
     z = X.to_plane(scores.where("pool = 'test'").select("label", "s_dae", "logit"), p)
     z0, z1, tau, th = F.col("z0"), F.col("z1"), F.lit(one["tau_z"]), F.lit(one["theta_z"])
     make = {"first": lambda t: z0 > t, "logit": lambda t: z1 > t, "and": lambda t: (z0 > tau) & (z1 > t), "and_or_logit": lambda t: ((z0 > tau) & (z1 > th)) | (z1 > t)}
