@@ -20,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow table; columns are pruned, so a query pays for the fields it uses only."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    h = lambda s: hash32(F.col("event_id"), s)
-    u = lambda s: uniform(F.col("event_id"), s)
+    # every hash once, as a column that the fields below refer to
+    salts = ("p", "dp", "sp", "l7", "dq", "cf", "sf", "it", "ic", "ob", "tt", "tw", "sb", "db", "pool")
+    e = e.select("*", *[hash32(F.col("event_id"), s).alias(f"h_{s}") for s in salts], *[uniform(F.col("event_id"), s).alias(f"u_{s}") for s in ("s", "s2", "lg")])
+    h = lambda s: F.col(f"h_{s}")
+    u = lambda s: F.col(f"u_{s}")
 
     def pick(values: list, salt: str) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (h(salt) % len(values) + 1).cast("int"))
