@@ -263,11 +263,14 @@ def _verified(least: float):
 def likely_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, bands: int = 24, width: int = 4) -> DataFrame:
     """(leader, id, near): texts that share a band with its least text and are at least so alike.
 
-    The bands sample steps of the first ranges of the walk. Equal fingerprints count once.
+    The bands sample steps of the first ranges of the walk. Of equal fingerprints the row with the
+    least id stands for all, and the others are listed with it as leader (near 1).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(rows.mapInArrow(_plain, "id long, fingerprint string").groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "prints")
+    every = written(rows.mapInArrow(_plain, "id long, fingerprint string"), "prints")
+    prints = written(every.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "prints")
+    same = every.join(prints.select(F.col("id").alias("leader"), "fingerprint").hint("merge"), "fingerprint").where("id <> leader").select("leader", "id", F.lit(1.0).alias("near"))
     keys = prints.mapInArrow(_bands(bands, width), "id long, band string, fingerprint string")
     leaders = keys.groupBy("band").agg(F.min(F.struct("id", "fingerprint")).alias("l"), F.count("*").alias("n")).where("n > 1")
     pairs = keys.select("id", "band", "fingerprint").join(leaders.select("band", F.col("l.id").alias("leader"), F.col("l.fingerprint").alias("other")).hint("merge"), "band").where("id <> leader")
-    return pairs.select("leader", "id", "other", "fingerprint").dropDuplicates(["leader", "id"]).mapInArrow(_verified(least), "leader long, id long, near double")
+    return pairs.select("leader", "id", "other", "fingerprint").dropDuplicates(["leader", "id"]).mapInArrow(_verified(least), "leader long, id long, near double").unionByName(same)
