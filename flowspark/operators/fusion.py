@@ -95,11 +95,12 @@ def calibrate(train: DataFrame, select: DataFrame, tau_pct: float, alpha: float,
 
 def fusion_modes(scores: DataFrame, s: str = "s_dae", logit: str = "logit") -> DataFrame:
     """(mode, PARAMETERS): the recipes A and B on benign training and selection rows."""
-    ben = scores.where("label = 0")
+    ben = scores.where("label = 0 AND pool IN ('train', 'select')").select("pool", s, logit).persist()  # read by every step of the calibration
     out = None
     for mode, (tau_pct, alpha, target, hi) in FUSION_MODES.items():
         p = calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, target, hi, s, logit).withColumn("mode", F.lit(mode))
         out = p if out is None else out.unionByName(p)
+    ben.unpersist()
     return out.select("mode", *PARAMETERS)
 
 

@@ -194,11 +194,12 @@ def _presets(spark: SparkSession, d: str) -> DataFrame:
     """The older presets: no high branch, three total budgets."""
     from ..spec import FUSION_PRESETS
 
-    ben = _scores(spark, d).where("label = 0")
+    ben = _scores(spark, d).where("label = 0").select("pool", "s_dae", "logit").persist()
     out = None
     for name, target in FUSION_PRESETS.items():
         p = X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), 99.0, 0.005, target, None).withColumn("mode", F.lit(name))
         out = p if out is None else out.unionByName(p)
+    ben.unpersist()
     return out
 
 
@@ -250,7 +251,7 @@ def rule_sweep(scores: DataFrame, grid: list[float], rules: tuple[str, ...] = ("
     ben = scores.where("label = 0")
     p = X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, None, None)
     one = p.first()
-    sel = X.to_plane(ben.where("pool = 'select'").select("s_dae", "logit"), p).select("z0", "z1")
+    sel = X.to_plane(ben.where("pool = 'select'").select("s_dae", "logit"), p).select("z0", "z1").persist()
     theta: dict[str, list[float]] = {}
     q = sel.agg(*[F.percentile(z, F.array(*[F.lit(1 - t) for t in grid])).alias(z) for z in ("z0", "z1")]).first()
     theta["first"], theta["logit"] = q["z0"], q["z1"]
@@ -258,6 +259,7 @@ def rule_sweep(scores: DataFrame, grid: list[float], rules: tuple[str, ...] = ("
         theta["and"] = [X.and_theta(sel, one["tau_z"], t)[0] for t in grid]
     if "and_or_logit" in rules:
         theta["and_or_logit"] = [X.union_theta(sel, one["tau_z"], one["theta_z"], t) for t in grid]
+    sel.unpersist()
     z = X.to_plane(scores.where("pool = 'test'").select("label", "s_dae", "logit"), p)
     z0, z1, tau, th = F.col("z0"), F.col("z1"), F.lit(one["tau_z"]), F.lit(one["theta_z"])
     make = {"first": lambda t: z0 > t, "logit": lambda t: z1 > t, "and": lambda t: (z0 > tau) & (z1 > t), "and_or_logit": lambda t: ((z0 > tau) & (z1 > th)) | (z1 > t)}
