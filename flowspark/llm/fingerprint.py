@@ -9,8 +9,9 @@ up to the end of the walk; a sample is two hex digits from the four characters a
 or `--` past the end. The likeness of two fingerprints estimates the share of equal steps:
 each range counts by its length, samples past both ends not at all.
 
-`likely_pairs` finds near copies: bands of bit-sampled steps give keys, the least text of
-a key leads it, and a text is verified against its leaders by likeness. No group is
+`likely_pairs` finds near copies: bands of samples of every range of the walk give keys, the
+least text of a key leads it, and a text is verified against its leaders by likeness. A text that is
+not like a leader is verified against all texts of that key; those like the leader are not
 expanded into pairs.
 
 Null texts are empty texts; two empty texts have likeness 1. Equal texts have equal
@@ -234,18 +235,32 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bands(bands: int, width: int):
     places = np.random.default_rng(5).random((bands, width))
 
+    def keys_of(cells: np.ndarray) -> np.ndarray:
+        """Keys of one fingerprint: `bands` of each range of the walk. Of the last range, which the text
+        need not fill, the samples used are those before a multiple of four, and before the one below
+        it, so that a text that is a little shorter has keys in common.
+        """
+        out = []
+        value = cells.view(np.uint16).astype(np.uint64).reshape(-1, SAMPLES)
+        real = (cells != b"--").reshape(-1, SAMPLES).sum(axis=1)
+        for r, m in enumerate(real.tolist()):
+            last = r + 1 == len(real) or not real[r + 1 :].any()
+            for use in {m - m % 4, max(4, m - m % 4 - 4)} if last and m >= 4 else {m} if m == SAMPLES or (last and not r) else set():
+                if use:
+                    own = value[r, (places * use).astype(int)]
+                    h = np.arange(bands, dtype=np.uint64) + np.uint64(bands * (SAMPLES * r + use - 1))
+                    for j in range(width):
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, j])
+                    out.append(h)
+        return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(1, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, prints = [], [], []
-            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = np.frombuffer(f.encode(), "S2")
-                full = cells[cells != b"--"]
-                for k in range(bands):
-                    own = b"".join(full[(places[k] * min(len(full), 2 * SAMPLES)).astype(int)].tolist()) if len(full) else b""
-                    ids.append(i)
-                    keys.append(f"{k}:{own.decode()}")
-                    prints.append(f)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(prints, pa.string())], ["id", "band", "fingerprint"])
+            for a in range(0, len(batch), 1024):
+                part = batch.slice(a, 1024)
+                keys = [keys_of(np.frombuffer(f.encode(), "S2")) for f in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], ["id", "band"])
 
     return run
 
@@ -261,16 +276,40 @@ def _verified(least: float):
 
 
 def likely_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, bands: int = 24, width: int = 4) -> DataFrame:
-    """(leader, id, near): texts that share a band with its least text and are at least so alike.
+    """(leader, id, near): texts that share a band and are at least so alike.
 
-    The bands sample steps of the first ranges of the walk. Of equal fingerprints the row with the
-    least id stands for all, and the others are listed with it as leader (near 1).
+    `bands` bands of `width` samples are drawn from each range of the walk: two texts that are
+    alike as a whole are as alike in one range at least, wherever they differ. Each text is verified
+    against the least of its band; one that is not like it, against every text of the band. So all
+    pairs that share a band are linked, directly or by a leader. Of equal fingerprints the row with
+    the least id stands for all, and the others are listed with it as leader (near 1).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(rows.mapInArrow(_plain, "id long, fingerprint string"), "prints")
     prints = written(every.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "prints")
     same = every.join(prints.select(F.col("id").alias("leader"), "fingerprint").hint("merge"), "fingerprint").where("id <> leader").select("leader", "id", F.lit(1.0).alias("near"))
-    keys = prints.mapInArrow(_bands(bands, width), "id long, band string, fingerprint string")
-    leaders = keys.groupBy("band").agg(F.min(F.struct("id", "fingerprint")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.select("id", "band", "fingerprint").join(leaders.select("band", F.col("l.id").alias("leader"), F.col("l.fingerprint").alias("other")).hint("merge"), "band").where("id <> leader")
-    return pairs.select("leader", "id", "other", "fingerprint").dropDuplicates(["leader", "id"]).mapInArrow(_verified(least), "leader long, id long, near double").unionByName(same)
+    # nodes stand for fingerprints: ids may be null or repeated
+    nodes = written(prints.select(F.xxhash64("fingerprint").alias("node"), "id", "fingerprint"), "nodes")
+    keys = written(nodes.select("node", "fingerprint").mapInArrow(_bands(bands, width), "id long, band long").withColumnRenamed("id", "node"), "bands")
+    leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    led = written(keys.join(leaders.hint("merge"), "band").where("node <> leader"), "led")
+    first = written(_near(led.select("leader", "node").distinct(), nodes, least), "near")
+    # what is not like its leader meets all of its band, in slices of 1,024 of the former
+    apart = led.join(first.select("leader", "node").hint("merge"), ["leader", "node"], "left_anti").select("band", "node")
+    slices = apart.groupBy("band").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
+    apart = apart.join(slices.hint("merge"), "band").withColumn("slice", F.pmod("node", "slices").cast("int")).select("band", "slice", F.col("node").alias("x"))
+    others = led.select("band", "node").join(slices.hint("merge"), "band").select("band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("y"))
+    rest = apart.join(others.hint("merge"), ["band", "slice"]).where("x <> y").select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("node")).distinct()
+    rest = rest.join(first.select("leader", "node").hint("merge"), ["leader", "node"], "left_anti")
+    pairs = first.unionByName(_near(rest, nodes, least))
+    ids = nodes.select("node", "id")
+    pairs = pairs.join(ids.select(F.col("node").alias("leader"), F.col("id").alias("a")).hint("merge"), "leader").join(ids.hint("merge"), "node")
+    nulls = F.coalesce("a", F.lit(-(1 << 63))) <= F.coalesce("id", F.lit(-(1 << 63)))  # null ids sort first
+    return pairs.select(F.when(nulls, F.col("a")).otherwise(F.col("id")).alias("leader"), F.when(nulls, F.col("id")).otherwise(F.col("a")).alias("id"), "near").unionByName(same)
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(leader, node, near) of the pairs of nodes that are at least so alike."""
+    text = lambda a, b: nodes.select(F.col("node").alias(a), F.col("fingerprint").alias(b)).hint("merge")
+    both = pairs.join(text("leader", "other"), "leader").join(text("node", "fingerprint"), "node").select("leader", "node", "other", "fingerprint")
+    return both.mapInArrow(_verified(least), "leader long, id long, near double").withColumnRenamed("id", "node")
