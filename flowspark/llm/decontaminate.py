@@ -4,11 +4,13 @@ block-max WAND, then verification of question and answer.
 Items are short and few beside the corpus: they come to the driver in blocks of at most
 ITEM_BLOCK items, and the texts are searched once per block. Terms are pairs of adjacent words
 (single words occur in most items by chance, so that their bounds rule nothing out). A text is
-cut into overlapping passages of words, and each passage is a query. First every passage gets its upper bound,
-the sum of the largest impacts of its terms, vectorised over all passages; only those
+one query of its distinct terms, so that neither the length of an item nor the places of its
+parts matter. First every text gets its upper bound,
+the sum of the largest impacts of its terms, vectorised over all texts; only those
 that could reach the threshold go through the postings: the largest impacts of their blocks
 rule out blocks, then documents, before full scores are computed. All items above the
-threshold (a share of the item's score for itself) are candidates, and each is verified on
+threshold (a share of the item's score for itself, or the least score of a text that passes the
+verification, if that is lower) are candidates, and each is verified on
 the whole text: the shares of the five-word shingles of the first half of the item (the
 question) and of the second (the answer) that the text holds.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import union_all
 from .words import _GAP, mix, shingle_hashes, slices, text_buffers, word_hashes
 
-ITEM_BLOCK, PASSAGE, STRIDE, POSTINGS = 20_000, 96, 48, 32
+ITEM_BLOCK, POSTINGS = 20_000, 32
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, EITHER = 0.3, 0.6, 0.3
 
@@ -58,13 +60,42 @@ class ItemIndex:
         self.blocks = [[(a, min(a + POSTINGS, e), float(self.impact[a : min(a + POSTINGS, e)].max())) for a in range(s, e, POSTINGS)] for s, e in zip(self.begin[:-1].tolist(), self.begin[1:].tolist())]
         own = np.zeros(n)
         np.add.at(own, self.item, self.impact)
-        self.enough = threshold * own
-        self.least = float(self.enough[own > 0].min()) if (own > 0).any() else np.inf
         self.parts = []
+        passing = np.zeros(n)
         for i in range(n):
             s = shingle_hashes(h[at[i] : at[i + 1]])
             half = (len(s) + 1) // 2
             self.parts.append((np.unique(s[:half]), np.unique(s[half:] if len(s) > 1 else s)))
+            passing[i] = self._passing(i, s, terms[i], own[i])
+        # the slack covers rounding: sums are made in different orders
+        self.enough = np.minimum(threshold * own, passing) * (1 - 1e-6)
+        self.least = float(self.enough[own > 0].min()) if (own > 0).any() else np.inf
+
+    def _passing(self, i: int, shingles: np.ndarray, terms: np.ndarray, own: float) -> float:
+        """No text that holds OVERLAP of the item's shingles scores less for it.
+
+        Each place of a term has an equal part of the term's impact; a place lies in as many shingles as a
+        shingle has terms at most, so the held shingles' places, summed, count it no more often.
+        """
+        if len(shingles) < 2:
+            return own
+        w, c = np.unique(terms, return_counts=True)
+        t = np.searchsorted(self.words, w)
+        impact = np.asarray([self.impact[a + np.searchsorted(self.item[a:e], i)] for a, e in zip(self.begin[t], self.begin[t + 1])])
+        part = (impact / c)[np.searchsorted(w, terms)]
+        size = len(terms) - len(shingles) + 1
+        run = np.cumsum(np.concatenate(([0.0], part)))
+        weight = run[size:] - run[:-size]
+        half = (len(shingles) + 1) // 2
+        # a shingle counts with its lightest place, once for each half that holds it
+        light = []
+        for s, x in ((shingles[:half], weight[:half]), (shingles[half:], weight[half:])):
+            _, k = np.unique(s, return_inverse=True)
+            least = np.full(k.max() + 1, np.inf)
+            np.minimum.at(least, k, x)
+            light.append(least)
+        light = np.sort(np.concatenate(light))
+        return float(light[: int(np.ceil(OVERLAP * len(light) - 1e-9))].sum()) / size
 
     def candidates(self, terms: np.ndarray) -> set[int]:
         """Items whose BM25 score for the query words is above their threshold (block-max WAND)."""
@@ -80,11 +111,9 @@ class ItemIndex:
         if not found:
             return found
         items = np.asarray(sorted(found))
-        score = np.zeros(len(items))
-        for t in terms.tolist():
-            a, e = self.begin[t], self.begin[t + 1]
-            at = np.minimum(np.searchsorted(self.item[a:e], items), e - a - 1)
-            score += np.where(self.item[a:e][at] == items, self.impact[a:e][at], 0.0)
+        begin, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        at = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        score = np.bincount(self.item[at], self.impact[at], minlength=len(self.ids))[items]
         return set(items[score >= self.enough[items]].tolist())
 
 
@@ -100,7 +129,7 @@ def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return pair
 
 
-def _passage_terms(term: np.ndarray, start: int, end: int) -> np.ndarray:
+def _text_terms(term: np.ndarray, start: int, end: int) -> np.ndarray:
     t = term[start:end]
     return np.unique(t[t >= 0])
 
@@ -117,16 +146,11 @@ def _found(items: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float,
         term = np.where(items.words[term] == pair, term, -1)
         # upper bounds: a repeated word counts again, which only raises them
         bound = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, items.most[term], 0.0))))
-        n = np.diff(at)
-        per = np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1) * (n > 0)
-        doc = np.repeat(np.arange(len(n)), per)
-        first = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-        last = np.minimum(first + PASSAGE, at[doc + 1])
         hits: dict[int, set[int]] = {}
-        for p in np.flatnonzero(bound[last] - bound[first] >= items.least).tolist():
-            terms = _passage_terms(term, first[p], last[p])
+        for d in np.flatnonzero(bound[at[1:]] - bound[at[:-1]] >= items.least * (1 - 1e-6)).tolist():
+            terms = _text_terms(term, at[d], at[d + 1])
             if items.most[terms].sum() >= items.least and (got := items.candidates(terms)):
-                hits.setdefault(int(doc[p]), set()).update(got)
+                hits[d] = got
         for d, found in hits.items():
             own = np.unique(shingle_hashes(h[at[d] : at[d + 1]]))
             for i in sorted(found):
@@ -164,7 +188,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int = ITEM
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_id, question, answer, overlap, leaked): the items that a text shares shingles
-    with, among those that BM25 finds in one of its passages. question, answer, overlap: shares of
+    with, among those that BM25 finds for it. question, answer, overlap: shares of
     the item's shingles. leaked: overlap >= OVERLAP and both halves >= EITHER."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item_id long, question double, answer double, overlap double"

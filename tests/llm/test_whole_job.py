@@ -7,7 +7,7 @@ import random
 import pytest
 
 pytest.importorskip("tokenizers")
-from flowspark.llm import fingerprint  # noqa: E402
+from flowspark.llm import decontaminate, fingerprint  # noqa: E402
 
 
 def roots(pairs, ids):
@@ -45,3 +45,32 @@ def test_likely_pairs_against_brute_force(spark):
     recall = sum(found[a] == found[b] for a, b in brute) / len(brute)
     print("brute", len(brute), "recall", recall)
     assert recall >= 0.95
+
+
+def test_long_items_and_separated_halves_are_found(spark):
+    rng = random.Random(2)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = {i: prose(n) for i, n in enumerate((400, 1000, 60, 60, 319))}
+    docs = {10 + i: prose(50) + w + prose(700) for i, w in items.items()}
+    docs[20] = prose(30) + items[2][:26] + prose(400) + items[2][34:] + prose(30)
+    docs[21] = items[0][:130] + prose(900) + items[0][270:]
+    docs[22] = items[1][:100] + prose(900)
+    # rare pairs in the part that is left out: the held 60 % and more have little of the score
+    items[30] = "one two three one two three four five".split() * 9 + prose(25)
+    docs[23] = prose(40) + items[30][:72] + items[30][72:82] + prose(40)
+    items |= {40 + i: items[30][:72] + prose(3) for i in range(30)}
+    docs[24] = prose(2000)
+    of = lambda d, k: spark.createDataFrame([(i, " ".join(w)) for i, w in d.items()], f"{k} long, text string")
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for d, text in docs.items():
+        held = set(shingles(text))
+        for i, w in items.items():
+            s = shingles(w)
+            q, a = set(s[: (len(s) + 1) // 2]), set(s[(len(s) + 1) // 2 :])
+            if (len(q & held) + len(a & held)) / (len(q) + len(a)) >= 0.6 and len(q & held) / len(q) >= 0.3 and len(a & held) / len(a) >= 0.3:
+                want.add((d, i))
+    assert {(10, 0), (11, 1), (14, 4), (20, 2), (21, 0)} <= want and not any(d in (22, 24) for d, _ in want)
+    got = {(r["doc_id"], i) for r in decontaminate.leaked_documents(of(docs, "doc_id"), of(items, "item_id")).collect() for i in r["items"]}
+    assert got == want
+    assert {r["doc_id"] for r in decontaminate.clean_documents(of(docs, "doc_id"), of(items, "item_id")).collect()} == set(docs) - {d for d, _ in want}
