@@ -233,7 +233,7 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
     """(excluded, recall): a classifier without one class, and how much of that class it still flags."""
     e = vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cls")).hint("merge"), "id")
     out = []
-    for c in sorted(r[0] for r in e.where("label = 1").select("cls").distinct().collect())[:2]:
+    for c in sorted(r[0] for r in e.where("label = 1").select("cls").distinct().collect()):
         rest = e.where(F.col("cls") != c)
         mlp, _ = T.fit_classifier(rest.where("label = 0"), rest.where("label = 1"), "id", "x", [WIDTH, 8], epochs=1, shards=4, lr=3e-3)
         got = M.mlp_forward(e.where(F.col("cls") == c), mlp, "id").agg(F.avg((F.col("logit") > 0).cast("double"))).first()[0]
@@ -285,18 +285,14 @@ def u16(spark: SparkSession, d: str) -> DataFrame:
     from .profiles import trials
 
     t = trials(spark, d)
-    top = [r["trial"] for r in t.groupBy("trial").agg(F.avg("metric").alias("m")).orderBy(F.desc("m"), "trial").limit(50).collect()]
-    m = t.where(F.col("trial").isin(top)).groupBy("trial").pivot("seed", list(range(1, 13))).agg(F.avg("metric")).na.fill(0.0).toPandas().set_index("trial").loc[top].to_numpy()
-
-    def draws(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            best = []
-            for i in b.column(0).to_pylist():
-                s = np.random.default_rng(i).integers(0, m.shape[1], m.shape[1])
-                best.append(int(m[:, s].mean(axis=1).argmax()) + 1)
-            yield pa.record_batch([b.column(0), pa.array(best, pa.int32())], ["id", "place"])
-
-    drawn = spark.range(500).mapInArrow(draws, "id long, place int")
-    return drawn.groupBy("place").agg((F.count("*") / 500).alias("share")).select(F.col("place").alias("k"), F.col("share").alias("chance"))
+    m = t.groupBy("trial").agg(F.avg("metric").alias("m"))
+    # how often each draw takes each seed: 500 x 12 rows, whatever the input
+    counts = [np.bincount(np.random.default_rng(i).integers(0, 12, 12), minlength=12) for i in range(500)]
+    drawn = spark.createDataFrame([(i, s + 1, int(n)) for i, c in enumerate(counts) for s, n in enumerate(c)], "draw int, seed int, n int")
+    # a seed that a trial lacks counts as 0
+    per = t.join(F.broadcast(drawn), "seed").groupBy("draw", "trial").agg((F.sum(F.col("metric") * F.col("n")) / 12).alias("mean"))
+    best = per.join(m.hint("merge"), "trial").groupBy("draw").agg(F.max(F.struct("mean", "m", (-F.col("trial")).alias("back"))).alias("b"))
+    won = best.groupBy((-F.col("b.back")).alias("winner"), F.col("b.m").alias("at")).agg(F.count("*").alias("wins"))
+    ahead = (F.col("m") > F.col("at")) | ((F.col("m") == F.col("at")) & (F.col("trial") <= F.col("winner")))
+    placed = m.join(F.broadcast(won), ahead).groupBy("winner", "wins").agg(F.count("*").cast("int").alias("k"))  # at most 500 winners
+    return placed.select("k", (F.col("wins") / 500).alias("chance"))
