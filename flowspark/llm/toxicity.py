@@ -1,14 +1,14 @@
 """Toxicity of texts by votes of the nearest labelled examples.
 
 Examples are a bounded sample of the labelled texts (`examples`, half of it toxic where there
-are enough). Their telling words, those much more frequent in toxic examples than chance
-allows, span the vectors; idf counts the word in all texts. Every text is compared with the
-examples by exact TF-IDF cosine over an inverted index in blocks: for each word and block the
-largest weight bounds what the block can reach, and blocks are read from the highest bound
-down until the k-th best cosine is above what is left. The score is the vote of the k nearest,
+are enough); a vote counts by the share of its class that is in the sample. Telling words are those much
+more frequent in toxic texts than chance allows, over all labelled texts. The vectors hold
+every word: idf counts it in all texts, and what is not telling has NEUTRAL of that weight, so that the norm
+covers the text. Every text is compared with all examples by exact cosine: the words of many
+examples by a matrix product, the others by their postings. The score is the vote of the k nearest,
 weighted by cosine, drawn towards the base rate when they are few or far.
 
-Null texts are empty texts; a text without telling words has no neighbours and the lowest
+Null texts are empty texts; a text without words has no neighbours and the lowest
 score. Null labels are not used. Without toxic examples all scores are 0. Repeated rows are
 scored each; ties between neighbours go to the smaller id.
 """
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
+from .shared import written
 from .words import slices, span_hashes, text_buffers, word_hashes
 
-EXAMPLES, WORDS, NEIGHBOURS, BLOCK, PRIOR = 4000, 4096, 15, 64, 0.2
+EXAMPLES, WORDS, NEIGHBOURS, BLOCK, PRIOR, NEUTRAL, DENSE = 4000, 4096, 15, 64, 0.2, 0.05, 2048
 _TRIM = np.zeros(256, bool)
 _TRIM[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 #: Words of more bytes also count by their first so many.
@@ -63,6 +64,19 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([pa.array(ids), pa.array(labels), pa.array(np.concatenate([w for w, _ in bags]).astype(np.int64)), pa.array(np.concatenate([c for _, c in bags]).astype(np.int64))], ["id", "label", "word", "n"])
 
 
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (label, text): in how many toxic texts, and in how many, each word is; the null word is in all."""
+    for batch in batches:
+        done = 0
+        for bags in _bags(batch.column(1)):
+            label = batch.column(0).slice(done, len(bags)).to_numpy()
+            done += len(bags)
+            word, k = np.unique(np.concatenate([w for w, _ in bags]), return_inverse=True)
+            a = np.bincount(k, np.repeat(label, [len(w) for w, _ in bags]), minlength=len(word)).astype(np.int64)
+            n = np.bincount(k, minlength=len(word))
+            yield pa.record_batch([pa.array([None, *word.astype(np.int64).tolist()], pa.int64()), pa.array(np.append(int(label.sum()), a)), pa.array(np.append(len(bags), n))], ["word", "a", "n"])
+
+
 def _frequencies(words):
     """How many texts hold each of the given words: one row per word and task."""
 
@@ -83,49 +97,75 @@ def _frequencies(words):
 
 
 class NearestExamples:
-    """A block-max inverted index of the examples' TF-IDF vectors, and their labels."""
-
-    def __init__(self, words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, at: tuple[np.ndarray, np.ndarray, np.ndarray], base: float, k: int = NEIGHBOURS) -> None:
-        self.words, self.idf, self.base, self.k = words, idf, base, k
-        weights = np.zeros((len(words), len(ids)), np.float32)
-        weights[at[0], at[1]] = (1 + np.log(at[2])) * idf[at[0]]
-        norm = np.sqrt((weights**2).sum(axis=0))
-        keep = norm > 0
-        self.ids, self.labels = ids[keep], labels[keep].astype(float)
-        weights = weights[:, keep] / norm[keep]
-        blocks = -(-len(self.ids) // BLOCK)
-        self.weights = np.zeros((len(words), blocks * BLOCK), np.float32)
-        self.weights[:, : len(self.ids)] = weights
-        self.most = self.weights.reshape(len(words), blocks, BLOCK).max(axis=2)
+    """An inverted index of the examples' weighted TF-IDF vectors, and their labels.
+
+    share: what a word's weight is multiplied by. unseen: the weight of a word that no example holds.
+    votes: what a vote for 0 and for 1 counts.
+    """
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, at: tuple[np.ndarray, np.ndarray, np.ndarray], base: float, k: int = NEIGHBOURS, share: np.ndarray | None = None, unseen: float = 0.0, votes: tuple[float, float] = (1.0, 1.0)) -> None:
+        self.words, self.idf, self.base, self.k, self.unseen = words, idf, base, k, unseen
+        self.ids, self.labels = ids, labels.astype(float)
+        self.votes = np.where(self.labels == 1, votes[1], votes[0])
+        self.weight = idf if share is None else idf * share
+        order = np.argsort(at[0], kind="stable")
+        t, self.item = at[0][order], at[1][order].astype(np.int32)
+        value = (1 + np.log(at[2][order])) * self.weight[t]
+        norm = np.sqrt(np.bincount(self.item, value**2, minlength=len(ids)))
+        self.value = (value / np.where(norm > 0, norm, 1.0)[self.item]).astype(np.float32)
+        n = np.bincount(t, minlength=len(words))
+        self.begin = np.concatenate(([0], np.cumsum(n)))
+        common = np.argsort(-n, kind="stable")[:DENSE]
+        common = np.sort(common[n[common] * 16 >= max(len(ids), 1)])
+        self.row = np.full(len(words), -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), len(ids)), np.float32)
+        held = self.row[t] >= 0
+        self.common[self.row[t[held]], self.item[held]] = self.value[held]
+
+    @property
+    def weights(self) -> np.ndarray:
+        """The whole matrix, words by examples."""
+        out = np.zeros((len(self.words), len(self.ids)), np.float32)
+        out[np.repeat(np.arange(len(self.words)), np.diff(self.begin)), self.item] = self.value
+        return out
 
     def nearest(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples, the nearest first."""
-        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
-        hit = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        if not hit.any():
-            return np.zeros(0), np.zeros(0, int)
-        t = at[hit]
-        q = ((1 + np.log(counts[hit])) * self.idf[t]).astype(np.float32)
-        q /= np.sqrt((q**2).sum())
-        bound = q @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, places = np.zeros(0, np.float32), np.zeros(0, int)
-        step = 4
-        for i in range(0, len(order), step):
-            if len(found) >= self.k and bound[order[i]] < found[self.k - 1]:
-                break
-            cells = (order[i : i + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cos = q @ self.weights[t[:, None], cells]
-            found, places = np.concatenate((found, cos)), np.concatenate((places, cells))
-            best = np.lexsort((places, -found))[: self.k]
-            best = best[found[best] > 0]
-            found, places = found[best], places[best]
-        return found, places
-
-    def score(self, words: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        cos, places = self.nearest(words, counts)
-        weight = cos.astype(float) ** 2
+        return self.nearest_of([(words, counts)])[0]
+
+    def nearest_of(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of a few texts."""
+        size, most = len(self.ids), min(self.k, len(self.ids))
+        if not size or not len(self.words):
+            return [(np.zeros(0), np.zeros(0, int)) for _ in bags]
+        text = np.repeat(np.arange(len(bags)), [len(w) for w, _ in bags])
+        flat, counts = (np.concatenate([x[i] for x in bags]) for i in (0, 1))
+        t = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+        hit = self.words[t] == flat
+        q = (1 + np.log(counts)) * np.where(hit, self.weight[t], self.unseen)
+        norm = np.sqrt(np.bincount(text, q**2, minlength=len(bags)))
+        t, q, text = t[hit], q[hit], text[hit]
+        dense = self.row[t] >= 0
+        matrix = np.zeros((len(bags), len(self.common)), np.float32)
+        matrix[text[dense], self.row[t[dense]]] = q[dense]
+        cos = matrix @ self.common
+        t, q, text = t[~dense], q[~dense], text[~dense]
+        n = self.begin[t + 1] - self.begin[t]
+        at = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cos = cos + np.bincount(np.repeat(text * size, n) + self.item[at], np.repeat(q, n) * self.value[at], minlength=cos.size).reshape(cos.shape)
+        cos /= np.where(norm > 0, norm, 1.0)[:, None]
+        last = -np.partition(-cos, most - 1, axis=1)[:, most - 1]
+        out = []
+        for c, least in zip(cos, last):
+            places = np.flatnonzero((c >= least) & (c > 0))
+            places = places[np.lexsort((places, -c[places]))[:most]]
+            out.append((c[places], places))
+        return out
+
+    def score(self, cos: np.ndarray, places: np.ndarray) -> tuple[float, list[int]]:
+        """The vote of the nearest, and the first three of them."""
+        weight = cos.astype(float) ** 2 * self.votes[places]
         score = (float(weight @ self.labels[places]) + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
         return min(1.0, max(0.0, score)), self.ids[places[:3]].tolist()
 
@@ -136,17 +176,18 @@ def _scored(index):
         for batch in batches:
             scores, evidence = [], []
             for bags in _bags(batch.column(1)):
-                for w, n in bags:
-                    s, e = near.score(w, n)
-                    scores.append(s)
-                    evidence.append(e)
+                for i in range(0, len(bags), BLOCK):
+                    for cos, places in near.nearest_of(bags[i : i + BLOCK]):
+                        s, e = near.score(cos, places)
+                        scores.append(s)
+                        evidence.append(e)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["id", "score", "evidence"])
 
     return run
 
 
 def build_index(rows: DataFrame, known: DataFrame, examples: int = EXAMPLES, words: int = WORDS, k: int = NEIGHBOURS) -> NearestExamples:
-    """rows: id, text. known: id, label. At most `examples` labelled texts and `words` words, whatever the input."""
+    """rows: id, text. known: id, label. At most `examples` labelled texts and `words` telling words, whatever the input."""
     spark = rows.sparkSession
     labelled = known.where(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label")).dropDuplicates(["id"])
     sample = [labelled.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(examples // 2) for c in (1, 0)]
@@ -155,24 +196,32 @@ def build_index(rows: DataFrame, known: DataFrame, examples: int = EXAMPLES, wor
     own = spark.createDataFrame(chosen.toPandas(), "id long, label int")  # at most `examples` rows
     bags = rows.join(F.broadcast(own), "id").select("id", "label", "text").mapInArrow(_example_words, "id long, label int, word long, n long").dropDuplicates(["id", "word"])
     bags = bags.persist()
-    size = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    per = bags.groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    expected = F.col("n") * pos / max(pos + neg, 1)
+    # over all labelled texts, in their true ratio; a slice of texts combines its counts before the shuffle
+    per = rows.join(labelled.hint("shuffle_hash"), "id").select("label", "text").mapInArrow(_class_counts, "word long, a long, n long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    per = written(per.where("word IS NULL OR a >= 4"), "counts")
+    total = per.where("word IS NULL").first()
+    pos, rest = (total["a"], total["n"] - total["a"]) if total else (0, 0)
+    expected = F.col("n") * pos / max(pos + rest, 1)
     excess = (F.col("a") - expected) / F.sqrt(expected)
-    telling = per.where((F.col("a") >= 4) & (F.col("a") >= 0.8 * F.col("n")) & (excess > 1)).orderBy(F.desc(excess), "word").limit(words)
-    vocabulary = np.sort(np.asarray([r["word"] for r in telling.select("word").collect()], np.int64).astype(np.uint64))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counts = rows.select("text").mapInArrow(_frequencies(shared), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    n = {r["word"]: r["n"] for r in counts}
-    idf = np.log1p(n.get(-1, 0) / np.maximum(1, [n.get(i, 0) for i in range(len(vocabulary))])) if len(vocabulary) else np.zeros(0)
-    table = spark.createDataFrame([(int(w),) for w in vocabulary.astype(np.int64)], "word long")
-    got = bags.join(F.broadcast(table), "word").toPandas()
-    bags.unpersist()
+    telling = per.where("word IS NOT NULL").where((F.col("a") >= 4) & (F.col("a") >= 0.8 * F.col("n")) & (excess > 1)).orderBy(F.desc(excess), "word").limit(words)
+    marks = np.asarray([r["word"] for r in telling.select("word").collect()], np.int64).astype(np.uint64)
     people = own.toPandas().sort_values("id")
     ids = people["id"].to_numpy()
-    at = (np.searchsorted(vocabulary, got["word"].to_numpy().astype(np.uint64)), np.searchsorted(ids, got["id"].to_numpy()), got["n"].to_numpy())
-    return NearestExamples(vocabulary, idf, ids, people["label"].to_numpy(), at, float(base), k)
+    got = bags.select("id", "word", "n").toArrow()  # of at most `examples` texts
+    bags.unpersist()
+    vocabulary, place = np.unique(got["word"].to_numpy().astype(np.uint64), return_inverse=True)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counts = rows.select("text").mapInArrow(_frequencies(shared), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    n = np.ones(len(vocabulary) + 1, np.int64)
+    n[counts["word"].to_numpy()] = counts["n"].to_numpy()  # the last one, -1: all texts
+    idf = np.log1p(n[-1] / np.maximum(1, n[:-1]))
+    share = np.where(np.isin(vocabulary, marks), 1.0, NEUTRAL)
+    at = (place, np.searchsorted(ids, got["id"].to_numpy()), got["n"].to_numpy())
+    taken = np.bincount(at[1], minlength=len(ids)) > 0
+    size = [max(1, int((taken & (people["label"].to_numpy() == c)).sum())) for c in (0, 1)]
+    # a word that no example holds weighs like one in a single text of so many
+    unseen = NEUTRAL * float(np.log1p(len(ids)))
+    return NearestExamples(vocabulary, idf, ids, people["label"].to_numpy(), at, float(base), k, share, unseen, ((rest / size[0]) / max(pos / size[1], 1e-9) if pos else 1.0, 1.0))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = 0.7, examples: int = EXAMPLES) -> DataFrame:

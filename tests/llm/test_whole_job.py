@@ -7,7 +7,7 @@ import random
 import pytest
 
 pytest.importorskip("tokenizers")
-from flowspark.llm import decontaminate, fingerprint  # noqa: E402
+from flowspark.llm import decontaminate, fingerprint, toxicity  # noqa: E402
 
 
 def roots(pairs, ids):
@@ -74,3 +74,17 @@ def test_long_items_and_separated_halves_are_found(spark):
     got = {(r["doc_id"], i) for r in decontaminate.leaked_documents(of(docs, "doc_id"), of(items, "item_id")).collect() for i in r["items"]}
     assert got == want
     assert {r["doc_id"] for r in decontaminate.clean_documents(of(docs, "doc_id"), of(items, "item_id")).collect()} == set(docs) - {d for d, _ in want}
+
+
+def test_toxicity_of_a_balanced_sample(spark):
+    """With as many toxic as clean examples, common words are not telling and clean texts stay clean."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id", "left_semi")
+    got = toxicity.toxicity_scores(docs, labels, examples=300).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    hit = held[held.predicted == 1]
+    precision, recall = (hit.toxic == 1).mean(), held[held.toxic == 1].predicted.mean()
+    print("balanced: precision", precision, "recall", recall)
+    assert precision > 0.95 and recall > 0.8
+    assert all(len(e) for e in got.evidence[got.score < 0.1].head(50))  # clean texts have neighbours too
