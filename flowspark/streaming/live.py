@@ -33,19 +33,30 @@ def running_confusion(stream: DataFrame, label: str, alarm: Column) -> DataFrame
 
 
 def stream_ema(stream: DataFrame, key: str, rate: str, alpha: float = 0.3) -> DataFrame:
-    """(key, ema) after each batch, values of a batch in order of arrival; the state is one number a key."""
+    """(key, ema) after each batch: the mean rate of a batch's rows is folded once; the state is one number a key.
+
+    Each task sums its own rows per key first, so that only sums reach the task of a key.
+    """
+    kind = dict(stream.dtypes)[key]
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            by = part.groupby(key, dropna=False)[rate]
+            yield pd.DataFrame({"total": by.sum(), "n": by.count()}).reset_index()
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
+        total = n = 0
         for part in parts:
-            for r in part[rate]:
-                now = float(r) if now is None else (1 - alpha) * now + alpha * float(r)
+            total, n = total + float(part["total"].sum()), n + int(part["n"].sum())
+        now = state.get[0] if state.exists else None
+        if n:
+            now = total / n if now is None else (1 - alpha) * now + alpha * total / n
         if now is not None:
             state.update((now,))
             yield pd.DataFrame({key: [k[0]], "ema": [now]})
 
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ema double", "ema double", "update", "NoTimeout")
+    summed = stream.select(key, F.col(rate).cast("double").alias(rate)).mapInPandas(sums, f"{key} {kind}, total double, n long")
+    return summed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ema double", "ema double", "update", "NoTimeout")
 
 
 def alert_rows(scored: DataFrame, alarm: Column, zr: str, names: list[str], limit: float, keep: list[str]) -> DataFrame:

@@ -29,3 +29,19 @@ def test_every_class_is_left_out_once(spark, data, tmp_path):
     e.withColumn("label", label.cast(dict(e.dtypes)["label"])).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(r["excluded"] for r in plans.QUERIES["m19_leave_one_class_out_fit"](spark, str(tmp_path)).collect())
     assert got == [5, 10, 15, 20]
+
+
+def test_ema_folds_one_rate_per_batch(spark, tmp_path):
+    from flowspark.streaming import live
+
+    rates = {}
+    for b, bits in enumerate(([1, 0, 0, 0], [1, 1, 0, 0], [1, 1, 1, 0, 0])):
+        spark.createDataFrame([("s", float(x)) for x in bits], "sensor string, rate double").coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+        rates[b] = sum(bits) / len(bits)
+    stream = live.stream_flows(spark, f"{tmp_path}/in/*", "sensor string, rate double")
+    got = live.run_available(live.stream_ema(stream, "sensor", "rate"), "ema_test", "update", f"{tmp_path}/at").collect()
+    want, now = [], None
+    for r in rates.values():
+        now = r if now is None else 0.7 * now + 0.3 * r
+        want.append(round(now, 9))
+    assert [round(r["ema"], 9) for r in got] == want
