@@ -1,11 +1,12 @@
-"""Token ids in a compressed binary format: an adaptive context-mixing range coder.
+"""Token ids in a compressed binary format: an adaptive range coder with escape selection.
 
 Ids are written in blocks of BLOCK_IDS; every block is coded alone (its models start anew)
 and carries its length, the number of its ids and a CRC-32. Within a block three
 predictions meet: order 2 (the id that followed the last two ids when they were last seen),
 order 1 (the id that followed the last one), and order 0. Adaptive frequencies, by how well
 orders 2 and 1 have done lately, tell which of them is right; an id that neither foresees is
-coded by adaptive order-0 frequencies of its upper and its lower byte. The symbols go
+coded by adaptive order-0 frequencies of its upper and its lower byte. The orders are selected, not mixed
+into one distribution. The symbols go
 through a 32-bit range coder with carry-less renormalisation.
 
 All blocks of a task are coded side by side: one numpy step codes the next id of every block,
