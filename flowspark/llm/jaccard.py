@@ -31,18 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sieve, connected_components, shuffle_partitions, union_all, written
-from .words import mix, shingle_sets
+from .shared import Sieve, column, connected_components, shuffle_partitions, union_all, written
+from .words import mix, shingle_sets, sliced
 
 SHINGLE, PERCENT, BLOCK, ROUNDS = 5, 75, 256, 3
 #: Shingles that occur FREQUENT times or more are known by their count, at most FREQUENT_MOST
 #: of them; all that occur twice or more, by a bit in a map of 2**SHARED_BITS bits.
 FREQUENT, FREQUENT_MOST, SHARED_BITS = 8, 2_000_000, 28
+#: Hashes are counted in RANGES ranges to a shuffle partition; HELD of them are sorted at a time.
+RANGES, HELD = 16, 2_000_000
+#: Regions above `block` sets are told to all tasks where they are at most so many; beyond, their sizes are joined.
+LARGE_REGIONS = 100_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _ranged_counts(size: int, ranges: int):
-    """For each task: (range, the 32-bit hashes of the shingle occurrences that fall into it)."""
+    """For each few million shingle occurrences: (range, their 32-bit hashes that fall into it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -57,7 +61,7 @@ def _ranged_counts(size: int, ranges: int):
             for s in shingle_sets(batch.column(0), size):
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 n += len(s)
-                if n >= 4_000_000:
+                if n >= HELD:
                     yield give()
                     held, n = [], 0
         if n:
@@ -67,14 +71,24 @@ def _ranged_counts(size: int, ranges: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From hashes of whole ranges: those that occur FREQUENT times or more with log2 of the
-    count, and (as level -1) the bytes of the map of those that occur twice or more."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for k, b in zip(batch.column(0).to_pylist(), batch.column(1)):
-            held.setdefault(k, []).append(np.frombuffer(b.as_buffer(), "<u4"))
-    for parts in held.values():
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
+    """From hashes in order of their range: those that occur FREQUENT times or more with log2 of
+    the count, and (as level -1) the bytes of the map of those that occur twice or more. One range
+    is held at a time."""
+
+    def ranges() -> Iterator[np.ndarray]:
+        held, last = [], None
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and k != last:
+                    yield np.concatenate(held)
+                    held = []
+                last = k
+                held.append(np.frombuffer(b.as_py(), "<u4"))
+        if held:
+            yield np.concatenate(held)
+
+    for part in ranges():
+        h, n = np.unique(part, return_counts=True)
         many = n >= FREQUENT
         yield pa.record_batch([pa.array(h[many].astype(np.int64)), pa.array(np.log2(n[many]).astype(np.int32)), pa.nulls(int(many.sum()), pa.binary())], ["hash", "level", "bits"])
         slot = np.unique(h[n >= 2] >> np.uint32(32 - SHARED_BITS))
@@ -109,8 +123,8 @@ def shingle_levels(texts: DataFrame, size: int = SHINGLE, most: int = FREQUENT_M
     """
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    counts = texts.mapInArrow(_ranged_counts(size, parts), "range int, hashes binary").repartition(parts, "range").mapInArrow(_frequent, "hash long, level int, bits binary")
-    counts = written(counts, "frequent")
+    ranges = texts.mapInArrow(_ranged_counts(size, RANGES * parts), "range int, hashes binary").repartition(parts, "range").sortWithinPartitions("range")
+    counts = written(ranges.mapInArrow(_frequent, "hash long, level int, bits binary"), "frequent")
     per = {r["level"]: r["n"] for r in counts.where("level >= 0").groupBy("level").agg(F.count("*").alias("n")).collect()}
     least, total = 99, 0
     for level in sorted(per, reverse=True):
@@ -145,7 +159,7 @@ def _prefixes(size: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = levels.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, node, prefix = [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
@@ -164,15 +178,22 @@ def _prefixes(size: int, percent: int, levels):
 
 
 def _chosen_sets(size: int, sieve):
-    """(set hash, shingles) of the rows whose id passes the sieve; a null id passes."""
+    """(id, set hash, shingles) of the rows whose id passes the sieve; a null id passes. Copies that the task has met do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[tuple[int | None, int]] = set()
+        for batch in sliced(batches, 1):
             ids = batch.column(0)
             keep = sieve.value.passes(ids.fill_null(0).to_numpy(zero_copy_only=False))
             keep |= ids.is_null().to_numpy(zero_copy_only=False)
-            sets = [s for s in shingle_sets(batch.column(1).filter(pa.array(keep)), size) if len(s)]
-            yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), _lists(sets)], ["node", "shingles"])
+            batch = batch.filter(pa.array(keep))
+            rows = []
+            for name, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+                if len(s) and (key := (name, node_of(s))) not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                    rows.append((*key, s))
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _lists([r[2] for r in rows])], ["id", "node", "shingles"])
 
     return run
 
@@ -270,11 +291,12 @@ def _region_links(members: DataFrame, sets: DataFrame, percent: int, block: int,
     parts, eps = [], 1 - percent / 100 + 1e-9
     deal = shuffle_partitions(members.sparkSession)
     for k in range(rounds + 1):
-        sized = members.groupBy("region").agg(F.count("*").alias("n"))
-        large = F.when(F.col("n") <= block, 0).otherwise(2 if k == rounds else 1)
-        half = max(2, block // 2)
-        cells = F.when(large == 2, F.ceil(F.col("n") / half)).otherwise(F.ceil(F.col("n") / block)).cast("int")
-        m = members.join(sized.hint("shuffle_hash"), "region").select("region", "pivot", "node", large.alias("large"), cells.alias("cells"))
+        # only large regions need their size; the rows of a region are not gathered to learn it
+        sized = written(members.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > block), "sizes")
+        sized = sized.hint("broadcast") if sized.count() <= LARGE_REGIONS else sized.hint("merge")
+        large = F.when(F.col("n").isNull(), 0).otherwise(2 if k == rounds else 1)
+        cells = F.ceil(F.col("n") / (max(2, block // 2) if k == rounds else block)).cast("int")
+        m = members.join(sized, "region", "left").select("region", "pivot", "node", large.alias("large"), cells.alias("cells"))
         own = F.pmod(F.xxhash64("node", F.lit(k)), F.col("cells")).cast("int")
         every = F.sequence(F.lit(0), F.col("cells") - 1)
         blocks = (
@@ -308,7 +330,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id. Rows without shingles are their own component. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts.select("text"), size))
     rows = written(texts.mapInArrow(_prefixes(size, percent, levels), "id long, n_shingles long, node long, prefix array<long>"), "prefixes")
 
@@ -319,9 +341,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(members.select(F.col("pivot").alias("region"), "pivot", "node"), "regions")
 
     chosen = members.select("node").distinct()
-    holders = rows.where(F.size("prefix") > 0).join(chosen.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    holders = written(rows.where(F.size("prefix") > 0).groupBy("node").agg(F.min("id").alias("id")).join(chosen.hint("shuffle_hash"), "node", "left_semi"), "holders")
     sieve = spark.sparkContext.broadcast(Sieve(holders.where("id is not null").select("id")))
-    sets = written(texts.mapInArrow(_chosen_sets(size, sieve), "node long, shingles array<long>").join(chosen.hint("shuffle_hash"), "node", "left_semi"), "sets")
+    # of the copies of a set only the holder's rows go on, so that no task gets them all
+    sets = texts.mapInArrow(_chosen_sets(size, sieve), "id long, node long, shingles array<long>").alias("s")
+    own = (F.col("s.node") == F.col("h.node")) & F.col("s.id").eqNullSafe(F.col("h.id"))
+    sets = written(sets.join(holders.alias("h").hint("shuffle_hash"), own, "left_semi").select("node", "shingles"), "sets")
 
     roots = connected_components(union_all(_region_links(members, sets, percent, block, rounds)))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
@@ -338,19 +363,19 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Of repeated ids one row stays. Rows with a null id stay. Texts are not shuffled, but for
     rows whose id passes a sieve of the ids that are concerned.
     """
-    found = ngram_jaccard_join(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-    concerned = found.groupBy(F.col(id_col).alias("_id")).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
-    concerned = written(concerned.where((F.col("_id") != F.col("_component")) | (F.col("_n") > 1)), "concerned")
-    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(concerned.select("_id")))
+    found = ngram_jaccard_join(docs, id_col, text_col).toDF("id", "n_shingles", "component").where("id IS NOT NULL")
+    concerned = found.groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    concerned = written(concerned.where("id <> component OR n > 1").select("id", "component"), "concerned")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(concerned.select("id")))
 
     @F.arrow_udf("boolean")
     def may(ids: pa.Array) -> pa.Array:
         return pa.array(sieve.value.passes(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
 
-    key = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumn("_may", may(key))
+    # the rows travel as one struct, so that no column name can clash
+    key = column(id_col).cast("long")
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), key.alias("key"), may(key).alias("may"))
+    hit = rows.where("may").join(concerned.hint("merge"), F.col("key") == F.col("id"), "left")
     # the least of the rows with an id stays, where rows repeat it
-    hit = rows.where("_may").join(concerned.hint("merge"), key == F.col("_id"), "left")
-    single = hit.where("_id IS NULL").select(docs.columns)
-    kept = hit.where((F.col("_id") == F.col("_component"))).dropDuplicates(["_id"]).select(docs.columns)
-    return union_all([rows.where("NOT _may").select(docs.columns), single, kept])
+    kept = hit.where("id = component").dropDuplicates(["key"])
+    return union_all([part.select("row.*") for part in (rows.where("NOT may"), hit.where("id IS NULL"), kept)])

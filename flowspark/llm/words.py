@@ -82,6 +82,13 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, in
         yield start, len(size)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, at most `limit` bytes of the text column at a time."""
+    for batch in batches:
+        for a, b in slices(batch.column(text), limit):
+            yield batch.slice(a, b - a)
+
+
 def span_hashes(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function from start and end places to the hashes of the bytes between, A-Z as a-z."""
     up, down = powers(len(buf))
