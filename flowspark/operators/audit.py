@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_div
 from ..spec import RHO_LABEL_LIMIT, RHO_LIMIT, VARIANCE_LIMIT
 from .metrics import score_counts
-from .profile import average_rank, by_feature, long_form, prefix_sum
+from .profile import apart, average_rank, by_feature, group_quantiles, in_ranges, long_form, prefix_sum, quantiles, range_number
 
 
 def ranked(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -42,8 +42,8 @@ def spearman_label(df: DataFrame, cols: list[str], key: str, label: str, least:
 
 def bin_edges(df: DataFrame, cols: list[str], bins: int) -> dict[str, list[float]]:
     """Edges of equal-count bins by linear interpolation, repeated edges once: bins + 1 numbers a column."""
-    got = df.agg(*[F.array_distinct(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias(c) for c in cols]).first()
-    return {c: list(got[c] or []) for c in cols}
+    got = {r["feature"]: r["q"] for r in quantiles(df, cols, [i / bins for i in range(bins + 1)]).collect()}  # a row a column
+    return {c: list(dict.fromkeys(got.get(c, []))) for c in cols}
 
 
 def bin_index(c: Column, edges: list[float]) -> Column:
@@ -102,18 +102,19 @@ def distribution_shift(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     got = run.join(F.broadcast(total), "feature")  # a row a feature
     gap = F.abs(F.col("a") / F.col("_p") - F.col("b") / F.col("_q"))
     # the next distinct value: within ranges of values, the first of the next range from a small table
-    nxt = next_value(got.withColumn("gap", gap), "value", ["feature"])
-    return nxt.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("_next") - F.col("value"), F.lit(0.0))).alias("w1"))
+    nxt = next_value(got.withColumn("gap", gap), "value", ["feature"], "next")
+    return nxt.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next") - F.col("value"), F.lit(0.0))).alias("w1"))
 
 
-def next_value(df: DataFrame, value: str, keys: list[str], ranges: int = 64) -> DataFrame:
-    """df with _next, the next greater value of the same keys; values must be distinct per key."""
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias("_c"))
-    cut = df.join(F.broadcast(cuts), keys).withColumn("_r", F.size(F.filter("_c", lambda q: q < F.col(value)))).drop("_c")
-    first = cut.groupBy(*keys, "_r").agg(F.min(value).alias("_f"))
-    first = first.select(*keys, "_r", F.lead("_f").over(W.partitionBy(*keys).orderBy("_r")).alias("_after"))
-    inner = F.lead(value).over(W.partitionBy(*keys, "_r").orderBy(value))
-    return cut.withColumn("_in", inner).join(F.broadcast(first), [*keys, "_r"]).withColumn("_next", F.coalesce("_in", "_after")).drop("_in", "_after", "_r")
+def next_value(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """df with the next greater value of the same keys; values must be distinct per key."""
+    at, first, after, inside = apart([*df.columns, name], "range", "first", "after", "inside")
+    cut = in_ranges(df, value, keys, range_number(df), at)
+    firsts = cut.groupBy(*keys, at).agg(F.min(value).alias(first))
+    firsts = firsts.select(*keys, at, F.lead(first).over(W.partitionBy(*keys).orderBy(at)).alias(after))
+    inner = F.lead(value).over(W.partitionBy(*keys, at).orderBy(value))
+    got = cut.withColumn(inside, inner).join(F.broadcast(firsts), [*keys, at])  # keys x ranges rows
+    return got.select(*df.columns, F.coalesce(inside, after).alias(name))
 
 
 def variance_decomposition(df: DataFrame, cols: list[str], limit: float = VARIANCE_LIMIT) -> DataFrame:
@@ -133,8 +134,8 @@ def pearson_safe(x: Column, y: Column, worst: float = 1.0) -> Column:
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row w: Levene's statistic around medians."""
-    med = df.groupBy(group).agg(F.median(value).alias("_m"))
-    z = df.join(F.broadcast(med), group).select(group, F.abs(F.col(value) - F.col("_m")).alias("z"))  # a row a group
+    med = group_quantiles(df, [group], value, [0.5])
+    z = df.select(group, F.col(value).alias("v")).join(F.broadcast(med), group).select(group, F.abs(F.col("v") - F.col("q")[0]).alias("z"))  # a row a group
     per = z.groupBy(group).agg(F.count("*").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("*")).alias("ss"))
     t = per.agg(F.sum("n").alias("n_all"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     between = F.col("sq") - F.col("n_all") * F.col("grand") * F.col("grand")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .profile import apart
+
 
 def sorted_curve(df: DataFrame, keys: list[str], order: str, value: str, name: str = "curve") -> DataFrame:
     """(keys, curve): the values of each key in order. Curves are epochs of a run, hence short."""
@@ -59,10 +61,11 @@ def alert_rate(df: DataFrame, time: str, flows: str, alerts: str, seconds: int =
     next one as context, so that no window spans all of time in one task.
     """
     keys = keys or []
+    mine, at = apart([*df.columns, "window_flows", "window_alerts", "window_rate"], "own", "bucket")
     own = F.floor(F.col(time) / bucket)
     reach = F.floor((F.col(time) + seconds) / bucket)
-    spread = df.withColumn("_own", own).withColumn("_b", F.explode(F.array_distinct(F.array(own, reach))))
-    w = W.partitionBy(*keys, "_b").orderBy(time).rangeBetween(-seconds, 0)
-    got = spread.withColumns({"window_flows": F.sum(flows).over(w), "window_alerts": F.sum(alerts).over(w)}).where("_b = _own")
+    spread = df.withColumn(mine, own).withColumn(at, F.explode(F.array_distinct(F.array(own, reach))))
+    w = W.partitionBy(*keys, at).orderBy(time).rangeBetween(-seconds, 0)
+    got = spread.withColumns({"window_flows": F.sum(flows).over(w), "window_alerts": F.sum(alerts).over(w)}).where(F.col(at) == F.col(mine))
     rate = F.when(F.col("window_flows") > 0, F.col("window_alerts") / F.col("window_flows")).otherwise(0.0)
-    return got.withColumn("window_rate", rate).drop("_own", "_b")
+    return got.withColumn("window_rate", rate).drop(mine, at)

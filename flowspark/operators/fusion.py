@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log10_floor
 from ..spec import FUSION_MODES
 from .metrics import interpolated_quantile
+from .profile import column_quantiles
 
 INF = float("inf")
 
@@ -83,7 +84,7 @@ def calibrate(train: DataFrame, select: DataFrame, tau_pct: float, alpha: float,
     spark = train.sparkSession
     st = standardiser(train, s, logit).first()
     wanted = [p / 100 for p in (tau_pct, hi_pct if hi_pct is not None else tau_pct)]
-    q = select.agg(F.percentile(s, F.array(*map(F.lit, wanted))).alias("q")).first()["q"]
+    q = column_quantiles(select, s, wanted).first()["q"]
     on_plane = lambda t: (math.log10(max(t, 1e-12)) - st["mu0"]) / st["sd0"]
     tau_z, tau_hi = on_plane(q[0]), on_plane(q[1]) if hi_pct is not None else None
     z = select.select(((log10_floor(F.col(s)) - st["mu0"]) / st["sd0"]).alias("z0"), ((F.col(logit) - st["mu1"]) / st["sd1"]).alias("z1"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,41 +44,51 @@ def class_table(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame
     return out.groupBy(key).agg(*[F.max(F.when(F.col("_t") == n, F.col("_v"))).alias(n) for n in tables])
 
 
-def _nearest(points: np.ndarray, ids: np.ndarray, own: bool):
-    square = (points**2).sum(axis=1)
+def _nearest(k: int, own: bool):
+    """Of a block of rows and a block of reference vectors: the k nearest of each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
-                x = part.column(1).flatten().to_numpy().astype(float).reshape(len(part), -1)
-                d = (x**2).sum(axis=1)[:, None] + square - 2 * x @ points.T
+    def run(rows: pa.Table, reference: pa.Table) -> pa.Table:
+        vectors = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+        out = {"id": [], "nearest": [], "distance": []}
+        if len(rows) and len(reference):
+            points, ids = vectors(reference), reference["id"].to_numpy()
+            square = (points**2).sum(axis=1)
+            for a in range(0, len(rows), 1024):
+                part = rows.slice(a, 1024)
+                mine, x = part["id"].to_numpy(), vectors(part)
+                d = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + square - 2 * x @ points.T))
                 if own:
-                    d[part.column(0).to_numpy()[:, None] == ids] = np.inf
-                k = d.argmin(axis=1) if len(ids) else np.zeros(len(x), int)
-                yield pa.record_batch([part.column(0), pa.array(ids[k], pa.int64()), pa.array(np.sqrt(np.maximum(0, d[np.arange(len(x)), k])))], ["id", "nearest", "distance"])
+                    d[mine[:, None] == ids] = np.inf
+                at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                near = np.take_along_axis(d, at, axis=1)
+                some = np.isfinite(near)
+                out["id"].append(np.broadcast_to(mine[:, None], at.shape)[some])
+                out["nearest"].append(ids[at][some])
+                out["distance"].append(near[some])
+        flat = {c: np.concatenate(v) if v else np.zeros(0, float if c == "distance" else np.int64) for c, v in out.items()}
+        return pa.table(flat)
 
     return run
 
 
-def nearest_distance(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, leave_self: bool = False, most: int = 5000) -> DataFrame:
-    """(id, nearest, distance): the closest reference vector of each row, by a matrix product per batch.
+def nearest(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 4000) -> DataFrame:
+    """(id, nearest): the k closest reference vectors of each row as an array of (distance, nearest), exact; ties go to the smaller id.
 
-    The reference goes to the workers in blocks of at most `most` vectors; the least distance
-    over the blocks counts, so that a reference of any size works.
+    Rows and reference are dealt to blocks of about `block` vectors; every block of rows meets every block of
+    the reference in a task of its own, and the least distances over the blocks count. Ids are unique and not null;
+    without other reference vectors a row is absent.
     """
-    n = reference.count()
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    out = None
-    blocks = max(1, -(-n // most))
-    ref = reference.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"))
-    for b in range(blocks):
-        block = ref.where(F.col("b") == b).orderBy("id").toArrow()
-        if not block.num_rows:
-            continue
-        points = np.vstack([np.asarray(v, float) for v in block["v"].to_pylist()])
-        found = rows.mapInArrow(_nearest(points, block["id"].to_numpy(), leave_self), "id long, nearest long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.select("id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    return out if blocks == 1 else out.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("id", "m.nearest", "m.distance")
+    size = lambda d: max(1, -(-d.count() // block))
+    n, m = size(df), size(reference)
+    pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    rows = pick(df).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("a"), every(m).alias("b"))
+    points = pick(reference).select("id", "v", every(n).alias("a"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("b"))
+    found = rows.groupBy("a", "b").cogroup(points.groupBy("a", "b")).applyInArrow(_nearest(k, leave_self), "id long, nearest long, distance double")
+    best = F.sort_array(F.collect_list(F.struct("distance", "nearest")))  # k for each block of the reference
+    return found.groupBy("id").agg(F.slice(best, 1, k).alias("nearest"))
+
+
+def nearest_distance(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, leave_self: bool = False) -> DataFrame:
+    """(id, nearest, distance): the closest reference vector of each row."""
+    return nearest(df, reference, id_col, vec_col, 1, leave_self).select("id", F.col("nearest")[0]["nearest"].alias("nearest"), F.col("nearest")[0]["distance"].alias("distance"))

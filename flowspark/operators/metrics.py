@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import mcc_balanced, mcc_from_counts, safe_div
 from ..spec import PERCENTILE_GRID
-from .profile import average_rank, confusion_counts, prefix_sum
+from .profile import average_rank, column_quantiles, confusion_counts, counts_of_values, prefix_sum, quantiles_of_counts
 
 
 def above(score: Column, tau: Column | float, strict: bool = True) -> Column:
@@ -24,24 +24,12 @@ def confusion_metrics(df: DataFrame, label: str, hit: Column, keys: list[str] |
 
 def percentile_threshold(df: DataFrame, score: str, fpr: float, name: str = "tau") -> DataFrame:
     """One row: the score that this share of rows exceeds, by linear interpolation."""
-    return df.agg(F.percentile(score, F.lit(1 - fpr)).alias(name))
+    return column_quantiles(df, score, [1 - fpr]).select(F.col("q")[0].alias(name))
 
 
 def interpolated_quantile(df: DataFrame, value: str, at: Column, name: str) -> DataFrame:
-    """One row: the quantile of a column at a share that is itself computed.
-
-    `at`: an expression over the number of values, column `_n`. Places come from prefix sums of the
-    counts of distinct values, so no task sorts all rows.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    run = prefix_sum(counts, value, {"_c": "_b"})
-    n = counts.agg(F.sum("_c").alias("_n"))
-    pos = (F.col("_n") - 1) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), at))
-    got = run.crossJoin(F.broadcast(n)).withColumn("_p", pos)  # one row
-    low, high = F.floor("_p"), F.ceil("_p")
-    inside = lambda p: (F.col("_b") <= p) & (p < F.col("_b") + F.col("_c"))
-    a, b = F.max(F.when(inside(low), F.col(value))), F.max(F.when(inside(high), F.col(value)))
-    return got.agg((a + (b - a) * F.max(F.col("_p") - low)).alias(name))
+    """One row: the quantile of a column at a share that is itself computed: an expression over `total`, the number of values."""
+    return quantiles_of_counts(counts_of_values(df, [value]), [at], []).select(F.col("q")[0].alias(name))
 
 
 def score_counts(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -96,8 +84,8 @@ def grid_rates(df: DataFrame, score: str, label: str, taus: DataFrame, tau: str
 
 def percentile_grid(df: DataFrame, score: str, grid: list[float], name: str = "p") -> DataFrame:
     """(p, tau): percentiles of a score."""
-    got = df.agg(F.percentile(score, F.array(*[F.lit(p / 100) for p in grid])).alias("_t"))
-    return got.select(F.explode(F.arrays_zip(F.array(*map(F.lit, grid)).alias("p"), F.col("_t").alias("tau"))).alias("_z")).select(F.col("_z.p").alias(name), F.col("_z.tau").alias("tau"))
+    got = column_quantiles(df, score, [p / 100 for p in grid])
+    return got.select(F.explode(F.arrays_zip(F.array(*map(F.lit, grid)).alias("p"), F.col("q").alias("tau"))).alias("z")).select(F.col("z.p").alias(name), F.col("z.tau").alias("tau"))
 
 
 def best_mcc_percentile(df: DataFrame, score: str, label: str, grid: list[float] = PERCENTILE_GRID) -> DataFrame:

@@ -10,6 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def apart(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns: these, with underscores before those that are taken."""
+    own = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in own:
+            n = "_" + n
+        own.add(n.lower())
+        out.append(n)
+    return out
+
+
 def long_form(df: DataFrame, cols: list[str], keep: list[str] | None = None, value: str = "value") -> DataFrame:
     """(keep..., feature, value): one row per row and column, as doubles."""
     keep = keep or []
@@ -39,14 +51,26 @@ def skewness_adjusted(x: Column) -> Column:
 
 
 STATS = {
-    "n_uniq": lambda x: F.count_distinct(x), "n_null": lambda x: F.count_if(x.isNull()), "n_inf": lambda x: F.count_if(F.abs(x) == float("inf")), "n_zero": lambda x: F.count_if(x == 0),
-    "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "median": F.median, "skew": F.skewness, "kurtosis": F.kurtosis,
+    "n_null": lambda x: F.count_if(x.isNull()), "n_inf": lambda x: F.count_if(F.abs(x) == float("inf")), "n_zero": lambda x: F.count_if(x == 0),
+    "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "skew": F.skewness, "kurtosis": F.kurtosis,
 }
 
 
 def feature_stats(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
-    """Exact statistics of columns, or by the values of one column only mean, std and median."""
-    return by_feature(df, cols, {k: STATS[k] for k in ("mean", "std", "median")}, [by]) if by else by_feature(df, cols, STATS)
+    """Exact statistics of columns, or by the values of one column only mean, std and median.
+
+    Moments are one aggregation. Distinct values and medians come from one table of counts per value.
+    """
+    keys = [by] if by else []
+    plain = by_feature(df, cols, {k: STATS[k] for k in (("mean", "std") if by else STATS)}, keys)
+    counts = counts_of_values(df, cols, keys)
+    middle = quantiles_of_counts(counts, [0.5], [*keys, "feature"]).select(*keys, "feature", F.col("q")[0].alias("median"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in (*keys, "feature")]
+    got = plain.alias("p").join(middle.alias("m").hint("shuffle_hash"), same("p", "m"), "left").select("p.*", "m.median")
+    if by:
+        return got
+    distinct = counts.groupBy("feature").agg(F.count("*").alias("n_uniq"))
+    return got.join(distinct.hint("shuffle_hash"), "feature", "left").withColumn("n_uniq", F.coalesce("n_uniq", F.lit(0)))
 
 
 def dedup_rows(df: DataFrame, cols: list[str], order: str) -> DataFrame:
@@ -132,28 +156,95 @@ def average_rank(df: DataFrame, value: str, keys: list[str] | None = None, rank:
     no task sorts all values.
     """
     keys = keys or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    out = prefix_sum(counts, value, {"n": "_before"}, keys)
-    return out.select(*keys, value, "n", (F.col("_before") + (F.col("n") + 1) / 2.0).alias(rank))
+    n, before = apart([*keys, value], "n", "before")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(n))
+    out = prefix_sum(counts, value, {n: before}, keys)
+    return out.select(*keys, value, F.col(n).alias("n"), (F.col(before) + (F.col(n) + 1) / 2.0).alias(rank))
+
 
+def range_number(df: DataFrame) -> int:
+    """How many ranges of an order to sum apart: as many as shuffle partitions, 64 at least and 1,024 at most."""
+    return max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_ranges(df: DataFrame, order: str, keys: list[str], ranges: int, name: str) -> DataFrame:
+    """df with the range (0 to ranges - 1) that the order column falls into, per key.
+
+    Cuts are approximate quantiles: they only balance the tasks. They are broadcast, a row per key
+    (feature names and the like). A row looks its range up among every step-th cut, then among the step after it.
+    """
+    step = max(1, round(ranges**0.5))
+    coarse, fine = apart(df.columns, "coarse", "fine")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias(fine))
+    cuts = cuts.withColumn(coarse, F.filter(fine, lambda q, i: i % step == step - 1))
+    cut = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
+    below = lambda c: F.size(F.filter(c, lambda q: q < F.col(order)))
+    near = step * below(F.col(coarse))
+    return cut.withColumn(name, near + below(F.slice(fine, near + 1, F.lit(step)))).drop(coarse, fine)
 
-def prefix_sum(df: DataFrame, order: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int = 64, before: bool = True) -> DataFrame:
+
+def prefix_sum(df: DataFrame, order: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int | None = None, before: bool = True, whole: dict[str, str] | None = None) -> DataFrame:
     """df with running sums in the order of a numeric column, exclusive of the row itself.
 
-    Rows are cut into ranges of the order column at approximate quantiles (which only balance the
-    tasks); sums of whole ranges are carried over through a table of keys x ranges rows. The
+    Rows are cut into ranges of the order column; sums of whole ranges are carried over through a
+    table of keys x ranges rows. whole: column -> name of its sum over all rows of the key. The
     order column must be unique per key for a defined result.
     """
-    keys = keys or []
+    keys, whole = keys or [], whole or {}
+    taken = [*df.columns, *sums.values(), *whole.values()]
+    at, *names = apart(taken, "range", *[f"t{i}" for i in range(len(sums))], *[f"o{i}" for i in range(len(sums))], *[f"w{i}" for i in range(len(whole))])
+    t, o, w = names[: len(sums)], names[len(sums) : 2 * len(sums)], names[2 * len(sums) :]
     part = [F.col(k) for k in keys] or [F.lit(0)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias("_cuts"))
-    cut = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
-    # broadcast: a row of `ranges` numbers per key, keys being feature names and the like
-    cut = cut.withColumn("_range", F.size(F.filter("_cuts", lambda q: q < F.col(order)))).drop("_cuts")
-    inner = W.partitionBy(*part, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
-    outer = W.partitionBy(*part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t{i}").over(outer), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])
-    got = cut.join(F.broadcast(totals), [*keys, "_range"])
-    made = [(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_o{i}") + (F.lit(0) if before else F.col(c))).alias(new) for i, (c, new) in enumerate(sums.items())]
-    return got.select(*df.columns, *made)
+    cut = in_ranges(df, order, keys, ranges or range_number(df), at)
+    inner = W.partitionBy(*part, at).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, at).agg(*[F.sum(c).alias(n) for c, n in zip(sums, t)], *[F.sum(c).alias(n) for c, n in zip(whole, w)])
+    outer = W.partitionBy(*part).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, at, *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(y) for x, y in zip(t, o)], *[F.sum(x).over(W.partitionBy(*part)).alias(x) for x in w])
+    got = cut.join(F.broadcast(totals), [*keys, at])
+    made = [(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(x) + (F.lit(0) if before else F.col(c))).alias(new) for (c, new), x in zip(sums.items(), o)]
+    return got.select(*df.columns, *made, *[F.col(x).alias(new) for x, new in zip(w, whole.values())])
+
+
+def counts_of_values(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, feature, value, n): rows of each distinct value of each column, NULL and NaN apart."""
+    if clash := {"feature", "value", "n", "before", "total"} & set(keys or []):
+        raise ValueError(f"rename the keys {sorted(clash)}")
+    long = long_form(df, cols, keys)
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*(keys or []), "feature", "value").agg(F.count("*").alias("n"))
+
+
+def quantiles_of_counts(counts: DataFrame, shares: list[float | Column], keys: list[str], value: str = "value", n: str = "n", name: str = "q") -> DataFrame:
+    """(keys, q): quantiles with linear interpolation, one array per key, from distinct values and their counts.
+
+    The places come from prefix sums: no task and no aggregate holds all distinct values. Without keys
+    there is one row, of NULLs where there are no values. A share may be an expression over the total, column `total`.
+    """
+    run = prefix_sum(counts, value, {n: "before"}, keys, whole={n: "total"})
+    clamp = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s if isinstance(s, Column) else F.lit(float(s))))
+    out = []
+    for s in shares:
+        place = (F.col("total") - 1) * clamp(s)
+        low, high = F.floor(place), F.ceil(place)
+        holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col(n))
+        a, b = F.max(F.when(holds(low), F.col(value))), F.max(F.when(holds(high), F.col(value)))
+        part = F.max(place - low)
+        out.append(F.when(a == b, a).otherwise(a * (1 - part) + b * part))
+    return run.groupBy(*keys).agg(F.array(*out).alias(name))
+
+
+def quantiles(df: DataFrame, cols: list[str], shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, feature, q) for several columns at once; columns without values have no row."""
+    return quantiles_of_counts(counts_of_values(df, cols, keys), shares, [*(keys or []), "feature"])
+
+
+def column_quantiles(df: DataFrame, col: str, shares: list[float]) -> DataFrame:
+    """One row q: the quantiles of one column."""
+    return quantiles_of_counts(counts_of_values(df, [col]), shares, [])
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: Column | str, shares: list[float]) -> DataFrame:
+    """(keys, q): the quantiles of a column or expression per group."""
+    (v,) = apart(keys, "value")
+    value = F.col(value) if isinstance(value, str) else value
+    counts = df.select(*keys, value.cast("double").alias(v)).where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, shares, keys, v)

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
-from .profile import prefix_sum
+from ..spec import POOL_ROWS
+from .profile import apart, prefix_sum
 
 
 def places(df: DataFrame, key: str, salt: str, keys: list[str] | None = None, place: str = "place") -> DataFrame:
@@ -21,51 +22,53 @@ def places(df: DataFrame, key: str, salt: str, keys: list[str] | None = None, pl
     their sizes.
     """
     keys = keys or []
-    h = df.withColumn("_h", hash32(F.col(key), salt))
-    per = prefix_sum(h.groupBy(*keys, "_h").agg(F.count("*").alias("_n")), "_h", {"_n": "_before"}, keys).drop("_n")
-    inside = F.row_number().over(W.partitionBy(*keys, "_h").orderBy(key))
-    return h.join(per.hint("shuffle_hash"), [*keys, "_h"]).withColumn(place, (F.col("_before") + inside).cast("long")).select(*df.columns, place)
+    hashed, n, before = apart([*df.columns, place], "hash", "n", "before")
+    h = df.withColumn(hashed, hash32(F.col(key), salt))
+    per = prefix_sum(h.groupBy(*keys, hashed).agg(F.count("*").alias(n)), hashed, {n: before}, keys).drop(n)
+    inside = F.row_number().over(W.partitionBy(*keys, hashed).orderBy(key))
+    return h.join(per.hint("shuffle_hash"), [*keys, hashed]).select(*df.columns, (F.col(before) + inside).cast("long").alias(place))
 
 
 def cumulative_cut(groups: DataFrame, key: str, size: str, salt: str, cuts: list[tuple[str, float]], rest: str) -> DataFrame:
     """Groups in hash order assigned by the running size before each: below the first share of the
     total to the first name, and so on. key must be unique; sizes are rows."""
-    h = groups.withColumn("_h", F.struct(hash32(F.col(key), salt).alias("h"), F.col(key).alias("k")))
-    order = hash32(F.col(key), salt)
-    total = groups.agg(F.sum(size).alias("_total"))
+    order, part, before, total = apart([*groups.columns, "split"], "order", "part", "before", "total")
     # groups with equal hashes follow each other by key
-    flat = h.withColumn("_o", order)
-    per = prefix_sum(flat.groupBy("_o").agg(F.sum(size).alias("_s")), "_o", {"_s": "_before"}).drop("_s")
-    inner = F.coalesce(F.sum(size).over(W.partitionBy("_o").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    got = flat.join(per.hint("shuffle_hash"), "_o").withColumn("_run", F.col("_before") + inner).crossJoin(F.broadcast(total))
+    flat = groups.withColumn(order, hash32(F.col(key), salt))
+    per = prefix_sum(flat.groupBy(order).agg(F.sum(size).alias(part)), order, {part: before}, whole={part: total}).drop(part)
+    inner = F.coalesce(F.sum(size).over(W.partitionBy(order).orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    got = flat.join(per.hint("shuffle_hash"), order)
     out = F.lit(rest)
     for name, share in reversed(cuts):
-        out = F.when(F.col("_run") < share * F.col("_total"), name).otherwise(out)
+        out = F.when(F.col(before) + inner < share * F.col(total), name).otherwise(out)
     return got.select(*groups.columns, out.alias("split"))
 
 
 def stratified_half(df: DataFrame, key: str, cls: str, salt: str, names: tuple[str, str] = ("val", "test")) -> DataFrame:
     """Of each class the first floor(n / 2) rows in hash order to the first name, the others to the second."""
-    n = df.groupBy(cls).agg(F.count("*").alias("_n"))  # one row a class
-    got = places(df, key, salt, [cls]).join(F.broadcast(n), cls)
-    return got.select(*df.columns, F.when(F.col("place") <= F.floor(F.col("_n") / 2), names[0]).otherwise(names[1]).alias("split"))
+    at, n = apart([*df.columns, "split"], "place", "n")
+    per = df.groupBy(cls).agg(F.count("*").alias(n))  # one row a class
+    got = places(df, key, salt, [cls], at).join(F.broadcast(per), cls)
+    return got.select(*df.columns, F.when(F.col(at) <= F.floor(F.col(n) / 2), names[0]).otherwise(names[1]).alias("split"))
 
 
 def stratified_sample(df: DataFrame, key: str, cls: str, salt: str, share: float) -> DataFrame:
     """Of each class max(1, round(n * share)) rows."""
-    n = df.groupBy(cls).agg(F.count("*").alias("_n"))
-    got = places(df, key, salt, [cls]).join(F.broadcast(n), cls)
-    return got.where(F.col("place") <= F.greatest(F.lit(1), F.round(F.col("_n") * share))).select(df.columns)
+    at, n = apart(df.columns, "place", "n")
+    per = df.groupBy(cls).agg(F.count("*").alias(n))  # one row a class
+    got = places(df, key, salt, [cls], at).join(F.broadcast(per), cls)
+    return got.where(F.col(at) <= F.greatest(F.lit(1), F.round(F.col(n) * share))).select(df.columns)
 
 
 def balanced_sample(df: DataFrame, key: str, label: str, salt: str, most: int) -> DataFrame:
     """At most most / 2 rows of each label."""
-    return places(df, key, salt, [label]).where(F.col("place") <= most // 2).select(df.columns)
+    (at,) = apart(df.columns, "place")
+    return places(df, key, salt, [label], at).where(F.col(at) <= most // 2).select(df.columns)
 
 
 def sample_cap(df: DataFrame, key: str, salt: str, most: int) -> DataFrame:
     """At most so many rows, those with the least hashes: a sampling operator, as a top-n over all rows."""
-    return df.withColumn("_h", hash32(F.col(key), salt)).orderBy("_h", key).limit(most).drop("_h")
+    return df.orderBy(hash32(F.col(key), salt), key).limit(most)
 
 
 def hash_fraction(key: Column, salt: str, share: float) -> Column:
@@ -75,8 +78,8 @@ def hash_fraction(key: Column, salt: str, share: float) -> Column:
 
 def pool_sizes(n: int) -> tuple[int, int]:
     """Rows of the selection and monitor pools out of n; the rest must suffice to learn from."""
-    select = min(max(int(0.20 * n), 50_000), 355_000)
-    monitor = min(max(int(0.11 * n), 30_000), 200_000)
+    (share, least, most), (share2, least2, most2) = POOL_ROWS["select"], POOL_ROWS["monitor"]
+    select, monitor = min(max(int(share * n), least), most), min(max(int(share2 * n), least2), most2)
     if n - select - monitor < max(1000, n // 10):
         raise ValueError(f"{n} rows are too few for three pools")
     return select, monitor
@@ -84,8 +87,9 @@ def pool_sizes(n: int) -> tuple[int, int]:
 
 def three_pools(df: DataFrame, key: str, salt: str, select: int, monitor: int) -> DataFrame:
     """pool: select for the first rows in hash order, then monitor, then gradient."""
-    got = places(df, key, salt)
-    pool = F.when(F.col("place") <= select, "select").when(F.col("place") <= select + monitor, "monitor").otherwise("gradient")
+    (at,) = apart([*df.columns, "pool"], "place")
+    got = places(df, key, salt, place=at)
+    pool = F.when(F.col(at) <= select, "select").when(F.col(at) <= select + monitor, "monitor").otherwise("gradient")
     return got.select(*df.columns, pool.alias("pool"))
 
 
@@ -93,14 +97,17 @@ def replicate(df: DataFrame, copies: int) -> DataFrame:
     """df and so many further copies of each row."""
     if copies <= 0:
         return df
-    extra = df.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_k")
+    (k,) = apart(df.columns, "copy")
+    extra = df.withColumn(k, F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop(k)
     return df.unionByName(extra)
 
 
 def contaminate(benign: DataFrame, attacks: DataFrame, key: str, salt: str, rate: float) -> DataFrame:
     """benign and as many attacks, in hash order, as make the prevalence `rate` (all, if there are fewer)."""
-    k = round(benign.count() * rate / (1 - rate))
-    return benign.unionByName(places(attacks, key, salt).where(F.col("place") <= k).select(attacks.columns))
+    at, n = apart(attacks.columns, "place", "n")
+    size = benign.agg(F.count("*").alias(n))  # one row
+    most = F.round(F.col(n) * (rate / (1 - rate)))
+    return benign.unionByName(places(attacks, key, salt, place=at).crossJoin(F.broadcast(size)).where(F.col(at) <= most).select(attacks.columns))
 
 
 def inject_evenly(rows: DataFrame, attacks: DataFrame, key: str, salt: str, rate: float) -> DataFrame:
@@ -129,10 +136,11 @@ def partner_join(df: DataFrame, key: str, salt: str, cols: list[str]) -> DataFra
     n = df.count()
     if n < 2:
         raise ValueError("a partner needs two rows")
-    placed = places(df, key, salt, place="_p")
+    at, to = apart([*df.columns, *[f"partner_{c}" for c in cols]], "place", "to")
+    placed = places(df, key, salt, place=at)
     shift = 1 + hash32(F.col(key), salt + ":s") % (n - 1)
-    other = placed.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"partner_{c}") for c in cols])
-    return placed.withColumn("_q", (F.col("_p") - 1 + shift) % n + 1).join(other.hint("merge"), "_q").select(*df.columns, *[f"partner_{c}" for c in cols])
+    other = placed.select(F.col(at).alias(to), *[F.col(c).alias(f"partner_{c}") for c in cols])
+    return placed.withColumn(to, (F.col(at) - 1 + shift) % n + 1).join(other.hint("merge"), to).select(*df.columns, *[f"partner_{c}" for c in cols])
 
 
 def column_permute(df: DataFrame, key: str, cols: list[str], salt: str) -> DataFrame:

@@ -113,31 +113,32 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(x.ravel()))
 
 
-def _over(df: DataFrame, id_col: str, x_col: str, make, fields: str) -> DataFrame:
-    """(id_col, fields) where make gives the Arrow columns for a matrix."""
+def _over(df: DataFrame, id_col: str, x_col: str, make, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep, fields) where make gives the Arrow columns for a matrix; keep passes through, so that nothing is joined back."""
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), *make(matrix(batch.column(1)))], names=["id", *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *make(matrix(batch.column(0)))], names=[*batch.schema.names[1:], *names])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(x_col).cast("array<float>").alias("x"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {fields}").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(x_col).cast("array<float>").alias("_x"), id_col, *keep)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (id_col, *keep)], fields]))
 
 
-def dae_forward(df: DataFrame, ae: Autoencoder, id_col: str, x_col: str = "x") -> DataFrame:
-    """(id, z, yhat): latent and reconstruction."""
-    return _over(df, id_col, x_col, lambda x: [lists(a) for a in ae.forward(x)], "z array<float>, yhat array<float>")
+def dae_forward(df: DataFrame, ae: Autoencoder, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, z, yhat): latent and reconstruction."""
+    return _over(df, id_col, x_col, lambda x: [lists(a) for a in ae.forward(x)], "z array<float>, yhat array<float>", keep)
 
 
-def mlp_forward(df: DataFrame, mlp: Dense, id_col: str, x_col: str = "x") -> DataFrame:
-    """(id, logit)."""
-    return _over(df, id_col, x_col, lambda x: [pa.array(mlp.forward(x)[:, 0].astype(np.float32))], "logit float")
+def mlp_forward(df: DataFrame, mlp: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, logit)."""
+    return _over(df, id_col, x_col, lambda x: [pa.array(mlp.forward(x)[:, 0].astype(np.float32))], "logit float", keep)
 
 
-def score_flows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, clf: Dense, id_col: str, x_col: str = "x") -> DataFrame:
-    """(id, s_dae, logit, s_pa): both stages in one batch; only three numbers a row leave Python.
+def score_flows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, clf: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, s_dae, logit, s_pa): both stages in one batch; only three numbers a row leave Python.
 
     Standardising the latent and whitening the residual are folded into the first layer.
     """
@@ -150,7 +151,7 @@ def score_flows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarra
         logit = folded.forward(np.concatenate([z, r], axis=1))[:, 0]
         return [pa.array(s.astype(np.float32)), pa.array(logit.astype(np.float32)), pa.array(sigmoid(logit).astype(np.float32))]
 
-    return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float")
+    return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float", keep)
 
 
 def fold_affine(clf: Dense, z_mean: np.ndarray, z_std: np.ndarray, wh: Whitening) -> Dense:
@@ -201,14 +202,14 @@ def fit_whitening(df: DataFrame, r_col: str) -> Whitening:
     return Whitening(mean, np.linalg.cholesky(np.linalg.inv(shrunk)), np.sqrt(np.diag(shrunk)), float(shrinkage))
 
 
-def whiten(df: DataFrame, wh: Whitening, id_col: str, r_col: str = "r") -> DataFrame:
-    """(id, w)."""
-    return _over(df, id_col, r_col, lambda r: [lists(wh.apply(r.astype(np.float64)))], "w array<float>")
+def whiten(df: DataFrame, wh: Whitening, id_col: str, r_col: str = "r", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, w)."""
+    return _over(df, id_col, r_col, lambda r: [lists(wh.apply(r.astype(np.float64)))], "w array<float>", keep)
 
 
-def un_whiten(df: DataFrame, wh: Whitening, id_col: str, w_col: str = "w") -> DataFrame:
-    """(id, r)."""
-    return _over(df, id_col, w_col, lambda w: [lists(wh.undo(w.astype(np.float64)))], "r array<float>")
+def un_whiten(df: DataFrame, wh: Whitening, id_col: str, w_col: str = "w", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, r)."""
+    return _over(df, id_col, w_col, lambda w: [lists(wh.undo(w.astype(np.float64)))], "r array<float>", keep)
 
 
 def radial_fakes(df: DataFrame, key: str, r_col: str, salt: str, delta: float, low: float, high: float, partner: str) -> DataFrame:

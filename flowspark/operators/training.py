@@ -2,7 +2,7 @@
 shared weights on its own rows (Adam), and the driver averages them by rows.
 
 Only weights travel: their size does not depend on the data. Rows are numbered by hash into
-`shards`, so that an epoch is the same however tasks are retried.
+shards, whose number follows the data, so that an epoch is the same however tasks are retried.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .scoring import Autoencoder, Dense, matrix, sigmoid
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
+#: A shard is one task's work in an epoch; its rows are streamed, never held.
+SHARD_ROWS = 500_000
 
 
 def _back(layers: Weights, x: np.ndarray, grad_out: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, Weights]:
@@ -35,33 +37,41 @@ def _back(layers: Weights, x: np.ndarray, grad_out: Callable[[np.ndarray], np.nd
     return acts[-1], grads[::-1]
 
 
-def _adam(layers: Weights, x: np.ndarray, y: np.ndarray, loss, lr: float, batch: int, seed: int, noise: float, l2: float) -> tuple[Weights, float]:
-    rng = np.random.default_rng(seed)
-    layers = [(w.astype(np.float64), b.astype(np.float64)) for w, b in layers]
-    m = [[np.zeros_like(a) for a in p] for p in layers]
-    v = [[np.zeros_like(a) for a in p] for p in layers]
-    total, t = 0.0, 0
-    for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-        t += 1
-        xb = x[at].astype(np.float64)
-        xb = xb + noise * rng.standard_normal(xb.shape) if noise else xb
-        value = [0.0]
-
-        def grad(out: np.ndarray, target: np.ndarray = y[at].astype(np.float64), value: list[float] = value) -> np.ndarray:
-            value[0], g = loss(out, target)
+class _Adam:
+    """The weights of one shard, improved batch by batch."""
+
+    def __init__(self, layers: Weights, loss, lr: float, seed: int, noise: float, l2: float) -> None:
+        self.layers = [(w.astype(np.float64), b.astype(np.float64)) for w, b in layers]
+        self.m, self.v = ([[np.zeros_like(a) for a in p] for p in self.layers] for _ in range(2))
+        self.loss, self.lr, self.noise, self.l2 = loss, lr, noise, l2
+        self.rng = np.random.default_rng(seed)
+        self.total, self.rows, self.t = 0.0, 0, 0
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.t += 1
+        x, y = x.astype(np.float64), y.astype(np.float64)
+        if self.noise:
+            x = x + self.noise * self.rng.standard_normal(x.shape)
+        value = 0.0
+
+        def grad(out: np.ndarray) -> np.ndarray:
+            nonlocal value
+            value, g = self.loss(out, y)
             return g
 
-        _, grads = _back(layers, xb, grad)
-        total += value[0] * len(at)
+        _, grads = _back(self.layers, x, grad)
+        self.total, self.rows = self.total + value * len(x), self.rows + len(x)
         for i, pair in enumerate(grads):
             new = []
             for j, g in enumerate(pair):
-                g = g + (l2 * layers[i][j] if j == 0 else 0)
-                m[i][j] = 0.9 * m[i][j] + 0.1 * g
-                v[i][j] = 0.999 * v[i][j] + 0.001 * g * g
-                new.append(layers[i][j] - lr * (m[i][j] / (1 - 0.9**t)) / (np.sqrt(v[i][j] / (1 - 0.999**t)) + 1e-8))
-            layers[i] = (new[0], new[1])
-    return [(w.astype(np.float32), b.astype(np.float32)) for w, b in layers], total
+                g = g + (self.l2 * self.layers[i][j] if j == 0 else 0)
+                self.m[i][j] = 0.9 * self.m[i][j] + 0.1 * g
+                self.v[i][j] = 0.999 * self.v[i][j] + 0.001 * g * g
+                new.append(self.layers[i][j] - self.lr * (self.m[i][j] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i][j] / (1 - 0.999**self.t)) + 1e-8))
+            self.layers[i] = (new[0], new[1])
+
+    def weights(self) -> Weights:
+        return [(w.astype(np.float32), b.astype(np.float32)) for w, b in self.layers]
 
 
 def bce_loss(out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -81,28 +91,44 @@ def mixed_loss(n_linear: int):
     return loss
 
 
-def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int = 8, lr: float = 1e-3, batch: int = 256, noise: float = 0.0, l2: float = 0.0, on_epoch: Callable[[int, Weights, float], bool] | None = None) -> tuple[Weights, list[float]]:
+def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, lr: float = 1e-3, batch: int = 256, noise: float = 0.0, l2: float = 0.0, on_epoch: Callable[[int, Weights, float], bool] | None = None) -> tuple[Weights, list[float]]:
     """Weights and mean loss per epoch. df: columns x and y, arrays of floats.
 
-    on_epoch(epoch, weights, loss) may stop the training by returning True. A shard must fit
-    a task's memory: their number follows the data.
+    Rows of a shard stream through its task in the order of a hash that differs by epoch, a mini-batch
+    at a time. Without `shards` there is one for SHARD_ROWS rows. on_epoch(epoch, weights, loss) may
+    stop the training by returning True.
     """
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>")).repartition(shards, "shard")
+    shards = shards or max(1, -(-df.count() // SHARD_ROWS))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>"), F.col(key).alias("key")).repartition(shards, "shard")
     history: list[float] = []
     for epoch in range(epochs):
 
         def run(batches: Iterator[pa.RecordBatch], layers: Weights = layers, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            now, model, rest = -1, None, None
+
+            def result() -> pa.RecordBatch:
+                if len(rest[0]):
+                    model.step(*rest)
+                return pa.record_batch([pa.array([model.rows], pa.int64()), pa.array([model.total]), pa.array([pickle.dumps(model.weights())], pa.binary())], ["n", "loss", "weights"])
+
             for b in batches:
-                s, x, y = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2))
-                for k in np.unique(s).tolist():
-                    held.setdefault(k, []).append((x[s == k], y[s == k]))
-            for k, parts in held.items():
-                x, y = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                new, total = _adam(layers, x, y, loss, lr, batch, 1000 * epoch + k, noise, l2)
-                yield pa.record_batch([pa.array([len(x)], pa.int64()), pa.array([total]), pa.array([pickle.dumps(new)], pa.binary())], ["n", "loss", "weights"])
-
-        got = rows.mapInArrow(run, "n long, loss double, weights binary").collect()  # one row a shard, each the size of the weights
+                shard, x, y = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2))
+                for k in np.unique(shard).tolist():  # ascending, as the rows are
+                    if k != now:
+                        if model:
+                            yield result()
+                        now, model, rest = k, _Adam(layers, loss, lr, 1000 * epoch + k, noise, l2), (x[:0], y[:0])
+                    own = shard == k
+                    rest = np.concatenate((rest[0], x[own])), np.concatenate((rest[1], y[own]))
+                    full = len(rest[0]) // batch * batch
+                    for i in range(0, full, batch):
+                        model.step(rest[0][i : i + batch], rest[1][i : i + batch])
+                    rest = rest[0][full:], rest[1][full:]
+            if model:
+                yield result()
+
+        placed = rows.sortWithinPartitions("shard", F.xxhash64("key", F.lit(epoch)), "key").select("shard", "x", "y")
+        got = placed.mapInArrow(run, "n long, loss double, weights binary").collect()  # one row a shard, each the size of the weights
         if not got:
             raise ValueError("no rows to learn from")
         n = sum(r["n"] for r in got)

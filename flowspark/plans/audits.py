@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_div
 from ..operators import audit as A
 from ..operators import metrics as M
-from ..operators.profile import average_rank, duplicate_stats
+from ..operators.profile import average_rank, column_quantiles, duplicate_stats
 from ..operators.scoring import squared_length
+from .files import scratch
 from .flow_view import flows, table, with_flows
 from .profiles import trials
 from .registry import query
@@ -19,7 +20,7 @@ _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(*(cols or _NUM)).withColumn("id", F.monotonically_increasing_id())
+    return table(spark, d, "lineitem").select(*(cols or _NUM))
 
 
 def _rank(c: str) -> str:
@@ -36,7 +37,10 @@ def d01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d02_spearman_pairs", _RANKED + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
 def d02(spark: SparkSession, d: str) -> DataFrame:
-    return A.spearman_pairs(_lines(spark, d), _NUM, "id", 0.0).select("a", "b", R(F.col("rho")).alias("rho"))
+    # the table has no key: rows are numbered, and written so that the numbers stay when a task runs again
+    path = scratch(spark, "numbered")
+    _lines(spark, d).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    return A.spearman_pairs(spark.read.parquet(path), _NUM, "id", 0.0).select("a", "b", R(F.col("rho")).alias("rho"))
 
 
 @query("d03_spearman_label", with_flows(", r AS (SELECT " + ", ".join(_rank(c) for c in ("s_dae", "logit", "IN_BYTES", "label")) + " FROM flows) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, label), 6) AS rho FROM r" for c in ("s_dae", "logit", "IN_BYTES"))))
@@ -214,13 +218,14 @@ def d22(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d23_coverage_metrics")
 def d23(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of vectors inside, in the shell of and far from a reference set, by its own distance quantiles."""
+    """Shares of the attack vectors inside, in the shell of and far from the benign ones, by the distances among these."""
     from ..operators.joins import nearest_distance
 
     e = table(spark, d, "embeddings")
-    ref = e.where("vec_id % 10 = 0")
-    own = nearest_distance(ref, ref, "vec_id", "embedding", leave_self=True).agg(F.percentile("distance", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
-    got = nearest_distance(e.where("vec_id % 10 <> 0"), ref, "vec_id", "embedding").crossJoin(F.broadcast(own))
+    ref = e.where("label % 5 <> 0")
+    own = nearest_distance(ref, ref, "vec_id", "embedding", leave_self=True)
+    own = column_quantiles(own, "distance", [0.5, 0.99])
+    got = nearest_distance(e.where("label % 5 = 0"), ref, "vec_id", "embedding").crossJoin(F.broadcast(own))
     x = F.col("distance")
     return got.agg(F.avg((x <= F.col("q")[0]).cast("double")).alias("inside"), F.avg(((x > F.col("q")[0]) & (x <= F.col("q")[1])).cast("double")).alias("shell"), F.avg((x > F.col("q")[1]).cast("double")).alias("far"))
 
@@ -228,5 +233,6 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
 @query("d24_resolving_power", "WITH trials AS (SELECT l_suppkey AS trial, CAST(month(l_shipdate) AS INTEGER) AS seed, avg(l_extendedprice) / 100000 AS metric FROM lineitem GROUP BY 1, 2), s AS (SELECT trial, avg(metric) AS m, stddev_pop(metric) AS sd FROM trials GROUP BY trial) SELECT round(stddev_pop(m) / median(sd), 6) AS power FROM s")
 def d24(spark: SparkSession, d: str) -> DataFrame:
     s = trials(spark, d).groupBy("trial").agg(F.avg("metric").alias("m"), F.stddev_pop("metric").alias("sd"))
-    return s.agg(R(safe_div(F.stddev_pop("m"), F.median("sd"))).alias("power"))
+    middle = column_quantiles(s, "sd", [0.5])
+    return s.agg(F.stddev_pop("m").alias("spread")).crossJoin(F.broadcast(middle)).select(R(safe_div(F.col("spread"), F.col("q")[0])).alias("power"))  # one row
 

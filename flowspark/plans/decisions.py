@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import fusion as X
 from ..operators import metrics as M
+from ..operators.profile import confusion_counts, quantiles
 from ..spec import PERCENTILE_GRID, REFERENCE_ATTACKS, REFERENCE_BENIGN
 from .flow_view import flows, with_flows
 from .profiles import interpolate_at, trapezoid_area
@@ -116,9 +117,10 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e11_score_table", with_flows(" UNION ALL ".join(f"{'' if i else ', u AS (SELECT 1 AS one)'} SELECT '{c}' AS score, round(quantile_cont({c}, 0.95) FILTER (label = 0), 6) AS tau, count(*) FILTER (label = 1) AS n_attacks FROM flows" for i, c in enumerate(("s_dae", "logit")))))
 def e11(spark: SparkSession, d: str) -> DataFrame:
-    b, a = F.col("label") == 0, F.col("label") == 1
-    packed = [F.struct(F.lit(c).alias("score"), R(F.percentile(F.when(b, F.col(c)), F.lit(0.95))).alias("tau"), F.count_if(a).alias("n_attacks")) for c in ("s_dae", "logit")]
-    return flows(spark, d).agg(F.array(*packed).alias("x")).select(F.explode("x").alias("y")).select("y.*")
+    df = flows(spark, d)
+    tau = quantiles(df.where("label = 0"), ["s_dae", "logit"], [0.95])
+    n = df.agg(F.count_if(F.col("label") == 1).alias("n_attacks"))
+    return tau.crossJoin(F.broadcast(n)).select(F.col("feature").alias("score"), R(F.col("q")[0]).alias("tau"), "n_attacks")  # one row
 
 
 @query("e12_confirm_on_test", with_flows(", t AS (SELECT quantile_cont(logit, 0.99) AS tau FROM flows WHERE label = 0 AND pool = 'select') SELECT count(*) FILTER (label = 1 AND logit >= tau) AS tp, count(*) FILTER (label = 0 AND logit >= tau) AS fp, count(*) FILTER (label = 0 AND logit < tau) AS tn, count(*) FILTER (label = 1 AND logit < tau) AS fn FROM flows, t WHERE pool = 'test'"))
@@ -126,7 +128,6 @@ def e12(spark: SparkSession, d: str) -> DataFrame:
     df = flows(spark, d).select("label", "pool", "logit")
     tau = M.percentile_threshold(df.where("label = 0 AND pool = 'select'"), "logit", 0.01)
     got = df.where("pool = 'test'").crossJoin(F.broadcast(tau))
-    from ..operators.profile import confusion_counts
 
     return got.agg(*confusion_counts(F.col("label"), F.col("logit") >= F.col("tau")))
 
@@ -253,7 +254,7 @@ def rule_sweep(scores: DataFrame, grid: list[float], rules: tuple[str, ...] = ("
     one = p.first()
     sel = X.to_plane(ben.where("pool = 'select'").select("s_dae", "logit"), p).select("z0", "z1").persist()
     theta: dict[str, list[float]] = {}
-    q = sel.agg(*[F.percentile(z, F.array(*[F.lit(1 - t) for t in grid])).alias(z) for z in ("z0", "z1")]).first()
+    q = {r["feature"]: r["q"] for r in quantiles(sel, ["z0", "z1"], [1 - t for t in grid]).collect()}  # two rows
     theta["first"], theta["logit"] = q["z0"], q["z1"]
     if "and" in rules:
         theta["and"] = [X.and_theta(sel, one["tau_z"], t)[0] for t in grid]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import encode as E
+from ..operators.metrics import percentile_threshold
 from ..spec import FEATURES, FLAG_BITS, ICMP_BUCKETS, ICMP_VALID_CODES, L7_VALUES, PORT_BUCKETS, PORT_FEATURES, SERVER_FLAG_BITS
 from .flow_view import flows, table, with_flows
 from .registry import query
@@ -221,7 +222,7 @@ def p29(spark: SparkSession, d: str) -> DataFrame:
 def detection_rate(spark: SparkSession, d: str) -> DataFrame:
     """Detection rate of every class at 1 % false alarms on held-out benign rows."""
     df = flows(spark, d).select("attack", "label", "pool", "s_dae")
-    tau = df.where("label = 0 AND pool = 'select'").agg(F.percentile("s_dae", F.lit(0.99)).alias("tau"))
+    tau = percentile_threshold(df.where("label = 0 AND pool = 'select'"), "s_dae", 0.01)
     hit = df.where("pool = 'test'").crossJoin(F.broadcast(tau)).withColumn("hit", (F.col("s_dae") > F.col("tau")).cast("double"))
     return hit.groupBy("attack").agg(F.round(F.avg("hit"), 6).alias("dr"), F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import alert_rate, ema, entropy_stop, patience_stop, sorted_curve
+from ..operators.profile import column_quantiles, group_quantiles
 from ..sources import flow_files as S
 from ..streaming import live
 from .flow_view import flows, table, with_flows
@@ -20,8 +22,14 @@ _COLS = ["FLOW_ID", "IN_BYTES", "OUT_BYTES", S.FIRST, S.SECOND, "MAX_TTL"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster shares files (spark.checkpoint.dir); a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-files-', dir='/tmp')}"
+    """A new folder where the cluster shares files (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one if Spark runs on one machine; elsewhere it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-files-', dir='/tmp')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -212,7 +220,8 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k in (2, 3, 5) for r in (0.0, 0.1, 0.3)]))
     runs = _curves(spark, d).select("trial", "curve", grid.alias("g")).select("trial", "curve", "g.*")
     stopped = runs.withColumn("stop", entropy_stop(F.col("curve"), F.col("k"), F.col("r")))
-    return stopped.groupBy("k", "r").agg(F.median(F.element_at("curve", F.col("stop") + 1) - F.array_min("curve")).alias("median_delta"))
+    got = group_quantiles(stopped, ["k", "r"], F.element_at("curve", F.col("stop") + 1) - F.array_min("curve"), [0.5])
+    return got.select("k", "r", F.col("q")[0].alias("median_delta"))
 
 
 @query("w13_pilot_decision", _TRIALS + ", g AS (SELECT trial % 2 AS grp, avg(metric) AS m FROM trials GROUP BY 1) SELECT CASE WHEN (max(m) FILTER (grp = 0) - max(m) FILTER (grp = 1)) > 0.001 THEN 'GO' ELSE 'STOP' END AS decision FROM g")
@@ -227,7 +236,8 @@ def e13(spark: SparkSession, d: str) -> DataFrame:
     """Distance of the stop to the best epoch: median, quartiles, censored runs, and the value at a fixed cap."""
     c = _curves(spark, d).withColumn("s", patience_stop(F.col("curve"), 3))
     gap = F.element_at("curve", F.col("s.best") + 1) - F.array_min("curve")
-    return c.agg(F.percentile(gap, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count_if("s.censored").alias("n_censored"), F.avg(F.try_element_at("curve", F.lit(6))).alias("at_six"))
+    q = column_quantiles(c.select(gap.alias("gap")), "gap", [0.25, 0.5, 0.75])
+    return q.crossJoin(F.broadcast(c.agg(F.count_if("s.censored").alias("n_censored"), F.avg(F.try_element_at("curve", F.lit(6))).alias("at_six"))))
 
 
 _BATCHES = "b AS (SELECT epoch_us(ts) // 60000000 AS minute, count(*) AS n, count(*) FILTER (event_type = 'error') AS a FROM events GROUP BY 1)"
@@ -261,7 +271,7 @@ def _arrived(spark: SparkSession, d: str, files: int = 2) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    return live.run_available(stream, f"t{uuid.uuid4().hex}", mode, scratch(spark, "stream"))
+    return live.run_available(stream, scratch(spark, "results"), mode, scratch(spark, "stream"))
 
 
 @query("st01_stream_flows", with_flows("SELECT count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids FROM flows"))

@@ -15,6 +15,7 @@ from ..operators import sampling as U
 from ..operators import scoring as M
 from ..operators import training as T
 from ..operators.folds import entropy_stop
+from ..operators.profile import column_quantiles
 from .flow_view import table
 from .registry import query
 
@@ -23,10 +24,10 @@ WIDTH, LINEAR, LATENT = 64, 40, 8
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(id, label, x): label 1 for every fifth class, benign otherwise."""
+    """(id, label, cls, x): label 1 for every fifth class, benign otherwise."""
     e = table(spark, d, "embeddings")
     x = F.transform(F.col("embedding").cast("array<float>"), lambda v, i: F.when(i < LINEAR, v).otherwise(F.when(v > 0, 1.0).otherwise(0.0)).cast("float"))
-    return e.select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 == 0, 1).otherwise(0).alias("label"), x.alias("x"))
+    return e.select(F.col("vec_id").alias("id"), F.when(F.col("label") % 5 == 0, 1).otherwise(0).alias("label"), F.col("label").alias("cls"), x.alias("x"))
 
 
 def autoencoder() -> M.Autoencoder:
@@ -39,8 +40,7 @@ def classifier() -> M.Dense:
 
 def reconstructed(spark: SparkSession, d: str) -> DataFrame:
     """(id, label, x, z, yhat, r) under untrained weights."""
-    v = vectors(spark, d)
-    got = v.join(M.dae_forward(v, autoencoder(), "id").hint("merge"), "id")
+    got = M.dae_forward(vectors(spark, d), autoencoder(), "id", keep=("label", "x"))
     return got.withColumn("r", M.residual(F.col("yhat"), F.col("x")))
 
 
@@ -86,8 +86,8 @@ def m05(spark: SparkSession, d: str) -> DataFrame:
     """Whitened and back: the largest gap of each row stays small."""
     r = reconstructed(spark, d).select("id", "label", "r")
     wh = M.fit_whitening(r.where("label = 0").select("r"), "r")
-    back = M.un_whiten(M.whiten(r, wh, "id"), wh, "id").withColumnRenamed("r", "back")
-    got = r.join(back.hint("merge"), "id")
+    white = M.whiten(r.withColumnRenamed("r", "before"), wh, "id", "before", keep=("before",))
+    got = M.un_whiten(white, wh, "id", keep=("before",)).withColumnsRenamed({"r": "back", "before": "r"})
     return got.select("id", (F.array_max(F.zip_with("r", "back", lambda a, b: F.abs(a - b))) < 1e-3).alias("same"))
 
 
@@ -133,12 +133,11 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     """Folded and unfolded first layer give the same logits."""
     wh, mean, std = _stages(spark, d)
     rec = reconstructed(spark, d).select("id", "z", "r")
-    whitened = rec.join(M.whiten(rec, wh, "id").hint("merge"), "id")
-    phi = whitened.select("id", M.build_phi(M.standardise_array(F.col("z"), mean.tolist(), std.tolist()).cast("array<float>"), F.col("w")).alias("x"))
-    plain = M.mlp_forward(phi, classifier(), "id").withColumnRenamed("logit", "plain")
-    raw = rec.select("id", M.build_phi(F.col("z"), F.col("r")).alias("x"))
-    folded = M.mlp_forward(raw, M.fold_affine(classifier(), mean, std, wh), "id")
-    return plain.join(folded.hint("merge"), "id").select("id", (F.abs(F.col("plain") - F.col("logit")) < 0.01 * (1 + F.abs("plain"))).alias("same"))
+    whitened = M.whiten(rec, wh, "id", keep=("z", "r"))
+    phi = whitened.select("id", M.build_phi(M.standardise_array(F.col("z"), mean.tolist(), std.tolist()).cast("array<float>"), F.col("w")).alias("x"), M.build_phi(F.col("z"), F.col("r")).alias("raw"))
+    plain = M.mlp_forward(phi, classifier(), "id", keep=("raw",)).withColumnRenamed("logit", "plain")
+    both = M.mlp_forward(plain, M.fold_affine(classifier(), mean, std, wh), "id", "raw", keep=("plain",))
+    return both.select("id", (F.abs(F.col("plain") - F.col("logit")) < 0.01 * (1 + F.abs("plain"))).alias("same"))
 
 
 @query("m11_score_flows")
@@ -166,7 +165,7 @@ def fakes(df: DataFrame, salt: str) -> DataFrame:
 @query("m13_fit_autoencoder")
 def m13(spark: SparkSession, d: str) -> DataFrame:
     """(epoch, loss): learning on benign rows."""
-    _, history = T.fit_autoencoder(vectors(spark, d).where("label = 0"), "id", "x", [WIDTH, 32, LATENT], LINEAR, epochs=3, shards=4, lr=3e-3)
+    _, history = T.fit_autoencoder(vectors(spark, d).where("label = 0"), "id", "x", [WIDTH, 32, LATENT], LINEAR, epochs=3, lr=3e-3)
     return spark.createDataFrame(list(enumerate(history)), "epoch int, loss double")
 
 
@@ -174,7 +173,7 @@ def m13(spark: SparkSession, d: str) -> DataFrame:
 def m14(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d).where("label = 0").select("id", F.col("x").alias("r"))
     fake = fakes(v, "p").select("id", F.col("fake_r").cast("array<float>").alias("x"))
-    _, history = T.fit_classifier(v.select("id", F.col("r").alias("x")), fake, "id", "x", [WIDTH, 16], epochs=3, shards=4, lr=3e-3)
+    _, history = T.fit_classifier(v.select("id", F.col("r").alias("x")), fake, "id", "x", [WIDTH, 16], epochs=3, lr=3e-3)
     return spark.createDataFrame(list(enumerate(history)), "epoch int, loss double")
 
 
@@ -182,8 +181,8 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
 def m15(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of a classifier that saw real attacks: an upper bound."""
     v = vectors(spark, d)
-    mlp, _ = T.fit_classifier(v.where("label = 0"), v.where("label = 1"), "id", "x", [WIDTH, 16], epochs=3, shards=4, lr=3e-3)
-    scored = M.mlp_forward(v, mlp, "id").join(v.select("id", "label").hint("merge"), "id")
+    mlp, _ = T.fit_classifier(v.where("label = 0"), v.where("label = 1"), "id", "x", [WIDTH, 16], epochs=3, lr=3e-3)
+    scored = M.mlp_forward(v, mlp, "id", keep=("label",))
     return ME.average_precision(scored.select("label", F.col("logit").cast("double").alias("s")), "s", "label")
 
 
@@ -194,8 +193,8 @@ def m16(spark: SparkSession, d: str) -> DataFrame:
     ben, att = v.where("label = 0"), v.where("label = 1")
 
     def refit(pool: DataFrame) -> M.Dense:
-        extra = U.replicate(ben.join(pool.select(F.col("key").alias("id")), "id", "left_semi"), 1)
-        return T.fit_classifier(ben.unionByName(extra), att, "id", "x", [WIDTH, 8], epochs=1, shards=4, lr=3e-3)[0]
+        extra = U.replicate(ben.join(pool.select(F.col("key").alias("id")).hint("merge"), "id", "left_semi"), 1)
+        return T.fit_classifier(ben.unionByName(extra), att, "id", "x", [WIDTH, 8], epochs=1, lr=3e-3)[0]
 
     score = lambda m: M.mlp_forward(ben, m, "id").select(F.col("id").alias("key"), "logit")
     gain = lambda m: -score(m).agg(F.avg((F.col("logit") >= 0.0).cast("double"))).first()[0]
@@ -209,11 +208,10 @@ def m17(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     parts = None
     for epoch in range(4):
-        p = M.mlp_forward(v, M.Dense.random([WIDTH, 8, 1], 10 + epoch), "id").select("id", F.lit(epoch).alias("epoch"), "logit")
+        p = M.mlp_forward(v, M.Dense.random([WIDTH, 8, 1], 10 + epoch), "id", keep=("label",)).select("label", F.lit(epoch).alias("epoch"), "logit")
         parts = p if parts is None else parts.unionByName(p)
-    y = v.select("id", "label")
     prob = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), 1 / (1 + F.exp(-F.col("logit").cast("double")))))
-    bce = parts.join(y.hint("merge"), "id").groupBy("epoch").agg(F.avg(-F.when(F.col("label") == 1, F.ln(prob)).otherwise(F.ln(1 - prob))).alias("bce"))
+    bce = parts.groupBy("epoch").agg(F.avg(-F.when(F.col("label") == 1, F.ln(prob)).otherwise(F.ln(1 - prob))).alias("bce"))
     stop = bce.agg(entropy_stop(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "bce"))), lambda s: s["bce"]), 2, 0.0).alias("stop"))
     return bce.crossJoin(F.broadcast(stop))  # one row
 
@@ -231,11 +229,11 @@ def m18(spark: SparkSession, d: str) -> DataFrame:
 @query("m19_leave_one_class_out_fit")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     """(excluded, recall): a classifier without one class, and how much of that class it still flags."""
-    e = vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cls")).hint("merge"), "id")
+    e = vectors(spark, d)
     out = []
     for c in sorted(r[0] for r in e.where("label = 1").select("cls").distinct().collect()):
         rest = e.where(F.col("cls") != c)
-        mlp, _ = T.fit_classifier(rest.where("label = 0"), rest.where("label = 1"), "id", "x", [WIDTH, 8], epochs=1, shards=4, lr=3e-3)
+        mlp, _ = T.fit_classifier(rest.where("label = 0"), rest.where("label = 1"), "id", "x", [WIDTH, 8], epochs=1, lr=3e-3)
         got = M.mlp_forward(e.where(F.col("cls") == c), mlp, "id").agg(F.avg((F.col("logit") > 0).cast("double"))).first()[0]
         out.append((int(c), got))
     return spark.createDataFrame(out, "excluded int, recall double")
@@ -248,15 +246,15 @@ def m20(spark: SparkSession, d: str) -> DataFrame:
     n = v.count()
     pools = U.three_pools(v, "id", "chain", n // 5, n // 9).persist()
     learn = pools.where("pool = 'gradient'").select("id", "x")
-    ae, history = T.fit_autoencoder(learn, "id", "x", [WIDTH, 32, LATENT], LINEAR, epochs=2, shards=4, lr=3e-3)
-    rec = learn.join(M.dae_forward(learn, ae, "id").hint("merge"), "id").select("id", "z", M.residual(F.col("yhat"), F.col("x")).alias("r")).persist()
+    ae, history = T.fit_autoencoder(learn, "id", "x", [WIDTH, 32, LATENT], LINEAR, epochs=2, lr=3e-3)
+    rec = M.dae_forward(learn, ae, "id", keep=("x",)).select("id", "z", M.residual(F.col("yhat"), F.col("x")).alias("r")).persist()
     wh = M.fit_whitening(rec, "r")
     mean, std = T.latent_scaler(rec, "z")
-    phi = rec.join(M.whiten(rec, wh, "id").hint("merge"), "id").select("id", M.standardise_array(F.col("z"), mean.tolist(), std.tolist()).cast("array<float>").alias("z"), F.col("w").alias("r")).persist()
-    fake = fakes(phi.select("id", "r"), "c").join(phi.select("id", "z").hint("merge"), "id").select("id", M.build_phi(F.col("z"), F.col("fake_r").cast("array<float>")).alias("x"))
-    clf, loss = T.fit_classifier(phi.select("id", M.build_phi(F.col("z"), F.col("r")).alias("x")), fake, "id", "x", [LATENT + WIDTH, 16], epochs=2, shards=4, lr=3e-3)
+    phi = M.whiten(rec, wh, "id", keep=("z",)).select("id", M.standardise_array(F.col("z"), mean.tolist(), std.tolist()).cast("array<float>").alias("z"), F.col("w").alias("r")).persist()
+    fake = fakes(phi.select("id", "r", "z"), "c").select("id", M.build_phi(F.col("z"), F.col("fake_r").cast("array<float>")).alias("x"))
+    clf, loss = T.fit_classifier(phi.select("id", M.build_phi(F.col("z"), F.col("r")).alias("x")), fake, "id", "x", [LATENT + WIDTH, 16], epochs=2, lr=3e-3)
     s = M.score_flows(pools.where("pool = 'select'"), ae, wh, mean, std, clf, "id")
-    q = s.agg(F.percentile("s_dae", F.lit(0.97)).alias("tau"), F.percentile("logit", F.lit(0.99)).alias("theta")).first()
+    q = {"tau": column_quantiles(s, "s_dae", [0.97]).first()["q"][0], "theta": column_quantiles(s, "logit", [0.99]).first()["q"][0]}
     for df in (pools, rec, phi):
         df.unpersist()
     rows = [("first stage loss", history[-1]), ("second stage loss", loss[-1]), ("shrinkage", wh.shrinkage), ("tau", q["tau"]), ("theta", q["theta"])]

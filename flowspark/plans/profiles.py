@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import profile as P
+from ..operators.audit import next_value
 from .flow_view import flows, table, with_flows
 from .registry import query
 
@@ -139,13 +140,18 @@ def seed_objective(df: DataFrame, valid, k: float) -> DataFrame:
 @query("a17_es_aggregate", f"WITH {_TRIALS} SELECT seed, round(median(metric), 6) AS median_delta, round(min(metric), 6) AS min_delta, round(median(trial), 6) AS median_stop, round(stddev_pop(trial), 6) AS std_stop, count(*) FILTER (metric > 0.4) AS n_censored FROM trials GROUP BY seed")
 def a17(spark: SparkSession, d: str) -> DataFrame:
     m, t = F.col("metric"), F.col("trial")
-    return trials(spark, d).groupBy("seed").agg(R(F.median(m)).alias("median_delta"), R(F.min(m)).alias("min_delta"), R(F.median(t)).alias("median_stop"), R(F.stddev_pop(t)).alias("std_stop"), F.count_if(m > 0.4).alias("n_censored"))
+    df = trials(spark, d)
+    middle = P.quantiles(df, ["metric", "trial"], [0.5], ["seed"]).groupBy("seed").pivot("feature", ["metric", "trial"]).agg(F.max(F.col("q")[0]))
+    middle = middle.select("seed", R(F.col("metric")).alias("median_delta"), R(F.col("trial")).alias("median_stop"))
+    return middle.join(df.groupBy("seed").agg(R(F.min(m)).alias("min_delta"), R(F.stddev_pop(t)).alias("std_stop"), F.count_if(m > 0.4).alias("n_censored")).hint("shuffle_hash"), "seed")
 
 
 @query("a18_loao_over_seeds", f"WITH {_TRIALS} SELECT seed, round(avg(metric), 6) AS mean, round(stddev_pop(metric), 6) AS std, round(median(metric), 6) AS median, round(avg(CASE WHEN metric >= 0.35 THEN 1.0 ELSE 0.0 END), 6) AS covered FROM trials GROUP BY seed")
 def a18(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("metric")
-    return trials(spark, d).groupBy("seed").agg(R(F.avg(m)).alias("mean"), R(F.stddev_pop(m)).alias("std"), R(F.median(m)).alias("median"), R(F.avg((m >= 0.35).cast("double"))).alias("covered"))
+    df = trials(spark, d)
+    middle = P.group_quantiles(df, ["seed"], "metric", [0.5]).select("seed", R(F.col("q")[0]).alias("median"))
+    return middle.join(df.groupBy("seed").agg(R(F.avg(m)).alias("mean"), R(F.stddev_pop(m)).alias("std"), R(F.avg((m >= 0.35).cast("double"))).alias("covered")).hint("shuffle_hash"), "seed")
 
 
 @query("a19_micro_macro_dr", with_flows(", c AS (SELECT attack, avg(CASE WHEN logit > 0 THEN 1.0 ELSE 0.0 END) AS dr, count(*) AS n FROM flows WHERE label = 1 GROUP BY attack) SELECT round(sum(dr * n) / sum(n), 6) AS micro, round(avg(dr), 6) AS macro FROM c"))
@@ -172,7 +178,7 @@ SELECT l.l_returnflag, l.l_linestatus, round(avg(l_quantity), 6) AS mean, round(
 FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag AND l.l_linestatus = q.l_linestatus GROUP BY ALL""")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     df, keys = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
-    q = df.groupBy(*keys).agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = P.group_quantiles(df, keys, "l_extendedprice", [0.25, 0.75])
     top = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
     got = df.join(F.broadcast(q), keys)  # one row per pair of flags
     x = F.col("l_extendedprice")
@@ -258,10 +264,11 @@ def exact_ranks(df: DataFrame, value: str, tie: str, rank: str, descending: bool
     """
     keys = keys or []
     key = -F.col(value) if descending else F.col(value)
-    keyed = df.withColumn("_k", key)
-    counts = P.prefix_sum(keyed.groupBy(*keys, "_k").agg(F.count("*").alias("_n")), "_k", {"_n": "_before"}, keys).drop("_n")
-    place = F.row_number().over(W.partitionBy(*keys, "_k").orderBy(tie))
-    return keyed.join(counts.hint("shuffle_hash"), [*keys, "_k"]).withColumn(rank, (F.col("_before") + place).cast("long")).drop("_k", "_before")
+    k, n, before = P.apart([*df.columns, rank], "key", "n", "before")
+    keyed = df.withColumn(k, key)
+    counts = P.prefix_sum(keyed.groupBy(*keys, k).agg(F.count("*").alias(n)), k, {n: before}, keys).drop(n)
+    place = F.row_number().over(W.partitionBy(*keys, k).orderBy(tie))
+    return keyed.join(counts.hint("shuffle_hash"), [*keys, k]).select(*df.columns, (F.col(before) + place).cast("long").alias(rank))
 
 
 @query("w04_rank_movement", f"WITH {_T2} SELECT trial, row_number() OVER (ORDER BY m DESC, trial) - row_number() OVER (ORDER BY s, trial) AS movement FROM t")
@@ -315,16 +322,16 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w14_widest_gap_threshold", f"WITH {_T2}, g AS (SELECT m, lead(m) OVER (ORDER BY m) AS next FROM (SELECT DISTINCT round(m, 4) AS m FROM t)) SELECT round((m + next) / 2, 6) AS threshold FROM g WHERE next IS NOT NULL ORDER BY round(next - m, 9) DESC, m LIMIT 1")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    """The number of distinct values (four decimals in a band) bounds the one window."""
     v = _per_trial(spark, d).select(F.round("m", 4).alias("m")).distinct()
-    g = v.select("m", F.lead("m").over(W.orderBy("m")).alias("next")).where("next IS NOT NULL")
+    g = next_value(v, "m", [], "next").where("next IS NOT NULL")
     best = g.agg(F.max(F.struct(F.round(F.col("next") - F.col("m"), 9).alias("gap"), (-F.col("m")).alias("back"), "next")).alias("b"))
     return best.select(R((F.col("b.next") - F.col("b.back")) / 2).alias("threshold"))
 
 
 @query("w15_graded_holes", f"WITH {_TRIALS}, c AS (SELECT trial % 7 AS model, seed AS class, median(metric) AS dr FROM trials GROUP BY 1, 2), x AS (SELECT *, max(dr) OVER (PARTITION BY class) AS best FROM c) SELECT model, count(*) FILTER (dr < 0.375) AS holes, count(*) FILTER (dr >= 0.375) AS covered FROM x WHERE best >= 0.375 GROUP BY model")
 def w15(spark: SparkSession, d: str) -> DataFrame:
-    c = trials(spark, d).groupBy((F.col("trial") % 7).alias("model"), F.col("seed").alias("class")).agg(F.median("metric").alias("dr"))
+    t = trials(spark, d).select((F.col("trial") % 7).alias("model"), F.col("seed").alias("class"), "metric")
+    c = P.group_quantiles(t, ["model", "class"], "metric", [0.5]).select("model", "class", F.col("q")[0].alias("dr"))
     x = c.withColumn("best", F.max("dr").over(W.partitionBy("class"))).where("best >= 0.375")
     return x.groupBy("model").agg(F.count_if(F.col("dr") < 0.375).alias("holes"), F.count_if(F.col("dr") >= 0.375).alias("covered"))
 

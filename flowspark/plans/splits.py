@@ -96,11 +96,11 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return U.partner_join(flows(spark, d).select("flow_id", "logit"), "flow_id", "swap", ["flow_id", "logit"])
 
 
-@query("j12_nn_distance_join", "SELECT a.vec_id AS id, round(min(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 10 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
+@query("j12_nn_distance_join", "SELECT a.vec_id AS id, round(min(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS distance FROM embeddings a, embeddings b WHERE b.label % 5 <> 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    """The reference is every tenth vector: a stated reference set against all rows, in blocks."""
+    """All vectors against the benign ones (classes that are no multiple of five)."""
     e = table(spark, d, "embeddings")
-    return J.nearest_distance(e, e.where("vec_id % 10 = 0"), "vec_id", "embedding", leave_self=True).select("id", R(F.col("distance"), 4).alias("distance"))
+    return J.nearest_distance(e, e.where("label % 5 <> 0"), "vec_id", "embedding", leave_self=True).select("id", R(F.col("distance"), 4).alias("distance"))
 
 
 @query("j13_broadcast_params", with_flows(", p AS (SELECT avg(logit) AS mu, stddev_pop(logit) AS sd FROM flows WHERE label = 0 AND pool = 'train') SELECT flow_id, round((logit - mu) / sd, 6) AS z FROM flows, p"))
@@ -110,13 +110,19 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return df.crossJoin(F.broadcast(p)).select("flow_id", R((F.col("logit") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
-@query("j14_knn_swap_pool", "SELECT a.vec_id AS id, b.vec_id AS partner, b.label AS partner_label FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)")
+_NEAR = "SELECT a.vec_id AS id, b.vec_id AS partner, b.label AS partner_label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS place FROM embeddings a JOIN embeddings b ON b.label % 5 <> 0 AND a.vec_id <> b.vec_id"
+
+
+@query("j14_knn_swap_pool", f"SELECT id, partner, partner_label FROM ({_NEAR}) WHERE place = 1 + {_h('id', 'knn')} % 5")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    """The partner is taken from a list of neighbours that the caller gives."""
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    n = e.count()
-    mine = e.select(F.col("vec_id").alias("id"), F.array((F.col("vec_id") * 7 + 3) % n, (F.col("vec_id") * 5 + 1) % n).alias("nn"))
-    return mine.select("id", F.element_at("nn", 1).alias("partner")).join(e.select(F.col("vec_id").alias("partner"), F.col("label").alias("partner_label")).hint("shuffle_hash"), "partner").select("id", "partner", "partner_label")
+    """Each vector swaps with one of its five nearest benign ones, picked by a hash."""
+    from ..functions.scalars import hash32
+
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    near = J.nearest(e, e.where("label % 5 <> 0"), "vec_id", "embedding", 5, leave_self=True)
+    pick = near.select("id", F.element_at("nearest", (1 + hash32(F.col("id"), "knn") % 5).cast("int"))["nearest"].alias("partner"))
+    labels = e.select(F.col("vec_id").alias("partner"), F.col("label").alias("partner_label"))
+    return pick.join(labels.hint("merge"), "partner").select("id", "partner", "partner_label")
 
 
 @query("j15_seed_map_join", _TRIALS + f", p AS (SELECT trial, seed, row_number() OVER (PARTITION BY trial ORDER BY {_h('(trial * 100 + seed)', 'perm')}) AS place FROM trials), e AS (SELECT trial, metric, row_number() OVER (PARTITION BY trial ORDER BY seed) AS place FROM trials) SELECT trial, p.seed, round(metric, 6) AS metric FROM e JOIN p USING (trial, place)")
@@ -194,8 +200,8 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
 @query("u06_benign_80_20", with_flows(f"SELECT flow_id, CASE WHEN {_PLACE('b82')} <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'select' END AS part FROM flows WHERE label = 0"))
 def u06(spark: SparkSession, d: str) -> DataFrame:
     df = flows(spark, d).where("label = 0").select("flow_id")
-    n = df.count()
-    return U.places(df, "flow_id", "b82").select("flow_id", F.when(F.col("place") <= int(n * 0.8), "train").otherwise("select").alias("part"))
+    n = df.agg(F.count("*").alias("n"))  # one row
+    return U.places(df, "flow_id", "b82").crossJoin(F.broadcast(n)).select("flow_id", F.when(F.col("place") <= F.floor(F.col("n") * 0.8), "train").otherwise("select").alias("part"))
 
 
 @query("u07_three_pool_partition", with_flows(f"SELECT flow_id, CASE WHEN {_PLACE('pools')} <= 2000 THEN 'select' WHEN {_PLACE('pools')} <= 3100 THEN 'monitor' ELSE 'gradient' END AS pool FROM flows"))

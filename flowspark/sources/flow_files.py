@@ -15,10 +15,19 @@ ANCHORS = ("IN_BYTES", "OUT_BYTES")
 def read_flows_csv(spark: SparkSession, path: str, columns: list[str] | None = None, labelled: bool = True) -> DataFrame:
     """A CSV file, folder or glob with a header; gzip by its suffix, bad bytes replaced.
 
-    Files of a folder may each have the header; asking for columns prunes the parse.
+    Columns are taken by the names of the header, in whatever order, and come in the order of the
+    contract. A header with unknown or repeated names, or without a column of the contract, is an
+    error; so is a folder whose files have different headers (Spark compares each with the first).
+    Asking for columns prunes the parse.
     """
-    df = spark.read.schema(raw_schema(labelled)).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return df.select(*columns) if columns else df
+    known = {f.name: f for f in raw_schema(labelled)}
+    header = spark.read.option("header", True).csv(path).columns  # the first line of one file
+    unknown, missing = sorted(set(header) - set(known)), [c for c in known if c not in header]
+    if unknown or missing or len(header) != len(known):
+        raise ValueError(f"header of {path}: unknown columns {unknown}, missing columns {missing}")
+    schema = T.StructType([known[c] for c in header])
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
+    return df.select(*(columns or known))
 
 
 def without_nan(df: DataFrame) -> DataFrame:

@@ -51,32 +51,48 @@ REFERENCE_BENIGN, REFERENCE_ATTACKS = 1_775_098, 1_046_755
 PERCENTILE_GRID = [90.0, 92.0, 94.0, 95.0, 96.0, 97.0, 98.0, 99.0, 99.3, 99.5, 99.7, 99.9]
 CLIP = (-10.0, 10.0)
 SKEW_LIMIT, RHO_LIMIT, RHO_LABEL_LIMIT, VARIANCE_LIMIT = 5.0, 0.90, 0.10, 0.5
+# the columns of a capture, in the order in which they are exported
+RAW_COLUMNS = [
+    "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_SRC_PORT", "L4_DST_PORT", "PROTOCOL", "L7_PROTO", "IN_BYTES", "OUT_BYTES", "IN_PKTS",
+    "OUT_PKTS", "FLOW_DURATION_MILLISECONDS", "TCP_FLAGS", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS", "DURATION_IN", "DURATION_OUT",
+    "MIN_TTL", "MAX_TTL", "LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN", "SRC_TO_DST_SECOND_BYTES",
+    "DST_TO_SRC_SECOND_BYTES", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS", "RETRANSMITTED_OUT_BYTES", "RETRANSMITTED_OUT_PKTS",
+    "SRC_TO_DST_AVG_THROUGHPUT", "DST_TO_SRC_AVG_THROUGHPUT", "NUM_PKTS_UP_TO_128_BYTES", "NUM_PKTS_128_TO_256_BYTES",
+    "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_512_TO_1024_BYTES", "NUM_PKTS_1024_TO_1514_BYTES", "TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT",
+    "ICMP_TYPE", "ICMP_IPV4_TYPE", "DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER", "FTP_COMMAND_RET_CODE",
+    "FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS", "SRC_TO_DST_IAT_MIN", "SRC_TO_DST_IAT_MAX", "SRC_TO_DST_IAT_AVG",
+    "SRC_TO_DST_IAT_STDDEV", "DST_TO_SRC_IAT_MIN", "DST_TO_SRC_IAT_MAX", "DST_TO_SRC_IAT_AVG", "DST_TO_SRC_IAT_STDDEV",
+]
+LABELS = ["Label", "Attack"]
+# pool -> share of the rows, and at least and at most so many
+POOL_ROWS = {"select": (0.20, 50_000, 355_000), "monitor": (0.11, 30_000, 200_000)}
+DNS_TYPES = {"dns_type_a": 1, "dns_type_aaaa": 28}
 # ------------------------------------------------------------------------------------------
 
 PORT_FEATURES = [*PORT_BUCKETS, "port_other_low", "port_high"]
-BINARY = [
-    "proto_tcp", "proto_udp", "proto_other", *PORT_FEATURES, *[f"l7_{v}" for v in L7_VALUES], "l7_other",
-    "is_dns_flow", "dns_type_a", "dns_type_aaaa", "dns_type_other",
-    *[f"client_{b}" for b in FLAG_BITS], *[f"server_{b}" for b in SERVER_FLAG_BITS], *ICMP_BUCKETS, *PRESENCE_FLAGS.values(),
-]
+#: what each encoder makes, by the family that it is reported under; the order is that of the models' inputs
+BINARY_FAMILIES = {
+    "protocol": ["proto_tcp", "proto_udp", "proto_other"], "port": PORT_FEATURES, "application": [*[f"l7_{v}" for v in L7_VALUES], "l7_other"],
+    "DNS": ["is_dns_flow", *DNS_TYPES, "dns_type_other"], "client TCP flags": [f"client_{b}" for b in FLAG_BITS],
+    "server TCP flags": [f"server_{b}" for b in SERVER_FLAG_BITS], "ICMP": ICMP_BUCKETS, "field presence": [*PRESENCE_FLAGS.values()],
+}
+BINARY = [name for names in BINARY_FAMILIES.values() for name in names]
+_BOTH = lambda *names: [f"{side}_{n}" for side in ("SRC_TO_DST", "DST_TO_SRC") for n in names]
+RAW_FAMILIES = {
+    "port": ["L4_SRC_PORT", "L4_DST_PORT"],
+    "volume": ["IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", *[f"RETRANSMITTED_{s}_{u}" for s in ("IN", "OUT") for u in ("BYTES", "PKTS")], *[c for c in RAW_COLUMNS if c.startswith("NUM_PKTS")]],
+    "duration": ["FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT"],
+    "throughput": _BOTH("SECOND_BYTES", "AVG_THROUGHPUT"),
+    "inter-arrival": _BOTH("IAT_MIN", "IAT_MAX", "IAT_AVG", "IAT_STDDEV"),
+    "packet size": ["LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN"],
+    "TTL": ["MIN_TTL", "MAX_TTL"], "TCP window": ["TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT"], "DNS": ["DNS_TTL_ANSWER"],
+}
+FAMILY = {name: family for table in (RAW_FAMILIES, BINARY_FAMILIES) for family, names in table.items() for name in names}
 FEATURES = [*CONTINUOUS, *BINARY]
 
 _STRINGS = ("IPV4_SRC_ADDR", "IPV4_DST_ADDR", "Attack")
 _INTS = ("L4_SRC_PORT", "L4_DST_PORT", "PROTOCOL")
 _DOUBLES = ("L7_PROTO", "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES")
-RAW_COLUMNS = [
-    "FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS", "IPV4_SRC_ADDR", "L4_SRC_PORT", "IPV4_DST_ADDR", "L4_DST_PORT",
-    "PROTOCOL", "L7_PROTO", "IN_BYTES", "IN_PKTS", "OUT_BYTES", "OUT_PKTS", "TCP_FLAGS", "CLIENT_TCP_FLAGS",
-    "SERVER_TCP_FLAGS", "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT", "MIN_TTL", "MAX_TTL",
-    "LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN", "SRC_TO_DST_SECOND_BYTES",
-    "DST_TO_SRC_SECOND_BYTES", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS", "RETRANSMITTED_OUT_BYTES",
-    "RETRANSMITTED_OUT_PKTS", "SRC_TO_DST_AVG_THROUGHPUT", "DST_TO_SRC_AVG_THROUGHPUT", "NUM_PKTS_UP_TO_128_BYTES",
-    "NUM_PKTS_128_TO_256_BYTES", "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_512_TO_1024_BYTES",
-    "NUM_PKTS_1024_TO_1514_BYTES", "TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT", "ICMP_TYPE", "ICMP_IPV4_TYPE", "DNS_QUERY_ID",
-    "DNS_QUERY_TYPE", "DNS_TTL_ANSWER", "FTP_COMMAND_RET_CODE", "SRC_TO_DST_IAT_MIN", "SRC_TO_DST_IAT_MAX",
-    "SRC_TO_DST_IAT_AVG", "SRC_TO_DST_IAT_STDDEV", "DST_TO_SRC_IAT_MIN", "DST_TO_SRC_IAT_MAX", "DST_TO_SRC_IAT_AVG",
-    "DST_TO_SRC_IAT_STDDEV",
-]
 EXPECTED_INPUTS = sorted({*CONTINUOUS, "PROTOCOL", "L7_PROTO", "DNS_QUERY_TYPE", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS", "ICMP_TYPE", "ICMP_IPV4_TYPE"})
 
 
@@ -85,7 +101,4 @@ def raw_schema(labelled: bool = True) -> T.StructType:
     def kind(c: str) -> T.DataType:
         return T.StringType() if c in _STRINGS else T.IntegerType() if c in _INTS else T.DoubleType() if c in _DOUBLES else T.LongType()
 
-    fields = [T.StructField(c, kind(c)) for c in RAW_COLUMNS]
-    if labelled:
-        fields += [T.StructField("Label", T.ByteType()), T.StructField("Attack", T.StringType())]
-    return T.StructType(fields)
+    return T.StructType([T.StructField(c, T.ByteType() if c == "Label" else kind(c)) for c in [*RAW_COLUMNS, *(LABELS if labelled else [])]])

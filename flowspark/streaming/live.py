@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.encode import feature_family
-from ..operators.profile import confusion_counts
+from ..operators.profile import apart, confusion_counts
 from ..operators.scoring import explained
 
 
@@ -75,8 +75,18 @@ def score_to_alerts(stream: DataFrame, score: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that has arrived, as the rows that the stream wrote (an in-memory table: reports and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, sink: str, mode: str, checkpoint: str) -> DataFrame:
+    """All that has arrived, as the rows that the stream wrote to the folder `sink`.
+
+    Each batch has its own folder, which a repeated batch overwrites; in complete mode the last batch is
+    the result, in update mode the number of the batch is a column. Nothing passes through the driver.
+    """
+    spark, name = stream.sparkSession, apart(stream.columns, "batch")[0]
+    spark.createDataFrame([], stream.schema).write.parquet(f"{sink}/{name}=-1")  # a stream without rows has a result too
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/{name}={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(sink).where(f"`{name}` >= 0")
+    return got if mode == "update" else got.select(stream.columns)

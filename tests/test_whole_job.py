@@ -39,7 +39,7 @@ def test_ema_folds_one_rate_per_batch(spark, tmp_path):
         spark.createDataFrame([("s", float(x)) for x in bits], "sensor string, rate double").coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
         rates[b] = sum(bits) / len(bits)
     stream = live.stream_flows(spark, f"{tmp_path}/in/*", "sensor string, rate double")
-    got = live.run_available(live.stream_ema(stream, "sensor", "rate"), "ema_test", "update", f"{tmp_path}/at").collect()
+    got = live.run_available(live.stream_ema(stream, "sensor", "rate"), f"{tmp_path}/out", "update", f"{tmp_path}/at").orderBy("batch").collect()
     want, now = [], None
     for r in rates.values():
         now = r if now is None else 0.7 * now + 0.3 * r
