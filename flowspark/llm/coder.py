@@ -1,25 +1,30 @@
-"""Token ids in a compressed binary format: an adaptive range coder with escape selection.
-
-Ids are written in blocks of BLOCK_IDS; every block is coded alone (its models start anew)
-and carries its length, the number of its ids and a CRC-32. Within a block three
-predictions meet: order 2 (the id that followed the last two ids when they were last seen),
-order 1 (the id that followed the last one), and order 0. Adaptive frequencies, by how well
-orders 2 and 1 have done lately, tell which of them is right; an id that neither foresees is
-coded by adaptive order-0 frequencies of its upper and its lower byte. The orders are selected, not mixed
-into one distribution. The symbols go
-through a 32-bit range coder with carry-less renormalisation.
-
-All blocks of a task are coded side by side: one numpy step codes the next id of every block,
-so that no Python code runs per id. The file is a table in the shared folder: rows (part,
-block, first document, sizes, payload), parts in ascending order of ids.
+"""Token ids in a compressed binary format: an adaptive range coder that mixes three orders.
+
+The distribution of the next id is a weighted sum of three predictions. Order 2 and order 1
+each name the id that last followed the last two ids and the last one, with how often that has held
+of late; order 0 is a frequency of every id. The weights adapt: after each id every prediction's
+weight moves towards its share of the probability that the id had, apart for each of 32
+states of agreement. Sums of integers stand for the distribution, so that encoder and decoder agree
+to the bit; ids keep their natural order in it, and an id that several orders foresee has one
+interval, as wide as their predictions together. The interval narrows a 48-bit range coder whose
+carries are settled at the end.
+
+Ids are coded in blocks of BLOCK_IDS. Every block starts anew: empty orders 1 and 2, first
+weights, and the order-0 frequencies of its frame; it carries the number of its ids and a CRC-32. A
+frame is a few hundred blocks of whole documents; its first row holds the documents' ids and
+lengths and the frequencies of ids in it, in quarter powers of two.
+
+All blocks of a frame are coded side by side: one numpy step codes the next id of every block,
+so that no Python code runs per id. The file is a table in the shared folder: rows (part, frame,
+block, ids before it in the part, sizes, payload), parts in ascending order of ids.
 
 Null texts are empty texts: the end id alone. Null document ids sort first; rows with equal
-ids sort by text. An empty table gives an empty file.
+ids sort by text. An empty table gives an empty file. A document is never cut between frames: a frame
+of one very long text is as large as that text. More than 2**19 different ids in one frame are refused.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,260 +32,259 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .shared import shuffle_partitions, table_path
-from .words import slices
+from .shared import column, shuffle_partitions, small_batches, table_path
+from .token_counts import ChunkIds
+from .words import sliced
 
-BLOCK_IDS, SLOTS, REBUILD = 4096, 4096, 64
+BLOCK_IDS, SLOTS = 4096, 4096
 #: Ids that one call codes at a time, in blocks side by side.
-BATCH_IDS = 4_000_000
-_TOP, _BOT = np.uint64(1 << 24), np.uint64(1 << 16)
-_MASK = np.uint64(0xFFFFFFFF)
-FIELDS = "part int, block int, n_ids int, n_docs int, crc long, doc_ids binary, lengths binary, payload binary"
-
-
-class _Models:
-    """The models of many blocks side by side."""
+FRAME_IDS = 3_000_000
+#: Order-0 frequencies add up to 2**ORDER0; weights to 2**16; a weight moves by 2**-RATE of its way.
+ORDER0, RATE = 20, 5
+FIELDS = "part int, frame int, block int, first long, n_ids int, n_docs int, crc long, doc_ids binary, no_id binary, lengths binary, prior binary, payload binary"
+_COUNT = np.asarray([int(2 ** (k / 4)) for k in range(248)], np.int64)
+_LEAST = 1 << 32
+
+
+class Prior:
+    """Order-0 frequencies: of each id, of all ids below it, and the id at each place."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        some = np.flatnonzero(counts)
+        if len(some) > 1 << (ORDER0 - 1):
+            raise ValueError(f"{len(some)} different ids in a frame; at most {1 << (ORDER0 - 1)} can be coded")
+        c = counts[some].astype(np.int64)
+        f = 1 + c * ((1 << ORDER0) - len(some)) // max(1, int(c.sum()))
+        if len(f):
+            f[np.argmax(f)] += (1 << ORDER0) - f.sum()
+        self.freq = np.zeros(len(counts) + 1, np.int64)  # the last one, also index -1, is what an empty slot foresees
+        self.freq[some] = f
+        self.below = np.cumsum(self.freq) - self.freq
+        self.below[-1] = 0
+        self.at = np.repeat(some, f)
+
+    @classmethod
+    def uniform(cls, size: int = 65536) -> Prior:
+        return cls(np.ones(size, np.int64))
+
+    @staticmethod
+    def packed(ids: np.ndarray) -> bytes:
+        """The ids that occur and their counts, rounded down to quarter powers of two."""
+        counts = np.bincount(ids)
+        some = np.flatnonzero(counts)
+        level = np.searchsorted(_COUNT, counts[some], side="right") - 1
+        gaps = np.diff(some, prepend=-1).astype("<u4").view(np.uint8).reshape(-1, 4).T
+        return zlib.compress(gaps.tobytes() + level.astype(np.uint8).tobytes(), 9)
+
+    @classmethod
+    def unpacked(cls, data: bytes | None) -> Prior:
+        if data is None:
+            return cls.uniform()
+        raw = np.frombuffer(zlib.decompress(data), np.uint8)
+        n = len(raw) // 5
+        some = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64)) - 1
+        counts = np.zeros(int(some[-1]) + 1 if n else 1, np.int64)
+        counts[some] = _COUNT[raw[4 * n :]]
+        return cls(counts)
+
+
+# fixed values: first weights of orders 1 and 2 in percent, by how often each has held (0: no prediction yet, 3:
+# thrice or more); a pair for predictions that differ and one for predictions that agree
+_FIRST = {
+    (0, 0): ((0, 0), (0, 0)), (0, 1): ((0, 30), (0, 54)), (0, 2): ((0, 75), (0, 78)), (0, 3): ((0, 85), (0, 90)),
+    (1, 0): ((5, 0), (15, 0)), (1, 1): ((3, 4), (5, 12)), (1, 2): ((12, 43), (2, 38)), (1, 3): ((19, 60), (19, 70)),
+    (2, 0): ((28, 0), (40, 0)), (2, 1): ((24, 2), (18, 22)), (2, 2): ((14, 50), (12, 41)), (2, 3): ((6, 80), (18, 67)),
+    (3, 0): ((61, 0), (60, 0)), (3, 1): ((54, 3), (32, 40)), (3, 2): ((22, 63), (19, 65)), (3, 3): ((9, 80), (18, 67)),
+}
+_START = np.asarray([[w * 65536 // 100 for w in _FIRST[n1, n2][same]] for n1 in range(4) for n2 in range(4) for same in range(2)], np.int64)
+
+
+class _Mixer:
+    """The three orders and their weights, for many blocks side by side.
+
+    A slot of orders 1 and 2 holds an id and, in its last two bits, how often it has held.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = np.arange(lanes)
-        self.one = np.zeros(lanes * SLOTS, np.uint16)
-        self.two = np.zeros(lanes * SLOTS, np.uint16)
-        self.lately = np.zeros(lanes, np.int64)  # 0-15: which orders were right lately
-        self.which = np.ones((lanes, 16, 3), np.int64) * np.asarray([1, 1, 2])
-        self.count = np.ones((2, lanes, 256), np.int64)
-        self.total = np.empty((2, lanes, 257), np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        self.total[:, :, 0] = 0
-        np.cumsum(self.count, axis=2, out=self.total[:, :, 1:])
-
-    def predictions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.last
-        at1 = self.lanes * SLOTS + (b * 40503 & (SLOTS - 1))
-        at2 = self.lanes * SLOTS + ((a * 48271 + b * 40503 >> 3) & (SLOTS - 1))
-        return at1, at2, self.one[at1].astype(np.int64), self.two[at2].astype(np.int64)
-
-    def learn(self, k: int, active: np.ndarray, ids: np.ndarray, at1: np.ndarray, at2: np.ndarray, kind: np.ndarray) -> None:
-        n = len(active)
-        self.one[at1], self.two[at2] = ids, ids
-        self.which[active, self.lately[:n], kind] += 24
-        full = self.which[active, self.lately[:n]].sum(axis=1) > 8000
-        if full.any():
-            rows = active[full]
-            self.which[rows, self.lately[:n][full]] = (self.which[rows, self.lately[:n][full]] >> 1) | 1
-        self.lately[:n] = (self.lately[:n] * 4 + kind) & 15
-        miss = active[kind == 2]
-        value = ids[kind == 2]
-        self.count[0, miss, value >> 8] += 8
-        self.count[1, miss, value & 255] += 8
-        self.last[0, :n], self.last[1, :n] = self.last[1, :n], ids
-        if (k + 1) % REBUILD == 0:
-            self.rebuild()
+        self.slot, self.state = np.arange(lanes) * SLOTS, np.arange(lanes) * 32
+        self.one, self.two = np.full(lanes * SLOTS, -4, np.int32), np.full(lanes * SLOTS, -4, np.int32)
+        self.w1, self.w2 = np.tile(_START[:, 0], lanes), np.tile(_START[:, 1], lanes)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def shrink(self, n: int) -> None:
         """Only the first n blocks go on."""
-        if n < len(self.lanes):
-            self.lanes = self.lanes[:n]
-            self.one, self.two = self.one[: n * SLOTS], self.two[: n * SLOTS]
-            self.lately, self.which, self.last = self.lately[:n], self.which[:n], self.last[:, :n]
-            self.count, self.total = self.count[:, :n], self.total[:, :n]
-
-
-class _Encoder:
-    def __init__(self, lanes: int, room: int) -> None:
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _MASK)
-        self.out = np.zeros((lanes, room), np.uint8)
-        self.size = np.zeros(lanes, np.int64)
-
-    def put(self, at: np.ndarray, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        low, rng = self.low[at], self.range[at]
-        rng = rng // total.astype(np.uint64)
-        low = low + start.astype(np.uint64) * rng
-        rng = rng * width.astype(np.uint64)
-        todo = np.arange(len(at))
-        while True:
-            l, r = low[todo], rng[todo]
-            same = (l ^ (l + r)) < _TOP
-            tight = ~same & (r < _BOT)
-            some = same | tight
-            if not some.any():
-                break
-            todo, l, r, tight = todo[some], l[some], r[some], tight[some]
-            r = np.where(tight, (~l + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            lanes = at[todo]
-            self.out[lanes, self.size[lanes]] = (l >> np.uint64(24)).astype(np.uint8)
-            self.size[lanes] += 1
-            low[todo], rng[todo] = (l << np.uint64(8)) & _MASK, (r << np.uint64(8)) & _MASK
-        self.low[at], self.range[at] = low & _MASK, rng
-
-    def end(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.out[lanes, self.size] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.size += 1
-            self.low = (self.low << np.uint64(8)) & _MASK
-        return [self.out[i, : self.size[i]].tobytes() for i in range(len(lanes))]
-
-
-class _Decoder:
-    def __init__(self, payloads: list[bytes]) -> None:
-        size = np.asarray([len(p) for p in payloads], np.int64)
-        self.at = np.cumsum(size + 8) - (size + 8)
-        self.data = np.frombuffer(b"".join(p + bytes(8) for p in payloads), np.uint8)
-        lanes = len(payloads)
-        self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, _MASK), np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.code = (self.code << np.uint64(8)) | self.data[self.at]
-            self.at += 1
-
-    def target(self, at: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range[at] // total.astype(np.uint64)
-        return np.minimum(((self.code[at] - self.low[at]) & _MASK) // self.unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(self, at: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        low = self.low[at] + start.astype(np.uint64) * self.unit
-        rng = self.unit * width.astype(np.uint64)
-        todo = np.arange(len(at))
-        while True:
-            l, r = low[todo], rng[todo]
-            same = (l ^ (l + r)) < _TOP
-            tight = ~same & (r < _BOT)
-            some = same | tight
-            if not some.any():
-                break
-            todo, l, r, tight = todo[some], l[some], r[some], tight[some]
-            r = np.where(tight, (~l + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            lanes = at[todo]
-            self.code[lanes] = ((self.code[lanes] << np.uint64(8)) & _MASK) | self.data[self.at[lanes]]
-            self.at[lanes] += 1
-            low[todo], rng[todo] = (l << np.uint64(8)) & _MASK, (r << np.uint64(8)) & _MASK
-        self.low[at], self.range[at] = low & _MASK, rng
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block of ids (below 65536)."""
+        if n < len(self.slot):
+            self.slot, self.state, self.last, self.before = self.slot[:n], self.state[:n], self.last[:n], self.before[:n]
+
+    def predict(self) -> None:
+        """c1, c2: what orders 1 and 2 foresee; m0 for each order-0 frequency, m1, m2: what they add; total: the whole."""
+        near = self.last * 40503
+        self.h1 = (near & (SLOTS - 1)) + self.slot
+        self.h2 = ((self.before * 48271 + near >> 3) & (SLOTS - 1)) + self.slot
+        self.v1, self.v2 = self.one.take(self.h1).astype(np.int64), self.two.take(self.h2).astype(np.int64)
+        self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2
+        self.n1, self.n2 = self.v1 & 3, self.v2 & 3
+        self.now = (self.n1 << 3) + (self.n2 << 1) + (self.c1 == self.c2) + self.state
+        w1, w2 = self.w1.take(self.now), self.w2.take(self.now)
+        self.m0 = (65536 - w1 - w2 >> 8) + 1
+        self.m1, self.m2 = (w1 + 8) << 12, (w2 + 8) << 12
+        self.total = (self.m0 << ORDER0) + self.m1 + self.m2
+        self.weights = w1, w2
+
+    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, width: np.ndarray) -> None:
+        part = 65536.0 / width
+        for w, all_w, m, hit in zip(self.weights, (self.w1, self.w2), (self.m1, self.m2), (hit1, hit2)):
+            share = (m * part * hit).astype(np.int64)
+            all_w[self.now] = w + (share - w >> RATE)
+        fresh = (ids << 2) + 1
+        for table, h, v, n, hit in ((self.one, self.h1, self.v1, self.n1, hit1), (self.two, self.h2, self.v2, self.n2, hit2)):
+            table[h] = np.where(hit, v + (n < 3), np.where(n > 1, v - 1, fresh))
+        self.before, self.last = self.last, ids
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of integers below 2**49 with a quotient below 2**30: exact in doubles, and faster than division of integers."""
+    return (a / b).astype(np.int64)
+
+
+def _grid(blocks: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(blocks from the longest on, their sizes, their ids step by step)."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    n = np.asarray([len(blocks[i]) for i in order], np.int64)
-    grid = np.zeros((len(order), int(n.max(initial=0))), np.int64)
+    sizes = np.asarray([len(blocks[i]) for i in order], np.int64)
+    grid = np.zeros((len(order), int(sizes.max(initial=0))), np.int32)
     for row, i in enumerate(order):
         grid[row, : len(blocks[i])] = blocks[i]
-    models, coder = _Models(len(order)), _Encoder(len(order), 4 * grid.shape[1] + 64)
-    for k in range(grid.shape[1]):
-        models.shrink(int(np.searchsorted(-n, -k, side="left")))
-        active = models.lanes
-        ids = grid[: len(active), k]
-        at1, at2, p1, p2 = models.predictions()
-        kind = np.where(ids == p2, 0, np.where(ids == p1, 1, 2))
-        w = models.which[active, models.lately]
-        start = np.where(kind == 0, 0, np.where(kind == 1, w[:, 0], w[:, 0] + w[:, 1]))
-        coder.put(active, start, w[active, kind], w.sum(axis=1))
-        miss = active[kind == 2]
-        if len(miss):
-            for b, value in ((0, ids[miss] >> 8), (1, ids[miss] & 255)):
-                t = models.total[b]
-                coder.put(miss, t[miss, value], t[miss, value + 1] - t[miss, value], t[miss, 256])
-        models.learn(k, active, ids, at1, at2, kind)
-    made = coder.end()
-    out = [b""] * len(blocks)
-    for row, i in enumerate(order):
-        out[i] = made[row]
+    return order, sizes, np.ascontiguousarray(grid.T)
+
+
+def encode_blocks(blocks: list[np.ndarray], prior: Prior | None = None) -> list[bytes]:
+    """The payload of each block of ids that the prior knows (without one: of ids below 65536)."""
+    prior = prior or Prior.uniform()
+    order, sizes, grid = _grid(blocks)
+    lanes = len(order)
+    mixer = _Mixer(lanes)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
+    words, used = np.zeros((lanes, 2 * len(grid) + 4), np.uint32), np.zeros(lanes, np.int64)
+
+    def shift(at: np.ndarray) -> None:
+        l = low[at]
+        words[at, used[at]] = l >> 32  # the seventeenth bit is a carry
+        used[at] += 1
+        low[at] = (l & 0xFFFFFFFF) << 16
+        rng[at] <<= 16
+
+    for k, row in enumerate(grid):
+        n = int(np.searchsorted(-sizes, -k, side="left"))
+        mixer.shrink(n)
+        ids = row[:n].astype(np.int64)
+        mixer.predict()
+        hit1, hit2 = mixer.c1 == ids, mixer.c2 == ids
+        width = mixer.m0 * prior.freq.take(ids) + mixer.m1 * hit1 + mixer.m2 * hit2
+        start = mixer.m0 * prior.below.take(ids) + mixer.m1 * (mixer.c1 < ids) + mixer.m2 * (mixer.c2 < ids)
+        unit = _quotient(rng[:n], mixer.total)
+        low[:n] += start * unit
+        rng[:n] = width * unit
+        at = np.flatnonzero(rng[:n] < _LEAST)
+        while len(at):
+            shift(at)
+            at = at[rng[at] < _LEAST]
+        mixer.learn(ids, hit1, hit2, width)
+    every = np.arange(lanes)
+    for _ in range(3):
+        shift(every)
+    for k in range(int(used.max(initial=0)) - 1, 0, -1):
+        words[:, k - 1] += words[:, k] >> 16
+    small = (words & 0xFFFF).astype("<u2")
+    out = [b""] * lanes
+    for lane, i in enumerate(order):
+        out[i] = small[lane, : used[lane]].tobytes()
     return out
 
 
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], sizes: list[int], prior: Prior | None = None) -> list[np.ndarray]:
     """The ids of each block again."""
+    prior = prior or Prior.uniform()
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    n = np.asarray([sizes[i] for i in order], np.int64)
-    grid = np.zeros((len(order), int(n.max(initial=0))), np.int64)
-    models, coder = _Models(len(order)), _Decoder([payloads[i] for i in order])
-    for k in range(grid.shape[1]):
-        models.shrink(int(np.searchsorted(-n, -k, side="left")))
-        active = models.lanes
-        at1, at2, p1, p2 = models.predictions()
-        w = models.which[active, models.lately]
-        got = coder.target(active, w.sum(axis=1))
-        kind = (got >= w[:, 0]).astype(np.int64) + (got >= w[:, 0] + w[:, 1])
-        start = np.where(kind == 0, 0, np.where(kind == 1, w[:, 0], w[:, 0] + w[:, 1]))
-        coder.take(active, start, w[active, kind])
-        ids = np.where(kind == 0, p2, p1)
-        miss = active[kind == 2]
-        if len(miss):
-            value = np.zeros(len(miss), np.int64)
-            for b in (0, 1):
-                t = models.total[b]
-                got = coder.target(miss, t[miss, 256])
-                s = np.zeros(len(miss), np.int64)
-                for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    s += step * (t[miss, s + step] <= got)
-                coder.take(miss, t[miss, s], t[miss, s + 1] - t[miss, s])
-                value = value * 256 + s
-            ids[miss] = value
-        models.learn(k, active, ids, at1, at2, kind)
-        grid[: len(active), k] = ids
-    out = [np.zeros(0, np.int64)] * len(sizes)
-    for row, i in enumerate(order):
-        out[i] = grid[row, : sizes[i]]
+    n_ids = np.asarray([sizes[i] for i in order], np.int64)
+    lanes = len(order)
+    grid = np.zeros((int(n_ids.max(initial=0)), lanes), np.int32)
+    mixer = _Mixer(lanes)
+    room = np.asarray([len(payloads[i]) // 2 + 4 for i in order], np.int64)
+    next_word = np.cumsum(room) - room
+    words = np.frombuffer(b"".join(payloads[i][: len(payloads[i]) // 2 * 2] + bytes(8) for i in order), "<u2").astype(np.int64)
+    code, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
+    last_place = len(prior.at) - 1
+
+    def shift(at: np.ndarray) -> None:
+        code[at] = (code[at] << 16) | words[np.minimum(next_word[at], len(words) - 1)]
+        next_word[at] += 1
+
+    for _ in range(3):
+        shift(np.arange(lanes))
+    for k, row in enumerate(grid):
+        n = int(np.searchsorted(-n_ids, -k, side="left"))
+        mixer.shrink(n)
+        mixer.predict()
+        m0, c1, c2, m1, m2 = mixer.m0, mixer.c1, mixer.c2, mixer.m1, mixer.m2
+        unit = _quotient(rng[:n], mixer.total)
+        target = np.minimum(_quotient(code[:n], unit), mixer.total - 1)
+        # the intervals of the two foreseen; elsewhere order 0 has the place that is left without what they add
+        both = c1 == c2
+        start1, start2 = m0 * prior.below.take(c1) + m2 * (c2 < c1), m0 * prior.below.take(c2) + m1 * (c1 < c2)
+        end1, end2 = start1 + m0 * prior.freq.take(c1) + m1 + m2 * both, start2 + m0 * prior.freq.take(c2) + m2 + m1 * both
+        past1, past2 = target >= end1, target >= end2
+        hit1, hit2 = (target >= start1) & ~past1, (target >= start2) & ~past2
+        ids = prior.at.take(np.minimum(_quotient(target - m1 * past1 - m2 * past2, m0), last_place))
+        ids = np.where(hit1, c1, np.where(hit2, c2, ids))
+        width = m0 * prior.freq.take(ids) + m1 * hit1 + m2 * hit2
+        start = m0 * prior.below.take(ids) + m1 * (c1 < ids) + m2 * (c2 < ids)
+        code[:n] -= start * unit
+        rng[:n] = width * unit
+        at = np.flatnonzero(rng[:n] < _LEAST)
+        while len(at):
+            rng[at] <<= 16
+            shift(at)
+            at = at[rng[at] < _LEAST]
+        mixer.learn(ids, hit1, hit2, width)
+        row[:n] = ids
+    out = [np.zeros(0, np.int64)] * lanes
+    flat = np.ascontiguousarray(grid.T)
+    for lane, i in enumerate(order):
+        out[i] = flat[lane, : sizes[i]].astype(np.int64)
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
 def _written_blocks(vocabulary: str, end: int):
     """Rows (part, id, text) in order of id; rows of FIELDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(vocabulary)
+        table = ChunkIds(vocabulary)
         held: list[np.ndarray] = []
         names: list[int | None] = []
-        part, block, total = -1, 0, 0
+        part, frame, first, total = -1, 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, names, block, total
-            # whole documents are dealt to blocks until a block is full; a longer one has blocks of its own
-            cuts, at = [], 0
-            sizes = [len(x) for x in held]
-            while at < len(sizes):
-                stop, n = at, 0
-                while stop < len(sizes) and (n == 0 or n + sizes[stop] <= BLOCK_IDS):
-                    n += sizes[stop]
-                    stop += 1
-                cuts.append((at, stop))
-                at = stop
-            rows, pieces = [], []
-            for a, b in cuts:
-                ids = np.concatenate(held[a:b])
-                for k in range(0, len(ids), BLOCK_IDS):
-                    piece = ids[k : k + BLOCK_IDS]
-                    first = k == 0
-                    rows.append((part, block, len(piece), b - a if first else 0, zlib.crc32(piece.astype("<u4").tobytes()),
-                                 np.asarray([-(1 << 63) if x is None else x for x in names[a:b]], "<i8").tobytes() if first else b"", np.asarray(sizes[a:b], "<i8").tobytes() if first else b""))
-                    pieces.append(piece)
-                    block += 1
-            made = encode_blocks(pieces)
-            held, names, total = [], [], 0
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.record_batch([*[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], pa.array(made, pa.binary())], [f.split()[0] for f in FIELDS.split(", ")])
-
-        for batch in batches:
-            for a, b in slices(batch.column(2), 1 << 20):
-                rows = batch.slice(a, b - a)
-                coded = tok.encode_batch_fast(rows.column(2).fill_null("").to_pylist(), add_special_tokens=False)
-                for p, name, enc in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), coded):
-                    if held and (p != part or total >= BATCH_IDS):
-                        yield flush()
-                    if p != part:
-                        part, block = p, 0
-                    held.append(np.asarray([*enc.ids, end], np.uint16))
-                    names.append(name)
-                    total += len(held[-1])
+            nonlocal held, names, frame, first, total
+            ids = np.concatenate(held)
+            packed = Prior.packed(ids)
+            pieces = [ids[k : k + BLOCK_IDS] for k in range(0, len(ids), BLOCK_IDS)]
+            made = encode_blocks(pieces, Prior.unpacked(packed))
+            head = (np.asarray([x or 0 for x in names], "<i8").tobytes(), np.flatnonzero([x is None for x in names]).astype("<u4").tobytes(), np.asarray(list(map(len, held)), "<i8").tobytes(), packed)
+            rows = [(part, frame, k, first + k * BLOCK_IDS, len(x), 0 if k else len(names), zlib.crc32(x.astype("<u4").tobytes()), *((None,) * 4 if k else head), payload) for k, (x, payload) in enumerate(zip(pieces, made))]
+            held, names, frame, first, total = [], [], frame + 1, first + len(ids), 0
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            return pa.record_batch([pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(FIELDS.split(", "))], [f.split()[0] for f in FIELDS.split(", ")])
+
+        for rows in sliced(batches, 2):
+            for p, name, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), table.encode(rows.column(2).fill_null("").to_pylist())):
+                if held and (p != part or total >= FRAME_IDS):
+                    yield flush()
+                if p != part:
+                    part, frame, first = p, 0, 0
+                held.append(np.append(ids, np.int32(end)))
+                names.append(name)
+                total += len(held[-1])
         if held:
             yield flush()
 
@@ -288,69 +292,61 @@ def _written_blocks(vocabulary: str, end: int):
 
 
 def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every text, appends the end id, and writes all ids in ascending order of id_col."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = F.coalesce("id", F.lit(-(1 << 63)))
-    parts = shuffle_partitions(docs.sparkSession)
-    splits = sorted(set(rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(s)) for s in splits]), lambda s: s <= key)) if splits else F.lit(0)
-    placed = rows.select(part.alias("part"), "id", "text").repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "text")
-    placed.mapInArrow(_written_blocks(vocabulary, end), FIELDS).write.parquet(path)
-
+    """Encodes every text, appends the end id, and writes all ids in ascending order of id_col.
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of FIELDS in order of part and block; per document its ids' place in the part, number and CRC-32."""
-    doc: dict | None = None
-    at, part = 0, None
-    out: list[tuple] = []
+    Parts are ranges of (id, the text's beginning), so that a repeated id is no single part.
+    """
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    parts = 2 * shuffle_partitions(docs.sparkSession)
+    placed = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.substring(F.coalesce("text", F.lit("")), 1, 8))
+    placed = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), F.coalesce("text", F.lit(""))).select(F.spark_partition_id().alias("part"), "id", "text")
+    with small_batches(docs.sparkSession):
+        placed.mapInArrow(_written_blocks(vocabulary, end), FIELDS).write.parquet(path)
 
-    def close() -> None:
-        if doc is not None:
-            out.append((doc["part"], doc["id"], doc["start"], doc["n"], doc["crc"]))
 
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each frame, which come in order; its first row names the documents."""
+    held: list[dict] = []
     for batch in batches:
-        rows = batch.to_pylist()
-        found = decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows])
+        for row in batch.to_pylist():
+            if held and row["n_docs"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of FIELDS in order of part, frame and block; per document its ids' place in the part, number and CRC-32."""
+    for rows in _frames(batches):
+        head = rows[0]
+        found = decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows], Prior.unpacked(head.get("prior")))
         for r, ids in zip(rows, found):
-            data = ids.astype("<u4").tobytes()
-            if zlib.crc32(data) != r["crc"]:
+            if zlib.crc32(ids.astype("<u4").tobytes()) != r["crc"]:
                 raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
-            if r["part"] != part:
-                part, at = r["part"], 0
-            if r["n_docs"] == 0:
-                take = 4 * min(len(ids), doc["left"])
-                doc["crc"], doc["left"] = zlib.crc32(data[:take], doc["crc"]), doc["left"] - take // 4
-                continue
-            place = 0
-            for name, n in zip(np.frombuffer(r["doc_ids"], "<i8").tolist(), np.frombuffer(r["lengths"], "<i8").tolist()):
-                close()
-                own = data[4 * place : 4 * (place + n)]
-                doc = {"part": part, "id": None if name == -(1 << 63) else name, "start": at, "n": n, "crc": zlib.crc32(own), "left": n - len(own) // 4}
-                place += n
-                at += n
-        if len(out) > 10_000:
-            yield _documents(out)
-            out = []
-    close()
-    yield _documents(out)
-
-
-def _documents(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), *[pa.int64()] * 4)
-    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "id", "start", "n_tokens", "ids_crc32"])
+        data = memoryview(np.concatenate(found).astype("<u4").tobytes())
+        names = np.frombuffer(head["doc_ids"], "<i8").tolist()
+        for k in np.frombuffer(head.get("no_id") or b"", "<u4").tolist():
+            names[k] = None
+        n = np.frombuffer(head["lengths"], "<i8")
+        at = np.concatenate(([0], np.cumsum(n)))
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        first = head.get("first") or 0
+        yield pa.record_batch([pa.array([head["part"]] * len(n), pa.int32()), pa.array(names, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["part", "id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document of a file: id_col, start (ids of all documents before it), n_tokens, ids_crc32."""
     blocks = spark.read.schema(FIELDS).parquet(path)
-    deal = shuffle_partitions(spark)
-    got = blocks.repartition(deal, "part").sortWithinPartitions("part", "block").mapInArrow(_read_blocks, "part int, id long, start long, n_tokens long, ids_crc32 long")
-    sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one row a part
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])])[F.col("part")] if before else F.lit(0)
-    return got.select(F.col("id").alias(id_col), (F.col("start") + offset.cast("long")).alias("start"), "n_tokens", "ids_crc32")
+    deal = 2 * shuffle_partitions(spark)
+    got = blocks.repartition(deal, "part", "frame").sortWithinPartitions("part", "frame", "block").mapInArrow(_read_blocks, "part int, id long, start long, n_tokens long, ids_crc32 long")
+    # one row for each task that wrote
+    sizes = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()))
+    before = np.cumsum([0, *[n for _, n in sizes]]).tolist()
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, before long")
+    got = got.join(F.broadcast(offsets), "part")
+    return got.select(F.col("id").alias(id_col), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

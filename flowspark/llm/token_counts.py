@@ -11,13 +11,15 @@ transitions are annotated with the number of tokens that the vocabulary's merges
 the chunk, compiled when a task meets the chunk for the first time. A table of at most TABLE
 chunks is kept per task.
 
-Null texts are empty texts with no tokens. Special strings of the vocabulary inside a text
-count as one token each and end the chunk before them, as the library does by default.
+Null texts are empty texts with no tokens. Texts that hold special strings of the vocabulary
+are left to the library, whose rules for these strings differ by vocabulary. Chunks are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -136,8 +138,8 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class ChunkCounts:
-    """Chunks of bytes by hash, and the tokens that each emits."""
+class ChunkIds:
+    """Chunks of bytes by hash, and the ids that each emits."""
 
     def __init__(self, path: str) -> None:
         self.tok = tokenizer(path)
@@ -145,38 +147,30 @@ class ChunkCounts:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.emits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and which chunk each is
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # all ids, and where those of each chunk end
 
     def of(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """The counts of distinct hashes, ascending; text_of gives the texts of new ones by place."""
+        """The chunks of distinct hashes, ascending; text_of gives the texts of new ones by place."""
+        if len(self.known) > TABLE:
+            self.clear()
         at = np.searchsorted(self.known, hashes)
         new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
         if len(new):
-            counts = np.asarray([len(x) for x in self.tok.encode_batch_fast(text_of(new), add_special_tokens=False)], np.int32)
-            where = np.searchsorted(self.known, hashes[new])
-            self.known, self.emits = np.insert(self.known, where, hashes[new]), np.insert(self.emits, where, counts)
+            found = [x.ids for x in self.tok.encode_batch_fast(text_of(new), add_special_tokens=False)]
+            first = len(self.ends) - 1
+            self.pool = np.concatenate((self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(list(map(len, found)))))
+            self.known, self.place = np.insert(self.known, at[new], hashes[new]), np.insert(self.place, at[new], np.arange(first, first + len(new)))
             at = np.searchsorted(self.known, hashes)
-        got = self.emits[at]
-        if len(self.known) > TABLE:
-            self.clear()
-        return got
+        return self.place[at]
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text."""
-        total = np.zeros(len(texts), np.int64)
-        parts, owner = [], []
-        for i, t in enumerate(texts):
-            pieces = [t]
-            for s in self.special:
-                if s in t:
-                    pieces = [q for p in pieces for q in p.split(s)]
-                    total[i] += t.count(s)
-            parts += pieces
-            owner += [i] * len(pieces)
-        data = "\0".join(parts) + "\0"
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the chunk at each place of all texts, for each text the index of its first chunk, and the total)."""
+        data = "\0".join(texts) + "\0"
         codes = np.frombuffer(data.encode("utf-32-le"), np.uint32)
         cls = _classes()[codes]
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         cls[ends] = END
         begins = chunk_starts(cls)
         begins[ends] = False
@@ -186,7 +180,7 @@ class ChunkCounts:
         byte_at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
         first = np.flatnonzero(begins)
         if not len(first):
-            return total
+            return first, np.zeros(len(texts) + 1, np.int64)
         # a chunk ends where the next begins or its text ends
         stops = np.flatnonzero(begins | (cls == END))
         last = stops[np.searchsorted(stops, first) + 1]
@@ -195,15 +189,43 @@ class ChunkCounts:
         acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE_BYTES[buf] * up)))
         h = mix((acc[b] - acc[a]) * down[a] + (b - a).astype(np.uint64))
         distinct, place, where = np.unique(h, return_index=True, return_inverse=True)
-        emits = self.of(distinct, lambda new: [raw[a[k] : b[k]].decode() for k in place[new].tolist()])
-        text = np.searchsorted(ends, first)
-        total += np.bincount(np.asarray(owner)[text], weights=emits[where], minlength=len(texts)).astype(np.int64)
-        return total
+        chunk = self.of(distinct, lambda new: [raw[a[k] : b[k]].decode() for k in place[new].tolist()])
+        return chunk[where], np.concatenate(([0], np.searchsorted(first, ends)))
+
+    def _odd(self, texts: list[str]) -> tuple[list[str], dict[int, list[int]]]:
+        """Texts that hold special strings are the library's alone, whatever the rules of these strings: their ids by place."""
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if not odd:
+            return texts, {}
+        ids = dict(zip(odd, (x.ids for x in self.tok.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False))))
+        return ["" if i in ids else t for i, t in enumerate(texts)], ids
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text."""
+        texts, odd = self._odd(texts)
+        chunk, at = self._chunks(texts)
+        total = np.concatenate(([0], np.cumsum(np.diff(self.ends)[chunk])))[at]
+        out = np.diff(total)
+        out[list(odd)] = [len(x) for x in odd.values()]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts, odd = self._odd(texts)
+        chunk, at = self._chunks(texts)
+        n = np.diff(self.ends)[chunk]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.arange(total[-1]) + np.repeat(self.ends[chunk] - total[:-1], n)]
+        cut = total[at].tolist()
+        return [np.asarray(odd[i], np.int32) if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+
+
+ChunkCounts = ChunkIds
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkCounts(path)
+        table = ChunkIds(path)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)

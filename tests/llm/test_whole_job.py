@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tokenizers")
-from flowspark.llm import decontaminate, fingerprint, toxicity  # noqa: E402
+import public_tokenizers as P  # noqa: E402
+
+from flowspark.llm import coder, decontaminate, fingerprint, jaccard, token_counts, toxicity  # noqa: E402
 
 
 def roots(pairs, ids):
@@ -88,3 +92,39 @@ def test_toxicity_of_a_balanced_sample(spark):
     print("balanced: precision", precision, "recall", recall)
     assert precision > 0.95 and recall > 0.8
     assert all(len(e) for e in got.evidence[got.score < 0.1].head(50))  # clean texts have neighbours too
+
+
+def test_coded_ids_are_smaller_than_their_entropy(spark):
+    """Mixed orders beat order 0, model cost included, and a general compressor on the same blocks."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids = np.concatenate([np.append(x, 2) for x in token_counts.ChunkIds(P.path("byte_bpe_50k.json")).encode([t or "" for t in texts])])
+    blocks = [ids[i : i + coder.BLOCK_IDS] for i in range(0, len(ids), coder.BLOCK_IDS)]
+    packed = coder.Prior.packed(ids)
+    made = coder.encode_blocks(blocks, coder.Prior.unpacked(packed))
+    back = coder.decode_blocks(made, list(map(len, blocks)), coder.Prior.unpacked(packed))
+    assert all((x == y).all() for x, y in zip(blocks, back))
+    p = np.bincount(ids) / len(ids)
+    order0 = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    size = 8 * (len(packed) + sum(map(len, made))) / len(ids)
+    general = 8 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 6)) for b in blocks) / len(ids)
+    print("bits an id:", size, "order 0:", order0, "zlib:", general)
+    assert size < 0.95 * order0 and size < 0.85 * general
+
+
+def test_coder_of_large_vocabularies_and_extreme_ids(spark):
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 3_000_000, 5000)
+    prior = coder.Prior.unpacked(coder.Prior.packed(ids))
+    assert (coder.decode_blocks(coder.encode_blocks([ids, ids[:7]], prior), [5000, 7], prior)[0] == ids).all()
+    with pytest.raises(ValueError, match="different ids"):
+        coder.Prior(np.ones(1 << 20, np.int64))
+    rows = [(-(1 << 63), "a b"), (None, "c"), ((1 << 63) - 1, None)]
+    got = sorted((tuple(r)[:3] for r in coder.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
+    assert got == [(None, 0, 2), (-(1 << 63), 2, 3), ((1 << 63) - 1, 5, 1)]
+
+
+def test_near_duplicates_with_any_column_names(spark):
+    rows = [(1, "a b c d e f g h", 1, 2, 3, 4), (2, "a b c d e f g h", 5, 6, 7, 8), (2, "a b c d e f g h", 5, 6, 7, 8), (3, "x", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _may int, `row` int, `a.b` int")
+    kept = jaccard.without_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
