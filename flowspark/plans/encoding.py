@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import encode as E
 from ..operators.metrics import percentile_threshold
-from ..spec import FEATURES, FLAG_BITS, ICMP_BUCKETS, ICMP_VALID_CODES, L7_VALUES, PORT_BUCKETS, PORT_FEATURES, SERVER_FLAG_BITS
+from ..spec import EXPECTED_INPUTS, FEATURES, FLAG_BITS, ICMP_BUCKETS, ICMP_VALID_CODES, L7_VALUES, PORT_BUCKETS, PORT_FEATURES, SERVER_FLAG_BITS
 from .flow_view import flows, table, with_flows
 from .registry import query
 
@@ -109,7 +109,14 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     return _with(df, {"has_ttl": E.presence_flag(df, "MAX_TTL"), "has_tcp_win_out": E.presence_flag(df, "TCP_WIN_MAX_OUT")})
 
 
-@query("p14_tag_feature_kinds")
+_NUMERIC = [
+    "flow_id", "start_ms", "PROTOCOL", "L4_DST_PORT", "L4_SRC_PORT", "L7_PROTO", "DNS_QUERY_TYPE", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS", "ICMP_IPV4_TYPE",
+    "ICMP_TYPE", "IN_BYTES", "OUT_BYTES", "MAX_TTL", "TCP_WIN_MAX_OUT", "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES", "s_dae", "logit",
+]
+KINDS_SQL = with_flows(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS ord, '{c}' AS feature, 'continuous' AS kind, count({c}) AS n FROM flows" for i, c in enumerate(_NUMERIC)))
+
+
+@query("p14_tag_feature_kinds", KINDS_SQL)
 def p14(spark: SparkSession, d: str) -> DataFrame:
     df = flows(spark, d)
     counts = df.agg(*[F.count(c).alias(c) for _, c, _ in E.feature_kinds(df)]).unpivot([], [c for _, c, _ in E.feature_kinds(df)], "feature", "n")
@@ -184,7 +191,7 @@ def p24(spark: SparkSession, d: str) -> DataFrame:
     return coded.agg(*[F.sum(F.col(c).cast("double")).alias(c) for _, c, _ in kinds]).unpivot([], [c for _, c, _ in kinds], "feature", "total")
 
 
-@query("p25_missing_input_columns")
+@query("p25_missing_input_columns", with_flows(f"SELECT count(*) AS rows, unnest({[c for c in EXPECTED_INPUTS if c not in _NUMERIC]}) AS missing FROM flows"))
 def p25(spark: SparkSession, d: str) -> DataFrame:
     df = flows(spark, d)
     missing = E.missing_inputs(df.columns)

@@ -13,6 +13,7 @@ from ..operators.folds import alert_rate, ema, entropy_stop, patience_stop, sort
 from ..operators.profile import column_quantiles, group_quantiles
 from ..sources import flow_files as S
 from ..streaming import live
+from .encoding import KINDS_SQL
 from .flow_view import flows, table, with_flows
 from .profiles import trials
 from .registry import query
@@ -143,7 +144,7 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("s12_write_schema_sidecar")
+@query("s12_write_schema_sidecar", KINDS_SQL)
 def s12(spark: SparkSession, d: str) -> DataFrame:
     """The sidecar of the columns of the given table, written and read."""
     from ..operators.encode import feature_kinds
@@ -204,24 +205,45 @@ def _curves(spark: SparkSession, d: str) -> DataFrame:
     return sorted_curve(trials(spark, d), ["trial"], "seed", "metric")
 
 
-@query("w07_entropy_stop")
+_CURVES = ", curves AS (SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY seed) - 1 AS i, metric AS v FROM trials)"
+
+
+def _entropy_sql(grid: str) -> str:
+    """Common tables: `stops` (trial, k, r, stop) of the entropy rule, step by step, for each row (k, r) of grid."""
+    step = "SELECT f.*, c.i AS ci, c.v AS cv, f.moved + abs(c.v - f.last) AS m FROM f JOIN curves c ON c.trial = f.trial AND c.i = f.i + 1 WHERE f.bad < f.k"
+    ok = "cv < low AND low - cv > r * m"
+    return _TRIALS.replace("WITH", "WITH RECURSIVE", 1) + _CURVES + f""", f AS (
+  SELECT trial, g.k, g.r, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS best, v AS low, v AS last, CAST(0 AS DOUBLE) AS moved, 0 AS bad FROM curves, ({grid}) g WHERE i = 0
+  UNION ALL
+  SELECT trial, k, r, ci, CASE WHEN {ok} THEN ci ELSE best END, CASE WHEN {ok} THEN cv ELSE low END, cv, CASE WHEN {ok} THEN 0 ELSE m END, CASE WHEN {ok} THEN 0 ELSE bad + 1 END FROM ({step})
+), stops AS (SELECT trial, k, r, arg_max(best, i) AS stop FROM f GROUP BY trial, k, r)"""
+
+
+_PATIENCE = _TRIALS.replace("WITH", "WITH RECURSIVE", 1) + _CURVES + """, f AS (
+  SELECT trial, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS best, v AS low FROM curves WHERE i = 0
+  UNION ALL
+  SELECT f.trial, c.i, CASE WHEN c.v < low THEN c.i ELSE best END, least(c.v, low) FROM f JOIN curves c ON c.trial = f.trial AND c.i = f.i + 1 WHERE f.i - f.best < 3
+), stops AS (SELECT trial, arg_max(best, i) AS best, max(i) - arg_max(best, i) < 3 AS censored FROM f GROUP BY trial)"""
+
+
+@query("w07_entropy_stop", _entropy_sql("SELECT 3 AS k, 0.1 AS r") + " SELECT trial, CAST(stop AS INTEGER) AS stop FROM stops")
 def w07(spark: SparkSession, d: str) -> DataFrame:
     return _curves(spark, d).select("trial", entropy_stop(F.col("curve"), 3, 0.1).alias("stop"))
 
 
-@query("w08_patience_stop")
+@query("w08_patience_stop", _PATIENCE + " SELECT trial, CAST(best AS INTEGER) AS best, censored FROM stops")
 def w08(spark: SparkSession, d: str) -> DataFrame:
     return _curves(spark, d).select("trial", patience_stop(F.col("curve"), 3).alias("s")).select("trial", "s.best", "s.censored")
 
 
-@query("w10_stop_grid_eval")
+@query("w10_stop_grid_eval", _entropy_sql("SELECT k, CAST(r AS DOUBLE) AS r FROM (SELECT unnest([2, 3, 5]) AS k), (SELECT unnest([0.0, 0.1, 0.3]) AS r)") + ", low AS (SELECT trial, min(v) AS low FROM curves GROUP BY trial) SELECT k, r, round(median(c.v - low), 6) AS median_delta FROM stops s JOIN curves c ON c.trial = s.trial AND c.i = s.stop JOIN low l ON l.trial = s.trial GROUP BY k, r")
 def w10(spark: SparkSession, d: str) -> DataFrame:
     """(k, r, median_delta): the stop rule over a grid of patience and drop, against the best epoch of each run."""
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k in (2, 3, 5) for r in (0.0, 0.1, 0.3)]))
     runs = _curves(spark, d).select("trial", "curve", grid.alias("g")).select("trial", "curve", "g.*")
     stopped = runs.withColumn("stop", entropy_stop(F.col("curve"), F.col("k"), F.col("r")))
     got = group_quantiles(stopped, ["k", "r"], F.element_at("curve", F.col("stop") + 1) - F.array_min("curve"), [0.5])
-    return got.select("k", "r", F.col("q")[0].alias("median_delta"))
+    return got.select("k", "r", R(F.col("q")[0]).alias("median_delta"))
 
 
 @query("w13_pilot_decision", _TRIALS + ", g AS (SELECT trial % 2 AS grp, avg(metric) AS m FROM trials GROUP BY 1) SELECT CASE WHEN (max(m) FILTER (grp = 0) - max(m) FILTER (grp = 1)) > 0.001 THEN 'GO' ELSE 'STOP' END AS decision FROM g")
@@ -231,13 +253,14 @@ def w13(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.when(gap > 0.001, "GO").otherwise("STOP").alias("decision"))
 
 
-@query("e13_validate_stop")
+@query("e13_validate_stop", _PATIENCE + ", low AS (SELECT trial, min(v) AS low FROM curves GROUP BY trial), g AS (SELECT c.v - low AS gap, censored FROM stops s JOIN curves c ON c.trial = s.trial AND c.i = s.best JOIN low l ON l.trial = s.trial) SELECT list_transform(quantile_cont(gap, [0.25, 0.5, 0.75]), lambda x: round(x, 6)) AS q, count(*) FILTER (censored) AS n_censored, (SELECT round(avg(v), 6) FROM curves WHERE i = 5) AS at_six FROM g")
 def e13(spark: SparkSession, d: str) -> DataFrame:
     """Distance of the stop to the best epoch: median, quartiles, censored runs, and the value at a fixed cap."""
     c = _curves(spark, d).withColumn("s", patience_stop(F.col("curve"), 3))
     gap = F.element_at("curve", F.col("s.best") + 1) - F.array_min("curve")
     q = column_quantiles(c.select(gap.alias("gap")), "gap", [0.25, 0.5, 0.75])
-    return q.crossJoin(F.broadcast(c.agg(F.count_if("s.censored").alias("n_censored"), F.avg(F.try_element_at("curve", F.lit(6))).alias("at_six"))))
+    rest = c.agg(F.count_if("s.censored").alias("n_censored"), R(F.avg(F.try_element_at("curve", F.lit(6)))).alias("at_six"))  # one row
+    return q.crossJoin(F.broadcast(rest)).select(F.transform("q", lambda x: R(x)).alias("q"), "n_censored", "at_six")
 
 
 _BATCHES = "b AS (SELECT epoch_us(ts) // 60000000 AS minute, count(*) AS n, count(*) FILTER (event_type = 'error') AS a FROM events GROUP BY 1)"
@@ -294,10 +317,22 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, got, "complete").select(F.unix_seconds("window.start").alias("start_s"), "n_flows", "n_alerts")
 
 
-@query("st04_stream_ema")
+def _in_turn(spark: SparkSession, arrivals: list[DataFrame], make, mode: str) -> DataFrame:
+    """What a stream has written after each of the tables has arrived and been processed, one after the other."""
+    folder, sink, state = (scratch(spark, n) for n in ("arriving", "results", "stream"))
+    got = None
+    for part in arrivals:
+        part.write.mode("append").parquet(folder)
+        got = live.run_available(make(live.stream_flows(spark, folder, part.schema, files=None)), sink, mode, state)
+    return got
+
+
+@query("st04_stream_ema", with_flows(", b AS (SELECT avg(CASE WHEN logit > 3 THEN 1.0 ELSE 0.0 END) FILTER (flow_id % 3 = 0) AS x, avg(CASE WHEN logit > 3 THEN 1.0 ELSE 0.0 END) FILTER (flow_id % 3 <> 0) AS y FROM flows) SELECT 'all' AS sensor, round(0.7 * x + 0.3 * y, 6) AS ema, CAST(2 AS BIGINT) AS n_updates FROM b"))
 def st04(spark: SparkSession, d: str) -> DataFrame:
-    stream = _arrived(spark, d).select("sensor", (F.col("logit") > 3).cast("double").alias("rate"))
-    return _run(spark, live.stream_ema(stream, "sensor", "rate"), "update")
+    """Two arrivals, each folded as one rate; the last average."""
+    df = flows(spark, d).select(F.lit("all").alias("sensor"), (F.col("logit") > 3).cast("double").alias("rate"), "flow_id")
+    got = _in_turn(spark, [df.where("flow_id % 3 = 0"), df.where("flow_id % 3 <> 0")], lambda s: live.stream_ema(s.select("sensor", "rate"), "sensor", "rate"), "update")
+    return got.groupBy("sensor").agg(R(F.max_by("ema", "batch")).alias("ema"), F.count("*").alias("n_updates"))
 
 
 @query("st05_micro_batch_replay", with_flows("SELECT pool, count(*) AS n FROM flows GROUP BY pool"))
@@ -320,7 +355,19 @@ def st07(spark: SparkSession, d: str) -> DataFrame:
     return got.select("flow_id", F.element_at("why", 1)["feature"].alias("feature"))
 
 
-@query("st08_late_data_policy")
+_LATE = """, cut AS (SELECT min(start_ms) + (max(start_ms) - min(start_ms)) // 2 AS c FROM flows), a AS (
+  SELECT start_ms, logit, CASE WHEN start_ms < c AND flow_id % 50 <> 0 THEN 0 ELSE 1 END AS turn FROM flows, cut
+), mark AS (SELECT max(start_ms) FILTER (turn = 0) - 600000 AS first, max(start_ms) - 600000 AS last FROM a), w AS (
+  SELECT (start_ms // 60000 - k) * 60000 AS s, turn, logit FROM a, (SELECT unnest(range(5)) AS k)
+) SELECT s // 1000 AS start_s, count(*) AS n_flows, count(*) FILTER (logit > 3) AS n_alerts FROM w, mark
+WHERE (turn = 0 OR s + 300000 > first) AND s + 300000 <= last GROUP BY s"""
+
+
+@query("st08_late_data_policy", with_flows(_LATE))
 def st08(spark: SparkSession, d: str) -> DataFrame:
-    """Event-time windows that close behind the watermark: append mode, late rows dropped."""
-    return _run(spark, live.alert_rates(_arrived(spark, d), "t", F.col("logit") > 3), "append")
+    """Event-time windows that close behind the watermark. The second half arrives second, with every fiftieth row of the first, which is too late by then."""
+    df = flows(spark, d).select("flow_id", "start_ms", F.timestamp_millis("start_ms").alias("t"), "logit")
+    half = df.agg((F.min("start_ms") + F.expr("(max(start_ms) - min(start_ms)) div 2")).alias("c")).first()["c"]
+    early = (F.col("start_ms") < half) & (F.col("flow_id") % 50 != 0)
+    got = _in_turn(spark, [df.where(early), df.where(~early)], lambda s: live.alert_rates(s, "t", F.col("logit") > 3), "append")
+    return got.select(F.unix_seconds("start").alias("start_s"), "n_flows", "n_alerts")

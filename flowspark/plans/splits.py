@@ -91,9 +91,10 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("trial"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
 
 
-@query("j11_swap_partner_join")
+@query("j11_swap_partner_join", with_flows(f", p AS (SELECT flow_id, logit, {_PLACE('swap')} AS p, count(*) OVER () AS n FROM flows) SELECT a.flow_id, round(a.logit, 6) AS logit, b.flow_id AS partner_flow_id, round(b.logit, 6) AS partner_logit FROM p a JOIN p b ON b.p = (a.p + {_h('a.flow_id', 'swap:s')} % (a.n - 1)) % a.n + 1"))
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    return U.partner_join(flows(spark, d).select("flow_id", "logit"), "flow_id", "swap", ["flow_id", "logit"])
+    got = U.partner_join(flows(spark, d).select("flow_id", "logit"), "flow_id", "swap", ["flow_id", "logit"])
+    return got.select("flow_id", R(F.col("logit")).alias("logit"), "partner_flow_id", R(F.col("partner_logit")).alias("partner_logit"))
 
 
 @query("j12_nn_distance_join", "SELECT a.vec_id AS id, round(min(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS distance FROM embeddings a, embeddings b WHERE b.label % 5 <> 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")

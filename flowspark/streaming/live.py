@@ -15,10 +15,12 @@ from ..operators.profile import apart, confusion_counts
 from ..operators.scoring import explained
 
 
-def stream_flows(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files: int = 1, clean: str | None = None, **options) -> DataFrame:
-    """Files of a folder as they arrive, so many per batch; clean='delete' removes finished ones."""
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).options(**options)
-    return (reader.option("cleanSource", clean) if clean else reader).load(folder)
+def stream_flows(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files: int | None = 1, clean: str | None = None, **options) -> DataFrame:
+    """Files of a folder as they arrive, so many per batch (None: all that are there); clean='delete' removes finished ones."""
+    reader = spark.readStream.format(fmt).schema(schema).options(**options)
+    for name, value in (("maxFilesPerTrigger", files), ("cleanSource", clean)):
+        reader = reader.option(name, value) if value else reader
+    return reader.load(folder)
 
 
 def alert_rates(stream: DataFrame, time: str, alarm: Column, window: str = "300 seconds", slide: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
@@ -82,7 +84,7 @@ def run_available(stream: DataFrame, sink: str, mode: str, checkpoint: str) -> D
     the result, in update mode the number of the batch is a column. Nothing passes through the driver.
     """
     spark, name = stream.sparkSession, apart(stream.columns, "batch")[0]
-    spark.createDataFrame([], stream.schema).write.parquet(f"{sink}/{name}=-1")  # a stream without rows has a result too
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{sink}/{name}=-1")  # a stream without rows has a result too
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/{name}={0 if mode == 'complete' else number}")
