@@ -36,7 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Flows with the columns of a raw file; what a flow lacks is NULL."""
-    df = flows(spark, d).withColumnsRenamed({"label": "Label", "attack": "Attack"})
+    df = flows(spark, d).withColumnsRenamed({"label": "Label", "attack": "Attack", "start_ms": "FLOW_START_MILLISECONDS"})
     fields = S.raw_schema().fields
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
