@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _VALUE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True) | np.uint64(1)
 _VALUE_BYTES = _VALUE.copy()
