@@ -43,7 +43,7 @@ def test_likely_pairs_against_brute_force(spark):
     ids = sorted(texts)
     brute = {(a, b) for a in ids for b in ids if a < b and fingerprint.likeness(prints[a], prints[b]) >= 0.6}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r["leader"], r["id"]) for r in fingerprint.likely_pairs(df).collect()}
+    got = {(r["leader"], r["id"]) for r in fingerprint.likely_pairs(df, least=0.6, even=2.0).collect()}
     assert got <= brute and len(brute) >= 20
     found = roots(got, ids)
     recall = sum(found[a] == found[b] for a, b in brute) / len(brute)
@@ -128,3 +128,26 @@ def test_near_duplicates_with_any_column_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _may int, `row` int, `a.b` int")
     kept = jaccard.without_near_duplicates(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
+
+
+@pytest.mark.parametrize("share,least", [(0.01, 0.95), (0.02, 0.9)])
+def test_recall_of_randomly_edited_texts(spark, share, least):
+    """Each text and a copy with so many of its characters replaced, inserted or deleted; unrelated texts stay apart."""
+    rng = random.Random(5)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(200).collect()]
+
+    def edit(text):
+        s = list(text)
+        for _ in range(max(1, round(len(s) * share))):
+            i, k = rng.randrange(len(s)), rng.randrange(3)
+            s[i : i + (k != 1)] = [] if k == 2 else [rng.choice("abcdefgh ")]
+        return "".join(s)
+
+    df = spark.createDataFrame([*enumerate(texts), *[(1000 + i, edit(t)) for i, t in enumerate(texts)]], "doc_id long, text string")
+    found = roots([(r["leader"], r["id"]) for r in fingerprint.likely_pairs(df).collect()], [*range(200), *range(1000, 1200)])
+    recall = sum(found[i] == found[1000 + i] for i in range(200)) / 200
+    # what else is linked shares a third of its words at least
+    words = [set(t.split()) for t in texts]
+    wrong = [(i, j) for i in range(200) for j in range(i) if found[i] == found[j] and len(words[i] & words[j]) < 0.3 * min(len(words[i]), len(words[j]))]
+    print("recall", recall, "wrong", len(wrong))
+    assert recall >= least and not wrong
