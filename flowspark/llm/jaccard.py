@@ -6,7 +6,8 @@ The distance d = 1 - |X & Y| / |X | Y| is a metric, and two texts link when it i
 1. The document frequency of every shingle is counted over all texts (sorted 32-bit hashes
    in key ranges, counted per range). Only the order of shingles depends on it.
 2. Two linked sets share a shingle among the rarest quarter of either (prefix filter), so a
-   set none of whose prefix shingles occurs elsewhere has no link and leaves here.
+   set none of whose prefix shingles occurs elsewhere has no link and leaves here. Shingles that
+   the counts know to be single are not even shuffled.
 3. The least set that holds a prefix shingle is the pivot of all sets that hold it. A
    pivot's region is the sets it leads: both ends of a link share a region. Distances to
    the pivot are exact.
@@ -154,7 +155,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(size: int, percent: int, levels):
-    """(id, set size, set hash, prefix shingles); the prefix only with the first copy that the task meets."""
+    """(id, set size, set hash, prefix shingles); the prefix only with the first copy that the task meets.
+
+    Shingles that occur once in all texts count as places of the prefix, but find nobody: they are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = levels.value
@@ -171,7 +175,8 @@ def _prefixes(size: int, percent: int, levels):
                     seen.add(node[-1])
                 rank = ranked.ranks(s)
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1
-                prefix.append(s[np.argsort(rank, kind="stable")[:keep]] if rank.any() else s[:keep])
+                first = np.argsort(rank, kind="stable")[:keep]
+                prefix.append(s[first[rank[first] > 0]])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], ["id", "n_shingles", "node", "prefix"])
 
     return run
