@@ -59,3 +59,22 @@ def test_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns with names that helpers use."""
+    long = " ".join(f"w{i % 1013}" for i in range(20_000))
+    prose = "A quiet harbour town lay under the winter sky, and its people went about their work as they had always done."
+    rows = [(1, prose, "en", "s", 1, 1, 2, 3, "x"), (1, prose, "en", "s", 1, 1, 2, 3, "x"), (2, prose, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None),
+            (3, "", "", "", 0, 0, 0, 0, ""), (4, long, "en", "s", 9, 9, 9, 9, "y"), (5, long + " tail", "en", "s", 9, 9, 9, 9, "y"), (None, prose + " mail a@b.cd", "en", "s", 1, 1, 1, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id int, may int, c0 int, `clean.text` string")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, data)
+        assert docs.columns == columns, name
+    got = sorted(((r["doc_id"] or 0, r["text"], r["clean.text"]) for r in docs.collect()), key=str)
+    # of 1, 1 and 2 the first stays; of the long two the lesser id; null ids stay
+    assert [g[0] for g in got] == [0, 0, 1, 3, 4] and got[1][1] is None or got[0][1] is None
+    assert any(t and t.endswith("mail [EMAIL]") for _, t, _ in got)
+    assert pipeline.STAGES[-1][1](spark, docs, data).count() == 5
+    assert pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, docs.schema), data).columns == columns

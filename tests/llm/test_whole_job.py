@@ -151,3 +151,95 @@ def test_recall_of_randomly_edited_texts(spark, share, least):
     wrong = [(i, j) for i in range(200) for j in range(i) if found[i] == found[j] and len(words[i] & words[j]) < 0.3 * min(len(words[i]), len(words[j]))]
     print("recall", recall, "wrong", len(wrong))
     assert recall >= least and not wrong
+
+
+def prose(rng, n, vocabulary):
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    """Telling words, idf, cosines, votes and scores of every text, word by word."""
+    rng = random.Random(8)
+    plain = [f"{a}{b}" for a in ("red", "stone", "quick", "lamp", "harbour", "winter") for b in ("", "s", "ingly", "worth")]
+    bad = ["vile", "scum", "rotten"]
+    texts, labels = {}, {}
+    for i in range(160):
+        toxic = i % 4 == 0
+        texts[i] = prose(rng, rng.randrange(1, 60), plain + bad * 3 if toxic else plain) + rng.choice([".", "!", ""])
+        if i < 120:
+            labels[i] = int(toxic)
+    texts |= {200: "", 201: None, 202: "unheard of"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+
+    def bag(text):
+        words = "".join(" " if 32 < ord(c) < 127 and not c.isalnum() else c for c in (text or "").lower()).split()
+        out = {}
+        for w in words:
+            for f in [w, *[(n, w[:n]) for n in toxicity.STEMS if len(w) > n]]:
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    bags = {k: bag(t) for k, t in texts.items()}
+    known = {k: v for k, v in labels.items() if zlib.crc32(str(k).encode()) % 3 != 1}
+    pos, rest = sum(known.values()), len(known) - sum(known.values())
+    vocabulary = {f for k in known for f in bags[k]}
+    df = {f: sum(f in b for b in bags.values()) for f in vocabulary}
+    weight = {}
+    for f in vocabulary:
+        a, n = sum(f in bags[k] for k in known if known[k]), sum(f in bags[k] for k in known)
+        expected = n * pos / (pos + rest)
+        telling = a >= 4 and a >= 0.8 * n and (a - expected) / expected**0.5 > 1
+        weight[f] = np.log1p(len(bags) / df[f]) * (1 if telling else toxicity.NEUTRAL)
+    assert {"vile", "scum", "rotten"} <= {f for f in vocabulary if weight[f] > 0.5}
+
+    def vector(b):
+        v = {f: (1 + np.log(c)) * weight.get(f, toxicity.NEUTRAL * np.log1p(len(known))) for f, c in b.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {f: x / norm for f, x in v.items()}
+
+    examples = {k: vector(bags[k]) for k in sorted(known)}
+    taken = [sum(known[k] == c and bool(bags[k]) for k in known) for c in (0, 1)]
+    vote = {1: 1.0, 0: (rest / taken[0]) / (pos / taken[1])}
+    for k, b in bags.items():
+        v = vector(b)
+        near = sorted(((-round(sum(x * e.get(f, 0) for f, x in v.items()), 6), i) for i, e in examples.items()))[: toxicity.NEIGHBOURS]
+        w = [(c * c * vote[known[i]], known[i]) for c, i in near if c < 0]
+        want = (sum(x for x, y in w if y) + toxicity.PRIOR * pos / len(known)) / (sum(x for x, _ in w) + toxicity.PRIOR)
+        assert abs(got[k]["score"] - want) < 1e-3, (k, got[k]["score"], want)
+        assert got[k]["predicted"] == int(got[k]["score"] >= 0.7) and got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
+def test_quality_statistics_against_plain_python():
+    """The thirteen statistics of odd texts, character by character."""
+    import pyarrow as pa
+
+    from flowspark.llm import quality
+
+    rng = random.Random(4)
+    texts = ["", " \n ", "One two. One two.\nTHREE (four) - five's 6 7", "été für ñandú $$$ ### a### ###b", "x" * 400]
+    texts += ["".join(rng.choice("aB cé. \n#1") for _ in range(rng.randrange(200))) for _ in range(60)]
+    stop = ".,;:'\"-()"
+    mark = lambda c: c < 128 and chr(c).isprintable() and not chr(c).isalnum() and chr(c) not in " " + stop
+    want = []
+    for t in texts:
+        raw = t.encode()
+        words = [w.encode() for w in "".join(c.lower() if c.isascii() else c for c in t).replace("\n", " ").split(" ") if w]
+        original = [w.encode() for w in t.replace("\n", " ").split(" ") if w]
+        n, k = len(raw), len(words)
+        count = lambda test: sum(map(test, raw))
+        letters = count(lambda c: c >= 0xC0 or (c < 128 and chr(c).isalpha()))
+        digits, upper = count(lambda c: c < 128 and chr(c).isdigit()), count(lambda c: c < 128 and chr(c).isupper())
+        share = lambda x, of, usual: (x + 30 * usual) / (of + 30)
+        runs = [tuple(words[i : i + 5]) for i in range(max(1, k - 4))] if k else []
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        marked = sum(mark(w[0]) or mark(w[-1]) for w in original)
+        most = max((words.count(w) for w in words), default=0)
+        distinct = len(set(runs)) / len(runs) if runs else 0
+        want.append([
+            share(letters, n - digits, 0.78), share(upper, letters, 0.03) ** 0.5, share(again, k, 0) ** 0.5, share(count(mark), n, 0) ** 0.5, share(sum(chr(c) in stop for c in raw), n, 0.02) ** 0.5,
+            share(raw.count(b"\n"), n, 0.005) ** 0.5, np.log(share(letters, k, 5)), np.log1p(k), np.log(share(len(set(words)), 30 + k**0.85, 1)), share(most, k, 0.05) ** 0.5,
+            share(distinct * k, k, 1), share(marked, k, 0) ** 0.5, share(count(lambda c: c >= 0xC0), n, 0.02) ** 0.5,
+        ])
+    got = np.concatenate(list(quality.statistics(pa.array(texts))))
+    assert np.allclose(got, np.asarray(want))
