@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,11 @@ _CHUNK = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+\Z")
 def processor(model: str) -> sentencepiece.SentencePieceProcessor:
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     crossing = [p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if re.search(f"[^{MARK}]{MARK}", p)]
-    probe = "a  b ﬁ Á "
-    if crossing or sp.encode_as_pieces(probe)[0][0] != MARK or "".join(sp.encode_as_pieces("  x")) != MARK * 3 + "x":
-        raise ValueError(f"pieces of {model} cross whitespace markers, or it normalises texts: {crossing[:3]}")
+    # every kind of character that a Unicode normal form would change, and spaces in all places
+    probes = ["a  b ﬁ Á ① ｱ Å ² ", "  x", "\t x\u3000y\u00a0", *(chr(c) for c in range(0x80, 0x2FA20) if unicodedata.normalize("NFKC", chr(c)) != chr(c))]
+    changed = [p for p in probes if sp.normalize(p) != MARK + p.replace(" ", MARK)]
+    if crossing or changed or "".join(sp.encode_as_pieces("  x")) != MARK * 3 + "x":
+        raise ValueError(f"pieces of {model} cross whitespace markers ({crossing[:3]}), or it normalises texts ({changed[:3]})")
     return sp
 
 

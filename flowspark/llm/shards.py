@@ -37,7 +37,9 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "
     # 15 hex digits are BITS bits; conv gives them without leading zeros
     bits = F.lpad(F.conv(F.substring(digest, 1, BITS // 4), 16, 2), BITS, "0")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("bits"))
-    sizes = written(rows.groupBy("bits").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "hashes")
+    # equal rows are counted before anything is joined: a group of any size is one row from here on
+    groups = written(rows.groupBy("id", "n_bytes", "bits").agg(F.count("*").alias("n")), "rows")
+    sizes = written(groups.groupBy("bits").agg(F.sum(F.col("n_bytes") * F.col("n")).alias("bytes"), F.sum("n").alias("n")), "hashes")
 
     leaves: list[DataFrame] = []
     open_rows, depth = sizes, 0
@@ -68,11 +70,15 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "
     named = tried.join(directory.select("prefix", "depth", F.col("bytes").alias("shard_bytes")).hint("shuffle_hash"), "prefix")
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes") / F.col("n"), F.lit(1)))).cast("long")
     named = named.withColumn("per_page", F.when((F.col("shard_bytes") > limit) & (F.col("n") > 1), per_page))
-    plain = rows.join(named.where("per_page IS NULL").hint("merge"), "bits").select("id", rows["n_bytes"], F.col("prefix").alias("shard"), "depth", F.lit(0).cast("long").alias("page"), "shard_bytes")
-    # equal rows are interchangeable: a group becomes one row with a count, dealt to pages by number
-    groups = rows.join(named.where("per_page IS NOT NULL").select("bits", "prefix", "depth", "per_page").hint("merge"), "bits").groupBy("id", "n_bytes", "bits", "prefix", "depth", "per_page").agg(F.count("*").alias("n"))
-    chunks = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div per_page"))).alias("page"))
+    plain = groups.join(named.where("per_page IS NULL").select("bits", "prefix", "depth", "shard_bytes").hint("merge"), "bits")
+    plain = plain.select("id", "n_bytes", F.col("prefix").alias("shard"), "depth", F.lit(0).cast("long").alias("page"), "shard_bytes", "n")
+    # equal rows are interchangeable: those of a group are dealt to pages by number
+    paged = groups.join(named.where("per_page IS NOT NULL").select("bits", "prefix", "depth", "per_page").hint("merge"), "bits")
+    paged = paged.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div per_page"))).alias("page"))
     held = F.least(F.col("per_page"), F.col("n") - F.col("page") * F.col("per_page"))
-    paged = chunks.select("id", "n_bytes", F.col("prefix").alias("shard"), "depth", "page", (held * F.col("n_bytes")).alias("shard_bytes"), held.cast("int").alias("held"))
-    paged = paged.select("id", "n_bytes", "shard", "depth", "page", "shard_bytes", F.explode(F.array_repeat(F.lit(0), F.col("held"))).alias("copy")).drop("copy")
-    return plain.unionByName(paged).withColumnRenamed("id", id_col)
+    paged = paged.select("id", "n_bytes", F.col("prefix").alias("shard"), "depth", "page", (held * F.col("n_bytes")).alias("shard_bytes"), held.alias("n"))
+    # and every row of a group again, a thousand at a time
+    thousands = plain.unionByName(paged).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 1000"))).alias("part"))
+    copies = F.least(F.lit(1000), F.col("n") - F.col("part") * 1000).cast("int")
+    out = thousands.select("id", "n_bytes", "shard", "depth", "page", "shard_bytes", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+    return out.withColumnRenamed("id", id_col)
