@@ -73,13 +73,13 @@ def attacks_for_rate(n: Column, rate: float) -> Column:
 
 
 def lenient_double(c: Column) -> Column:
-    """Numbers as double; empty and unreadable strings as 0."""
-    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """Numbers as double; empty and unreadable strings as 0. Empty ones are told apart first: a failed cast is dear."""
+    return F.coalesce(F.when(c != "", c.try_cast("double")), F.lit(0.0))
 
 
 def lenient_long(c: Column) -> Column:
     """Numbers truncated to whole ones, clamped to 64 bits; empty, unreadable and NaN as 0."""
-    d = c.try_cast("double")
+    d = F.when(c != "", c.try_cast("double"))
     d = F.when(d.isNull() | F.isnan(d), F.lit(0.0)).otherwise(d)
     top = float(2**63)
     return F.when(d >= top, F.lit(2**63 - 1)).when(d <= -top, F.lit(-(2**63))).otherwise(d.try_cast("long"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from ..spec import POOL_ROWS
+from .joins import row_key
 from .profile import apart, prefix_sum
 
 
@@ -160,11 +161,12 @@ def leak_report(df: DataFrame, split: str, key: list[str]) -> DataFrame:
 
 def cluster_split(df: DataFrame, features: list[str], key: str, label: str, cls: str, salt: str) -> DataFrame:
     """(key, split): equal rows go together; purely benign groups 80/10/10 by rows, all others half to
-    val and half to test, by majority class. Groups are the real feature values, not a hash of them."""
-    groups = df.groupBy(*features).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("bad"), F.min(key).alias("gid"))
-    per = df.groupBy(*features, cls).agg(F.count("*").alias("_m")).groupBy(*features).agg(F.min(F.struct((-F.col("_m")).alias("m"), F.col(cls).alias("v")))["v"].alias("majority"))
-    groups = groups.alias("g").join(per.alias("m").hint("shuffle_hash"), [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in features]).select("g.*", "m.majority")
-    benign = cumulative_cut(groups.where("bad = 0").select("gid", "n"), "gid", "n", salt, [("train", 0.80), ("val", 0.90)], "test").select("gid", "split")
-    others = stratified_half(groups.where("bad > 0").select("gid", "majority"), "gid", "majority", salt).select("gid", "split")
-    named = groups.join(benign.unionByName(others).hint("shuffle_hash"), "gid").select(*[F.col(c).alias(f"_g_{c}") for c in features], "split")
-    return df.join(named.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in features]).select(key, "split")
+    val and half to test, by majority class. Equal rows are those with the same 128-bit digest of all features."""
+    keyed = df.select(F.col(key).alias("k"), F.col(label).cast("long").alias("bad"), F.col(cls).alias("cls"), row_key(features).alias("g"))
+    per = keyed.groupBy("g", "cls").agg(F.count("*").alias("m"), F.sum("bad").alias("bad"), F.min("k").alias("gid"))
+    majority = F.min(F.struct((-F.col("m")).alias("m"), F.col("cls").alias("v")))["v"]
+    groups = per.groupBy("g").agg(F.sum("m").alias("n"), F.sum("bad").alias("bad"), F.min("gid").alias("gid"), majority.alias("majority"))
+    benign = cumulative_cut(groups.where("bad = 0").select("g", "gid", "n"), "gid", "n", salt, [("train", 0.80), ("val", 0.90)], "test")
+    others = stratified_half(groups.where("bad > 0").select("g", "gid", "majority"), "gid", "majority", salt)
+    named = benign.select("g", "split").unionByName(others.select("g", "split"))
+    return keyed.select("k", "g").join(named.hint("merge"), "g").select(F.col("k").alias(key), "split")
