@@ -133,7 +133,15 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
     return c.select("feature", R(F.col("share")).alias("share"), R(F.col("unique_pct")).alias("unique_pct"))
 
 
-@query("d13_audit_report")
+_REPORT = _LABEL_CELLS + ", r AS (SELECT " + ", ".join(_rank(c) for c in [*_FB, "label"]) + " FROM flows) SELECT 'nmi_label' AS analysis, a AS feature, round(mi / ((ha + hb) / 2), 6) AS value FROM mi" + "".join(
+    f""" UNION ALL SELECT 'spearman_label', '{c}', round(corr({c}, label), 6) FROM r
+    UNION ALL SELECT 'ks', '{c}', round(max(gap), 6) FROM (SELECT abs(CAST(sum(p) OVER w AS DOUBLE) / sum(p) OVER () - CAST(sum(q) OVER w AS DOUBLE) / sum(q) OVER ()) AS gap FROM (SELECT {c}, sum(label) AS p, sum(1 - label) AS q FROM flows GROUP BY 1) WINDOW w AS (ORDER BY {c}))
+    UNION ALL SELECT 'variance_ratio', '{c}', round(coalesce(p * (1 - p) * mu * mu / v, 0), 6) FROM (SELECT avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END) AS p, avg(nullif({c}, 0)) AS mu, var_samp({c}) AS v FROM flows)"""
+    for c in _FB
+)
+
+
+@query("d13_audit_report", with_flows(_REPORT))
 def d13(spark: SparkSession, d: str) -> DataFrame:
     """(analysis, feature, value): the analyses of features against the label and of drift in one table."""
     df = flows(spark, d)
@@ -143,7 +151,8 @@ def d13(spark: SparkSession, d: str) -> DataFrame:
         A.distribution_shift(df, _FB, "label").select(F.lit("ks").alias("analysis"), "feature", F.col("ks").alias("value")),
         A.variance_decomposition(df, _FB).select(F.lit("variance_ratio").alias("analysis"), "feature", F.col("ratio").alias("value")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return got.select("analysis", "feature", R(F.col("value")).alias("value"))
 
 
 @query("d14_verify_report", with_flows("SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_unique, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS n_duplicate_rows, count(*) FILTER (n >= 2) AS n_groups, CAST(max(n) AS BIGINT) AS largest FROM (SELECT count(*) AS n FROM flows GROUP BY PROTOCOL, L4_DST_PORT, L7_PROTO)"))
@@ -216,7 +225,13 @@ def d22(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(R(F.avg("r")).alias("mean_r"), F.count("*").alias("n_pairs"))
 
 
-@query("d23_coverage_metrics")
+_SPREAD = """WITH e AS (SELECT vec_id, label % 5 = 0 AS att, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+own AS (SELECT min(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON NOT a.att AND NOT b.att AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
+q AS (SELECT quantile_cont(d, 0.5) AS near, quantile_cont(d, 0.99) AS edge FROM own), f AS (SELECT min(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.att AND NOT b.att GROUP BY a.vec_id)
+SELECT round(avg(CASE WHEN d <= near THEN 1.0 ELSE 0.0 END), 6) AS inside, round(avg(CASE WHEN d > near AND d <= edge THEN 1.0 ELSE 0.0 END), 6) AS shell, round(avg(CASE WHEN d > edge THEN 1.0 ELSE 0.0 END), 6) AS far FROM f, q"""
+
+
+@query("d23_coverage_metrics", _SPREAD)
 def d23(spark: SparkSession, d: str) -> DataFrame:
     """Shares of the attack vectors inside, in the shell of and far from the benign ones, by the distances among these."""
     from ..operators.joins import nearest_distance
@@ -227,7 +242,8 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
     own = column_quantiles(own, "distance", [0.5, 0.99])
     got = nearest_distance(e.where("label % 5 = 0"), ref, "vec_id", "embedding").crossJoin(F.broadcast(own))
     x = F.col("distance")
-    return got.agg(F.avg((x <= F.col("q")[0]).cast("double")).alias("inside"), F.avg(((x > F.col("q")[0]) & (x <= F.col("q")[1])).cast("double")).alias("shell"), F.avg((x > F.col("q")[1]).cast("double")).alias("far"))
+    share = lambda test, name: R(F.avg(test.cast("double"))).alias(name)
+    return got.agg(share(x <= F.col("q")[0], "inside"), share((x > F.col("q")[0]) & (x <= F.col("q")[1]), "shell"), share(x > F.col("q")[1], "far"))
 
 
 @query("d24_resolving_power", "WITH trials AS (SELECT l_suppkey AS trial, CAST(month(l_shipdate) AS INTEGER) AS seed, avg(l_extendedprice) / 100000 AS metric FROM lineitem GROUP BY 1, 2), s AS (SELECT trial, avg(metric) AS m, stddev_pop(metric) AS sd FROM trials GROUP BY trial) SELECT round(stddev_pop(m) / median(sd), 6) AS power FROM s")
