@@ -4,9 +4,9 @@ Examples are a bounded sample of the labelled texts (`examples`, half of it toxi
 are enough); a vote counts by the share of its class that is in the sample. Telling words are those much
 more frequent in toxic texts than chance allows, over all labelled texts. The vectors hold
 every word: idf counts it in all texts, and what is not telling has NEUTRAL of that weight, so that the norm
-covers the text. The k nearest by exact cosine come from an inverted index with block maxima: upper
-bounds of all blocks of examples, then full scores of those blocks only that can hold one of the k (the words of
-many examples by a matrix product, the others by their postings). The score is the vote of the k nearest,
+covers the text. The k nearest by exact cosine come from an inverted index with block maxima: the postings of
+rare words give their part of all scores, the largest values of common words in each block of examples
+bound the rest, and only blocks that can hold one of the k are scored in full. The score is the vote of the k nearest,
 weighted by cosine, drawn towards the base rate when they are few or far.
 
 Null texts are empty texts; a text without words has no neighbours and the lowest
@@ -28,7 +28,7 @@ from .shared import written
 from .words import slices, span_hashes, text_buffers, word_hashes
 
 EXAMPLES, WORDS, NEIGHBOURS, BLOCK, PRIOR, NEUTRAL, DENSE = 4000, 4096, 15, 64, 0.2, 0.05, 2048
-#: Examples to a block, of whose words the largest values are known.
+#: Examples to a block, of whose common words the largest values are known.
 EXAMPLE_BLOCK = 128
 _TRIM = np.zeros(256, bool)
 _TRIM[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -125,15 +125,15 @@ class NearestExamples:
         self.common = np.zeros((len(common), len(ids)), np.float32)
         held = self.row[t] >= 0
         self.common[self.row[t[held]], self.item[held]] = self.value[held]
-        # the largest value of each word in each block of examples: dense for common words, else as postings
+        # the largest value of each common word in each block of examples
         self.n_blocks = -(-len(ids) // EXAMPLE_BLOCK)
-        padded = np.zeros((len(common), self.n_blocks * EXAMPLE_BLOCK), np.float32)
-        padded[:, : len(ids)] = self.common
-        self.common_most = padded.reshape(len(common), self.n_blocks, EXAMPLE_BLOCK).max(axis=2)
-        cell, first = np.unique(t * self.n_blocks + self.item // EXAMPLE_BLOCK, return_index=True)
-        self.most_block = (cell % max(self.n_blocks, 1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.value, first) if len(first) else self.value
-        self.most_begin = np.searchsorted(cell, np.arange(len(words) + 1) * self.n_blocks)
+        self.common_most = self._most(self.common)
+
+    def _most(self, x: np.ndarray) -> np.ndarray:
+        """The largest value of each row in each block of examples."""
+        out = np.zeros((len(x), self.n_blocks * EXAMPLE_BLOCK), x.dtype)
+        out[:, : x.shape[1]] = x
+        return out.reshape(len(x), self.n_blocks, EXAMPLE_BLOCK).max(axis=2)
 
     @property
     def weights(self) -> np.ndarray:
@@ -161,34 +161,18 @@ class NearestExamples:
         dense = self.row[t] >= 0
         matrix = np.zeros((len(bags), len(self.common)), np.float32)
         matrix[text[dense], self.row[t[dense]]] = q[dense]
+        # the postings of other words are short: their part of every score is exact
         t, q, text = t[~dense], q[~dense], text[~dense]
-
-        def postings(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(place among the postings, the text, the weight in it) of every posting of the words of the texts."""
-            n = begin[t + 1] - begin[t]
-            at = np.repeat(begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            return at, np.repeat(text, n), np.repeat(q, n)
-
-        # upper bounds of every block of examples, then full scores of the two most promising, then of all that could reach the k-th best
-        at, owner, weight = postings(self.most_begin)
-        bound = matrix @ self.common_most
-        bound = bound + np.bincount(owner * self.n_blocks + self.most_block[at], weight * self.most[at], minlength=bound.size).reshape(bound.shape)
-        at, owner, weight = postings(self.begin)
-        block = self.item[at] // EXAMPLE_BLOCK
+        n = self.begin[t + 1] - self.begin[t]
+        at = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rare = np.bincount(np.repeat(text * size, n) + self.item[at], np.repeat(q, n) * self.value[at], minlength=len(bags) * size).reshape(len(bags), size)
+        # upper bounds of the blocks; those below the k-th best that is certain by now are ruled out
+        bound = matrix @ self.common_most + self._most(rare)
+        need = bound * (1 + 1e-4) >= -np.partition(-rare, most - 1, axis=1)[:, most - 1 : most]
         cos = np.full((len(bags), size), -1.0)
-
-        def fill(need: np.ndarray) -> None:
-            for b in np.flatnonzero(need.any(axis=0)).tolist():
-                rows, cut = np.flatnonzero(need[:, b]), slice(b * EXAMPLE_BLOCK, min(size, (b + 1) * EXAMPLE_BLOCK))
-                cos[rows, cut] = matrix[rows] @ self.common[:, cut]
-            use = need[owner, block]
-            cos.ravel()[:] += np.bincount(owner[use] * size + self.item[at[use]], weight[use] * self.value[at[use]], minlength=cos.size)
-
-        need = np.zeros(bound.shape, bool)
-        np.put_along_axis(need, np.argsort(-bound, axis=1)[:, : max(2, -(-most // EXAMPLE_BLOCK) + 1)], True, axis=1)
-        fill(need)
-        kth = -np.partition(-cos, most - 1, axis=1)[:, most - 1]
-        fill(~need & (bound * (1 + 1e-4) >= kth[:, None]))
+        for b in np.flatnonzero(need.any(axis=0)).tolist():
+            rows, cut = np.flatnonzero(need[:, b]), slice(b * EXAMPLE_BLOCK, min(size, (b + 1) * EXAMPLE_BLOCK))
+            cos[rows, cut] = rare[rows, cut] + matrix[rows] @ self.common[:, cut]
         # rounded, so that examples with the same words tie whatever the order of the sums
         cos = np.round(cos / np.where(norm > 0, norm, 1.0)[:, None], 6)
         last = -np.partition(-cos, most - 1, axis=1)[:, most - 1]
