@@ -14,7 +14,6 @@ from ..sources.model_files import Model, read_model, write_model
 from ..spec import CONTINUOUS, FEATURES, RAW_COLUMNS
 from ..streaming import live
 from .files import _raw, scratch
-from .flow_view import flows
 from .registry import query
 
 LATENT = 16
