@@ -89,8 +89,8 @@ class Prior:
         return cls(counts)
 
 
-# fixed values: first weights of orders 1 and 2 in percent, by how often each has held (0: no prediction yet, 3:
-# thrice or more); a pair for predictions that differ and one for predictions that agree
+# first weights of orders 1 and 2 in percent, by how often each has held (0: no prediction yet, 3: thrice or more);
+# a pair for predictions that differ and one for predictions that agree: about what the weights come to at the ends of blocks
 _FIRST = {
     (0, 0): ((0, 0), (0, 0)), (0, 1): ((0, 30), (0, 54)), (0, 2): ((0, 75), (0, 78)), (0, 3): ((0, 85), (0, 90)),
     (1, 0): ((5, 0), (15, 0)), (1, 1): ((3, 4), (5, 12)), (1, 2): ((12, 43), (2, 38)), (1, 3): ((19, 60), (19, 70)),
@@ -297,7 +297,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, id_col:
     Parts are ranges of (id, the text's beginning), so that a repeated id is no single part.
     """
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
     placed = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.substring(F.coalesce("text", F.lit("")), 1, 8))
     placed = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), F.coalesce("text", F.lit(""))).select(F.spark_partition_id().alias("part"), "id", "text")
     with small_batches(docs.sparkSession):
@@ -339,7 +339,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document of a file: id_col, start (ids of all documents before it), n_tokens, ids_crc32."""
     blocks = spark.read.schema(FIELDS).parquet(path)
-    deal = 2 * shuffle_partitions(spark)
+    deal = shuffle_partitions(spark)
     got = blocks.repartition(deal, "part", "frame").sortWithinPartitions("part", "frame", "block").mapInArrow(_read_blocks, "part int, id long, start long, n_tokens long, ids_crc32 long")
     # one row for each task that wrote
     sizes = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()))
