@@ -215,18 +215,22 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     least = -(1 << 63)
     key = F.coalesce("id", F.lit(least))
-    parts = shuffle_partitions(docs.sparkSession)
-    ids = rows.select(key.alias("key"))
-    splits = sorted(set(ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(s)) for s in splits]), lambda s: s <= F.col("key"))) if splits else F.lit(0)
-    first = {r["bucket"]: r["key"] for r in ids.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("key")).collect()}
+    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    keyed = rows.withColumn("key", key)
+    splits = sorted(set(keyed.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
+    # the split points are one broadcast row; a row looks its bucket up among every step-th, then among the step after it
+    step = max(1, round(len(splits) ** 0.5))
+    table = spark.createDataFrame([(splits[step - 1 :: step], splits)], "coarse array<long>, fine array<long>")
+    upto = lambda c: F.size(F.filter(c, lambda s: s <= F.col("key")))
+    near = F.lit(step) * upto(F.col("coarse"))
+    keyed = keyed.crossJoin(F.broadcast(table)).withColumn("bucket", near + upto(F.slice("fine", near + 1, F.lit(step)))).drop("coarse", "fine")
+    # a row a bucket
+    first = {r["bucket"]: r["key"] for r in keyed.groupBy("bucket").agg(F.min("key").alias("key")).collect()}
     order = sorted(first)
     # the bucket that ends with the first row of this one; the least id follows the greatest
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    known = F.create_map(*[F.lit(x) for b in order for x in (first[b], before[b])]) if order else F.create_map(F.lit(0), F.lit(0))
-    ahead = F.try_element_at(known, F.col("key"))
-    dealt = F.array_compact(F.array(F.struct(F.lit(False).alias("ahead"), bucket.alias("bucket")), F.when(ahead.isNotNull(), F.struct(F.lit(True).alias("ahead"), ahead.alias("bucket")))))
-    spread = rows.withColumn("key", key).select(F.explode(dealt).alias("d"), "key", "id", "text").select("d.bucket", "d.ahead", "key", "id", "text")
+    ahead = spark.createDataFrame([(first[b], order[i - 1]) for i, b in enumerate(order)], "key long, ahead int")
+    dealt = F.array_compact(F.array(F.struct(F.lit(False).alias("ahead"), F.col("bucket")), F.when(F.col("ahead").isNotNull(), F.struct(F.lit(True).alias("ahead"), F.col("ahead").alias("bucket")))))
+    spread = keyed.join(F.broadcast(ahead), "key", "left").select(F.explode(dealt).alias("d"), "key", "id", "text").select("d.bucket", "d.ahead", "key", "id", "text")
     spread = spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "key", "text").select("bucket", "ahead", "id", "text")
     got = spread.mapInArrow(_against_next, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return got.withColumnRenamed("id", id_col)
