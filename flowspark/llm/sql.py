@@ -70,3 +70,31 @@ WITH words AS (
 SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id)) AS items, max(overlap) AS overlap
 FROM leaked GROUP BY doc_id
 """
+
+# windows of 100 bytes as 200 hex digits; starts at most 100 bytes apart make one removed run
+REPEATED_BYTES = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM docs WHERE length(x) >= 200)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM later
+), numbered AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+    max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
