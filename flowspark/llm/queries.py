@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coder, decontaminate, fingerprint, jaccard, pieces, pii, quality, repeats, shards, sql, token_counts, toxicity
+from . import coder, codes, decontaminate, fingerprint, jaccard, pieces, pii, quality, repeats, shards, sql, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes_digest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_extendible_shards, op2_ngram_jaccard_join, op3_range_coded_ids, op4_sentencepiece, op5_quality,
         op6_token_counts, op7_decontaminate, op8_personal_data, op9_toxicity, op10_edit_fingerprints,
-        op11_repeated_bytes,
+        op11_repeated_bytes, op13_vector_codes,
     )
 }
 
@@ -72,4 +76,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
     "op7_decontaminate": sql.DECONTAMINATE,
     "op11_repeated_bytes": sql.REPEATED_BYTES,
+    "op13_vector_codes": sql.PRODUCT_CODES,
 }

@@ -98,3 +98,39 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+
+def _nearest(books: str) -> str:
+    d = "list_sum(list_transform(range(1, len(m.s) + 1), lambda i: (m.s[i] - c.s[i]) * (m.s[i] - c.s[i])))"
+    return f"SELECT id, p, m.s, e, d FROM (SELECT m.vec_id AS id, m.p, m.s, c.e, {d} AS d, row_number() OVER (PARTITION BY m.vec_id, m.p ORDER BY {d}, c.e) AS k FROM members m JOIN {books} c ON m.p = c.p) m WHERE k = 1"
+
+
+def _moved(nearest: str, books: str) -> str:
+    return f"""SELECT c.p, c.e, coalesce(t.s, c.s) AS s FROM {books} c LEFT JOIN (
+    SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS s FROM (
+      SELECT p, e, i, CAST(sum(s[i]) AS BIGINT) AS total, count(*) AS n FROM (SELECT p, e, s, unnest(range(1, len(s) + 1)) AS i FROM {nearest}) GROUP BY p, e, i
+    ) GROUP BY p, e) t ON t.p = c.p AND t.e = c.e"""
+
+
+PRODUCT_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), members AS (
+  SELECT vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS s FROM kept, (SELECT unnest(range(16)) AS p)
+), books0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s FROM members
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+), near0 AS MATERIALIZED ({_nearest("books0")}
+), books1 AS MATERIALIZED ({_moved("near0", "books0")}
+), near1 AS MATERIALIZED ({_nearest("books1")}
+), books2 AS MATERIALIZED ({_moved("near1", "books1")}
+), near2 AS MATERIALIZED ({_nearest("books2")}
+), coded AS (
+  SELECT id AS vec_id, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
