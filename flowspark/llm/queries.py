@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coder, codes, decontaminate, fingerprint, jaccard, pieces, pii, quality, repeats, shards, sql, token_counts, toxicity
+from . import coder, codes, conversations, decontaminate, fingerprint, jaccard, pieces, pii, quality, repeats, shards, sql, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes_digest(_table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_extendible_shards, op2_ngram_jaccard_join, op3_range_coded_ids, op4_sentencepiece, op5_quality,
         op6_token_counts, op7_decontaminate, op8_personal_data, op9_toxicity, op10_edit_fingerprints,
-        op11_repeated_bytes, op13_vector_codes,
+        op11_repeated_bytes, op12_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -76,5 +80,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
     "op7_decontaminate": sql.DECONTAMINATE,
     "op11_repeated_bytes": sql.REPEATED_BYTES,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
     "op13_vector_codes": sql.PRODUCT_CODES,
 }

@@ -134,3 +134,40 @@ WITH kept AS (
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
 FROM coded JOIN kept USING (vec_id), digest
 """
+
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+# a node is the list of its turns
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT c FROM turns)
+), heads AS (
+  SELECT v.c, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.pos < v.h
+), sizes AS (
+  SELECT c, h, (SELECT count(*) FROM heads x WHERE x.c = v.c) AS m FROM convs v
+), rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.c, s.m + t.pos - s.h, t.role, t.text FROM turns t JOIN sizes s ON s.c = t.c WHERE t.pos >= s.h
+), paths AS (
+  SELECT v.c, coalesce((SELECT list({{'role': role, 'text': text}} ORDER BY pos) FROM rebuilt r WHERE r.c = v.c), []) AS path FROM convs v
+), nodes AS (
+  SELECT path[1:depth] AS node, depth, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = len(path)), '') AS ends
+  FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS depth FROM paths) GROUP BY path[1:depth], depth
+), children AS (
+  SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.node[1:n.depth] = n.node) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].text) ELSE 0 END AS saved
+  FROM nodes n
+), subtrees AS (
+  SELECT node[1:above] AS node, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT node, n_children, saved, unnest(range(0, depth + 1)) AS above FROM children) GROUP BY node[1:above]
+)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM children a JOIN subtrees s ON s.node = a.node LEFT JOIN nodes p ON a.depth > 0 AND p.depth = a.depth - 1 AND p.node = a.node[1:a.depth - 1]
+"""
