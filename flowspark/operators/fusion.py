@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,13 @@ def fired_branch(z0: Column, z1: Column, p: dict[str, Column]) -> Column:
     return F.when((z0 > p["tau_z"]) & (z1 > p["theta_z"]), "consensus").when(z1 > off("theta_union"), "logit").when(z0 > off("tau_hi_z"), "first stage").otherwise("")
 
 
+def alarms_of_scores(s: np.ndarray, logit: np.ndarray, p: dict[str, float]) -> np.ndarray:
+    """fuse_predict on arrays, for rows that are in a task already."""
+    off = lambda c: INF if p[c] is None else p[c]
+    z0, z1 = (np.log10(np.maximum(s.astype(float), 1e-12)) - p["mu0"]) / p["sd0"], (logit.astype(float) - p["mu1"]) / p["sd1"]
+    return ((z0 > p["tau_z"]) & (z1 > p["theta_z"])) | (z1 > off("theta_union")) | (z0 > off("tau_hi_z"))
+
+
 PARAMETERS = ["mu0", "sd0", "mu1", "sd1", "tau_z", "theta_z", "theta_union", "tau_hi_z"]
 
 

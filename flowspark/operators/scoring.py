@@ -154,6 +154,19 @@ def score_flows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarra
     return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float", keep)
 
 
+def phi_rows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, phi, s_dae): what the second stage learns from, the scaled latent and the whitened residual, and the first score."""
+    std = np.maximum(z_std, 1e-8)
+
+    def make(x: np.ndarray) -> list[pa.Array]:
+        z, y = ae.forward(x)
+        r = y - x
+        s = (r[:, ae.n_linear :] ** 2).mean(axis=1)
+        return [lists(np.concatenate([(z - z_mean) / std, wh.apply(r.astype(np.float64))], axis=1)), pa.array(s.astype(np.float32))]
+
+    return _over(df, id_col, x_col, make, "phi array<float>, s_dae float", keep)
+
+
 def fold_affine(clf: Dense, z_mean: np.ndarray, z_std: np.ndarray, wh: Whitening) -> Dense:
     """The classifier on raw [z, r] that equals clf on [(z - mean) / std, (r - mu) L]."""
     w, b = (a.astype(np.float64) for a in clf.layers[0])

@@ -1,25 +1,34 @@
 """Training by data-parallel averaging: every epoch is one job in which each task improves the
-shared weights on its own rows (Adam), and the driver averages them by rows.
+shared weights of all models in training on its own rows (Adam), and the weights are averaged by rows.
 
-Only weights travel: their size does not depend on the data. Rows are numbered by hash into
-shards, whose number follows the data, so that an epoch is the same however tasks are retried.
+Rows are written once, a file a shard, in the order of a hash of their keys; an epoch reads them
+where they lie, without a shuffle. A shard's rows pass through its task a block at a time, each
+block in an order of the epoch's own. Weights are averaged in the cluster: cut into pieces of
+PIECE numbers, each piece of all shards meets in one task that adds them up in order, and the driver
+gets one set of weights a model, however many shards there are.
+
+Many models (folds, seeds) share an epoch's job: a task reads a block once and improves all of them.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .scoring import Autoencoder, Dense, matrix, sigmoid
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
-#: A shard is one task's work in an epoch; its rows are streamed, never held.
-SHARD_ROWS = 500_000
+#: A shard is one task's work in an epoch; its rows are streamed a block at a time, never held.
+SHARD_ROWS, BLOCK_ROWS = 500_000, 8192
+#: Weights in one row of the reduction.
+PIECE = 4096
 
 
 def _back(layers: Weights, x: np.ndarray, grad_out: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, Weights]:
@@ -91,63 +100,340 @@ def mixed_loss(n_linear: int):
     return loss
 
 
-def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, lr: float = 1e-3, batch: int = 256, noise: float = 0.0, l2: float = 0.0, on_epoch: Callable[[int, Weights, float], bool] | None = None) -> tuple[Weights, list[float]]:
-    """Weights and mean loss per epoch. df: columns x and y, arrays of floats.
+@dataclass
+class Job:
+    """A model in training: its weights, the seed of its orders, noise and fakes, and a class whose rows it does not see."""
 
-    Rows of a shard stream through its task in the order of a hash that differs by epoch, a mini-batch
-    at a time. Without `shards` there is one for SHARD_ROWS rows. on_epoch(epoch, weights, loss) may
-    stop the training by returning True.
-    """
+    layers: Weights
+    seed: int = 0
+    without: str | None = None
+
+
+def flat(layers: Weights) -> np.ndarray:
+    return np.concatenate([a.ravel().astype(np.float64) for pair in layers for a in pair])
+
+
+def shaped(weights: np.ndarray, like: Weights) -> Weights:
+    """The inverse of flat, in single precision."""
+    out, at = [], 0
+    for pair in like:
+        new = []
+        for a in pair:
+            new.append(weights[at : at + a.size].reshape(a.shape).astype(np.float32))
+            at += a.size
+        out.append((new[0], new[1]))
+    return out
+
+
+def deal(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
+    """df (x, y, and cls if models leave classes out) written in the order of training: shard by shard, by a hash of the key."""
     shards = shards or max(1, -(-df.count() // SHARD_ROWS))
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>"), F.col(key).alias("key")).repartition(shards, "shard")
-    history: list[float] = []
+    cls = F.col("cls").cast("string") if "cls" in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>"), cls.alias("cls"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
+    return written(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "x", "y", "cls"), "shards")
+
+
+def _improve(jobs: list[Job], epoch: int, loss, lr: float, batch: int, noise: float, l2: float, make):
+    """One epoch of all jobs over the rows of a task: pieces of weights times rows, for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, models, held, n, block = None, [], [], 0, 0
+
+        def learn() -> None:
+            nonlocal held, n, block
+            x, y, cls = (np.concatenate(p) for p in zip(*held, strict=True))
+            for job, model in zip(jobs, models, strict=True):
+                rng = np.random.default_rng([job.seed, epoch, shard, block])
+                own = slice(None) if job.without is None else cls != job.without
+                a, b = make(x[own], y[own], rng) if make else (x[own], y[own])
+                order = rng.permutation(len(a))
+                for i in range(0, len(a), batch):
+                    model.step(a[order[i : i + batch]], b[order[i : i + batch]])
+            held, n, block = [], 0, block + 1
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if n:
+                learn()
+            for j, model in enumerate(models):
+                w = flat(model.layers) * model.rows
+                cut = [w[i : i + PIECE].tobytes() for i in range(0, len(w), PIECE)]
+                k = len(cut)
+                yield pa.record_batch([pa.array([j] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([shard] * k, pa.int32()), pa.array([model.rows] * k, pa.int64()), pa.array([model.total] * k), pa.array(cut, pa.binary())], ["job", "piece", "shard", "n", "loss", "w"])
+
+        for b in batches:
+            shards, x, y, cls = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2)), np.asarray(b.column(3).to_pylist(), object)
+            edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for i, k in zip(edges[:-1], edges[1:], strict=True):
+                if i == k:
+                    continue
+                if shards[i] != shard:
+                    if models:
+                        yield from result()
+                    shard, held, n, block = int(shards[i]), [], 0, 0
+                    models = [_Adam(job.layers, loss, lr, hash((job.seed, epoch, shard)) % 2**32, noise, l2) for job in jobs]
+                while i < k:
+                    take = min(k - i, BLOCK_ROWS - n)
+                    held.append((x[i : i + take], y[i : i + take], cls[i : i + take]))
+                    n, i = n + take, i + take
+                    if n == BLOCK_ROWS:
+                        learn()
+        if models:
+            yield from result()
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in order of (job, piece, shard): one row a piece, added up in that order."""
+    last, n, loss, total = None, 0, 0.0, None
+
+    def give() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([last[0]], pa.int32()), pa.array([last[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["job", "piece", "n", "loss", "w"])
+
+    for b in batches:
+        for job, piece, _, rows, value, w in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if (job, piece) != last:
+                if last is not None:
+                    yield give()
+                last, n, loss, total = (job, piece), 0, 0.0, np.zeros(len(w) // 8)
+            n, loss, total = n + rows, loss + value, total + np.frombuffer(w, np.float64)
+    if last is not None:
+        yield give()
+
+
+def train_jobs(
+    rows: DataFrame, jobs: dict[str, Job], loss, epochs: int, lr: float = 1e-3, batch: int = 256, noise: float = 0.0, l2: float = 0.0,
+    make: Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray]] | None = None,
+    on_epoch: Callable[[int, dict[str, tuple[Weights, float]]], set[str] | None] | None = None,
+) -> dict[str, tuple[Weights, list[float]]]:
+    """Weights and mean loss per epoch of every job. rows: as deal wrote them.
+
+    make turns a block (x, y) into what is learnt from it in this epoch, with a generator that depends on the
+    job's seed, epoch, shard and block only. on_epoch gets all weights and losses and may name jobs that stop.
+    """
+    now = {k: (j.layers, []) for k, j in jobs.items()}
+    open_ = list(jobs)
     for epoch in range(epochs):
-
-        def run(batches: Iterator[pa.RecordBatch], layers: Weights = layers, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            now, model, rest = -1, None, None
-
-            def result() -> pa.RecordBatch:
-                if len(rest[0]):
-                    model.step(*rest)
-                return pa.record_batch([pa.array([model.rows], pa.int64()), pa.array([model.total]), pa.array([pickle.dumps(model.weights())], pa.binary())], ["n", "loss", "weights"])
-
-            for b in batches:
-                shard, x, y = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2))
-                for k in np.unique(shard).tolist():  # ascending, as the rows are
-                    if k != now:
-                        if model:
-                            yield result()
-                        now, model, rest = k, _Adam(layers, loss, lr, 1000 * epoch + k, noise, l2), (x[:0], y[:0])
-                    own = shard == k
-                    rest = np.concatenate((rest[0], x[own])), np.concatenate((rest[1], y[own]))
-                    full = len(rest[0]) // batch * batch
-                    for i in range(0, full, batch):
-                        model.step(rest[0][i : i + batch], rest[1][i : i + batch])
-                    rest = rest[0][full:], rest[1][full:]
-            if model:
-                yield result()
-
-        placed = rows.sortWithinPartitions("shard", F.xxhash64("key", F.lit(epoch)), "key").select("shard", "x", "y")
-        got = placed.mapInArrow(run, "n long, loss double, weights binary").collect()  # one row a shard, each the size of the weights
-        if not got:
-            raise ValueError("no rows to learn from")
-        n = sum(r["n"] for r in got)
-        parts = [(r["n"] / n, pickle.loads(r["weights"])) for r in got]
-        layers = [tuple(sum(w * p[i][j] for w, p in parts).astype(np.float32) for j in (0, 1)) for i in range(len(layers))]
-        history.append(sum(r["loss"] for r in got) / n)
-        if on_epoch and on_epoch(epoch, layers, history[-1]):
+        if not open_:
             break
-    return layers, history
-
+        some = [Job(now[k][0], jobs[k].seed, jobs[k].without) for k in open_]
+        pieces = rows.mapInArrow(_improve(some, epoch, loss, lr, batch, noise, l2, make), "job int, piece int, shard int, n long, loss double, w binary")
+        parts = min(sum(-(-len(flat(j.layers)) // PIECE) for j in some), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        met = pieces.repartition(parts, "job", "piece").sortWithinPartitions("job", "piece", "shard", "n")
+        got: dict[int, list] = {}
+        for r in sorted(met.mapInArrow(_add_up, "job int, piece int, n long, loss double, w binary").collect(), key=lambda r: (r["job"], r["piece"])):  # one set of weights a job
+            got.setdefault(r["job"], []).append(r)
+        for i, k in enumerate(open_):
+            if i not in got or not got[i][0]["n"]:
+                raise ValueError("no rows to learn from")
+            n = got[i][0]["n"]
+            weights = np.concatenate([np.frombuffer(r["w"], np.float64) for r in got[i]]) / n
+            now[k] = (shaped(weights, now[k][0]), [*now[k][1], got[i][0]["loss"] / n])
+        if on_epoch and (stop := on_epoch(epoch, {k: (now[k][0], now[k][1][-1]) for k in open_})):
+            open_ = [k for k in open_ if k not in stop]
+    return now
+
+
+def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, seed: int = 0, on_epoch: Callable[[int, Weights, float], bool] | None = None, **how) -> tuple[Weights, list[float]]:
+    """Weights and mean loss per epoch of one model. df: columns x and y, arrays of floats. on_epoch(epoch, weights, loss)
+    may stop the training by returning True."""
+    watch = (lambda e, got: {"it"} if on_epoch(e, *got["it"]) else None) if on_epoch else None
+    return train_jobs(deal(df, key, shards), {"it": Job(layers, seed)}, loss, epochs, on_epoch=watch, **how)["it"]
+
+
+def packed(layers: Weights) -> bytes:
+    buf = io.BytesIO()
+    np.savez(buf, *[a for pair in layers for a in pair])
+    return buf.getvalue()
+
+
+def unpacked(raw: bytes) -> Weights:
+    got = np.load(io.BytesIO(raw))
+    arrays = [got[f"arr_{i}"] for i in range(len(got.files))]
+    return list(zip(arrays[::2], arrays[1::2], strict=True))
+
+
+class Trajectory:
+    """A table of a training's weights by epoch; an epoch that is written again replaces the former one."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def add(self, epoch: int, layers: Weights, loss: float) -> None:
+        row = self.spark.createDataFrame([(bytearray(packed(layers)), float(loss))], "weights binary, loss double")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+
+    def read(self) -> dict[int, Weights]:
+        """Weights by epoch, in order: as many sets as there were epochs."""
+        rows = self.spark.read.parquet(self.folder).select("epoch", "weights").collect()
+        return {r["epoch"]: unpacked(bytes(r["weights"])) for r in sorted(rows, key=lambda r: r["epoch"])}
+
+
+def _stacked(sets: list[Weights]):
+    """Logits (models x rows) of models of the same widths: one matrix product for the first layer of all."""
+    first = np.concatenate([s[0][0] for s in sets], axis=1)
+    deeper = [(np.stack([s[i][0] for s in sets]), np.stack([s[i][1] for s in sets])[:, None]) for i in range(1, len(sets[0]))]
+    bias, width = np.stack([s[0][1] for s in sets])[:, None], sets[0][0][0].shape[1]
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        h = (x @ first).reshape(len(x), len(sets), width).swapaxes(0, 1) + bias
+        for w, b in deeper:
+            h = np.matmul(np.maximum(h, 0), w) + b
+        return h[:, :, 0]
+
+    return forward
+
+
+def bce_sums(df: DataFrame, sets: dict[int, Weights], x_col: str = "x", y_col: str = "y") -> DataFrame:
+    """(epoch, y, total, n): cross-entropy of rows under all epochs' weights from one scan, summed by truth (0 or 1)."""
+    epochs, forward = list(sets), _stacked(list(sets.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, len(epochs))), np.zeros(2, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                y = part.column(1).to_numpy(zero_copy_only=False) > 0.5
+                p = np.clip(sigmoid(forward(matrix(part.column(0))).astype(np.float64)), 1e-7, 1 - 1e-7)
+                total[1] -= np.log(p[:, y]).sum(1)
+                total[0] -= np.log(1 - p[:, ~y]).sum(1)
+                n += [int((~y).sum()), int(y.sum())]
+        k = [i for i in (0, 1) if n[i]]
+        yield pa.record_batch([pa.array(epochs * len(k), pa.int32()), pa.array(np.repeat(k, len(epochs)), pa.int32()), pa.array(total[k].ravel()), pa.array(np.repeat(n[k], len(epochs)))], ["epoch", "y", "total", "n"])
+
+    got = df.select(F.col(x_col).cast("array<float>").alias("x"), F.col(y_col).cast("float").alias("y")).mapInArrow(run, "epoch int, y int, total double, n long")
+    return got.groupBy("epoch", "y").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def monitor_curve(benign: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """(epoch, bce) from sums of both kinds (bce_sums): benign ones are computed once and serve for any pseudo-anomalies."""
+    return benign.unionByName(pseudo).groupBy("epoch").agg((F.sum("total") / F.sum("n")).alias("bce"))
+
+
+def entropy_stop_at(curve: list[float], patience: int, drop: float) -> tuple[int, bool]:
+    """(place of the last accepted minimum, whether patience is used up): the rule of folds.entropy_stop while a curve grows."""
+    low, best, moved, bad = curve[0], 0, 0.0, 0
+    for i in range(1, len(curve)):
+        moved += abs(curve[i] - curve[i - 1])
+        if curve[i] < low and low - curve[i] > drop * moved:
+            low, best, moved, bad = curve[i], i, 0.0, 0
+        else:
+            bad += 1
+            if bad >= patience:
+                return best, True
+    return best, False
+
 
-def fit_autoencoder(df: DataFrame, key: str, x_col: str, widths: list[int], n_linear: int, epochs: int = 5, noise: float = 0.05, seed: int = 0, **how) -> tuple[Autoencoder, list[float]]:
-    """A denoising autoencoder on benign rows. widths: input to latent; the decoder mirrors them."""
+def mirrored(widths: list[int], seed: int) -> tuple[Weights, int]:
+    """Random layers of an encoder and its mirror as one stack, and how many of them encode."""
     enc, dec = Dense.random(widths, seed), Dense.random(widths[::-1], seed + 1)
-    k = len(enc.layers)
+    return [*enc.layers, *dec.layers], len(enc.layers)
+
+
+def autoencoder_of(layers: Weights, k: int, n_linear: int) -> Autoencoder:
+    return Autoencoder(Dense(layers[:k]), Dense(layers[k:]), n_linear)
+
+
+def fit_autoencoder(
+    df: DataFrame, key: str, x_col: str, widths: list[int], n_linear: int, epochs: int = 5, noise: float = 0.05, seed: int = 0,
+    measure: Callable[[Autoencoder], float] | None = None, patience: int = 0, drop: float = 0.0, untrained: bool = False, **how,
+) -> tuple[Autoencoder, list[float]]:
+    """A denoising autoencoder on benign rows. widths: input to latent; the decoder mirrors them.
+
+    measure: a value of the model after each epoch (an entropy of losses, or minus an average precision);
+    training ends by the rule of entropy_stop_at, whose epoch's weights count. An end at the untrained weights is an
+    error unless `untrained` ones will do. The values then are the second result, those of the untrained model first.
+    """
     # one stack: the latent is rectified like any inner layer
+    layers, k = mirrored(widths, seed)
     rows = df.select(key, F.col(x_col).alias("x"), F.col(x_col).alias("y"))
-    layers, history = train(rows, [*enc.layers, *dec.layers], mixed_loss(n_linear), key, epochs, noise=noise, **how)
-    return Autoencoder(Dense(layers[:k]), Dense(layers[k:]), n_linear), history
+    if measure is None:
+        layers, history = train(rows, layers, mixed_loss(n_linear), key, epochs, seed=seed, noise=noise, **how)
+        return autoencoder_of(layers, k, n_linear), history
+    kept, curve = [layers], [measure(autoencoder_of(layers, k, n_linear))]
+
+    def on_epoch(epoch: int, weights: Weights, loss: float) -> bool:
+        kept.append(weights)
+        curve.append(measure(autoencoder_of(weights, k, n_linear)))
+        return entropy_stop_at(curve, patience, drop)[1]
+
+    train(rows, layers, mixed_loss(n_linear), key, epochs, seed=seed, noise=noise, on_epoch=on_epoch, **how)
+    best = entropy_stop_at(curve, patience, drop)[0]
+    if not best and not untrained:
+        raise ValueError(f"no minimum after the untrained weights: {curve}")
+    return autoencoder_of(kept[best], k, n_linear), curve
+
+
+def block_fakes(latent: int, delta: float, low: float, high: float):
+    """What an epoch learns from a block of benign rows [z, r]: them (0), and a pseudo-anomaly of each (1), made anew each time:
+    with chance delta the residual times a factor in [low, high), else that of another row of the block."""
+
+    def make(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        n = len(x)
+        radial = (rng.random(n) < delta) | (n < 2)
+        a = rng.uniform(low, high, n)
+        other = (np.arange(n) + rng.integers(1, max(n, 2), n)) % max(n, 1)
+        r = x[:, latent:]
+        fake = np.concatenate([x[:, :latent], np.where(radial[:, None], a[:, None] * r, r[other])], axis=1).astype(np.float32)
+        return np.concatenate([x, fake]), np.repeat([0.0, 1.0], n)[:, None]
+
+    return make
+
+
+def fit_pseudo_classifier(
+    rows: DataFrame, widths: list[int], make, monitor: DataFrame | None = None, epochs: int = 100, patience: int = 15, least: float = 1e-6, seed: int = 0,
+    trajectory: Trajectory | None = None, start: Dense | None = None, **how,
+) -> tuple[Dense, list[float]]:
+    """A classifier of benign rows against pseudo-anomalies that `make` makes from each block in each epoch. rows: dealt (x).
+
+    monitor: rows (x, y) whose cross-entropy is taken after each epoch; the weights of its minimum count, and
+    `patience` epochs without a better one end the training. Second result: that curve, or the losses. Weights
+    of every epoch go to the trajectory."""
+    layers = start.layers if start else Dense.random([*widths, 1], seed).layers
+    best: dict = {"bce": float("inf"), "at": None, "layers": None}
+    curve: list[float] = []
+
+    def on_epoch(epoch: int, got: dict[str, tuple[Weights, float]]) -> set[str] | None:
+        weights, loss = got["it"]
+        if trajectory:
+            trajectory.add(epoch, weights, loss)
+        if monitor is None:
+            return None
+        curve.append(bce_sums(monitor, {0: weights}).agg(F.sum("total") / F.sum("n")).first()[0])
+        if curve[-1] < best["bce"] - least:
+            best.update(bce=curve[-1], at=epoch, layers=weights)
+        return {"it"} if epoch - (best["at"] if best["at"] is not None else -1) >= patience else None
+
+    layers, history = train_jobs(rows, {"it": Job(layers, seed)}, bce_loss, epochs, make=make, on_epoch=on_epoch, **how)["it"]
+    if monitor is None:
+        return Dense(layers), history
+    if best["layers"] is None:
+        raise ValueError("no epoch with a finite loss")
+    return Dense(best["layers"]), curve
+
+
+def train_folds(
+    df: DataFrame, key: str, x_col: str, label: str, cls: str, folds: list[tuple[str, int]], widths: list[int], epochs: int = 5, shards: int | None = None, **how
+) -> dict[tuple[str, int], Dense]:
+    """A classifier of benign rows against real attacks for each fold (class left out, seed): one Spark job an epoch for all."""
+    rows = df.select(key, F.col(x_col).alias("x"), F.array(F.col(label).cast("float")).alias("y"), F.col(cls).cast("string").alias("cls"))
+    jobs = {f"{c}/{s}": Job(Dense.random([*widths, 1], s).layers, s, str(c)) for c, s in folds}
+    got = train_jobs(deal(rows, key, shards), jobs, bce_loss, epochs, **how)
+    return {(c, s): Dense(got[f"{c}/{s}"][0]) for c, s in folds}
+
+
+def logits_of_all(df: DataFrame, models: list[Dense], x_col: str, keep: list[str]) -> DataFrame:
+    """df's columns `keep` and logits: an array with a value for each model, from one scan."""
+    forward = _stacked([m.layers for m in models])
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = forward(matrix(b.column(0))).T.astype(np.float64) if b.num_rows else np.zeros((0, len(models)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(models)), pa.int32()), pa.array(v.ravel()))
+            yield pa.record_batch([*b.columns[1:], lists], [*keep, "logits"])
+
+    return df.select(F.col(x_col).cast("array<float>").alias("x"), *keep).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "logits array<double>"]))
 
 
 def fit_classifier(benign: DataFrame, fakes: DataFrame, key: str, x_col: str, widths: list[int], epochs: int = 5, seed: int = 0, **how) -> tuple[Dense, list[float]]:

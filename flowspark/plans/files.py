@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import alert_rate, ema, entropy_stop, patience_stop, sorted_curve
 from ..operators.profile import column_quantiles, group_quantiles
 from ..sources import flow_files as S
+from ..sources.scratch import scratch
 from ..streaming import live
 from .encoding import KINDS_SQL
 from .flow_view import flows, table, with_flows
@@ -22,18 +19,6 @@ R = lambda c, n=6: F.round(c, n)
 _COLS = ["FLOW_ID", "IN_BYTES", "OUT_BYTES", S.FIRST, S.SECOND, "MAX_TTL"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster shares files (spark.checkpoint.dir).
-
-    Where that is unset, a temporary one if Spark runs on one machine; elsewhere it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or f"file://{tempfile.mkdtemp(prefix='spark-files-', dir='/tmp')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Flows with the columns of a raw file; what a flow lacks is NULL."""
     df = flows(spark, d).withColumnsRenamed({"label": "Label", "attack": "Attack", "start_ms": "FLOW_START_MILLISECONDS"})
