@@ -1,17 +1,18 @@
 """Toxicity of texts by votes of the nearest labelled examples.
 
 Examples are a bounded sample of the labelled texts (`examples`, half of it toxic where there
-are enough); a vote counts by the share of its class that is in the sample. Telling words are those much
-more frequent in toxic texts than chance allows, over all labelled texts. The vectors hold
-every word: idf counts it in all texts, and what is not telling has NEUTRAL of that weight, so that the norm
-covers the text. The k nearest by exact cosine come from an inverted index with block maxima: the postings of
+are enough); a vote counts by the share of its class that is in the sample. The vectors hold every word with its
+TF-IDF, idf counted in all texts, times how much it tells: the size of the logarithm of its odds in toxic against
+other labelled texts, all of them, smoothed by SMOOTH texts in the true ratio. Words that tell clean texts weigh as
+well as those that tell toxic ones, no word is left out, and one that no labelled text holds tells nothing. The k nearest by exact cosine come from an inverted index with block maxima: the postings of
 rare words give their part of all scores, the largest values of common words in each block of examples
 bound the rest, and only blocks that can hold one of the k are scored in full. The score is the vote of the k nearest,
 weighted by cosine, drawn towards the base rate when they are few or far.
 
-Null texts are empty texts; a text without words has no neighbours and the lowest
-score. Null labels are not used. Without toxic examples all scores are 0. Repeated rows are
-scored each; ties between neighbours go to the smaller id.
+Null texts are empty texts; a text without words has no neighbours and the score of the base rate. Null labels
+are not used. Without labelled texts of both classes all scores are 0. Repeated rows are
+scored each; ties between neighbours go to the smaller id. An id with several labels is toxic if any of them
+says so; of several texts with one id the first in order of text is the example.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .shared import written
+from .shared import Sieve, column, small_batches, written
 from .words import slices, span_hashes, text_buffers, word_hashes
 
-EXAMPLES, WORDS, NEIGHBOURS, BLOCK, PRIOR, NEUTRAL, DENSE = 4000, 4096, 15, 64, 0.2, 0.05, 2048
+EXAMPLES, NEIGHBOURS, BLOCK, PRIOR, SMOOTH, DENSE = 4000, 15, 64, 0.2, 5.0, 2048
 #: Examples to a block, of whose common words the largest values are known.
 EXAMPLE_BLOCK = 128
 _TRIM = np.zeros(256, bool)
@@ -58,26 +59,53 @@ def _bags(column: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, text): id, word, n."""
     for batch in batches:
         done = 0
-        for bags in _bags(batch.column(2)):
-            n = [len(w) for w, _ in bags]
-            ids, labels = (np.repeat(batch.column(k).slice(done, len(bags)).to_numpy(), n) for k in (0, 1))
+        for bags in _bags(batch.column(1)):
+            ids = np.repeat(batch.column(0).slice(done, len(bags)).to_numpy(), [len(w) for w, _ in bags])
             done += len(bags)
-            yield pa.record_batch([pa.array(ids), pa.array(labels), pa.array(np.concatenate([w for w, _ in bags]).astype(np.int64)), pa.array(np.concatenate([c for _, c in bags]).astype(np.int64))], ["id", "label", "word", "n"])
+            yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([w for w, _ in bags]).astype(np.int64)), pa.array(np.concatenate([c for _, c in bags]).astype(np.int64))], ["id", "word", "n"])
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (label, text): in how many toxic texts, and in how many, each word is; the null word is in all."""
-    for batch in batches:
-        done = 0
-        for bags in _bags(batch.column(1)):
-            label = batch.column(0).slice(done, len(bags)).to_numpy()
-            done += len(bags)
-            word, k = np.unique(np.concatenate([w for w, _ in bags]), return_inverse=True)
-            a = np.bincount(k, np.repeat(label, [len(w) for w, _ in bags]), minlength=len(word)).astype(np.int64)
-            n = np.bincount(k, minlength=len(word))
-            yield pa.record_batch([pa.array([None, *word.astype(np.int64).tolist()], pa.int64()), pa.array(np.append(int(label.sum()), a)), pa.array(np.append(len(bags), n))], ["word", "a", "n"])
+def _class_counts(words):
+    """Of rows (label, text): in how many toxic texts, and in how many, each of the given words is; word -1: all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        a, n = np.zeros(len(known) + 1, np.int64), np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            done = 0
+            for bags in _bags(batch.column(1)):
+                label = batch.column(0).slice(done, len(bags)).to_numpy()
+                done += len(bags)
+                flat, toxic = np.concatenate([w for w, _ in bags]), np.repeat(label, [len(w) for w, _ in bags])
+                at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                own = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+                n += np.bincount(at[own], minlength=len(n))
+                a += np.bincount(at[own & (toxic == 1)], minlength=len(a))
+                n[-1] += len(bags)
+                a[-1] += int(label.sum())
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(np.where(some == len(known), -1, some).astype(np.int32)), pa.array(a[some]), pa.array(n[some])], ["word", "a", "n"])
+
+    return run
+
+
+def _passing(sieve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            yield batch.filter(pa.array(sieve.value.passes(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return run
+
+
+def telling(a: np.ndarray, n: np.ndarray, pos: int, rest: int, smooth: float = SMOOTH) -> np.ndarray:
+    """The size of the log-odds of words that are in n labelled texts, a of them toxic; pos and rest: toxic and other texts."""
+    base = pos / max(pos + rest, 1)
+    up, down = a + smooth * base, n - a + smooth * (1 - base)
+    return np.abs(np.log(up / (pos + smooth * base)) - np.log(down / (rest + smooth * (1 - base))))
 
 
 def _frequencies(words):
@@ -194,6 +222,10 @@ def _scored(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = index.value
         for batch in batches:
+            if near is None:
+                none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), pa.array(np.zeros(batch.num_rows)), none], ["id", "score", "evidence"])
+                continue
             scores, evidence = [], []
             for bags in _bags(batch.column(1)):
                 for i in range(0, len(bags), BLOCK):
@@ -206,42 +238,40 @@ def _scored(index):
     return run
 
 
-def build_index(rows: DataFrame, known: DataFrame, examples: int = EXAMPLES, words: int = WORDS, k: int = NEIGHBOURS) -> NearestExamples:
-    """rows: id, text. known: id, label. At most `examples` labelled texts and `words` telling words, whatever the input."""
+def build_index(rows: DataFrame, known: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> NearestExamples | None:
+    """rows: id, text. known: id, label. An index of at most `examples` labelled texts and all their words, whatever the input;
+    None without labelled texts of both classes."""
     spark = rows.sparkSession
-    labelled = known.where(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label")).dropDuplicates(["id"])
-    sample = [labelled.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(examples // 2) for c in (1, 0)]
-    chosen = sample[0].unionByName(sample[1])
-    base = labelled.agg(F.avg("label")).first()[0] or 0.0
-    own = spark.createDataFrame(chosen.toPandas(), "id long, label int")  # at most `examples` rows
-    bags = rows.join(F.broadcast(own), "id").select("id", "label", "text").mapInArrow(_example_words, "id long, label int, word long, n long").dropDuplicates(["id", "word"])
-    bags = bags.persist()
-    # over all labelled texts, in their true ratio; a slice of texts combines its counts before the shuffle
-    per = rows.join(labelled.hint("shuffle_hash"), "id").select("label", "text").mapInArrow(_class_counts, "word long, a long, n long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    per = written(per.where("word IS NULL OR a >= 4"), "counts")
-    total = per.where("word IS NULL").first()
-    pos, rest = (total["a"], total["n"] - total["a"]) if total else (0, 0)
-    expected = F.col("n") * pos / max(pos + rest, 1)
-    excess = (F.col("a") - expected) / F.sqrt(expected)
-    telling = per.where("word IS NOT NULL").where((F.col("a") >= 4) & (F.col("a") >= 0.8 * F.col("n")) & (excess > 1)).orderBy(F.desc(excess), "word").limit(words)
-    marks = np.asarray([r["word"] for r in telling.select("word").collect()], np.int64).astype(np.uint64)
-    people = own.toPandas().sort_values("id")
-    ids = people["id"].to_numpy()
-    got = bags.select("id", "word", "n").toArrow()  # of at most `examples` texts
-    bags.unpersist()
+    labelled = written(known.where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label")), "labels")
+    # texts with a label: the sieve keeps most others from the shuffle, the join the rest
+    sieve = spark.sparkContext.broadcast(Sieve(labelled.select("id")))
+    with small_batches(spark):
+        some = rows.mapInArrow(_passing(sieve), "id long, text string")
+        texts = some.join(labelled.hint("shuffle_hash"), "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = written(texts, "labelled")
+    size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pos, rest = size.get(1, 0), size.get(0, 0)
+    if not pos or not rest:
+        return None
+    parts = [texts.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(examples // 2) for c in (1, 0)]
+    chosen = written(parts[0].unionByName(parts[1]), "examples")
+    people = chosen.select("id", "label").toPandas().sort_values("id")  # at most `examples` rows
+    ids, labels = people["id"].to_numpy(), people["label"].to_numpy()
+    got = chosen.select("id", "text").mapInArrow(_example_words, "id long, word long, n long").toArrow()
     vocabulary, place = np.unique(got["word"].to_numpy().astype(np.uint64), return_inverse=True)
     shared = spark.sparkContext.broadcast(vocabulary)
     counts = rows.select("text").mapInArrow(_frequencies(shared), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     n = np.ones(len(vocabulary) + 1, np.int64)
     n[counts["word"].to_numpy()] = counts["n"].to_numpy()  # the last one, -1: all texts
     idf = np.log1p(n[-1] / np.maximum(1, n[:-1]))
-    share = np.where(np.isin(vocabulary, marks), 1.0, NEUTRAL)
+    counts = texts.select("label", "text").mapInArrow(_class_counts(shared), "word int, a long, n long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).toArrow()
+    both = np.zeros((2, len(vocabulary) + 1), np.int64)
+    both[:, counts["word"].to_numpy()] = counts["a"].to_numpy(), counts["n"].to_numpy()
+    tells = telling(both[0, :-1], both[1, :-1], pos, rest)
     at = (place, np.searchsorted(ids, got["id"].to_numpy()), got["n"].to_numpy())
     taken = np.bincount(at[1], minlength=len(ids)) > 0
-    size = [max(1, int((taken & (people["label"].to_numpy() == c)).sum())) for c in (0, 1)]
-    # a word that no example holds weighs like one in a single text of so many
-    unseen = NEUTRAL * float(np.log1p(len(ids)))
-    return NearestExamples(vocabulary, idf, ids, people["label"].to_numpy(), at, float(base), k, share, unseen, ((rest / size[0]) / max(pos / size[1], 1e-9) if pos else 1.0, 1.0))
+    held = [max(1, int((taken & (labels == c)).sum())) for c in (0, 1)]
+    return NearestExamples(vocabulary, idf, ids, labels, at, pos / (pos + rest), k, tells, 0.0, ((rest / held[0]) / (pos / held[1]), 1.0))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = 0.7, examples: int = EXAMPLES) -> DataFrame:
@@ -250,8 +280,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     evidence: ids of up to three nearest examples. Labels are (id_col, label_col); those of
     the held-out fold are not learnt from.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL").where(~held_out(F.col("id"), folds, fold))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    known = labels.select(column(id_col).cast("long").alias("id"), column(label_col).alias("label")).where("id IS NOT NULL").where(~held_out(F.col("id"), folds, fold))
     index = docs.sparkSession.sparkContext.broadcast(build_index(rows, known, examples))
     scored = rows.mapInArrow(_scored(index), "id long, score double, evidence array<long>")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

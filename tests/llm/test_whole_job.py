@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tokenizers")
 import public_tokenizers as P  # noqa: E402
@@ -158,7 +159,7 @@ def prose(rng, n, vocabulary):
 
 
 def test_toxicity_scores_against_plain_python(spark):
-    """Telling words, idf, cosines, votes and scores of every text, word by word."""
+    """Log-odds, idf, cosines, votes and scores of every text, word by word."""
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in ("red", "stone", "quick", "lamp", "harbour", "winter") for b in ("", "s", "ingly", "worth")]
     bad = ["vile", "scum", "rotten"]
@@ -188,14 +189,14 @@ def test_toxicity_scores_against_plain_python(spark):
     weight = {}
     for f in vocabulary:
         a, n = sum(f in bags[k] for k in known if known[k]), sum(f in bags[k] for k in known)
-        expected = n * pos / (pos + rest)
-        telling = a >= 4 and a >= 0.8 * n and (a - expected) / expected**0.5 > 1
-        weight[f] = np.log1p(len(bags) / df[f]) * (1 if telling else toxicity.NEUTRAL)
+        base = pos / (pos + rest)
+        up, down = (a + 5 * base) / (pos + 5 * base), (n - a + 5 * (1 - base)) / (rest + 5 * (1 - base))
+        weight[f] = np.log1p(len(bags) / df[f]) * abs(np.log(up / down))
     assert {"vile", "scum", "rotten"} <= {f for f in vocabulary if weight[f] > 0.5}
 
     def vector(b):
-        v = {f: (1 + np.log(c)) * weight.get(f, toxicity.NEUTRAL * np.log1p(len(known))) for f, c in b.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
+        v = {f: (1 + np.log(c)) * weight.get(f, 0) for f, c in b.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5 or 1
         return {f: x / norm for f, x in v.items()}
 
     examples = {k: vector(bags[k]) for k in sorted(known)}
@@ -243,3 +244,14 @@ def test_quality_statistics_against_plain_python():
         ])
     got = np.concatenate(list(quality.statistics(pa.array(texts))))
     assert np.allclose(got, np.asarray(want))
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Several labels of an id: toxic if any says so; several texts: the first in order of text is the example."""
+    docs = spark.createDataFrame([(0, "vile scum"), (0, "an aside"), (3, "good day"), (4, "vile"), (9, "good day"), (12, "vile scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in (0, 3, 12, 9, 6, 2, 5) for y in ([0, 1] if i == 12 else [int(i == 0)])], "doc_id long, toxic int")
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    index = toxicity.build_index(docs.withColumnRenamed("doc_id", "id"), known)
+    assert dict(zip(index.ids.tolist(), index.labels.tolist(), strict=True)) == {0: 1.0, 3: 0.0, 9: 0.0, 12: 1.0}
+    assert len(index.begin) - 1 == 6  # an aside good day vile scum: the other text of id 0 adds none
+    assert toxicity.build_index(docs.withColumnRenamed("doc_id", "id"), known.where("label = 0")) is None
