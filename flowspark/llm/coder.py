@@ -10,9 +10,13 @@ interval, as wide as their predictions together. The interval narrows a 48-bit r
 carries are settled at the end.
 
 Ids are coded in blocks of BLOCK_IDS. Every block starts anew: empty orders 1 and 2, first
-weights, and the order-0 frequencies of its frame; it carries the number of its ids and a CRC-32. A
-frame is a few hundred blocks of whole documents; its first row holds the documents' ids and
-lengths and the frequencies of ids in it, in quarter powers of two.
+weights, and the order-0 frequencies of its frame; it carries the number of its ids and two CRC-32, of its
+ids and of the whole row. A frame is a few hundred blocks of whole documents; its first row holds the documents' ids and
+lengths and the frequencies of ids in it, in quarter powers of two, so that a block is read with its frame's first.
+
+A reader refuses what is not whole: a changed byte of a row (its checksum), blocks of a frame that are missing,
+repeated or out of order (each names its place and how many there are), lengths that do not add up to the
+ids, and frames or parts that are missing (the list of parts beside the file has the frames and ids of each).
 
 All blocks of a frame are coded side by side: one numpy step codes the next id of every block,
 so that no Python code runs per id. The file is a table in the shared folder: rows (part, frame,
@@ -42,11 +46,22 @@ BLOCK_IDS, SLOTS = 4096, 4096
 FRAME_IDS = 3_000_000
 #: Order-0 frequencies add up to 2**ORDER0; weights to 2**16; a weight moves by 2**-RATE of its way.
 ORDER0, RATE = 20, 5
-FIELDS = "part int, frame int, block int, first long, n_ids int, n_docs int, crc long, doc_ids binary, no_id binary, lengths binary, prior binary, payload binary"
+FIELDS = "part int, frame int, block int, n_blocks int, first long, n_ids int, n_docs int, crc long, doc_ids binary, no_id binary, lengths binary, prior binary, payload binary, row_crc long"
 _COUNT = np.asarray([int(2 ** (k / 4)) for k in range(248)], np.int64)
 _LEAST = 1 << 32
 
 
+def row_crc(row: dict) -> int:
+    """CRC-32 of all fields of a row but itself: numbers as they print, then each field of bytes with its length."""
+    out = 0
+    for field in FIELDS.split(", ")[:-1]:
+        name, kind = field.split()
+        value = row[name]
+        raw = (b"-" if value is None else bytes(value)) if kind == "binary" else str(value).encode()
+        out = zlib.crc32(raw, zlib.crc32(f"{name}:{None if value is None else len(raw)};".encode(), out))
+    return out
+
+
 class Prior:
     """Order-0 frequencies: of each id, of all ids below it, and the id at each place."""
 
@@ -271,10 +286,14 @@ def _written_blocks(vocabulary: str, end: int):
             pieces = [ids[k : k + BLOCK_IDS] for k in range(0, len(ids), BLOCK_IDS)]
             made = encode_blocks(pieces, Prior.unpacked(packed))
             head = (np.asarray([x or 0 for x in names], "<i8").tobytes(), np.flatnonzero([x is None for x in names]).astype("<u4").tobytes(), np.asarray(list(map(len, held)), "<i8").tobytes(), packed)
-            rows = [(part, frame, k, first + k * BLOCK_IDS, len(x), 0 if k else len(names), zlib.crc32(x.astype("<u4").tobytes()), *((None,) * 4 if k else head), payload) for k, (x, payload) in enumerate(zip(pieces, made))]
+            names_of = [f.split()[0] for f in FIELDS.split(", ")]
+            rows = []
+            for k, (x, payload) in enumerate(zip(pieces, made, strict=True)):
+                row = dict(zip(names_of, (part, frame, k, len(pieces), first + k * BLOCK_IDS, len(x), 0 if k else len(names), zlib.crc32(x.astype("<u4").tobytes()), *((None,) * 4 if k else head), payload), strict=False))
+                rows.append([*row.values(), row_crc(row)])
             held, names, frame, first, total = [], [], frame + 1, first + len(ids), 0
             kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-            return pa.record_batch([pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(FIELDS.split(", "))], [f.split()[0] for f in FIELDS.split(", ")])
+            return pa.record_batch([pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(FIELDS.split(", "))], names_of)
 
         for rows in sliced(batches, 2):
             for p, name, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), table.encode(rows.column(2).fill_null("").to_pylist())):
@@ -302,6 +321,13 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, id_col:
     placed = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), F.coalesce("text", F.lit(""))).select(F.spark_partition_id().alias("part"), "id", "text")
     with small_batches(docs.sparkSession):
         placed.mapInArrow(_written_blocks(vocabulary, end), FIELDS).write.parquet(path)
+    spark = docs.sparkSession
+    _sizes(spark.read.schema(FIELDS).parquet(path)).write.parquet(f"{path}.parts")
+
+
+def _sizes(blocks: DataFrame) -> DataFrame:
+    """(part, frames, blocks, n): one row for each task that wrote."""
+    return blocks.groupBy("part").agg(F.count_if(F.col("block") == 0).alias("frames"), F.count("*").alias("blocks"), F.sum("n_ids").alias("n"))
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -309,7 +335,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and row["n_docs"]:
+            if held and (row["part"], row["frame"]) != (held[0]["part"], held[0]["frame"]):
                 yield held
                 held = []
             held.append(row)
@@ -317,22 +343,40 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _whole(rows: list[dict]) -> None:
+    """Raises where the rows of a frame are not all of its blocks, each once, in order, and as they were written."""
+    head = rows[0]
+    where = f"frame {head['frame']} of part {head['part']}"
+    for r in rows:
+        if row_crc(r) != r["row_crc"]:
+            raise ValueError(f"block {r['block']} of {where} is damaged")
+    if [r["block"] for r in rows] != list(range(head["n_blocks"])) or any(r["n_blocks"] != head["n_blocks"] for r in rows):
+        raise ValueError(f"{where} lacks blocks or holds some twice")
+    ids = [r["n_ids"] for r in rows]
+    if [r["first"] for r in rows] != (head["first"] + np.cumsum([0, *ids[:-1]])).tolist():
+        raise ValueError(f"blocks of {where} do not follow each other")
+    n = np.frombuffer(head["lengths"], "<i8")
+    if n.sum() != sum(ids) or len(n) != head["n_docs"] or len(head["doc_ids"]) != 8 * len(n):
+        raise ValueError(f"documents of {where} are not as long as its blocks")
+
+
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of FIELDS in order of part, frame and block; per document its ids' place in the part, number and CRC-32."""
     for rows in _frames(batches):
+        _whole(rows)
         head = rows[0]
-        found = decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows], Prior.unpacked(head.get("prior")))
+        found = decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows], Prior.unpacked(head["prior"]))
         for r, ids in zip(rows, found):
             if zlib.crc32(ids.astype("<u4").tobytes()) != r["crc"]:
-                raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
+                raise ValueError(f"block {r['block']} of frame {r['frame']} of part {r['part']} is damaged")
         data = memoryview(np.concatenate(found).astype("<u4").tobytes())
         names = np.frombuffer(head["doc_ids"], "<i8").tolist()
-        for k in np.frombuffer(head.get("no_id") or b"", "<u4").tolist():
+        for k in np.frombuffer(head["no_id"] or b"", "<u4").tolist():
             names[k] = None
         n = np.frombuffer(head["lengths"], "<i8")
         at = np.concatenate(([0], np.cumsum(n)))
         crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        first = head.get("first") or 0
+        first = head["first"]
         yield pa.record_batch([pa.array([head["part"]] * len(n), pa.int32()), pa.array(names, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["part", "id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -342,9 +386,12 @@ def read_documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     deal = shuffle_partitions(spark)
     got = blocks.repartition(deal, "part", "frame").sortWithinPartitions("part", "frame", "block").mapInArrow(_read_blocks, "part int, id long, start long, n_tokens long, ids_crc32 long")
     # one row for each task that wrote
-    sizes = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()))
-    before = np.cumsum([0, *[n for _, n in sizes]]).tolist()
-    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, before long")
+    sizes = sorted(map(tuple, spark.read.schema("part int, frames long, blocks long, n long").parquet(f"{path}.parts").collect()))
+    found = sorted(map(tuple, _sizes(blocks).collect()))
+    if found != sizes:
+        raise ValueError(f"parts {sorted({p[0] for p in set(sizes) ^ set(found)})} are not whole")
+    before = np.cumsum([0, *[n for *_, n in sizes]]).tolist()
+    offsets = spark.createDataFrame([(p[0], b) for p, b in zip(sizes, before)], "part int, before long")
     got = got.join(F.broadcast(offsets), "part")
     return got.select(F.col("id").alias(id_col), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
