@@ -7,18 +7,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import apart
 
-def row_key(cols: list[str]):
-    """A 128-bit digest of whole rows; NULL and the empty string differ."""
-    parts = [F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols]
-    return F.md5(F.concat_ws("\x1f", *parts))
+
+def row_key(cols: list[str], df: DataFrame):
+    """A 128-bit digest of whole rows: every value with its length, so that no value can run into the next.
+
+    NULL and the empty string differ; 0.0 and -0.0 are the same, as are all NaN."""
+    kinds = dict(df.dtypes)
+
+    def part(c: str):
+        x = F.col(f"`{c}`")
+        if kinds[c] in ("double", "float"):
+            x = F.when(x == 0, F.lit(0.0).cast(kinds[c])).otherwise(x)  # NaN prints alike whatever its bits
+        text = x.cast("string") if not kinds[c].startswith(("array", "map", "struct")) else F.to_json(F.struct(x.alias("v")))
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(*[part(c) for c in cols]))
 
 
 def anti_join_rows(df: DataFrame, other: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows of df, copies included, that do not occur in other (NULLs equal)."""
+    """Rows of df, copies included, that do not occur in other (NULLs equal). Columns are compared as those of df."""
     cols = cols or df.columns
-    held = other.select(row_key(cols).alias("_key")).distinct()
-    return df.withColumn("_key", row_key(cols)).join(held.hint("shuffle_hash"), "_key", "left_anti").drop("_key")
+    (k,) = apart([*df.columns, *other.columns], "key")
+    kinds = dict(df.dtypes)
+    same = other.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in cols])
+    held = same.select(row_key(cols, same).alias(k)).distinct()
+    return df.withColumn(k, row_key(cols, df)).join(held.hint("shuffle_hash"), k, "left_anti").drop(k)
 
 
 def prefer_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:

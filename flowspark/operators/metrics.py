@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import mcc_balanced, mcc_from_counts, safe_div
 from ..spec import PERCENTILE_GRID
-from .profile import average_rank, column_quantiles, confusion_counts, counts_of_values, prefix_sum, quantiles_of_counts
+from .profile import apart, average_rank, column_quantiles, confusion_counts, counts_of_values, prefix_sum, quantiles_of_counts
 
 
 def above(score: Column, tau: Column | float, strict: bool = True) -> Column:
@@ -47,11 +47,12 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def curves(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, tp, fp, precision, recall, fpr) for the rule score >= threshold at every distinct score."""
-    per = score_counts(df, score, label).withColumn("_k", -F.col(score))
-    run = prefix_sum(per, "_k", {"pos": "tp", "neg": "fp"}, before=False)
-    total = per.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    down, p, q = apart([score, "pos", "neg", "tp", "fp", "precision", "recall", "fpr", "gain"], "down", "p", "q")
+    per = score_counts(df, score, label).withColumn(down, -F.col(score))
+    run = prefix_sum(per, down, {"pos": "tp", "neg": "fp"}, before=False)
+    total = per.agg(F.sum("pos").alias(p), F.sum("neg").alias(q))
     got = run.crossJoin(F.broadcast(total))  # one row
-    return got.select(score, "pos", "tp", "fp", safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe_div(F.col("tp"), F.col("_p")).alias("recall"), safe_div(F.col("fp"), F.col("_q")).alias("fpr"), safe_div(F.col("pos"), F.col("_p")).alias("gain"))
+    return got.select(score, "pos", "tp", "fp", safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe_div(F.col("tp"), F.col(p)).alias("recall"), safe_div(F.col("fp"), F.col(q)).alias("fpr"), safe_div(F.col("pos"), F.col(p)).alias("gain"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -79,8 +79,9 @@ def dedup_rows(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     An aggregation with a partial step, so that a huge group of copies stays cheap.
     """
     others = [c for c in df.columns if c not in cols]
-    first = F.min(F.struct(order, *[c for c in others if c != order])).alias("_first")
-    return df.groupBy(*cols).agg(first).select(*[F.col(c) if c in cols else F.col(f"_first.{c}") for c in df.columns])
+    (one,) = apart(df.columns, "first")
+    first = F.min(F.struct(order, *[c for c in others if c != order])).alias(one)
+    return df.groupBy(*cols).agg(first).select(*[F.col(c) if c in cols else F.col(one)[c].alias(c) for c in df.columns])
 
 
 def group_label_stats(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -92,8 +93,9 @@ def group_label_stats(df: DataFrame, keys: list[str], label: str = "label") -> D
 
 def majority_class(df: DataFrame, keys: list[str], col: str = "attack") -> DataFrame:
     """The most frequent value per group; ties go to the smaller one."""
-    per = df.groupBy(*keys, col).agg(F.count("*").alias("_n"))
-    return per.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("m"), F.col(col).alias("v")))["v"].alias("majority"))
+    (n,) = apart([*keys, col], "n")
+    per = df.groupBy(*keys, col).agg(F.count("*").alias(n))
+    return per.groupBy(*keys).agg(F.min(F.struct((-F.col(n)).alias("m"), F.col(col).alias("v")))["v"].alias("majority"))
 
 
 def duplicate_stats(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -118,15 +118,16 @@ def inject_evenly(rows: DataFrame, attacks: DataFrame, key: str, salt: str, rate
     """
     n, m = rows.count(), attacks.count()
     k = round(n * rate) if m else 0
-    placed = places(rows, key, salt)
+    at, nth, hit, donor, packed = apart([*rows.columns, *attacks.columns, "injected"], "place", "nth", "hit", "donor", "packed")
+    placed = places(rows, key, salt, place=at)
     # place p holds the i-th injection if floor(i * n / k) = p - 1 for an i in [0, k)
-    p = F.col("place") - 1
+    p = F.col(at) - 1
     i = F.floor((p * k + n - 1) / n) if k else F.lit(-1)
-    slot = placed.withColumn("_i", i.cast("long")).withColumn("_hit", (F.col("_i") < k) & (F.floor(F.col("_i") * n / max(k, 1)) == p) & (F.col("_i") >= 0))
-    donors = places(attacks, key, salt + ":a").select((F.col("place") - 1).alias("_donor"), *[F.col(c).alias(f"_a_{c}") for c in rows.columns])
-    keyed = slot.withColumn("_donor", F.when(F.col("_hit"), F.col("_i") % max(m, 1)))
-    got = keyed.join(donors.hint("shuffle_hash"), "_donor", "left")
-    return got.select(*[F.when(F.col("_hit"), F.col(f"_a_{c}")).otherwise(F.col(c)).alias(c) for c in rows.columns], F.col("_hit").alias("injected"))
+    slot = placed.withColumn(nth, i.cast("long")).withColumn(hit, (F.col(nth) < k) & (F.floor(F.col(nth) * n / max(k, 1)) == p) & (F.col(nth) >= 0))
+    donors = places(attacks, key, salt + ":a", place=at).select((F.col(at) - 1).alias(donor), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(packed))
+    keyed = slot.withColumn(donor, F.when(F.col(hit), F.col(nth) % max(m, 1)))
+    got = keyed.join(donors.hint("shuffle_hash"), donor, "left")
+    return got.select(*[F.when(F.col(hit), F.col(packed)[c]).otherwise(F.col(f"`{c}`")).alias(c) for c in rows.columns], F.col(hit).alias("injected"))
 
 
 def partner_join(df: DataFrame, key: str, salt: str, cols: list[str]) -> DataFrame:
@@ -146,23 +147,25 @@ def partner_join(df: DataFrame, key: str, salt: str, cols: list[str]) -> DataFra
 
 def column_permute(df: DataFrame, key: str, cols: list[str], salt: str) -> DataFrame:
     """(key, cols): each column permuted on its own. A join per column on places in two hash orders."""
-    out = places(df.select(key), key, salt + ":to")
+    (at,) = apart(df.columns, "place")
+    out = places(df.select(key), key, salt + ":to", place=at)
     for i, c in enumerate(cols):
-        own = places(df.select(key, c), key, f"{salt}:{i}").select("place", F.col(c))
-        out = out.join(own.hint("merge"), "place")
+        own = places(df.select(key, c), key, f"{salt}:{i}", place=at).select(at, F.col(c))
+        out = out.join(own.hint("merge"), at)
     return out.select(key, *cols)
 
 
 def leak_report(df: DataFrame, split: str, key: list[str]) -> DataFrame:
     """One row: how many keys occur in more than one split; 0 when nothing leaks."""
-    per = df.groupBy(*key).agg(F.count_distinct(split).alias("_n"))
-    return per.agg(F.count_if(F.col("_n") > 1).alias("n_shared"), F.count("*").alias("n_keys"))
+    (n,) = apart(key, "n")
+    per = df.groupBy(*key).agg(F.count_distinct(split).alias(n))
+    return per.agg(F.count_if(F.col(n) > 1).alias("n_shared"), F.count("*").alias("n_keys"))
 
 
 def cluster_split(df: DataFrame, features: list[str], key: str, label: str, cls: str, salt: str) -> DataFrame:
     """(key, split): equal rows go together; purely benign groups 80/10/10 by rows, all others half to
     val and half to test, by majority class. Equal rows are those with the same 128-bit digest of all features."""
-    keyed = df.select(F.col(key).alias("k"), F.col(label).cast("long").alias("bad"), F.col(cls).alias("cls"), row_key(features).alias("g"))
+    keyed = df.select(F.col(key).alias("k"), F.col(label).cast("long").alias("bad"), F.col(cls).alias("cls"), row_key(features, df).alias("g"))
     per = keyed.groupBy("g", "cls").agg(F.count("*").alias("m"), F.sum("bad").alias("bad"), F.min("k").alias("gid"))
     majority = F.min(F.struct((-F.col("m")).alias("m"), F.col("cls").alias("v")))["v"]
     groups = per.groupBy("g").agg(F.sum("m").alias("n"), F.sum("bad").alias("bad"), F.min("gid").alias("gid"), majority.alias("majority"))

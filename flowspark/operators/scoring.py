@@ -6,7 +6,7 @@ travel with the function. Anything that is a sum over an array stays in Spark ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,21 +137,31 @@ def mlp_forward(df: DataFrame, mlp: Dense, id_col: str, x_col: str = "x", keep:
     return _over(df, id_col, x_col, lambda x: [pa.array(mlp.forward(x)[:, 0].astype(np.float32))], "logit float", keep)
 
 
-def score_flows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, clf: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_flows(
+    df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, clf: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = (), explain: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
     """(id, keep, s_dae, logit, s_pa): both stages in one batch; only three numbers a row leave Python.
 
-    Standardising the latent and whitening the residual are folded into the first layer.
+    Standardising the latent and whitening the residual are folded into the first layer. explain tells from both scores
+    which rows will be alarms: those also get zr, their standardised residuals; others have none.
     """
     folded = fold_affine(clf, z_mean, z_std, wh)
+    sigma = np.where(wh.sigma < 1e-8, 1.0, wh.sigma)
 
     def make(x: np.ndarray) -> list[pa.Array]:
         z, y = ae.forward(x)
         r = y - x
         s = (r[:, ae.n_linear :] ** 2).mean(axis=1)
         logit = folded.forward(np.concatenate([z, r], axis=1))[:, 0]
-        return [pa.array(s.astype(np.float32)), pa.array(logit.astype(np.float32)), pa.array(sigmoid(logit).astype(np.float32))]
-
-    return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float", keep)
+        out = [pa.array(s.astype(np.float32)), pa.array(logit.astype(np.float32)), pa.array(sigmoid(logit).astype(np.float32))]
+        if explain:
+            hit = explain(s, logit)
+            zr = ((r[hit] - wh.mean) / sigma).astype(np.float32)
+            ends = np.concatenate(([0], np.cumsum(hit))) * r.shape[1]
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(zr.ravel()), mask=pa.array(~hit)))
+        return out
+
+    return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float" + (", zr array<float>" if explain else ""), keep)
 
 
 def phi_rows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -115,11 +115,16 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
     return S.read_partial_csvs(spark, path, "trial long, seed int, metric double").groupBy("seed").agg(F.count("*").alias("n"))
 
 
-@query("s10_read_runs_partitioned", _TRIALS + " SELECT '0.' || (trial % 3) AS rate, '1e-' || (seed % 2 + 3) AS lr, count(*) AS n FROM trials GROUP BY 1, 2")
+@query("s10_read_runs_partitioned", _TRIALS + " SELECT rate, lr, count(*) AS runs, CAST(sum(n) AS BIGINT) AS epochs, round(sum(total), 4) AS total, round(max(most), 4) AS most FROM (SELECT '0.' || (trial % 3) AS rate, '1e-' || (seed % 2 + 3) AS lr, seed, count(*) AS n, sum(metric) AS total, max(metric) AS most FROM trials GROUP BY ALL) GROUP BY rate, lr")
 def s10(spark: SparkSession, d: str) -> DataFrame:
-    t = trials(spark, d)
-    path = F.concat(F.lit("/runs/rate_0."), F.col("trial") % 3, F.lit("/lr_1e-"), F.col("seed") % 2 + 3, F.lit("/seed_"), F.col("seed"), F.lit(".json"))
-    return t.select(*S.run_parts(path)).groupBy("rate", "lr").agg(F.count("*").alias("n"))
+    """Runs as JSON files in folders of their rate, rate of learning and seed; found, read and summed up."""
+    path = scratch(spark, "runs")
+    t = trials(spark, d).withColumns({"rate": F.concat(F.lit("0."), F.col("trial") % 3), "lr": F.concat(F.lit("1e-"), F.col("seed") % 2 + 3)})
+    runs = t.groupBy("rate", "lr", "seed").agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", "metric"))), lambda s: s["metric"]).alias("curve"))
+    runs.write.partitionBy("rate", "lr", "seed").json(path)
+    got = S.read_runs(spark, path, "curve array<double>")
+    total = F.aggregate("curve", F.lit(0.0), lambda s, x: s + x)
+    return got.groupBy("rate", "lr").agg(F.count_distinct("seed").alias("runs"), F.sum(F.size("curve")).cast("long").alias("epochs"), R(F.sum(total), 4).alias("total"), R(F.max(F.array_max("curve")), 4).alias("most"))
 
 
 @query("s11_write_split", with_flows("SELECT pool AS split, count(*) AS n FROM flows GROUP BY 1"))
@@ -161,13 +166,16 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("pool string, attack string, n long").option("header", True).csv(path)
 
 
-@query("s16_alert_sink", with_flows("SELECT pool AS day, count(*) AS n FROM flows WHERE logit > 3 GROUP BY 1"))
+@query("s16_alert_sink", with_flows("SELECT pool AS day, count(*) AS n, CAST(2 AS BIGINT) AS batches FROM flows WHERE logit > 3 AND pool <> 'select' GROUP BY 1"))
 def s16(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, the first of them twice, and the oldest day removed for want of room."""
     path = scratch(spark, "alerts")
     alerts = flows(spark, d).where("logit > 3").select("flow_id", F.col("pool").alias("day"))
-    S.write_alerts(alerts.where("flow_id % 2 = 0"), path)
-    S.write_alerts(alerts.where("flow_id % 2 = 1"), path)
-    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"))
+    for batch in ("a", "b", "a"):
+        S.write_alerts(alerts.where(F.col("flow_id") % 2 == int(batch == "b")), path, batch)
+    room = S.alert_manifest(spark, path).where("day <> 'select'").agg(F.sum("bytes")).first()[0] or 0
+    S.keep_newest_days(spark, path, room)
+    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
 
 
 _ROW = "md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), coalesce(o_orderstatus, '\\N'), coalesce(o_orderpriority, '\\N')))"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.profile import apart
 from ..spec import raw_schema
 
 FIRST, SECOND = "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES"
@@ -82,6 +83,56 @@ def read_flows_repair(spark: SparkSession, path: str, header: list[str] | None =
     return repaired_lines(text.where(F.col("value") != first), header)
 
 
+#: Files are told their header by a broadcast table where there are at most so many.
+FILES = 100_000
+
+
+def capture_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file): lines of text files with the file of each."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def captured_flows(lines: DataFrame, labelled: bool = True, files: list[str] | None = None) -> DataFrame:
+    """Flows of captured lines (value, file): the raw columns as strings, in the order of the contract, and row_status.
+
+    Every file has its own header line, which names its columns in any order, with the label columns or without;
+    those that a file lacks are NULL where they are labels and an error elsewhere. So are unknown
+    or repeated names, and a file without a header (files: all there should be). Lines are repaired by the header of their file.
+    """
+    raw = [f.name for f in raw_schema(False)]
+    labels = [f.name for f in raw_schema(True) if f.name not in raw]
+    known = {*raw, *labels}
+    # every header names the column that repairs count on; no line of data does
+    is_header = F.col("value").contains(ANCHORS[0])
+    per_file = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"), F.count_distinct("value").alias("n"))
+    found = per_file.groupBy("header").agg(F.count("*").alias("files"), F.max("n").alias("n")).limit(65).collect()
+    if len(found) > 64:
+        raise ValueError("more than 64 different headers")
+    for r in found:
+        header = r["header"].split(",")
+        unknown, missing = sorted(set(header) - known), [c for c in raw if c not in header]
+        if unknown or missing or len(set(header)) != len(header) or r["n"] > 1:
+            raise ValueError(f"header of a capture: unknown columns {unknown}, missing columns {missing}, {r['n']} headers in a file")
+    if files is not None and sum(r["files"] for r in found) != len(files):
+        raise ValueError(f"{len(files) - sum(r['files'] for r in found)} files have no header of known columns")
+    parts = []
+    plain = lines.where(~is_header)
+    which = None if len(found) < 2 else per_file.select("file", "header")
+    if which is not None:
+        plain = plain.join(F.broadcast(which) if sum(r["files"] for r in found) <= FILES else which.hint("shuffle_hash"), "file")
+    for r in found:
+        header = r["header"].split(",")
+        own = plain if which is None else plain.where(F.col("header") == r["header"])
+        got = repaired_lines(own, header)
+        parts.append(got.select(*[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in (*raw, *(labels if labelled else ()))], "row_status"))
+    if not parts:
+        return repaired_lines(lines.where("false"), [*raw, *(labels if labelled else ())])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def malformed_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("row_status").agg(F.count("*").alias("n"))
 
@@ -100,8 +151,8 @@ def read_partial_csvs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def run_parts(path: Column) -> list[Column]:
-    """rate, lr and seed from .../rate_<x>/lr_<y>/seed_<n>.json, as the strings that the path has."""
-    return [F.regexp_extract(path, rf"{k}_([^/]+?)(?:/|\.json$)", 1).alias(k) for k in ("rate", "lr", "seed")]
+    """rate, lr and seed from .../rate_<x>/lr_<y>/seed_<n>.json, or folders rate=<x> and so on, as the strings that the path has."""
+    return [F.regexp_extract(path, rf"/{k}[_=]([^/]+?)(?:/|\.json$)", 1).alias(k) for k in ("rate", "lr", "seed")]
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -152,15 +203,47 @@ def compare_frames(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(column, n_different, max_gap): cell by cell over the union of keys, NULLs equal."""
     cols = [c for c in a.columns if c not in keys and c in b.columns]
     numeric = {f.name for f in a.schema if isinstance(f.dataType, T.NumericType)}
-    x = a.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in cols], F.lit(True).alias("_in_a"))
-    y = b.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
-    both = x.join(y.hint("merge"), keys, "full_outer")
-    whole = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
-    gap = lambda c: F.max(F.abs(F.col(f"_a_{c}").cast("double") - F.col(f"_b_{c}"))) if c in numeric else F.lit(None).cast("double")
-    packed = [F.struct(F.lit(c).alias("column"), F.count_if(~(whole & F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")))).alias("n_different"), gap(c).alias("max_gap")) for c in cols]
+    one, two = apart(keys, "one", "two")
+    side = lambda df, name: df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in cols]).alias(name))
+    both = side(a, one).join(side(b, two).hint("merge"), keys, "full_outer")
+    x, y = F.col(one), F.col(two)
+    whole = x.isNotNull() & y.isNotNull()
+    gap = lambda c: F.max(F.abs(x[c].cast("double") - y[c])) if c in numeric else F.lit(None).cast("double")
+    packed = [F.struct(F.lit(c).alias("column"), F.count_if(~(whole & x[c].eqNullSafe(y[c]))).alias("n_different"), gap(c).alias("max_gap")) for c in cols]
     return both.agg(F.array(*packed).alias("x")).select(F.explode("x").alias("y")).select("y.*")
 
 
-def write_alerts(alerts: DataFrame, path: str, day: str = "day") -> None:
-    """Alerts appended by day; old days are dropped by removing their folders."""
-    alerts.write.mode("append").partitionBy(day).parquet(path)
+def write_alerts(alerts: DataFrame, path: str, batch: str, day: str = "day") -> DataFrame:
+    """Alerts of one run (batch) by day; a run that is repeated replaces its own. Returns what was written."""
+    own = f"{path.rstrip('/')}/batch={batch}"
+    alerts.write.mode("overwrite").partitionBy(day).parquet(own)
+    kind = alerts.select([c for c in alerts.columns if c != day] + [day]).schema
+    return alerts.sparkSession.read.schema(kind).parquet(own)
+
+
+def alert_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, day, files, bytes) of a sink, from the names and sizes of its files; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    part = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1)
+    return files.groupBy(part("batch").alias("batch"), part("day").alias("day")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def keep_newest_days(spark: SparkSession, path: str, most_bytes: int) -> list[str]:
+    """Removes the oldest days of a sink until the rest has at most `most_bytes`; the newest day stays. Returns the days removed."""
+    rows = alert_manifest(spark, path).collect()  # one row a batch and day
+    size: dict[str, int] = {}
+    for r in rows:
+        size[r["day"]] = size.get(r["day"], 0) + r["bytes"]
+    gone, total = [], sum(size.values())
+    for d in sorted(size)[:-1]:
+        if total <= most_bytes:
+            break
+        gone.append(d)
+        total -= size[d]
+    if gone:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for r in rows:
+            if r["day"] in gone:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch={r['batch']}/day={r['day']}"), True)
+    return gone

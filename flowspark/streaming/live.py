@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -68,15 +70,37 @@ def alert_rows(scored: DataFrame, alarm: Column, zr: str, names: list[str], limi
 
 
 def score_to_alerts(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Scores every batch and appends its alerts by day. A batch that is run again overwrites its own
-    folder, so alerts are not repeated."""
+    """Scores every batch and writes its alerts. Every batch has a folder of its own, and a mark once it is
+    whole; a batch that is run again, after a failure at any point, replaces its folder, so each alert is there once (read_alerts)."""
 
     def each(batch: DataFrame, number: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        done = batch.sparkSession.createDataFrame([(number,)], "batch long")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{sink}.done/number={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_alerts(spark: SparkSession, sink: str) -> DataFrame:
+    """The alerts of all batches that are whole, with the number of the batch."""
+    done = [r["batch"] for r in spark.read.schema("batch long").parquet(f"{sink}.done").collect()]  # one row a batch
+    return spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={n}" for n in sorted(done)])
+
+
+def keep_running(start: Callable[[], StreamingQuery], attempts: int = 5, wait: float = 1.0) -> int:
+    """Runs a stream to the end of what has arrived; one that fails is started again from its checkpoint after `wait`
+    seconds, up to `attempts` times. Returns how often it failed; the last failure is raised."""
+    for failed in range(attempts):
+        try:
+            start().awaitTermination()
+            return failed
+        except StreamingQueryException:
+            if failed + 1 == attempts:
+                raise
+            time.sleep(wait)
+    raise ValueError("no attempt allowed")
+
+
 def run_available(stream: DataFrame, sink: str, mode: str, checkpoint: str) -> DataFrame:
     """All that has arrived, as the rows that the stream wrote to the folder `sink`.
 
