@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .profile import apart
 
 
@@ -86,22 +87,113 @@ def _nearest(k: int, own: bool):
     return run
 
 
+#: Vectors that others are placed by, a bounded sample of the reference; rows of a block that meet a block of the reference in one task.
+PIVOTS, ROWS = 64, 4000
+_PLACED = "id long, v array<double>, cell int, r double"
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances, coordinate by coordinate: bounds must not suffer from cancellation."""
+    return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1)) if len(x) else np.zeros((0, len(pivots)))
+
+
+def _placed(pivots: np.ndarray):
+    """(id, v) with the nearest pivot and the distance to it."""
+
+    def run(batches):
+        for b in batches:
+            d = _apart(_vectors(b.column(1)), pivots)
+            cell = d.argmin(axis=1) if len(d) else np.zeros(0, int)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "cell", "r"])
+
+    return run
+
+
+def _blocks_of(pivots: np.ndarray, table: np.ndarray, home: bool):
+    """(id, v, far) to (id, v, block): its own block, or all others that may hold a vector at most `far` away.
+
+    table: cell, least and largest distance to the pivot, a row a block. A vector of a block is at least the larger of
+    (distance to the pivot - largest) and (least - distance to the pivot) away."""
+    cell, low, high = table[:, 0].astype(int), table[:, 1], table[:, 2]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                d = _apart(_vectors(part.column(1)), pivots)[:, cell]
+                bound = np.maximum(0, np.maximum(d - high, low - d))
+                own = (bound + 1e-9 * d).argmin(axis=1)
+                if home:
+                    row, block = np.arange(len(own)), own
+                else:
+                    far = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False), nan=np.inf)
+                    may = bound <= (far + 1e-6 * (1 + far))[:, None]
+                    may[np.arange(len(own)), own] = False
+                    row, block = np.nonzero(may)
+                at = pa.array(row)
+                yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(block.astype(np.int32))], ["id", "v", "block"])
+
+    return run
+
+
+def _met(rows: DataFrame, points: DataFrame, k: int, own: bool) -> DataFrame:
+    """(id, nearest, distance) of rows (id, v, block) among the points of their block. Many rows of a block are dealt to several tasks."""
+    chunks = rows.groupBy("block").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("chunks"))  # a row a block
+    dealt = rows.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    copies = points.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return dealt.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInArrow(_nearest(k, own), "id long, nearest long, distance double")
+
+
 def nearest(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 4000) -> DataFrame:
     """(id, nearest): the k closest reference vectors of each row as an array of (distance, nearest), exact; ties go to the smaller id.
 
-    Rows and reference are dealt to blocks of about `block` vectors; every block of rows meets every block of
-    the reference in a task of its own, and the least distances over the blocks count. Ids are unique and not null;
-    without other reference vectors a row is absent.
+    Ids are unique and not null; without other reference vectors a row is absent."""
+    return nearest_pruned(df, reference, id_col, vec_col, k, leave_self, block)[0]
+
+
+def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 4000) -> tuple[DataFrame, dict[str, int]]:
+    """nearest, and how many pairs of a row and a block of the reference there are and how many were looked at.
+
+    Reference vectors go to the cell of their nearest pivot and, by rings of the distance to it, to blocks of about `block`.
+    A row first meets the block that it lies in or nearest to; the k-th distance found there rules out, by the triangle
+    inequality, blocks that can hold nothing nearer, before any vector moves; only the others are met.
     """
-    size = lambda d: max(1, -(-d.count() // block))
-    n, m = size(df), size(reference)
+    spark = df.sparkSession
     pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    rows = pick(df).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("a"), every(m).alias("b"))
-    points = pick(reference).select("id", "v", every(n).alias("a"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("b"))
-    found = rows.groupBy("a", "b").cogroup(points.groupBy("a", "b")).applyInArrow(_nearest(k, leave_self), "id long, nearest long, distance double")
-    best = F.sort_array(F.collect_list(F.struct("distance", "nearest")))  # k for each block of the reference
-    return found.groupBy("id").agg(F.slice(best, 1, k).alias("nearest"))
+    wanted = min(PIVOTS, max(1, -(-4 * reference.count() // block)))
+    some = pick(reference).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    if not some:
+        return spark.createDataFrame([], "id long, nearest array<struct<distance: double, nearest: long>>"), {"pairs": 0, "met": 0}
+    pivots = np.asarray([r["v"] for r in some])
+    placed = written(pick(reference).mapInArrow(_placed(pivots), _PLACED), "placed")
+    # rings of a cell end at quantiles of the distance; a ring that equal distances overfill is dealt by hash
+    n = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("r", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("q"))  # a row a pivot
+    rings = F.ceil(F.col("n") / block)
+    step = F.greatest(F.lit(1), F.floor(256 / rings))
+    ends = n.select("cell", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("ends"))
+    ringed = placed.join(F.broadcast(ends), "cell").withColumn("ring", F.size(F.filter("ends", lambda e: e < F.col("r")))).drop("ends")
+    sizes = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("subs"))
+    dealt = ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    made = dealt.groupBy("cell", "ring", "sub").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).orderBy("cell", "ring", "sub").collect()  # a row for `block` vectors
+    table = np.asarray([(r["cell"], r["low"], r["high"]) for r in made])
+    names = spark.createDataFrame([(i, r["cell"], r["ring"], r["sub"]) for i, r in enumerate(made)], "block int, cell int, ring int, sub int")
+    points = written(dealt.join(F.broadcast(names), ["cell", "ring", "sub"]).select("id", "v", "block"), "points")
+
+    rows = pick(df)
+    first = written(_met(written(rows.select("id", "v", F.lit(None).cast("double").alias("far")).mapInArrow(_blocks_of(pivots, table, True), "id long, v array<double>, block int"), "rows"), points, k, leave_self), "near")
+    kth = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("far"))
+    known = rows.join(kth.hint("merge"), "id", "left").select("id", "v", "far")
+    more = written(known.mapInArrow(_blocks_of(pivots, table, False), "id long, v array<double>, block int"), "others")
+    both = first.unionByName(_met(more, points, k, leave_self))
+    best = F.sort_array(F.collect_list(F.struct("distance", "nearest")))  # k for each block met
+    total = rows.count()
+    counts = {"pairs": total * len(made), "met": total + more.count()}
+    return both.groupBy("id").agg(F.slice(best, 1, k).alias("nearest")), counts
 
 
 def nearest_distance(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, leave_self: bool = False) -> DataFrame:
