@@ -6,17 +6,25 @@ prefix sums over values, never from a sort of all rows in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from ..sources.scratch import written
 from ..spec import RHO_LABEL_LIMIT, RHO_LIMIT, VARIANCE_LIMIT
 from .metrics import score_counts
 from .profile import apart, average_rank, by_feature, group_quantiles, in_ranges, long_form, prefix_sum, quantiles, range_number
 
 
+#: Ranks are looked up in a broadcast table where all columns together have at most so many distinct values (64 MB).
+RANK_VALUES = 4_000_000
+
+
 def ranked(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """(key, cols): each column replaced by its average ranks; ranks per distinct value are joined to the rows."""
     long = long_form(df, cols, [key])
@@ -25,19 +33,78 @@ def ranked(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return got.groupBy(key).pivot("feature", cols).agg(F.max("rank"))
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], key: str, least: float = RHO_LIMIT) -> DataFrame:
-    """(a, b, rho) of pairs of columns with |rho| >= least; all pairs in one aggregation."""
-    r = ranked(df, cols, key)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    packed = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs]
-    return r.agg(F.array(*packed).alias("x")).select(F.explode("x").alias("y")).select("y.*").where(F.abs("rho") >= least)
+def _pair_sums(shared, width: int):
+    """Of wide rows: n, sum x, sum x * x and sum x * y of the centred ranks of all pairs of columns, over rows that have both."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, total = shared.value, np.zeros((4, width, width))
+        for b in batches:
+            r, there = np.zeros((b.num_rows, width)), np.zeros((b.num_rows, width))
+            for i, (values, ranks) in enumerate(steps):
+                x = b.column(i)
+                held = x.is_valid().to_numpy(zero_copy_only=False)
+                v = x.to_numpy(zero_copy_only=False)[held].astype(float)
+                if len(v):
+                    r[held, i] = ranks[np.searchsorted(values, v)]
+                    there[held, i] = 1
+            total += there.T @ there, r.T @ there, (r * r).T @ there, r.T @ r
+        yield pa.record_batch([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["k", "v"])
 
-def spearman_label(df: DataFrame, cols: list[str], key: str, label: str, least: float = RHO_LABEL_LIMIT) -> DataFrame:
+    return run
+
+
+def rank_correlations(df: DataFrame, cols: list[str], key: str | None = None) -> dict[tuple[str, str], float | None]:
+    """Spearman's rho of all pairs of columns, None where one of them is constant.
+
+    Ranks are step functions of the values. Where the distinct values are counted and few enough, the steps go to all tasks and one pass over
+    the rows adds up products of ranks: no row is joined, pivoted or shuffled. Beyond, ranks are joined to the rows by value (key:
+    a unique column; without one rows are numbered)."""
+    counts = written(long_form(df, cols).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if counts.count() > RANK_VALUES:
+        (at,) = apart(df.columns, "row")
+        rows = df if key else written(df.withColumn(at, F.monotonically_increasing_id()), "numbered")
+        r = ranked(rows, cols, key or at)
+        spread = lambda c, other: F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c)))
+        rho = lambda a, b: F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+        got = r.agg(F.array(*[rho(a, b) for a, b in pairs]).alias("x")).first()["x"]
+        return dict(zip(pairs, got, strict=True))
+    held = counts.toArrow()
+    feature, value, n = np.asarray(held["feature"].to_pylist(), object), held["value"].to_numpy(), held["n"].to_numpy()
+    steps = []
+    for c in cols:
+        own = feature == c
+        order = np.argsort(value[own], kind="stable")
+        v, m = value[own][order], n[own][order].astype(float)
+        rank = np.cumsum(m) - m + (m + 1) / 2
+        steps.append((v, rank - (m.sum() + 1) / 2))  # about their mean, so that sums of products keep their digits
+    rows = df.select(*[F.col(f"`{c}`").cast("double") for c in cols])
+    sums = rows.mapInArrow(_pair_sums(df.sparkSession.sparkContext.broadcast(steps), len(cols)), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(4 * len(cols) ** 2)
+    for r in sums:
+        flat[r["k"]] = r["v"]
+    count, one, two, both = flat.reshape(4, len(cols), len(cols))
+    out: dict[tuple[str, str], float | None] = {}
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            m = max(count[i, j], 1.0)
+            vx, vy = two[i, j] - one[i, j] ** 2 / m, two[j, i] - one[j, i] ** 2 / m
+            cov = both[i, j] - one[i, j] * one[j, i] / m
+            out[a, cols[j]] = float(cov / np.sqrt(vx * vy)) if count[i, j] and vx > 1e-9 and vy > 1e-9 else None
+    return out
+
+
+def spearman_pairs(df: DataFrame, cols: list[str], key: str | None = None, least: float = RHO_LIMIT) -> DataFrame:
+    """(a, b, rho) of pairs of columns with |rho| >= least; constant columns have none."""
+    got = [(a, b, rho) for (a, b), rho in rank_correlations(df, cols, key).items() if rho is not None and abs(rho) >= least]
+    return df.sparkSession.createDataFrame(got, "a string, b string, rho double")
+
+
+def spearman_label(df: DataFrame, cols: list[str], key: str | None, label: str, least: float = RHO_LABEL_LIMIT) -> DataFrame:
     """(feature, rho) with |rho| >= least; constant features have none."""
-    r = ranked(df, [*cols, label], key)
-    packed = [F.struct(F.lit(c).alias("feature"), F.when((F.stddev_pop(c) > 0) & (F.stddev_pop(label) > 0), F.corr(c, label)).alias("rho")) for c in cols]
-    return r.agg(F.array(*packed).alias("x")).select(F.explode("x").alias("y")).select("y.*").where(F.abs("rho") >= least)
+    every = rank_correlations(df, [*cols, label], key)
+    got = [(c, every[c, label]) for c in cols if every[c, label] is not None and abs(every[c, label]) >= least]
+    return df.sparkSession.createDataFrame(got, "feature string, rho double")
 
 
 def bin_edges(df: DataFrame, cols: list[str], bins: int) -> dict[str, list[float]]:

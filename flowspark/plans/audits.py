@@ -10,7 +10,6 @@ from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators.profile import average_rank, column_quantiles, duplicate_stats
 from ..operators.scoring import squared_length
-from .files import scratch
 from .flow_view import flows, table, with_flows
 from .profiles import trials
 from .registry import query
@@ -37,10 +36,7 @@ def d01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d02_spearman_pairs", _RANKED + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
 def d02(spark: SparkSession, d: str) -> DataFrame:
-    # the table has no key: rows are numbered, and written so that the numbers stay when a task runs again
-    path = scratch(spark, "numbered")
-    _lines(spark, d).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
-    return A.spearman_pairs(spark.read.parquet(path), _NUM, "id", 0.0).select("a", "b", R(F.col("rho")).alias("rho"))
+    return A.spearman_pairs(_lines(spark, d), _NUM, None, 0.0).select("a", "b", R(F.col("rho")).alias("rho"))
 
 
 @query("d03_spearman_label", with_flows(", r AS (SELECT " + ", ".join(_rank(c) for c in ("s_dae", "logit", "IN_BYTES", "label")) + " FROM flows) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, label), 6) AS rho FROM r" for c in ("s_dae", "logit", "IN_BYTES"))))

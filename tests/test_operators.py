@@ -155,3 +155,23 @@ def test_checksum_of_parts(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("a"))
     whole, x, y = (flow_files.checksum(p).first() for p in (df, df.where("a = 3"), df.where("a <> 3")))
     assert tuple(whole) == tuple(i + j for i, j in zip(x, y))
+
+
+def test_rank_correlations_both_ways(spark, monkeypatch):
+    """From steps in every task, and by join where values are too many: equal to pandas, with gaps, ties and constants."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"a": rng.integers(0, 5, 400) * 1.0, "b": rng.normal(size=400), "c": 7.0, "value": rng.normal(size=400)})
+    x["value"] += x["b"]
+    x.loc[rng.random(400) < 0.2, "a"] = np.nan
+    x.loc[rng.random(400) < 0.3, "b"] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x.to_numpy())], "id long, a double, b double, c double, value double").repartition(4)
+    ranks = x.rank()  # over all rows, as the surveyed form has it
+    want = {(p, q): None if "c" in (p, q) else ranks[p].corr(ranks[q]) for i, p in enumerate(x.columns) for q in x.columns[i + 1 :]}
+    for most in (10**6, 1):
+        monkeypatch.setattr(audit, "RANK_VALUES", most)
+        for key in ("id", None):
+            got = audit.rank_correlations(df, list(x.columns), key)
+            assert set(got) == set(want) and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    assert audit.rank_correlations(df.where("false"), ["a", "b"]) == {("a", "b"): None}
