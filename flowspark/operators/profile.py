@@ -5,10 +5,15 @@ Each operator is one aggregation, then at most a projection or a window over its
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def apart(taken: list[str], *names: str) -> list[str]:
     """Names for helper columns: these, with underscores before those that are taken."""
@@ -169,6 +174,15 @@ def range_number(df: DataFrame) -> int:
     return max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of a small table by keys, NULL keys equal."""
+    own = apart([*df.columns, *small.columns], *[f"of_{k}" for k in keys])
+    same = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`{o}`"))
+    return df.join(F.broadcast(small.withColumnsRenamed(dict(zip(keys, own, strict=True)))), same).drop(*own)
+
+
 def in_ranges(df: DataFrame, order: str, keys: list[str], ranges: int, name: str) -> DataFrame:
     """df with the range (0 to ranges - 1) that the order column falls into, per key.
 
@@ -179,7 +193,7 @@ def in_ranges(df: DataFrame, order: str, keys: list[str], ranges: int, name: str
     coarse, fine = apart(df.columns, "coarse", "fine")
     cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias(fine))
     cuts = cuts.withColumn(coarse, F.filter(fine, lambda q, i: i % step == step - 1))
-    cut = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
+    cut = beside(df, cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
     below = lambda c: F.size(F.filter(c, lambda q: q < F.col(order)))
     near = step * below(F.col(coarse))
     return cut.withColumn(name, near + below(F.slice(fine, near + 1, F.lit(step)))).drop(coarse, fine)
@@ -202,7 +216,7 @@ def prefix_sum(df: DataFrame, order: str, sums: dict[str, str], keys: list[str]
     totals = cut.groupBy(*keys, at).agg(*[F.sum(c).alias(n) for c, n in zip(sums, t)], *[F.sum(c).alias(n) for c, n in zip(whole, w)])
     outer = W.partitionBy(*part).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, at, *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(y) for x, y in zip(t, o)], *[F.sum(x).over(W.partitionBy(*part)).alias(x) for x in w])
-    got = cut.join(F.broadcast(totals), [*keys, at])
+    got = beside(cut, totals, [*keys, at])
     made = [(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(x) + (F.lit(0) if before else F.col(c))).alias(new) for (c, new), x in zip(sums.items(), o)]
     return got.select(*df.columns, *made, *[F.col(x).alias(new) for x, new in zip(w, whole.values())])
 
@@ -215,12 +229,47 @@ def counts_of_values(df: DataFrame, cols: list[str], keys: list[str] | None = No
     return long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*(keys or []), "feature", "value").agg(F.count("*").alias("n"))
 
 
+#: Quantiles are looked up at once where a table of counts has at most so many rows (it is counted); same results either way.
+FEW_VALUES = 1_000_000
+
+
+def _few_quantiles(counts: DataFrame, shares: list[float], keys: list[str], value: str, n: str, name: str) -> DataFrame:
+    """quantiles_of_counts of a counted, small table."""
+    held = counts.select(*keys, F.col(value).cast("double").alias(value), F.col(n).cast("long").alias(n)).toArrow()
+    v, m = held[value].to_numpy(), held[n].to_numpy()
+    rows = list(zip(*(held[k].to_pylist() for k in keys), strict=True)) if keys else [()] * len(v)
+    groups: dict[tuple, list[int]] = {} if keys else {(): []}
+    for i, k in enumerate(rows):
+        groups.setdefault(k, []).append(i)
+    out = []
+    for k, at in groups.items():
+        order = np.asarray(at, int)[np.argsort(v[at], kind="stable")]
+        x, ends = v[order], np.cumsum(m[order])
+        q: list[float | None] = []
+        for s in shares:
+            if not len(x):
+                q.append(None)
+                continue
+            place = (int(ends[-1]) - 1) * min(1.0, max(0.0, float(s)))
+            low, high = math.floor(place), math.ceil(place)
+            a, b = (float(x[np.searchsorted(ends, p, side="right")]) for p in (low, high))
+            q.append(a if a == b else a * (1 - (place - low)) + b * (place - low))
+        out.append((*k, q))
+    kinds = dict(counts.dtypes)
+    return counts.sparkSession.createDataFrame(out, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{name}` array<double>"]))
+
+
 def quantiles_of_counts(counts: DataFrame, shares: list[float | Column], keys: list[str], value: str = "value", n: str = "n", name: str = "q") -> DataFrame:
     """(keys, q): quantiles with linear interpolation, one array per key, from distinct values and their counts.
 
-    The places come from prefix sums: no task and no aggregate holds all distinct values. Without keys
-    there is one row, of NULLs where there are no values. A share may be an expression over the total, column `total`.
+    The places come from prefix sums: no task and no aggregate holds all distinct values, but where these are written,
+    counted and few. Without keys there is one row, of NULLs where there are no values. A share may be an expression over
+    the total, column `total`.
     """
+    if not any(isinstance(s, Column) for s in shares) and dict(counts.dtypes)[value] in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        counts = written(counts.select(*keys, value, n), "counts")
+        if counts.count() <= FEW_VALUES:
+            return _few_quantiles(counts, shares, keys, value, n, name)
     run = prefix_sum(counts, value, {n: "before"}, keys, whole={n: "total"})
     clamp = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s if isinstance(s, Column) else F.lit(float(s))))
     out = []

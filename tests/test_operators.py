@@ -175,3 +175,17 @@ def test_rank_correlations_both_ways(spark, monkeypatch):
             got = audit.rank_correlations(df, list(x.columns), key)
             assert set(got) == set(want) and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
     assert audit.rank_correlations(df.where("false"), ["a", "b"]) == {("a", "b"): None}
+
+
+def test_quantiles_are_the_same_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 3), None if i % 11 == 0 else float(v)) for i, v in enumerate(np.round(rng.normal(size=500), 1))] + [(9, None), (None, 4.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    shares = [0.0, 0.013, 0.5, 0.97, 1.0, 1.5, -1.0]
+    got = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(profile, "FEW_VALUES", most)
+        got.append(({r["k"]: r["q"] for r in profile.group_quantiles(df, ["k"], "v", shares).collect()}, profile.column_quantiles(df, "v", shares).first()["q"], profile.column_quantiles(df.where("false"), "v", [0.5]).first()["q"]))
+    assert got[0] == got[1] and set(got[0][0]) == {0, 1, 2, None} and got[0][2] == [None] and got[0][0][None][2] == 6.0
+    x = np.asarray([v for _, v in rows if v is not None])
+    assert np.allclose(got[0][1][:5], np.quantile(x, shares[:5]))
