@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.folds import alert_rate, ema, entropy_stop, patience_stop, sorted_curve
 from ..operators.profile import column_quantiles, group_quantiles
 from ..sources import flow_files as S
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
+from ..spec import REPLAY_SIZES
 from ..streaming import live
 from .encoding import KINDS_SQL
 from .flow_view import flows, table, with_flows
@@ -328,12 +329,22 @@ def st04(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("sensor").agg(R(F.max_by("ema", "batch")).alias("ema"), F.count("*").alias("n_updates"))
 
 
-@query("st05_micro_batch_replay", with_flows("SELECT pool, count(*) AS n FROM flows GROUP BY pool"))
+_SIZES = [x * 5 for x in REPLAY_SIZES[:8]]
+_ENDS = [sum(_SIZES[: i + 1]) for i in range(len(_SIZES))]
+
+
+@query("st05_micro_batch_replay", with_flows(f", p AS (SELECT flow_id, start_ms, logit, row_number() OVER (ORDER BY start_ms, flow_id) - 1 AS place FROM flows), w AS (SELECT *, place // {_ENDS[-1]} * {len(_SIZES)} + len(list_filter({_ENDS}, lambda e: e <= place % {_ENDS[-1]})) AS win FROM p) SELECT win AS batch, count(*) AS n, min(place) AS first, max(start_ms) AS last_ms, count(*) FILTER (logit > 3) AS n_alerts FROM w GROUP BY win"))
 def st05(spark: SparkSession, d: str) -> DataFrame:
-    """Replay in batches of uneven size."""
-    path = scratch(spark, "replay")
-    flows(spark, d).select("flow_id", "pool").repartition(3, "pool").write.parquet(path)
-    return _run(spark, live.stream_flows(spark, path, "flow_id long, pool string").groupBy("pool").agg(F.count("*").alias("n")), "complete")
+    """The flows replayed in order of time in windows of given sizes, which come round; a batch of the stream is a window."""
+    sink = scratch(spark, "replayed")
+    cut = written(live.windows_of(flows(spark, d).select("flow_id", "start_ms", "logit"), "start_ms", "flow_id", _SIZES), "windows")
+
+    def each(batch: DataFrame, number: int) -> None:
+        got = batch.agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("start_ms").alias("last_ms"), F.count_if(F.col("logit") > 3).alias("n_alerts"))
+        got.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    live.replay(cut, each, scratch(spark, "stream"))
+    return spark.read.parquet(sink).select(F.col("batch").cast("long").alias("batch"), "n", "first", "last_ms", "n_alerts")
 
 
 @query("st06_stream_confusion", with_flows("SELECT count(*) FILTER (label = 1 AND logit > 0) AS tp, count(*) FILTER (label = 0 AND logit > 0) AS fp, count(*) FILTER (label = 0 AND logit <= 0) AS tn, count(*) FILTER (label = 1 AND logit <= 0) AS fn FROM flows"))
@@ -352,15 +363,23 @@ _LATE = """, cut AS (SELECT min(start_ms) + (max(start_ms) - min(start_ms)) // 2
   SELECT start_ms, logit, CASE WHEN start_ms < c AND flow_id % 50 <> 0 THEN 0 ELSE 1 END AS turn FROM flows, cut
 ), mark AS (SELECT max(start_ms) FILTER (turn = 0) - 600000 AS first, max(start_ms) - 600000 AS last FROM a), w AS (
   SELECT (start_ms // 60000 - k) * 60000 AS s, turn, logit FROM a, (SELECT unnest(range(5)) AS k)
-) SELECT s // 1000 AS start_s, count(*) AS n_flows, count(*) FILTER (logit > 3) AS n_alerts FROM w, mark
+) SELECT s // 1000 AS start_s, count(*) AS n_flows, count(*) FILTER (logit > 3) AS n_alerts,
+  (SELECT count(*) FROM a, mark WHERE turn = 1 AND start_ms // 60000 * 60000 + 300000 <= first) AS n_late FROM w, mark
 WHERE (turn = 0 OR s + 300000 > first) AND s + 300000 <= last GROUP BY s"""
 
 
 @query("st08_late_data_policy", with_flows(_LATE))
 def st08(spark: SparkSession, d: str) -> DataFrame:
-    """Event-time windows that close behind the watermark. The second half arrives second, with every fiftieth row of the first, which is too late by then."""
+    """Event-time windows that close behind the watermark. The second half arrives second, with every fiftieth row of the first, which is too late by then: such rows are counted."""
     df = flows(spark, d).select("flow_id", "start_ms", F.timestamp_millis("start_ms").alias("t"), "logit")
     half = df.agg((F.min("start_ms") + F.expr("(max(start_ms) - min(start_ms)) div 2")).alias("c")).first()["c"]
     early = (F.col("start_ms") < half) & (F.col("flow_id") % 50 != 0)
-    got = _in_turn(spark, [df.where(early), df.where(~early)], lambda s: live.alert_rates(s, "t", F.col("logit") > 3), "append")
-    return got.select(F.unix_seconds("start").alias("start_s"), "n_flows", "n_alerts")
+    folder, sink, state, late, late_state = (scratch(spark, n) for n in ("arriving", "results", "stream", "late", "stream"))
+    got = None
+    for part in (df.where(early), df.where(~early)):
+        part.write.mode("append").parquet(folder)
+        arrived = lambda: live.stream_flows(spark, folder, df.schema, files=None)
+        live.count_late(arrived(), "t", late, late_state).awaitTermination()
+        got = live.run_available(live.alert_rates(arrived(), "t", F.col("logit") > 3), sink, "append", state)
+    dropped = spark.read.schema("number long, late long").parquet(late).agg(F.sum("late").alias("n_late"))  # one row
+    return got.crossJoin(F.broadcast(dropped)).select(F.unix_seconds("start").alias("start_s"), "n_flows", "n_alerts", "n_late")

@@ -50,6 +50,10 @@ RETRAIN_ENTROPY, RETRAIN_WATCHED = (5, 0.01), 262_144
 RETRAIN_RATES, RETRAIN_NOISE, RETRAIN_L2 = {"first": 0.002071, "second": 0.0008975201332140938}, 0.15834, 1e-6
 #: chance of a radial pseudo-anomaly, least and largest factor
 RETRAIN_FAKES = {"train": (0.09261080547245101, 1.9481223527402847, 3.079948793054766), "monitor": (0.19786238154311037, 1.3269568638840954, 3.21621)}
+REPLAY_SIZES = [
+    464, 53, 164, 75, 297, 103, 137, 260, 166, 118, 129, 303, 88, 278, 147, 233, 219, 45, 341, 180, 428, 245, 203, 328, 225,
+    227, 109, 142, 256, 22, 195, 287, 246, 152, 121, 213, 1291, 157, 393, 31, 12, 313, 187, 174, 5, 65, 372, 178, 200, 269,
+]
 FUSION_PRESETS = {"andonly": None, "rec": 0.01, "high": 0.015}
 REFERENCE_BENIGN, REFERENCE_ATTACKS = 1_775_098, 1_046_755
 PERCENTILE_GRID = [90.0, 92.0, 94.0, 95.0, 96.0, 97.0, 98.0, 99.0, 99.3, 99.5, 99.7, 99.9]

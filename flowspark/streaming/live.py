@@ -8,13 +8,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.encode import feature_family
-from ..operators.profile import apart, confusion_counts
+from ..operators.profile import apart, confusion_counts, prefix_sum
 from ..operators.scoring import explained
+from ..spec import REPLAY_SIZES
 
 
 def stream_flows(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files: int | None = 1, clean: str | None = None, **options) -> DataFrame:
@@ -116,3 +119,91 @@ def run_available(stream: DataFrame, sink: str, mode: str, checkpoint: str) -> D
     stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(stream.schema).parquet(sink).where(f"`{name}` >= 0")
     return got if mode == "update" else got.select(stream.columns)
+
+
+def windows_of(df: DataFrame, order: str, tie: str, sizes: list[int] = REPLAY_SIZES, target: int | None = None) -> DataFrame:
+    """df with window and place: rows in order of (order, tie) cut into windows of these sizes, which come round again; rows
+    come round too until `target` rows are placed (once, without a target). Places come from prefix sums over the order."""
+    at, before, n = apart(df.columns, "at", "before", "n")
+    per = prefix_sum(df.groupBy(order).agg(F.count("*").alias(n)), order, {n: before}).drop(n)
+    placed = df.join(per.hint("shuffle_hash"), order).withColumn(at, F.col(before) + F.row_number().over(W.partitionBy(order).orderBy(tie)) - 1)
+    total = df.count() if target is not None else 0
+    if target is not None and total:
+        round_ = F.explode(F.sequence(F.lit(0), F.floor((F.lit(target - 1) - F.col(at)) / total)))
+        placed = placed.where(F.col(at) < target).withColumn(before, round_).withColumn(at, F.col(at) + F.col(before) * total)
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    inside = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(at) % ends[-1]))
+    window = F.floor(F.col(at) / ends[-1]) * len(sizes) + inside
+    return placed.select(*df.columns, window.cast("long").alias("window"), F.col(at).cast("long").alias("place"))
+
+
+class WindowNumbers(DataSource):
+    """A stream of the numbers 0, 1, ... of windows, one a batch; its offset is the number of windows gone by."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "window_numbers"
+
+    def schema(self) -> str:
+        return "window long"
+
+    def streamReader(self, schema):  # noqa: N802
+        return _WindowReader(int(self.options["windows"]))
+
+
+class _WindowReader(DataSourceStreamReader):
+    def __init__(self, windows: int) -> None:
+        self.windows, self.at = windows, 0
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        self.at = min(self.at + 1, self.windows)
+        return {"at": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list:
+        self.at = max(self.at, end["at"])  # after a restart the next offset follows the last one
+        return [InputPartition((start["at"], end["at"]))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for i in range(*partition.value):
+            yield (i,)
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at, end["at"])
+
+
+def replay(windows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Every window (of windows_of, written) as a batch of a stream of its own, in order; each(batch, number of the batch). A replay
+    that is started again goes on behind the last batch that was done."""
+    spark = windows.sparkSession
+    spark.dataSource.register(WindowNumbers)
+    n = windows.agg(F.max("window")).first()[0]
+    if n is None:
+        return
+    numbers = spark.readStream.format("window_numbers").option("windows", n + 1).load()
+    got = numbers.join(windows.hint("merge"), "window")
+    query = got.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def count_late(stream: DataFrame, time: str, sink: str, checkpoint: str, window: int = 300, slide: int = 60, late: int = 600) -> StreamingQuery:
+    """Counts, by batch, rows and those of them that every window has closed to (alert_rates drops these): the watermark of a batch is
+    the latest time of the batches before it less `late` seconds. Rows: batch, n, late, last. A batch that is run again replaces its row."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        last = None
+        if number:
+            done = batch.sparkSession.read.schema("number long, n long, late long, last double").parquet(sink)
+            last = done.where(F.col("number") < number).agg(F.max("last")).first()[0]
+        t = F.unix_micros(time) / 1e6
+        mark = F.lit(None if last is None else last - late).cast("double")
+        gone = F.floor(t / slide) * slide + window <= mark
+        got = batch.agg(F.lit(number).cast("long").alias("batch"), F.count("*").alias("n"), F.count_if(gone).alias("late"), F.max(t).alias("last"))
+        got.coalesce(1).write.mode("overwrite").parquet(f"{sink}/number={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
