@@ -59,7 +59,7 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s04_read_flows_gz", with_flows(f"SELECT {_SUMS} FROM flows"))
 def s04(spark: SparkSession, d: str) -> DataFrame:
-    return _sums(S.read_flows_csv(spark, _csv(spark, d, gzip=True)))
+    return _sums(S.read_flows_csv(spark, _csv(spark, d, gzip=True), spread=int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _malformed(spark: SparkSession, d: str) -> DataFrame:

@@ -13,13 +13,14 @@ FIRST, SECOND = "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES"
 ANCHORS = ("IN_BYTES", "OUT_BYTES")
 
 
-def read_flows_csv(spark: SparkSession, path: str, columns: list[str] | None = None, labelled: bool = True) -> DataFrame:
+def read_flows_csv(spark: SparkSession, path: str, columns: list[str] | None = None, labelled: bool = True, spread: int | None = None) -> DataFrame:
     """A CSV file, folder or glob with a header; gzip by its suffix, bad bytes replaced.
 
     Columns are taken by the names of the header, in whatever order, and come in the order of the
     contract. A header with unknown or repeated names, or without a column of the contract, is an
     error; so is a folder whose files have different headers (Spark compares each with the first).
-    Asking for columns prunes the parse.
+    Asking for columns prunes the parse. spread: rows are dealt to so many tasks as they are read, round robin: a gzip file
+    is decompressed and parsed by one task, whatever follows need not be.
     """
     known = {f.name: f for f in raw_schema(labelled)}
     header = spark.read.option("header", True).csv(path).columns  # the first line of one file
@@ -28,7 +29,8 @@ def read_flows_csv(spark: SparkSession, path: str, columns: list[str] | None = N
         raise ValueError(f"header of {path}: unknown columns {unknown}, missing columns {missing}")
     schema = T.StructType([known[c] for c in header])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
-    return df.select(*(columns or known))
+    rows = df.select(*(columns or known))
+    return rows.repartition(spread) if spread else rows
 
 
 def without_nan(df: DataFrame) -> DataFrame:
