@@ -57,7 +57,7 @@ def test_stages_keep_columns_on_an_empty_table(spark, data):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 

@@ -255,3 +255,36 @@ def test_toxicity_of_repeated_ids(spark):
     assert dict(zip(index.ids.tolist(), index.labels.tolist(), strict=True)) == {0: 1.0, 3: 0.0, 9: 0.0, 12: 1.0}
     assert len(index.begin) - 1 == 6  # an aside good day vile scum: the other text of id 0 adds none
     assert toxicity.build_index(docs.withColumnRenamed("doc_id", "id"), known.where("label = 0")) is None
+
+
+def test_fingerprints_against_a_walk_character_by_character():
+    """The embedding of its definition: bits, places and windows made anew, one step at a time."""
+    rng = np.random.default_rng(77)
+    bits = rng.integers(0, 2, (64, 8192), dtype=np.uint8)[:, :4096].tolist()
+    places = [sorted(rng.choice(64, 32, replace=False).tolist()), *[sorted(rng.integers(1 << s, 2 << s, 32).tolist()) for s in range(6, 40)]]
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    def plain(text):
+        c = [ord(x) for x in text]
+        window = [sum((c[i + k] + 1) * m for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)) if i + k < len(c)) & mask for i in range(len(c))]
+        walk, arrived, i = [], 0, 0
+        while i < len(c):
+            arrived = len(walk) if not walk or walk[-1][0] != i else arrived
+            walk.append((i, mix(window[i]) >> 56))
+            i += bits[mix(c[i]) % 64][(len(walk) - 1) % 4096]
+        end, out = arrived + 2, []
+        for k, p in enumerate(places):
+            if not c or (k and p[0] >= end and (1 << (k + 5)) >= end):
+                break
+            out += [f"{walk[min(x, len(walk) - 1)][1]:02x}" if x < end else "--" for x in p]
+        return "".join(out)
+
+    rnd = random.Random(6)
+    texts = ["", "a", "é", "ab", "\x00" * 40, "𝄞𝄞 mixed é text", *["".join(rnd.choice("abc défg,.") for _ in range(rnd.randrange(1, 900))) for _ in range(40)]]
+    for t, f in zip(texts, fingerprint.fingerprints(texts), strict=True):
+        assert f == plain(t), t[:20]
