@@ -118,8 +118,8 @@ def _wide(turns: DataFrame, convs: DataFrame, width: int) -> DataFrame:
 def _rollup(wide: DataFrame, width: int, aggregates: list[str]) -> DataFrame:
     """All prefixes of all blocks: depth, k1, k2 (hash of the path), p1, p2 (of the parent's) and the aggregates; `kept` columns of a group are its own."""
     turns = ", ".join(f"t{j}" for j in range(1, width + 1))
-    wide.createOrReplaceTempView(view := "conversation_blocks")
-    grouped = wide.sparkSession.sql(f"SELECT block, x1, x2, {turns}, {width} - bit_count(grouping_id()) AS kept, {', '.join(aggregates)} FROM {view} GROUP BY block, x1, x2, ROLLUP({turns})")
+    statement = f"SELECT block, x1, x2, {turns}, {width} - bit_count(grouping_id()) AS kept, {', '.join(aggregates)} FROM {{blocks}} GROUP BY block, x1, x2, ROLLUP({turns})"
+    grouped = wide.sparkSession.sql(statement, blocks=wide)
     # a column that is kept but null: the conversation ended before it. The empty prefix of a later block is the node before it.
     own = F.expr("CASE kept " + " ".join(f"WHEN {j} THEN t{j} IS NOT NULL" for j in range(1, width + 1)) + " ELSE block = 0 END")
     path = lambda x, half, upto: F.col(x).bitwiseXOR(_xor([F.when(F.lit(j) <= upto, F.col(f"t{j}")[half]) for j in range(1, width + 1)]))
