@@ -51,7 +51,7 @@ def and_theta(z: DataFrame, tau_z: float, alpha: float) -> tuple[float, bool]:
         return INF, True
     if k >= c["g"]:
         return -INF, True
-    return interpolated_quantile(z.where(F.col("z0") > tau_z), "z1", F.lit(1 - k / c["g"]), "q").first()[0], False
+    return interpolated_quantile(z.where(F.col("z0") > tau_z), "z1", 1 - k / c["g"], "q").first()[0], False
 
 
 def union_theta(z: DataFrame, tau_z: float, theta_z: float, target: float) -> float:
@@ -61,7 +61,7 @@ def union_theta(z: DataFrame, tau_z: float, theta_z: float, target: float) -> fl
     left = target * c["n"] - c["h"]
     if left <= 0 or c["n"] == c["h"]:
         return INF
-    return interpolated_quantile(z.where(~hit), "z1", F.lit(1 - left / (c["n"] - c["h"])), "q").first()[0]
+    return interpolated_quantile(z.where(~hit), "z1", 1 - left / (c["n"] - c["h"]), "q").first()[0]
 
 
 def fuse_predict(z0: Column, z1: Column, p: dict[str, Column]) -> Column:

@@ -27,8 +27,8 @@ def percentile_threshold(df: DataFrame, score: str, fpr: float, name: str = "tau
     return column_quantiles(df, score, [1 - fpr]).select(F.col("q")[0].alias(name))
 
 
-def interpolated_quantile(df: DataFrame, value: str, at: Column, name: str) -> DataFrame:
-    """One row: the quantile of a column at a share that is itself computed: an expression over `total`, the number of values."""
+def interpolated_quantile(df: DataFrame, value: str, at: Column | float, name: str) -> DataFrame:
+    """One row: the quantile of a column at a share: a number, or an expression over `total`, the number of values."""
     return quantiles_of_counts(counts_of_values(df, [value]), [at], []).select(F.col("q")[0].alias(name))
 
 
