@@ -30,7 +30,7 @@ Documents are put in order by id (null first), those of one id by a hash of the
 one counts as the first, the others as its copies. Null and empty texts have no bytes, shorter
 ones than `length` no repeats. Extra columns are ignored. Texts have less than 2 GB.
 
-Memory of a task: a slice of the texts, at most SEEN strings of the bytes above, one range of
+Memory of a task: a slice of the texts or a piece of a long one, the text itself, at most SEEN strings of the bytes above, one range of
 anchors. The map has a bit for every four bytes of text, MOST_BITS at most (256 MB, reached at
 8 GB): beyond, more useless anchors are sent, up to 6 times the text's bytes, until executors
 are given a larger map.
@@ -51,8 +51,9 @@ from .words import mix, powers, sliced, text_buffers
 
 LENGTH, CORE, HOT = 100, 32, 50_000
 LEAST_BITS, MOST_BITS = 20, 31
-#: Ranges of anchors to a shuffle partition, bytes of rows held before they are sent, strings a task remembers, bytes of a slice.
-RANGES, HELD, SEEN, SLICE = 16, 1 << 24, 1 << 18, 1 << 18
+#: Ranges of anchors to a shuffle partition, bytes of rows held before they are sent, strings a task remembers, bytes of a slice
+#: of texts and of a piece of a longer one.
+RANGES, HELD, SEEN, SLICE, PIECE = 16, 1 << 24, 1 << 18, 1 << 18, 1 << 22
 PAD = 0xFF  # in no UTF-8 text
 _R = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -71,8 +72,10 @@ def _slide(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 class _Slice:
     """Anchors and window hashes of some whole texts."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int, core: int) -> None:
+    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int, core: int, starts: tuple[int, int] | None = None, shift: int = 0) -> None:
+        """starts: the windows that count, where it is a piece of a text with what surrounds it; shift: its place in the text."""
         n = len(buf)
+        self.shift = shift
         self.length, self.core, self.off = length, core, off
         self.buf, self.found = buf, n >= length
         if not self.found:
@@ -89,6 +92,9 @@ class _Slice:
         self.least = _slide(order, width, np.minimum)
         for end in off[1:-1]:
             self.least[max(0, end - length + 1) : end] = 0
+        if starts:
+            self.least[: starts[0]] = 0
+            self.least[starts[1] :] = 0
         edge = np.zeros(width - 1, np.uint32)
         led = _slide(np.concatenate((edge, self.least, edge)), width, np.maximum)
         self.places = np.flatnonzero(led == order)
@@ -115,16 +121,25 @@ class _Slice:
         return rows, doc
 
 
-def _slices(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterator[tuple[_Slice, np.ndarray, np.ndarray]]:
-    """batches: key, tie, text. (slice, keys, ties of its texts)."""
-    for batch in sliced(batches, 2, SLICE):
+def _slices(batches: Iterator[pa.RecordBatch], length: int, core: int, piece: int) -> Iterator[tuple[_Slice, np.ndarray, np.ndarray]]:
+    """batches: key, tie, text. (slice, keys, ties of its texts). A text above `piece` bytes comes in pieces: each window
+    counts in one of them, and a piece has around it the bytes that its windows' anchors are sent with."""
+    for batch in sliced(batches, 2, min(SLICE, piece)):
         buf, off = text_buffers(batch.column(2))
-        part = _Slice(buf, off, length, core)
-        if part.found:
-            yield part, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-
-
-def _count_slots(length: int, core: int, bits: int, ranges: int):
+        keys, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if len(off) > 2 or len(buf) <= piece:
+            part = _Slice(buf, off, length, core)
+            if part.found:
+                yield part, keys, ties
+            continue
+        for a in range(0, len(buf), piece):
+            low, high = max(0, a - length), min(len(buf), a + piece + 2 * length)
+            part = _Slice(buf[low:high], np.asarray([0, high - low]), length, core, (a - low, a + piece - low), low)
+            if part.found:
+                yield part, keys, ties
+
+
+def _count_slots(length: int, core: int, bits: int, ranges: int, piece: int):
     """For each few million anchors: (range, the slots that fall into it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +151,7 @@ def _count_slots(length: int, core: int, bits: int, ranges: int):
             full = np.flatnonzero(at[1:] > at[:-1])
             return pa.record_batch([pa.array(full, pa.int32()), pa.array([s[at[k] : at[k + 1]].astype("<u4").tobytes() for k in full], pa.binary())], ["range", "slots"])
 
-        for part, _, _ in _slices(batches, length, core):
+        for part, _, _ in _slices(batches, length, core, piece):
             held.append(_slot(part.hashes[part.places], bits))
             n += len(held[-1])
             if n >= 2_000_000:
@@ -244,7 +259,7 @@ def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key, tie, pos, raw[24 * n :].reshape(n, width)
 
 
-def _send(length: int, core: int, bits: int, ranges: int, shared):
+def _send(length: int, core: int, bits: int, ranges: int, piece: int, shared):
     """Rows of anchors that repeat, by range, and spans of copies that are told already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +283,7 @@ def _send(length: int, core: int, bits: int, ranges: int, shared):
                 yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(n, width), pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(n, pa.int64())] * 3], _NAMES)
                 parts.clear()
 
-        for part, keys, ties in _slices(batches, length, core):
+        for part, keys, ties in _slices(batches, length, core, piece):
             slot = _slot(part.hashes[part.places], bits)
             keep = (repeated[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) == 1
             common = np.isin(slot, hot) if len(hot) else np.zeros(len(slot), bool)
@@ -282,14 +297,14 @@ def _send(length: int, core: int, bits: int, ranges: int, shared):
                 start = np.maximum(places - ahead, part.off[doc])
                 stop = np.minimum(places + length, part.off[doc + 1])
                 head = mix((part.acc[stop] - part.acc[start]) * part.down[start] + mix(((places - start) << 32 | (stop - places)).astype(np.uint64)))
-                at = np.stack((keys[doc], ties[doc], places - part.off[doc]))
+                at = np.stack((keys[doc], ties[doc], places - part.off[doc] + part.shift))
                 told = seen[ahead + length].told(head, at)
                 new, copies = np.flatnonzero(told == 1), np.flatnonzero(told == 2)
                 h = part.hashes[places[new]] * _ODD if ahead else part.hash(places[new], whole)
                 held[ahead + length].append((h ^ (h >> np.uint64(32)), at[0, new], at[1, new], at[2, new], rows[new]))
                 size += len(new) * (ahead + length + 32)
                 if len(copies):
-                    base = part.off[doc[copies]]
+                    base = part.off[doc[copies]] - part.shift
                     yield _spans(at[0, copies], at[1, copies], start[copies] - base, stop[copies] - base, at[2, copies] % ranges)
             if size >= HELD:
                 yield from give()
@@ -432,7 +447,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(column(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"), column(id_col).alias("id"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """(key, tie, span): spans to remove, start << 32 | stop in bytes, overlapping ones included; key: the id
     (null: the least long), tie: xxhash64 of the text. Copies of whole rows are not told here."""
     if not 0 < core < length:
@@ -444,16 +459,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot:
     parts = shuffle_partitions(spark)
     ranges = RANGES * parts
     with small_batches(spark):
-        slots = texts.mapInArrow(_count_slots(length, core, bits, ranges), "range int, slots binary").repartition(parts, "range").sortWithinPartitions("range")
+        slots = texts.mapInArrow(_count_slots(length, core, bits, ranges, piece), "range int, slots binary").repartition(parts, "range").sortWithinPartitions("range")
         got = slots.mapInArrow(_repeated_slots(hot), "at long, bits binary").toArrow()
         repeated = np.zeros(1 << (bits - 3), np.uint8)
         at = got["at"].to_numpy()
         valid = got["bits"].is_valid().to_numpy()
         for i in np.flatnonzero(valid):
-            piece = np.frombuffer(got["bits"][int(i)].as_py(), np.uint8)
-            repeated[at[i] : at[i] + len(piece)] |= piece
+            bytes_ = np.frombuffer(got["bits"][int(i)].as_py(), np.uint8)
+            repeated[at[i] : at[i] + len(bytes_)] |= bytes_
         shared = spark.sparkContext.broadcast((repeated, np.sort(at[~valid])))
-        sent = texts.mapInArrow(_send(length, core, bits, ranges, shared), _SENT).repartition(parts, "range").sortWithinPartitions("range")
+        sent = texts.mapInArrow(_send(length, core, bits, ranges, piece, shared), _SENT).repartition(parts, "range").sortWithinPartitions("range")
         return written(sent.mapInArrow(_search(length), "key long, tie long, span long"), "spans")
 
 
@@ -474,9 +489,9 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), n_bytes, pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "tie", "id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, spans (array of start and stop of removed runs), kept (the bytes that remain)."""
-    spans = repeated_spans(docs, length, core, hot, id_col, text_col)
+    spans = repeated_spans(docs, length, core, hot, id_col, text_col, piece)
     rows = _keyed(docs, id_col, text_col)
     packed = spans.groupBy("key", "tie").agg(F.collect_list("span").alias("packed"))
     kind = docs.select(column(id_col)).dtypes[0][1]

@@ -68,8 +68,9 @@ def test_repeats_by_brute_force(spark, length, core, hot, letters):
             t = "a" * rnd.randrange(60)
         rows.append((i, t if rnd.random() < 0.95 else None))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = repeats.repeats_digest(repeats.remove_repeats(docs, length, core, hot)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == removed(rows, length)
+    for piece in (repeats.PIECE, 17):  # whole texts, and texts in pieces
+        got = repeats.repeats_digest(repeats.remove_repeats(docs, length, core, hot, piece=piece)).collect()
+        assert sorted((tuple(r) for r in got), key=str) == removed(rows, length)
 
 
 def test_intervals_of_one_group():
