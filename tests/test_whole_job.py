@@ -22,13 +22,13 @@ def test_bootstrap_takes_every_trial(spark):
     assert {r["k"]: r["chance"] for r in plans.QUERIES["u16_bootstrap_means"](spark, d).collect()} == want
 
 
-def test_every_class_is_left_out_once(spark, data, tmp_path):
+def test_every_class_is_left_out_once_a_seed(spark, data, tmp_path):
     """Four attack classes, where the given tables have two."""
     label = F.when(F.col("vec_id") % 5 == 0, 1).otherwise(5 * (F.col("vec_id") % 5)).cast("int")
     e = spark.read.parquet(f"{data}/embeddings.parquet")
     e.withColumn("label", label.cast(dict(e.dtypes)["label"])).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = sorted(r["excluded"] for r in plans.QUERIES["m19_leave_one_class_out_fit"](spark, str(tmp_path)).collect())
-    assert got == [5, 10, 15, 20]
+    got = sorted((r["excluded"], r["seed"]) for r in plans.QUERIES["m19_leave_one_class_out_fit"](spark, str(tmp_path)).collect())
+    assert got == [(c, s) for c in (5, 10, 15, 20) for s in (1, 2)]
 
 
 def test_ema_folds_one_rate_per_batch(spark, tmp_path):
