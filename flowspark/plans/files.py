@@ -321,6 +321,28 @@ def _in_turn(spark: SparkSession, arrivals: list[DataFrame], make, mode: str) ->
     return got
 
 
+_SENSORS = """, cut AS (SELECT min(start_ms) + (max(start_ms) - min(start_ms)) // 2 AS c FROM flows), a AS (
+  SELECT L4_DST_PORT AS port, start_ms // 60000 AS pane, logit, CASE WHEN start_ms < c AND flow_id % 50 <> 0 THEN 0 ELSE 1 END AS turn FROM flows, cut
+), mark AS (SELECT max(pane) FILTER (turn = 0) * 60 - 600 AS first, max(pane) * 60 - 600 AS last FROM a), w AS (
+  SELECT port, pane + k AS e, count(*) AS n, count(*) FILTER (logit > 3) AS m FROM a, mark, (SELECT unnest(range(5)) AS k)
+  WHERE (turn = 0 OR pane * 60 > first) AND (pane + k) * 60 <= last GROUP BY ALL
+), g AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY port ORDER BY e) <= 60 THEN 0 ELSE 1 END AS new FROM w),
+s AS (SELECT *, max(CASE WHEN new = 1 THEN e END) OVER (PARTITION BY port ORDER BY e) AS since FROM g)
+SELECT port, CAST((since + 1) * 60 AS BIGINT) AS since_s, count(*) AS n_windows, CAST(sum(n) AS BIGINT) AS n_flows, CAST(sum(m) AS BIGINT) AS n_alerts,
+  round(list_reduce(list(CAST(m AS DOUBLE) / n ORDER BY e), lambda x, y: 0.7 * x + 0.3 * y), 6) AS ema FROM s GROUP BY port, since"""
+
+
+@query("st03_sensor_monitor", with_flows(_SENSORS))
+def st03_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """Windows and averages of each destination port, forgotten after an hour of silence; arrivals and late rows as in st08."""
+    df = flows(spark, d).select("flow_id", "start_ms", F.timestamp_millis("start_ms").alias("t"), F.col("L4_DST_PORT").alias("port"), "logit")
+    half = df.agg((F.min("start_ms") + F.expr("(max(start_ms) - min(start_ms)) div 2")).alias("c")).first()["c"]
+    early = (F.col("start_ms") < half) & (F.col("flow_id") % 50 != 0)
+    got = _in_turn(spark, [df.where(early), df.where(~early)], lambda s: live.sensor_monitor(s, "port", "t", F.col("logit") > 3, idle=3600), "append")
+    per = got.groupBy("port", F.unix_seconds("since").alias("since_s"))
+    return per.agg(F.count("*").alias("n_windows"), F.sum("n_flows").alias("n_flows"), F.sum("n_alerts").alias("n_alerts"), R(F.max_by("ema", "end")).alias("ema"))
+
+
 @query("st04_stream_ema", with_flows(", b AS (SELECT avg(CASE WHEN logit > 3 THEN 1.0 ELSE 0.0 END) FILTER (flow_id % 3 = 0) AS x, avg(CASE WHEN logit > 3 THEN 1.0 ELSE 0.0 END) FILTER (flow_id % 3 <> 0) AS y FROM flows) SELECT 'all' AS sensor, round(0.7 * x + 0.3 * y, 6) AS ema, CAST(2 AS BIGINT) AS n_updates FROM b"))
 def st04(spark: SparkSession, d: str) -> DataFrame:
     """Two arrivals, each folded as one rate; the last average."""

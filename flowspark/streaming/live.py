@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,67 @@ def stream_ema(stream: DataFrame, key: str, rate: str, alpha: float = 0.3) -> Da
     return summed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ema double", "ema double", "update", "NoTimeout")
 
 
+def sensor_monitor(stream: DataFrame, key: str, time: str, alarm: Column, window: int = 300, slide: int = 60, late: int = 600, idle: int = 86_400, alpha: float = 0.3) -> DataFrame:
+    """(key, since, start, end, n_flows, n_alerts, rate, ema): the sliding windows of every sensor, each once, as the watermark passes
+    its last pane of `slide` seconds; write in append mode. All times are those of the events.
+
+    ema folds the rates of a sensor's windows in order of time. A sensor that falls silent gets its last windows from a timer; `idle` seconds
+    after the last of them it is forgotten, and a window beyond that starts a new average; since: the end of the first window of the average. Rows of
+    panes behind the watermark are dropped (count_late counts such rows), as are rows without a time or from before 1970; a null alarm is none. The
+    state of a sensor is its open panes and the average. Tasks count their own rows per sensor and pane first, so that only counts of a
+    busy sensor reach its task.
+    """
+    if window % slide or min(window, slide, idle) <= 0:
+        raise ValueError("a window is a whole number of slides")
+    kind, k, rest = dict(stream.dtypes)[key], window // slide, -(-idle // slide)
+    counted = f"sensor {kind}, pane long, n long, a long"
+
+    def panes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.groupby(["sensor", "pane"], dropna=False, as_index=False).agg(n=("n", "sum"), a=("a", "sum"))
+
+    def update(sensor: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, n, a, last, since, ema = state.get if state.exists else ([], [], [], None, None, None)
+        rows = pd.concat([pd.DataFrame({"pane": list(at), "n": list(n), "a": list(a)}, dtype="int64"), *(p[["pane", "n", "a"]] for p in parts)])
+        rows = rows.groupby("pane", as_index=False).sum()
+        at, n, a = (rows[c].to_numpy(np.int64) for c in ("pane", "n", "a"))
+        closed = state.getCurrentWatermarkMs() // (slide * 1000)
+        ends = np.unique(at[:, None] + np.arange(k))
+        ends = ends if last is None else ends[ends > last]
+        now = ends[ends <= closed]
+        lo, hi = np.searchsorted(at, now - k, "right"), np.searchsorted(at, now, "right")
+        n_flows, n_alerts = (np.concatenate(([0], np.cumsum(x))) for x in (n, a))
+        n_flows, n_alerts = n_flows[hi] - n_flows[lo], n_alerts[hi] - n_alerts[lo]
+        out = []
+        for e, rate in zip(now.tolist(), (n_alerts / n_flows).tolist()):
+            if last is None or e - last > rest:
+                since, ema = e, rate
+            else:
+                ema = (1 - alpha) * ema + alpha * rate
+            out.append((since, ema))
+            last = e
+        if len(now):
+            yield pd.DataFrame({"sensor": pd.Series([sensor[0]] * len(now), dtype=object), "since": [s for s, _ in out], "pane": now, "n": n_flows, "a": n_alerts, "ema": [m for _, m in out]})
+        waiting = ends[ends > closed]
+        if not len(waiting) and (last is None or closed >= last + rest):
+            if state.exists:
+                state.remove()
+            return
+        open_ = at > closed - k + 1  # panes of windows that are still open
+        state.update((at[open_].tolist(), n[open_].tolist(), a[open_].tolist(), last, since, ema))
+        state.setTimeoutTimestamp(int(waiting[0] if len(waiting) else last + rest) * slide * 1000 - 1)
+
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    rows = stream.select(F.col(key).alias("sensor"), F.floor(seconds / slide).cast("long").alias("pane"), F.lit(1).cast("long").alias("n"), F.coalesce(alarm, F.lit(False)).cast("long").alias("a"))
+    per = rows.where("pane >= 0").mapInPandas(panes, counted).withColumn("t", F.timestamp_seconds(F.col("pane") * slide)).withWatermark("t", f"{late} seconds")
+    got = per.groupBy("sensor").applyInPandasWithState(
+        update, f"sensor {kind}, since long, pane long, n long, a long, ema double", "at array<long>, n array<long>, a array<long>, last long, since long, ema double", "append", "EventTimeTimeout"
+    )
+    end = lambda c: F.timestamp_seconds((F.col(c) + 1) * slide)
+    start = F.timestamp_seconds((F.col("pane") + 1) * slide - window)
+    return got.select(F.col("sensor").alias(key), end("since").alias("since"), start.alias("start"), end("pane").alias("end"), F.col("n").alias("n_flows"), F.col("a").alias("n_alerts"), (F.col("a") / F.col("n")).alias("rate"), "ema")
+
+
 def alert_rows(scored: DataFrame, alarm: Column, zr: str, names: list[str], limit: float, keep: list[str]) -> DataFrame:
     """(keep, why): flagged rows with the features beyond the limit, their values and families."""
     why = F.transform(explained(F.col(zr), names, limit), lambda p: F.struct(p["feature"].alias("feature"), p["z"].alias("z"), feature_family(p["feature"]).alias("family")))
