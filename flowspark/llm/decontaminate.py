@@ -1,8 +1,9 @@
 """Benchmark items found in training texts: BM25 over an inverted index of the items, with
 block-max WAND, then verification of question and answer.
 
-Items are short and few beside the corpus: they come to the driver in blocks of at most
-ITEM_BLOCK items, and the texts are searched once per block. Terms are pairs of adjacent words
+Items are short and few beside the corpus: they come to the driver in blocks of
+ITEM_BLOCK rows, and the texts are searched once per block; what a block found is written before the next one is
+broadcast, so that one index is held at a time, however many items there are. Terms are pairs of adjacent words
 (single words occur in most items by chance, so that their bounds rule nothing out). A text is
 one query of its distinct terms, so that neither the length of an item nor the places of its
 parts matter. First every text gets its upper bound,
@@ -14,7 +15,9 @@ verification, if that is lower) are candidates, and each is verified on
 the whole text: the shares of the five-word shingles of the first half of the item (the
 question) and of the second (the answer) that the text holds.
 
-Null texts are empty texts. Items without words are never found. Repeated rows are searched each.
+Null texts are empty texts. Items without words are never found. Repeated rows of texts are searched each.
+Rows of items with the same id are one item: its terms and its halves are those of all of them, a shingle counting
+once for each row and half that holds it. Items without an id are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import union_all
+from .shared import column, union_all, written
 from .words import _GAP, mix, shingle_hashes, slices, text_buffers, word_hashes
 
 ITEM_BLOCK, POSTINGS = 20_000, 32
@@ -38,12 +41,16 @@ class ItemIndex:
     """Postings (item, impact) by word in item order, with the largest impact of each block of POSTINGS."""
 
     def __init__(self, ids: list[int], texts: list[str | None], threshold: float = THRESHOLD) -> None:
-        self.ids = np.asarray(ids, np.int64)
+        self.ids, owner = np.unique(np.asarray(ids, np.int64), return_inverse=True)
         buf, off = text_buffers(pa.array(texts, pa.string()))
         h, _, _, at = word_hashes(buf, off)
-        terms = [shingle_hashes(h[at[i] : at[i + 1]], 2) for i in range(len(ids))]
+        rows_of: list[list[int]] = [[] for _ in self.ids]
+        for row, i in enumerate(owner.tolist()):
+            rows_of[i].append(row)
+        bags = [shingle_hashes(h[at[r] : at[r + 1]], 2) for r in range(len(ids))]
+        terms = [np.concatenate([bags[r] for r in of]) for of in rows_of]
         self.words = np.unique(np.concatenate(terms)) if terms else h
-        n = len(ids)
+        n = len(self.ids)
         mean = max(1.0, sum(map(len, terms)) / max(n, 1))
         rows = []
         for i, bag in enumerate(terms):
@@ -62,40 +69,47 @@ class ItemIndex:
         np.add.at(own, self.item, self.impact)
         self.parts = []
         passing = np.zeros(n)
-        for i in range(n):
-            s = shingle_hashes(h[at[i] : at[i + 1]])
-            half = (len(s) + 1) // 2
-            self.parts.append((np.unique(s[:half]), np.unique(s[half:] if len(s) > 1 else s)))
-            passing[i] = self._passing(i, s, terms[i], own[i])
+        for i, of in enumerate(rows_of):
+            shingles = [shingle_hashes(h[at[r] : at[r + 1]]) for r in of]
+            cut = [(len(s) + 1) // 2 for s in shingles]
+            first = [np.unique(s[:half]) for s, half in zip(shingles, cut)]
+            second = [np.unique(s[half:] if len(s) > 1 else s) for s, half in zip(shingles, cut)]
+            self.parts.append((np.concatenate(first), np.concatenate(second)))
+            passing[i] = self._passing(i, shingles, [bags[r] for r in of], own[i])
         # the slack covers rounding: sums are made in different orders
         self.enough = np.minimum(threshold * own, passing) * (1 - 1e-6)
         self.least = float(self.enough[own > 0].min()) if (own > 0).any() else np.inf
 
-    def _passing(self, i: int, shingles: np.ndarray, terms: np.ndarray, own: float) -> float:
-        """No text that holds OVERLAP of the item's shingles scores less for it.
+    def _passing(self, i: int, shingles: list[np.ndarray], bags: list[np.ndarray], own: float) -> float:
+        """No text that holds OVERLAP of the item's shingles scores less for it. shingles, bags: those of each row of the item.
 
         Each place of a term has an equal part of the term's impact; a place lies in as many shingles as a
-        shingle has terms at most, so the held shingles' places, summed, count it no more often.
+        shingle has terms at most (twice as many where a row has one shingle, which is in both halves), so the held
+        shingles' places, summed, count it no more often.
         """
-        if len(shingles) < 2:
+        if sum(map(len, shingles)) < 2:
             return own
-        w, c = np.unique(terms, return_counts=True)
+        w, c = np.unique(np.concatenate(bags), return_counts=True)
         t = np.searchsorted(self.words, w)
         impact = np.asarray([self.impact[a + np.searchsorted(self.item[a:e], i)] for a, e in zip(self.begin[t], self.begin[t + 1])])
-        part = (impact / c)[np.searchsorted(w, terms)]
-        size = len(terms) - len(shingles) + 1
-        run = np.cumsum(np.concatenate(([0.0], part)))
-        weight = run[size:] - run[:-size]
-        half = (len(shingles) + 1) // 2
-        # a shingle counts with its lightest place, once for each half that holds it
-        light = []
-        for s, x in ((shingles[:half], weight[:half]), (shingles[half:], weight[half:])):
-            _, k = np.unique(s, return_inverse=True)
-            least = np.full(k.max() + 1, np.inf)
-            np.minimum.at(least, k, x)
-            light.append(least)
-        light = np.sort(np.concatenate(light))
-        return float(light[: int(np.ceil(OVERLAP * len(light) - 1e-9))].sum()) / size
+        light, often = [], 1
+        for s, bag in zip(shingles, bags):
+            if not len(s):
+                continue
+            part = (impact / c)[np.searchsorted(w, bag)]
+            size = len(bag) - len(s) + 1
+            run = np.cumsum(np.concatenate(([0.0], part)))
+            weight = run[size:] - run[:-size]
+            half = (len(s) + 1) // 2 if len(s) > 1 else 0
+            often = max(often, size if len(s) > 1 else 2 * size)
+            # a shingle counts with its lightest place, once for each half that holds it
+            for x, y in ((s[:half], weight[:half]), (s[half:], weight[half:])) if half else ((s, weight), (s, weight)):
+                _, k = np.unique(x, return_inverse=True)
+                least = np.full(k.max() + 1, np.inf)
+                np.minimum.at(least, k, y)
+                light.append(least)
+        every = np.sort(np.concatenate(light))
+        return float(every[: int(np.ceil(OVERLAP * len(every) - 1e-9))].sum()) / often
 
     def candidates(self, terms: np.ndarray) -> set[int]:
         """Items whose BM25 score for the query words is above their threshold (block-max WAND)."""
@@ -134,6 +148,11 @@ def _text_terms(term: np.ndarray, start: int, end: int) -> np.ndarray:
     return np.unique(t[t >= 0])
 
 
+def _holds(own: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in own (sorted, not empty)."""
+    return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+
+
 def _found(items: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(place of the text, place of the item, question, answer, overlap) for what shares shingles."""
     for lo, hi in slices(texts):
@@ -154,7 +173,7 @@ def _found(items: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float,
         for d, found in hits.items():
             own = np.unique(shingle_hashes(h[at[d] : at[d + 1]]))
             for i in sorted(found):
-                q, a = (np.isin(x, own, assume_unique=True) for x in items.parts[i])
+                q, a = (_holds(own, x) for x in items.parts[i])
                 if q.any() or a.any():
                     yield lo + d, i, float(q.mean()), float(a.mean()), float(np.concatenate((q, a)).mean())
 
@@ -174,49 +193,60 @@ def _leaked(question, answer, overlap):
     return (overlap >= OVERLAP) & (question >= EITHER) & (answer >= EITHER)
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of at most `size`, in id order."""
+def item_blocks(items: DataFrame, item_col: str, text_col: str, size: int | None = None) -> Iterator[tuple[list[tuple[int, str | None]], bool]]:
+    """The items in blocks of `size` rows (ITEM_BLOCK), in id order, and whether the block is the last; rows of an id stay together."""
+    size = size or ITEM_BLOCK
     block: list[tuple[int, str | None]] = []
-    for r in items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).orderBy(item_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
-            yield block
+    rows = items.select(column(item_col).cast("long").alias("item"), column(text_col).cast("string").alias("text"))
+    for r in rows.where("item IS NOT NULL").orderBy("item", "text").toLocalIterator():
+        if len(block) >= size and r[0] != block[-1][0]:
+            yield block, False
             block = []
+        block.append((r[0], r[1]))
     if block:
-        yield block
+        yield block, True
 
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_id, question, answer, overlap, leaked): the items that a text shares shingles
     with, among those that BM25 finds for it. question, answer, overlap: shares of
     the item's shingles. leaked: overlap >= OVERLAP and both halves >= EITHER."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     schema = "id long, item_id long, question double, answer double, overlap double"
     found = []
-    for block in item_blocks(items, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block]))
-        found.append(rows.mapInArrow(_search(index), schema))
+    for block, last in item_blocks(items, item_col, item_text):
+        index = _broadcast(docs, block)
+        hits = rows.mapInArrow(_search(index), schema)
+        found.append(hits if last else written(hits, "overlaps"))
+        if not last:
+            index.destroy()
     pairs = union_all(found) if found else docs.sparkSession.createDataFrame([], schema)
     leaked = _leaked(F.col("question"), F.col("answer"), F.col("overlap"))
-    return pairs.select(F.col("id").alias(id_col), "item_id", "question", "answer", "overlap", leaked.alias("leaked"))
+    return pairs.select(column("id").alias(id_col), "item_id", "question", "answer", "overlap", leaked.alias("leaked"))
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_items, items, overlap) of the texts that leak an item; items: their ids, ascending."""
     pairs = benchmark_overlaps(docs, items, id_col, text_col).where("leaked")
-    return pairs.groupBy(id_col).agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap"))
+    return pairs.groupBy(column(id_col)).agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows and columns of docs whose text leaks no item; texts are not shuffled."""
-    for block in item_blocks(items, item_col, item_text):
-        docs = docs.where(~_leaks(docs, block)(F.col(f"`{text_col}`").cast("string")))
+    for block, last in item_blocks(items, item_col, item_text):
+        index = _broadcast(docs, block)
+        docs = docs.where(~_leaks(index)(column(text_col).cast("string")))
+        if not last:
+            docs = written(docs, "unleaked")
+            index.destroy()
     return docs
 
 
-def _leaks(docs: DataFrame, block: list[tuple[int, str | None]]):
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block]))
+def _broadcast(docs: DataFrame, block: list[tuple[int, str | None]]):
+    return docs.sparkSession.sparkContext.broadcast(ItemIndex([i for i, _ in block], [t for _, t in block]))
+
 
+def _leaks(index):
     @F.arrow_udf("boolean")
     def leaks(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)

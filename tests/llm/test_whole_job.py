@@ -288,3 +288,33 @@ def test_fingerprints_against_a_walk_character_by_character():
     texts = ["", "a", "é", "ab", "\x00" * 40, "𝄞𝄞 mixed é text", *["".join(rnd.choice("abc défg,.") for _ in range(rnd.randrange(1, 900))) for _ in range(40)]]
     for t, f in zip(texts, fingerprint.fingerprints(texts), strict=True):
         assert f == plain(t), t[:20]
+
+
+def test_items_in_blocks_and_rows_of_one_item(spark, monkeypatch):
+    """As the SQL of op7 has them: rows of an id are one item; blocks of items give what one index gives."""
+    import duckdb
+
+    from flowspark.llm import sql
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    items = [(i % 17, prose(rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 40]))) for i in range(40)]
+    items += [(3, None), (4, ""), (5, items[5][1]), (50, "one two"), (50, "one two"), (51, "three"), (51, prose(12)), (52, None), (None, "a b c d e f")]
+    texts = [" ".join([prose(30), *[t or "" for k, t in items if k == i], prose(5)]) for i in (*range(17), 50, 51)]
+    texts += [" ".join([prose(8), t, prose(8)]) for k, t in items if t and k is not None] + ["one two", "three", "", prose(400)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "`doc.id` long, `the.text` string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    duck.executemany("INSERT INTO benchmark VALUES (?, ?)", [r for r in items if r[0] is not None])
+    want = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in duck.execute(sql.DECONTAMINATE).fetchall())
+    assert len({i for r in want for i in r[2]}) >= 10 and any(50 in r[2] for r in want)
+    for size in (decontaminate.ITEM_BLOCK, 7):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", size)
+        blocks = [[i for i, _ in b] for b, _ in decontaminate.item_blocks(benchmark, "item_id", "text")]
+        assert (len(blocks) > 3) == (size == 7) and sorted(sum(blocks, [])) == sum(blocks, []) and all(x[-1] < y[0] for x, y in zip(blocks, blocks[1:]))
+        got = decontaminate.leaked_documents(documents, benchmark, "doc.id", "the.text").collect()
+        assert sorted((r[0], r[1], r[2], round(r[3], 9)) for r in got) == want
+        kept = decontaminate.clean_documents(documents, benchmark, "the.text").collect()
+        assert sorted(r[0] for r in kept) == sorted(set(range(len(texts))) - {r[0] for r in want})
