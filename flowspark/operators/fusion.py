@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import log10_floor
 from ..spec import FUSION_MODES
-from .metrics import interpolated_quantile
 from .profile import column_quantiles
 
 INF = float("inf")
@@ -39,29 +38,40 @@ def tau_to_plane(tau: Column, mu0: Column | str = "mu0", sd0: Column | str = "sd
     return (F.log10(tau) - mu0) / sd0
 
 
-def and_theta(z: DataFrame, tau_z: float, alpha: float) -> tuple[float, bool]:
-    """(theta_z, capped): the logit threshold at which the AND rule flags a share alpha of z.
+def and_thetas(z: DataFrame, tau_z: float, alphas: list[float]) -> list[tuple[float, bool]]:
+    """(theta_z, capped) for each alpha: the logit threshold at which the AND rule flags that share of z.
 
     z: benign selection rows (z0, z1). No row above tau_z: +inf. A budget that covers all of them:
-    -inf. Counts come to the driver, the quantile from prefix sums over distinct values.
+    -inf. Counts come to the driver, all quantiles from one table of distinct values.
     """
+    over = z.where(F.col("z0") > tau_z)
     c = z.agg(F.count("*").alias("n"), F.count_if(F.col("z0") > tau_z).alias("g")).first()
-    k = alpha * c["n"]
     if c["g"] == 0:
-        return INF, True
-    if k >= c["g"]:
-        return -INF, True
-    return interpolated_quantile(z.where(F.col("z0") > tau_z), "z1", 1 - k / c["g"], "q").first()[0], False
+        return [(INF, True)] * len(alphas)
+    within = [a for a in alphas if a * c["n"] < c["g"]]
+    got = iter(column_quantiles(over, "z1", [1 - a * c["n"] / c["g"] for a in within]).first()["q"] if within else [])
+    return [(next(got), False) if a * c["n"] < c["g"] else (-INF, True) for a in alphas]
 
 
-def union_theta(z: DataFrame, tau_z: float, theta_z: float, target: float) -> float:
-    """The logit threshold over rows that the AND rule leaves, for a total share `target`; a budget already used: +inf."""
+def and_theta(z: DataFrame, tau_z: float, alpha: float) -> tuple[float, bool]:
+    """and_thetas for one alpha."""
+    return and_thetas(z, tau_z, [alpha])[0]
+
+
+def union_thetas(z: DataFrame, tau_z: float, theta_z: float, targets: list[float]) -> list[float]:
+    """The logit threshold over rows that the AND rule leaves, for each total share in `targets`; a budget already used: +inf."""
     hit = (F.col("z0") > tau_z) & (F.col("z1") > theta_z)
     c = z.agg(F.count("*").alias("n"), F.count_if(hit).alias("h")).first()
-    left = target * c["n"] - c["h"]
-    if left <= 0 or c["n"] == c["h"]:
-        return INF
-    return interpolated_quantile(z.where(~hit), "z1", 1 - left / (c["n"] - c["h"]), "q").first()[0]
+    free = c["n"] - c["h"]
+    left = [t * c["n"] - c["h"] for t in targets]
+    open_ = [x for x in left if x > 0 and free]
+    got = iter(column_quantiles(z.where(~hit), "z1", [1 - x / free for x in open_]).first()["q"] if open_ else [])
+    return [next(got) if x > 0 and free else INF for x in left]
+
+
+def union_theta(z: DataFrame, tau_z: float, theta_z: float, target: float) -> float:
+    """union_thetas for one share."""
+    return union_thetas(z, tau_z, theta_z, [target])[0]
 
 
 def fuse_predict(z0: Column, z1: Column, p: dict[str, Column]) -> Column:
@@ -89,28 +99,36 @@ PARAMETERS = ["mu0", "sd0", "mu1", "sd1", "tau_z", "theta_z", "theta_union", "ta
 def calibrate(train: DataFrame, select: DataFrame, tau_pct: float, alpha: float, target: float | None, hi_pct: float | None, s: str = "s_dae", logit: str = "logit") -> DataFrame:
     """One row of PARAMETERS from benign training and selection rows, computed now: each step needs the
     numbers of the one before, and later plans hold literals."""
-    spark = train.sparkSession
+    return calibrate_modes(train, select, {"": (tau_pct, alpha, target, hi_pct)}, s, logit).drop("mode")
+
+
+def calibrate_modes(train: DataFrame, select: DataFrame, modes: dict[str, tuple[float, float, float | None, float | None]], s: str = "s_dae", logit: str = "logit") -> DataFrame:
+    """(mode, PARAMETERS) for each recipe (tau_pct, alpha, target, hi_pct): moments and thresholds of the first score come from one
+    scan each for all recipes, and recipes with the same tau share the table of their logits."""
     st = standardiser(train, s, logit).first()
-    wanted = [p / 100 for p in (tau_pct, hi_pct if hi_pct is not None else tau_pct)]
-    q = column_quantiles(select, s, wanted).first()["q"]
-    on_plane = lambda t: (math.log10(max(t, 1e-12)) - st["mu0"]) / st["sd0"]
-    tau_z, tau_hi = on_plane(q[0]), on_plane(q[1]) if hi_pct is not None else None
+    wanted = sorted({p for tau, _, _, hi in modes.values() for p in (tau, hi) if p is not None})
+    found = column_quantiles(select, s, [p / 100 for p in wanted]).first()["q"]
+    plane = {p: (math.log10(max(t, 1e-12)) - st["mu0"]) / st["sd0"] for p, t in zip(wanted, found)}
     z = select.select(((log10_floor(F.col(s)) - st["mu0"]) / st["sd0"]).alias("z0"), ((F.col(logit) - st["mu1"]) / st["sd1"]).alias("z1"))
-    theta, _ = and_theta(z, tau_z, alpha)
-    union = None if target is None else union_theta(z, tau_z, theta, target)
-    row = (*map(float, st), tau_z, theta, None if union in (None, INF) else union, tau_hi)
-    return spark.createDataFrame([row], ", ".join(f"{c} double" for c in PARAMETERS))
+    theta: dict[tuple[float, float], float] = {}
+    for tau in {tau for tau, _, _, _ in modes.values()}:
+        alphas = sorted({a for t, a, _, _ in modes.values() if t == tau})
+        theta |= {(tau, a): t for a, (t, _) in zip(alphas, and_thetas(z, plane[tau], alphas))}
+    union: dict[tuple[float, float, float | None], float | None] = {}
+    for tau, alpha in theta:
+        targets = sorted({t for u, a, t, _ in modes.values() if (u, a) == (tau, alpha) and t is not None})
+        got = union_thetas(z, plane[tau], theta[tau, alpha], targets) if targets else []
+        union |= {(tau, alpha, t): None if x == INF else x for t, x in zip(targets, got)}
+    rows = [(m, *map(float, st), plane[tau], theta[tau, a], union.get((tau, a, t)), plane.get(hi)) for m, (tau, a, t, hi) in modes.items()]
+    return train.sparkSession.createDataFrame(rows, "mode string, " + ", ".join(f"{c} double" for c in PARAMETERS))
 
 
 def fusion_modes(scores: DataFrame, s: str = "s_dae", logit: str = "logit") -> DataFrame:
     """(mode, PARAMETERS): the recipes A and B on benign training and selection rows."""
     ben = scores.where("label = 0 AND pool IN ('train', 'select')").select("pool", s, logit).persist()  # read by every step of the calibration
-    out = None
-    for mode, (tau_pct, alpha, target, hi) in FUSION_MODES.items():
-        p = calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), tau_pct, alpha, target, hi, s, logit).withColumn("mode", F.lit(mode))
-        out = p if out is None else out.unionByName(p)
+    out = calibrate_modes(ben.where("pool = 'train'"), ben.where("pool = 'select'"), FUSION_MODES, s, logit)
     ben.unpersist()
-    return out.select("mode", *PARAMETERS)
+    return out
 
 
 def apply_modes(scores: DataFrame, params: DataFrame, s: str = "s_dae", logit: str = "logit") -> DataFrame:

@@ -196,10 +196,8 @@ def _presets(spark: SparkSession, d: str) -> DataFrame:
     from ..spec import FUSION_PRESETS
 
     ben = _scores(spark, d).where("label = 0").select("pool", "s_dae", "logit").persist()
-    out = None
-    for name, target in FUSION_PRESETS.items():
-        p = X.calibrate(ben.where("pool = 'train'"), ben.where("pool = 'select'"), 99.0, 0.005, target, None).withColumn("mode", F.lit(name))
-        out = p if out is None else out.unionByName(p)
+    modes = {name: (99.0, 0.005, target, None) for name, target in FUSION_PRESETS.items()}
+    out = X.calibrate_modes(ben.where("pool = 'train'"), ben.where("pool = 'select'"), modes)
     ben.unpersist()
     return out
 
@@ -257,9 +255,9 @@ def rule_sweep(scores: DataFrame, grid: list[float], rules: tuple[str, ...] = ("
     q = {r["feature"]: r["q"] for r in quantiles(sel, ["z0", "z1"], [1 - t for t in grid]).collect()}  # two rows
     theta["first"], theta["logit"] = q["z0"], q["z1"]
     if "and" in rules:
-        theta["and"] = [X.and_theta(sel, one["tau_z"], t)[0] for t in grid]
+        theta["and"] = [t for t, _ in X.and_thetas(sel, one["tau_z"], grid)]
     if "and_or_logit" in rules:
-        theta["and_or_logit"] = [X.union_theta(sel, one["tau_z"], one["theta_z"], t) for t in grid]
+        theta["and_or_logit"] = X.union_thetas(sel, one["tau_z"], one["theta_z"], grid)
     sel.unpersist()
     z = X.to_plane(scores.where("pool = 'test'").select("label", "s_dae", "logit"), p)
     z0, z1, tau, th = F.col("z0"), F.col("z1"), F.lit(one["tau_z"]), F.lit(one["theta_z"])

@@ -189,3 +189,25 @@ def test_quantiles_are_the_same_either_way(spark, monkeypatch):
     assert got[0] == got[1] and set(got[0][0]) == {0, 1, 2, None} and got[0][2] == [None] and got[0][0][None][2] == 6.0
     x = np.asarray([v for _, v in rows if v is not None])
     assert np.allclose(got[0][1][:5], np.quantile(x, shares[:5]))
+
+
+def test_thresholds_for_many_budgets_equal_numpy(spark):
+    import numpy as np
+
+    from flowspark.operators import fusion
+
+    rng = np.random.default_rng(3)
+    z0, z1 = rng.normal(size=3000), np.round(rng.normal(size=3000), 2)
+    z = spark.createDataFrame(list(zip(z0.tolist(), z1.tolist())), "z0 double, z1 double").repartition(5)
+    alphas = [0.5, 0.001, 0.004, 0.16]
+    over = z1[z0 > 1.0]
+    want = [(-np.inf, True) if a * 3000 >= len(over) else (np.quantile(over, 1 - a * 3000 / len(over)), False) for a in alphas]
+    got = fusion.and_thetas(z, 1.0, alphas)
+    assert [c for _, c in got] == [c for _, c in want] and np.allclose([t for t, _ in got], [t for t, _ in want])
+    assert fusion.and_thetas(z, 99.0, alphas) == [(np.inf, True)] * 4 and fusion.and_thetas(z, 1.0, [0.9]) == [(-np.inf, True)]
+    hit = (z0 > 1.0) & (z1 > 0.5)
+    targets = [0.2, 0.0001, 0.06, 1.0]
+    left = [t * 3000 - hit.sum() for t in targets]
+    want = [np.quantile(z1[~hit], 1 - x / (~hit).sum()) if x > 0 else np.inf for x in left]
+    assert np.allclose(fusion.union_thetas(z, 1.0, 0.5, targets), want) and fusion.union_theta(z, 1.0, 0.5, 0.0001) == np.inf
+    assert fusion.union_thetas(z, -99.0, -99.0, [1.0]) == [np.inf]
