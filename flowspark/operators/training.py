@@ -36,7 +36,8 @@ def _back(layers: Weights, x: np.ndarray, grad_out: Callable[[np.ndarray], np.nd
     acts = [x]
     for i, (w, b) in enumerate(layers):
         x = x @ w + b
-        acts.append(np.maximum(x, 0) if i + 1 < len(layers) else x)
+        x = np.maximum(x, 0) if i + 1 < len(layers) else x
+        acts.append(x)
     g = grad_out(acts[-1])
     grads: Weights = []
     for i in range(len(layers) - 1, -1, -1):

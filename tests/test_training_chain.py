@@ -205,3 +205,20 @@ def test_size_gates_and_seeds(spark, benign, tmp_path, monkeypatch):
     assert chain.retrain_seeds(spark, benign, "x", r, [1, 2, 3, 4])[0] == 3
     with pytest.raises(ValueError, match="no seed"):
         chain.retrain_seeds(spark, benign, "x", r, [4])
+
+
+def test_training_goes_through_the_layers_as_scoring_does():
+    rng = np.random.default_rng(3)
+    layers = [(w.astype(np.float64), b.astype(np.float64) + 0.1) for w, b in Dense.random([5, 7, 4, 2], 1).layers]
+    x, y = rng.normal(size=(20, 5)), rng.normal(size=(20, 2))
+    out, grads = training._back(layers, x, lambda o: 2 * (o - y))
+    assert np.allclose(out, Dense(layers).forward(x))
+    loss = lambda: ((Dense(layers).forward(x) - y) ** 2).sum()
+    for (w, b), (gw, gb) in zip(layers, grads, strict=True):
+        for a, g in ((w, gw), (b, gb)):
+            at = tuple(rng.integers(0, n) for n in a.shape)
+            a[at] += 1e-6
+            up = loss()
+            a[at] -= 2e-6
+            assert math.isclose((up - loss()) / 2e-6, g[at], rel_tol=1e-4, abs_tol=1e-4)
+            a[at] += 1e-6
