@@ -200,7 +200,7 @@ def windows_of(df: DataFrame, order: str, tie: str, sizes: list[int] = REPLAY_SI
 
 
 class WindowNumbers(DataSource):
-    """A stream of the numbers 0, 1, ... of windows, one a batch; its offset is the number of windows gone by."""
+    """A stream of the numbers 0, 1, ... of windows, `step` (1) a batch; its offset is the number of windows gone by."""
 
     @classmethod
     def name(cls) -> str:
@@ -210,18 +210,18 @@ class WindowNumbers(DataSource):
         return "window long"
 
     def streamReader(self, schema):  # noqa: N802
-        return _WindowReader(int(self.options["windows"]))
+        return _WindowReader(int(self.options["windows"]), int(self.options.get("step", 1)))
 
 
 class _WindowReader(DataSourceStreamReader):
-    def __init__(self, windows: int) -> None:
-        self.windows, self.at = windows, 0
+    def __init__(self, windows: int, step: int) -> None:
+        self.windows, self.step, self.at = windows, step, 0
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"at": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        self.at = min(self.at + 1, self.windows)
+        self.at = min(self.at + self.step, self.windows)
         return {"at": self.at}
 
     def partitions(self, start: dict, end: dict) -> list:
@@ -236,17 +236,23 @@ class _WindowReader(DataSourceStreamReader):
         self.at = max(self.at, end["at"])
 
 
-def replay(windows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Every window (of windows_of, written) as a batch of a stream of its own, in order; each(batch, number of the batch). A replay
-    that is started again goes on behind the last batch that was done."""
+def replay(windows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, batches: int | None = None) -> None:
+    """Every window (of windows_of, written) as a batch of a stream, in order; each(batch, number of the batch). With `batches`, a batch
+    takes as many whole windows in a row as it needs for there to be no more than that. A batch reads the files that may hold its windows,
+    so tables written in order of the window are read once in all. A replay that is started again goes on behind the last batch that was done."""
     spark = windows.sparkSession
     spark.dataSource.register(WindowNumbers)
     n = windows.agg(F.max("window")).first()[0]
     if n is None:
         return
-    numbers = spark.readStream.format("window_numbers").option("windows", n + 1).load()
-    got = numbers.join(windows.hint("merge"), "window")
-    query = got.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    step = -(-(n + 1) // batches) if batches else 1
+
+    def take(numbers: DataFrame, number: int) -> None:
+        low, high = numbers.agg(F.min("window"), F.max("window")).first()
+        each(windows.where(F.col("window").between(low, high)), number)
+
+    numbers = spark.readStream.format("window_numbers").option("windows", n + 1).option("step", step).load()
+    query = numbers.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()
     try:
         query.processAllAvailable()
     finally:

@@ -56,3 +56,23 @@ def test_late_rows_are_counted(spark):
     got = {r["batch"]: (r["n"], r["late"]) for r in spark.read.parquet(sink).collect()}
     late = [0, sum(s is not None and s // 60 * 60 + 300 <= 5000 - 600 for s in batches[1]), sum(s // 60 * 60 + 300 <= 9000 - 600 for s in batches[2])]
     assert got == {i: (len(p), n) for i, (p, n) in enumerate(zip(batches, late, strict=True))} and late[1] == 2 and late[2] == 3
+
+
+def test_batches_take_runs_of_whole_windows(spark):
+    """Many windows end in a bounded number of batches, in order; a batch that failed is taken up again."""
+    cut = written(live.windows_of(spark.range(300).withColumn("t", F.col("id")), "t", "id", [2, 1]), "windows")
+    seen: list[tuple[int, list[tuple[int, int]]]] = []
+    state = scratch(spark, "state")
+
+    def each(batch, number):
+        if number == 3 and not any(n == 3 for n, _ in seen):
+            seen.append((3, []))
+            raise RuntimeError("lost")
+        seen.append((number, sorted((r["window"], r["id"]) for r in batch.collect())))
+
+    with pytest.raises(Exception, match="lost"):
+        live.replay(cut, each, state, batches=7)
+    live.replay(cut, each, state, batches=7)
+    done = [rows for _, rows in seen if rows]
+    assert [n for n, rows in seen if rows] == list(range(7)) and [i for rows in done for _, i in rows] == list(range(300))
+    assert [sorted({w for w, _ in rows}) for rows in done] == [list(range(k, min(k + 29, 200))) for k in range(0, 200, 29)]
