@@ -246,13 +246,22 @@ def k08(spark: SparkSession, d: str) -> DataFrame:
 _T2 = f"{_TRIALS}, t AS (SELECT trial, avg(metric) AS m, stddev_pop(metric) AS s FROM trials GROUP BY trial)"
 
 
+# ranks must not hang on the order in which doubles were added up: means and deviations that agree to eight decimals are ties
+_T2_RANKED = _T2.replace("avg(metric) AS m, stddev_pop(metric) AS s", "round(avg(metric), 8) AS m, round(stddev_pop(metric), 8) AS s")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _per_trial(spark, d).select("trial", R(F.col("m"), 8).alias("m"), R(F.col("s"), 8).alias("s"))
+
+
 def _per_trial(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy("trial").agg(F.avg("metric").alias("m"), F.stddev_pop("metric").alias("s"))
 
 
-@query("w03_rank_metrics", f"WITH {_T2}, r AS (SELECT trial, row_number() OVER (ORDER BY m DESC, trial) AS rank_m, row_number() OVER (ORDER BY s DESC, trial) AS rank_s FROM t) SELECT trial, rank_m + rank_s AS rank_sum, CAST((rank_m <= 3) AS INTEGER) + CAST((rank_s <= 3) AS INTEGER) AS n_top3 FROM r")
+@query("w03_rank_metrics", f"WITH {_T2_RANKED}, r AS (SELECT trial, row_number() OVER (ORDER BY m DESC, trial) AS rank_m, row_number() OVER (ORDER BY s DESC, trial) AS rank_s FROM t) SELECT trial, rank_m + rank_s AS rank_sum, CAST((rank_m <= 3) AS INTEGER) + CAST((rank_s <= 3) AS INTEGER) AS n_top3 FROM r")
 def w03(spark: SparkSession, d: str) -> DataFrame:
-    t = exact_ranks(exact_ranks(_per_trial(spark, d), "m", "trial", "rank_m"), "s", "trial", "rank_s")
+    """Places by mean and by deviation, both rounded to eight decimals; ties go to the smaller trial."""
+    t = exact_ranks(exact_ranks(_ranked(spark, d), "m", "trial", "rank_m"), "s", "trial", "rank_s")
     return t.select("trial", (F.col("rank_m") + F.col("rank_s")).alias("rank_sum"), ((F.col("rank_m") <= 3).cast("int") + (F.col("rank_s") <= 3).cast("int")).alias("n_top3"))
 
 
