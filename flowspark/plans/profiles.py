@@ -280,9 +280,10 @@ def exact_ranks(df: DataFrame, value: str, tie: str, rank: str, descending: bool
     return keyed.join(counts.hint("shuffle_hash"), [*keys, k]).select(*df.columns, (F.col(before) + place).cast("long").alias(rank))
 
 
-@query("w04_rank_movement", f"WITH {_T2} SELECT trial, row_number() OVER (ORDER BY m DESC, trial) - row_number() OVER (ORDER BY s, trial) AS movement FROM t")
+@query("w04_rank_movement", f"WITH {_T2_RANKED} SELECT trial, row_number() OVER (ORDER BY m DESC, trial) - row_number() OVER (ORDER BY s, trial) AS movement FROM t")
 def w04(spark: SparkSession, d: str) -> DataFrame:
-    t = exact_ranks(exact_ranks(_per_trial(spark, d), "m", "trial", "a"), "s", "trial", "b", descending=False)
+    """Place by mean less place by deviation, both rounded to eight decimals; ties go to the smaller trial."""
+    t = exact_ranks(exact_ranks(_ranked(spark, d), "m", "trial", "a"), "s", "trial", "b", descending=False)
     return t.select("trial", (F.col("a") - F.col("b")).alias("movement"))
 
 

@@ -16,7 +16,7 @@ def _copied_suppliers(spark, data, folder):
     t.drop("copy").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["w03_rank_metrics"])
+@pytest.mark.parametrize("name", ["w03_rank_metrics", "w04_rank_movement"])
 def test_ranks_of_equal_trials_do_not_hang_on_the_order_of_sums(spark, data, tmp_path, name):
     _copied_suppliers(spark, data, tmp_path)
     db = duckdb.connect()
