@@ -100,11 +100,35 @@ def spearman_pairs(df: DataFrame, cols: list[str], key: str | None = None, least
     return df.sparkSession.createDataFrame(got, "a string, b string, rho double")
 
 
+#: Labels with at most so many values are ranked in a broadcast table.
+LABEL_VALUES = 100_000
+
+
 def spearman_label(df: DataFrame, cols: list[str], key: str | None, label: str, least: float = RHO_LABEL_LIMIT) -> DataFrame:
-    """(feature, rho) with |rho| >= least; constant features have none."""
-    every = rank_correlations(df, [*cols, label], key)
-    got = [(c, every[c, label]) for c in cols if every[c, label] is not None and abs(every[c, label]) >= least]
-    return df.sparkSession.createDataFrame(got, "feature string, rho double")
+    """(feature, rho) with |rho| >= least; constant features have none.
+
+    Rows are counted by feature and value, together with the ranks of their labels: sums of products of ranks follow from that table,
+    and no rank returns to the rows. A label of more than LABEL_VALUES values is ranked like any other column (rank_correlations)."""
+    y, n, k, sy, syy, before, total = apart(["feature", "value", label], "y", "n", "k", "sy", "syy", "before", "total")
+    labels = written(average_rank(df.select(F.col(f"`{label}`").cast("double").alias(label)), label), "labels")
+    if labels.count() > LABEL_VALUES:
+        every = rank_correlations(df, [*cols, label], key)
+        got = [(c, every[c, label]) for c in cols if every[c, label] is not None and abs(every[c, label]) >= least]
+        return df.sparkSession.createDataFrame(got, "feature string, rho double")
+    own, held = apart([label, "n", "rank"], "of", "rows")
+    middle = labels.agg((F.sum("n") + 1) / 2).first()[0]  # one number
+    # about their mean, so that sums of products keep their digits; a row without a label counts for the ranks of its value only
+    ranks = labels.select(F.col(label).alias(own), (F.col("rank") - F.lit(middle)).alias(y)).withColumn(held, F.lit(1))
+    long = long_form(df.withColumn(label, F.col(f"`{label}`").cast("double")), cols, [label]).where("value IS NOT NULL")
+    sums = long.join(F.broadcast(ranks), F.col(label) == F.col(own), "left").groupBy("feature", "value").agg(F.count("*").alias(n), F.count(held).alias(k), F.coalesce(F.sum(y), F.lit(0.0)).alias(sy), F.coalesce(F.sum(F.col(y) * F.col(y)), F.lit(0.0)).alias(syy))
+    run = prefix_sum(written(sums, "sums"), "value", {n: before}, ["feature"], whole={n: total})
+    x = F.col(before) + (F.col(n) + 1) / 2.0 - (F.col(total) + 1) / 2.0
+    per = run.withColumn("x", x).groupBy("feature").agg(
+        F.sum(k).alias("m"), F.sum(F.col(k) * F.col("x")).alias("a"), F.sum(F.col(k) * F.col("x") * F.col("x")).alias("aa"), F.sum(sy).alias("b"), F.sum(syy).alias("bb"), F.sum(F.col("x") * F.col(sy)).alias("ab")
+    )
+    vx, vy = F.col("aa") - F.col("a") * F.col("a") / F.col("m"), F.col("bb") - F.col("b") * F.col("b") / F.col("m")
+    rho = (F.col("ab") - F.col("a") * F.col("b") / F.col("m")) / F.sqrt(vx * vy)
+    return per.where((F.col("m") > 0) & (vx > 1e-9) & (vy > 1e-9)).select("feature", rho.alias("rho")).where(F.abs("rho") >= least)
 
 
 def bin_edges(df: DataFrame, cols: list[str], bins: int) -> dict[str, list[float]]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowspark import plans
+from flowspark.operators import audit
 from flowspark.plans import models
 
 
@@ -41,3 +43,24 @@ def test_draws_leave_a_task_as_one_row_each():
     for r in got.to_pylist():
         mean = sum(counts[r["draw"], k] * seeds[:, k] for k in range(12)) / 12
         assert (r["mean"], r["m"], -r["trial"]) == max(zip(mean.tolist(), m.tolist(), (-trial).tolist()))
+
+
+def test_label_correlations_join_no_ranks_to_rows(spark, monkeypatch):
+    """rho against pandas with ties, missing values and labels, a constant column; rows are never joined with ranks of their values."""
+    rng = np.random.default_rng(2)
+    p = pd.DataFrame({"id": np.arange(4000), "a": rng.integers(0, 50, 4000).astype(float), "b": rng.random(4000), "c": 1.0, "y": rng.integers(0, 3, 4000).astype(float)})
+    p.loc[p.y == 2, "b"] += 0.2
+    p.loc[rng.random(4000) < 0.1, "a"] = None
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None).values.tolist(), "id long, a double, b double, c double, y double")
+    monkeypatch.setattr(audit, "ranked", lambda *a: pytest.fail("ranks joined to rows"))
+    monkeypatch.setattr(audit, "RANK_VALUES", 0)
+    got = {r["feature"]: r["rho"] for r in audit.spearman_label(df, ["a", "b", "c"], "id", "y", 0.0).collect()}
+    r = p.rank()  # missing values have no rank
+    want = {c: r[c].corr(r.y) for c in ("a", "b")}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    lost = df.withColumn("y", F.when(F.col("id") % 7 > 0, F.col("y")))
+    got = {r["feature"]: r["rho"] for r in audit.spearman_label(lost, ["a", "b"], "id", "y", 0.0).collect()}
+    p.loc[p.id % 7 == 0, "y"] = None
+    r = p.rank()
+    want = {c: r[c].corr(r.y) for c in ("a", "b")}
+    assert all(abs(got[c] - want[c]) < 1e-9 for c in want)
