@@ -187,13 +187,13 @@ def information_cost(df: DataFrame, target: str, others: list[str], bins: int) -
 def distribution_shift(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """(feature, ks, w1): largest and integrated difference of the distribution functions of group 0 and group 1."""
     long = long_form(df, cols, [group])
-    counts = score_counts(long, "value", group, ["feature"])
+    counts = written(score_counts(long, "value", group, ["feature"]), "counts")  # read several times: cuts, totals and rows
     run = prefix_sum(counts, "value", {"pos": "a", "neg": "b"}, ["feature"], before=False)
     total = counts.groupBy("feature").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     got = run.join(F.broadcast(total), "feature")  # a row a feature
     gap = F.abs(F.col("a") / F.col("_p") - F.col("b") / F.col("_q"))
     # the next distinct value: within ranges of values, the first of the next range from a small table
-    nxt = next_value(got.withColumn("gap", gap), "value", ["feature"], "next")
+    nxt = next_value(written(got.withColumn("gap", gap), "gaps"), "value", ["feature"], "next")
     return nxt.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("next") - F.col("value"), F.lit(0.0))).alias("w1"))
 
 

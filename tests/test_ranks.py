@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowspark import plans
 from flowspark.operators import audit
-from flowspark.plans import models
+from flowspark.plans import audits, models
 
 
 def _copied_suppliers(spark, data, folder):
@@ -64,3 +64,10 @@ def test_label_correlations_join_no_ranks_to_rows(spark, monkeypatch):
     r = p.rank()
     want = {c: r[c].corr(r.y) for c in ("a", "b")}
     assert all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_the_audit_report_derives_flows_once(spark, data, monkeypatch):
+    calls = []
+    real = audits.written
+    monkeypatch.setattr(audits, "written", lambda df, name: (calls.append(name), real(df, name))[1])
+    assert plans.QUERIES["d13_audit_report"](spark, data).count() == 12 and calls == ["flows"]
