@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -60,36 +61,80 @@ def class_table(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame
     return out.groupBy(key).agg(*[F.max(F.when(F.col("_t") == n, F.col("_v"))).alias(n) for n in tables])
 
 
+#: Rows whose distances to a block of the reference one matrix holds; distances worked out at once.
+TILE, EXACT = 128, 1 << 16
+
+
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a bound that k of its values do not exceed, close to the k-th least: of many values the k-th of least ones of groups."""
+    if k == 1:
+        return s.min(axis=1)
+    width = s.shape[1] // 64
+    if width >= 8 * k:
+        s = s[:, : 64 * width].reshape(len(s), 64, width).min(axis=1)
+    return np.partition(s, k - 1, axis=1)[:, k - 1]
+
+
+def _true(hit: np.ndarray) -> np.ndarray:
+    """Flat places of the few that are true: eight at a time first."""
+    flat = hit.ravel()
+    flat = np.concatenate([flat, np.zeros(-len(flat) % 8, bool)]) if len(flat) % 8 else flat
+    at = np.flatnonzero(flat.view(np.uint64))
+    place = (8 * at[:, None] + np.arange(8)).ravel()
+    return place[flat[place]]
+
+
 def _nearest(k: int, own: bool):
-    """Of a block of rows and a block of reference vectors: the k nearest of each row."""
+    """Of a block of rows (far: what is farther away is not wanted) and a block of reference vectors: the k nearest of each row.
+
+    One matrix product gives |p|^2 - 2 x p of all pairs in single precision. Whatever its error could hide among the k nearest is a candidate,
+    and distances of candidates are worked out coordinate by coordinate, so that equal vectors are equally far."""
 
     def run(rows: pa.Table, reference: pa.Table) -> pa.Table:
-        vectors = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
-        out = {"id": [], "nearest": [], "distance": []}
-        if len(rows) and len(reference):
-            points, ids = vectors(reference), reference["id"].to_numpy()
-            square = (points**2).sum(axis=1)
-            for a in range(0, len(rows), 1024):
-                part = rows.slice(a, 1024)
-                mine, x = part["id"].to_numpy(), vectors(part)
-                d = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + square - 2 * x @ points.T))
+        vectors = lambda t: _vectors(t["v"].combine_chunks())
+        points, ids, x, mine = vectors(reference), reference["id"].to_numpy(), vectors(rows), rows["id"].to_numpy()
+        far = np.nan_to_num(rows["far"].to_numpy().astype(float), nan=np.inf)
+        out = {"id": [mine[:0]], "nearest": [ids[:0]], "distance": [far[:0]]}
+        if len(x) and len(points):
+            some = min(k + own, len(points))
+            centre = points.mean(axis=0)
+            about = points - centre
+            unit = float(np.sqrt((about**2).sum(axis=1).max())) or 1.0
+            about /= unit
+            double = np.vstack([about.T, (about**2).sum(axis=1)])
+            single = double.astype(np.float32)
+            for a in range(0, len(x), TILE):
+                y = (x[a : a + TILE] - centre) / unit
+                size = (y**2).sum(axis=1)
+                left = np.hstack([-2 * y, np.ones((len(y), 1))])
+                # in the unit of the widest point: what lies beyond `far`, with room for its own rounding
+                limit = (far[a : a + TILE] / unit * (1 + 1e-9) + 1e-9) ** 2 - size
+                for right in (single, double) if size.max() < 1e12 else (double,):
+                    s = left.astype(right.dtype) @ right
+                    error = 4 * (len(right) + 8) * np.finfo(right.dtype).eps * (1 + 2 * np.sqrt(size) + size)
+                    at = _true(s <= (np.minimum(_kth(s, some), limit) + error).astype(right.dtype)[:, None])
+                    if len(at) <= 64 * len(y):
+                        break
+                row, col = np.divmod(at, len(points))
+                row += a
                 if own:
-                    d[mine[:, None] == ids] = np.inf
-                at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                near = np.take_along_axis(d, at, axis=1)
-                some = np.isfinite(near)
-                out["id"].append(np.broadcast_to(mine[:, None], at.shape)[some])
-                out["nearest"].append(ids[at][some])
-                out["distance"].append(near[some])
-        flat = {c: np.concatenate(v) if v else np.zeros(0, float if c == "distance" else np.int64) for c, v in out.items()}
-        return pa.table(flat)
+                    other = mine[row] != ids[col]
+                    row, col = row[other], col[other]
+                d = np.concatenate([np.zeros(0), *[np.sqrt(((x[row[i : i + EXACT]] - points[col[i : i + EXACT]]) ** 2).sum(axis=1)) for i in range(0, len(row), EXACT)]])
+                order = np.lexsort((ids[col], d, row))
+                row, col, d = row[order], col[order], d[order]
+                first = np.searchsorted(row, row)
+                keep = (np.arange(len(row)) - first < k) & np.isfinite(d)
+                out["id"].append(mine[row[keep]])
+                out["nearest"].append(ids[col[keep]])
+                out["distance"].append(d[keep])
+        return pa.table({c: np.concatenate(v) for c, v in out.items()})
 
     return run
 
 
 #: Vectors that others are placed by, a bounded sample of the reference; rows of a block that meet a block of the reference in one task.
-PIVOTS, ROWS = 64, 4000
-_PLACED = "id long, v array<double>, cell int, r double"
+PIVOTS, ROWS = 64, 16_000
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -115,7 +160,7 @@ def _placed(pivots: np.ndarray):
 
 
 def _blocks_of(pivots: np.ndarray, table: np.ndarray, home: bool):
-    """(id, v, far) to (id, v, block): its own block, or all others that may hold a vector at most `far` away.
+    """(id, v, far) to (id, v, far, block): its own block, or all others that may hold a vector at most `far` away.
 
     table: cell, least and largest distance to the pivot, a row a block. A vector of a block is at least the larger of
     (distance to the pivot - largest) and (least - distance to the pivot) away."""
@@ -136,41 +181,46 @@ def _blocks_of(pivots: np.ndarray, table: np.ndarray, home: bool):
                     may[np.arange(len(own)), own] = False
                     row, block = np.nonzero(may)
                 at = pa.array(row)
-                yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(block.astype(np.int32))], ["id", "v", "block"])
+                yield pa.record_batch([*[part.column(c).take(at) for c in range(3)], pa.array(block.astype(np.int32))], ["id", "v", "far", "block"])
 
     return run
 
 
 def _met(rows: DataFrame, points: DataFrame, k: int, own: bool) -> DataFrame:
-    """(id, nearest, distance) of rows (id, v, block) among the points of their block. Many rows of a block are dealt to several tasks."""
+    """(id, nearest, distance) of rows (id, v, far, block) among the points of their block. Many rows of a block are dealt to several tasks."""
     chunks = rows.groupBy("block").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("chunks"))  # a row a block
     dealt = rows.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     copies = points.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     return dealt.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInArrow(_nearest(k, own), "id long, nearest long, distance double")
 
 
-def nearest(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 4000) -> DataFrame:
+def nearest(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 64_000) -> DataFrame:
     """(id, nearest): the k closest reference vectors of each row as an array of (distance, nearest), exact; ties go to the smaller id.
 
     Ids are unique and not null; without other reference vectors a row is absent."""
     return nearest_pruned(df, reference, id_col, vec_col, k, leave_self, block)[0]
 
 
-def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 4000) -> tuple[DataFrame, dict[str, int]]:
+def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 1, leave_self: bool = False, block: int = 64_000) -> tuple[DataFrame, dict[str, int]]:
     """nearest, and how many pairs of a row and a block of the reference there are and how many were looked at.
 
     Reference vectors go to the cell of their nearest pivot and, by rings of the distance to it, to blocks of about `block`.
     A row first meets the block that it lies in or nearest to; the k-th distance found there rules out, by the triangle
-    inequality, blocks that can hold nothing nearer, before any vector moves; only the others are met.
+    inequality, blocks that can hold nothing nearer, before any vector moves; only the others are met. Each row moves once a block that it
+    meets, so blocks are large. Of equal reference vectors only the k + 1 smallest ids can be among anybody's k nearest; vectors that are not finite are near nothing.
     """
     spark = df.sparkSession
-    pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    wanted = min(PIVOTS, max(1, -(-4 * reference.count() // block)))
-    some = pick(reference).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    kind = "array<float>" if {dict(df.dtypes)[vec_col], dict(reference.dtypes)[vec_col]} == {"array<float>"} else "array<double>"
+    pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"))
+    finite = pick(reference).where(F.forall("v", lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    place = F.row_number().over(W.partitionBy(F.xxhash64("v"), "v").orderBy("id"))
+    points = written(finite.withColumn("place", place).where(F.col("place") <= k + 1).select("id", "v"), "reference")
+    wanted = min(PIVOTS, max(1, -(-4 * points.count() // block)))
+    some = points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     if not some:
         return spark.createDataFrame([], "id long, nearest array<struct<distance: double, nearest: long>>"), {"pairs": 0, "met": 0}
     pivots = np.asarray([r["v"] for r in some])
-    placed = written(pick(reference).mapInArrow(_placed(pivots), _PLACED), "placed")
+    placed = written(points.mapInArrow(_placed(pivots), f"id long, v {kind}, cell int, r double"), "placed")
     # rings of a cell end at quantiles of the distance; a ring that equal distances overfill is dealt by hash
     n = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("r", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("q"))  # a row a pivot
     rings = F.ceil(F.col("n") / block)
@@ -184,11 +234,11 @@ def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: st
     names = spark.createDataFrame([(i, r["cell"], r["ring"], r["sub"]) for i, r in enumerate(made)], "block int, cell int, ring int, sub int")
     points = written(dealt.join(F.broadcast(names), ["cell", "ring", "sub"]).select("id", "v", "block"), "points")
 
-    rows = pick(df)
-    first = written(_met(written(rows.select("id", "v", F.lit(None).cast("double").alias("far")).mapInArrow(_blocks_of(pivots, table, True), "id long, v array<double>, block int"), "rows"), points, k, leave_self), "near")
+    rows, fields = pick(df), f"id long, v {kind}, far double, block int"
+    first = written(_met(written(rows.withColumn("far", F.lit(None).cast("double")).mapInArrow(_blocks_of(pivots, table, True), fields), "rows"), points, k, leave_self), "near")
     kth = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("far"))
     known = rows.join(kth.hint("merge"), "id", "left").select("id", "v", "far")
-    more = written(known.mapInArrow(_blocks_of(pivots, table, False), "id long, v array<double>, block int"), "others")
+    more = written(known.mapInArrow(_blocks_of(pivots, table, False), fields), "others")
     both = first.unionByName(_met(more, points, k, leave_self))
     best = F.sort_array(F.collect_list(F.struct("distance", "nearest")))  # k for each block met
     total = rows.count()

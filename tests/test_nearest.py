@@ -56,3 +56,32 @@ def test_few_reference_vectors(spark, monkeypatch):
     check(spark, x, 12, 2, True, 2, monkeypatch)  # its own only neighbour: absent
     df = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
     assert joins.nearest(df, df.where("false"), "id", "v").collect() == [] and joins.nearest(df.where("false"), df, "id", "v").collect() == []
+
+
+def test_rows_move_once_for_tens_of_thousands_of_reference_vectors(spark):
+    x = np.random.default_rng(4).normal(size=(5000, 8))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    got, counts = joins.nearest_pruned(df, df, "id", "v", 1, True)
+    assert counts == {"pairs": 5000, "met": 5000}  # one block, where rows of 4,000 made each row move to several
+    x = x.astype(np.float32).astype(float)
+    d = ((x[:50, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(50), np.arange(50)] = np.inf
+    found = {r["id"]: r["nearest"][0] for r in got.where("id < 50").collect()}
+    assert [found[i]["nearest"] for i in range(50)] == d.argmin(axis=1).tolist()
+    assert np.allclose([found[i]["distance"] for i in range(50)], np.sqrt(d.min(axis=1)), rtol=1e-12)
+
+
+@pytest.mark.parametrize("at", [0.0, 1e4])
+def test_copies_are_equally_far_and_go_by_id(spark, monkeypatch, at):
+    x = at + np.random.default_rng(5).normal(size=(12, 32))
+    found, want, _ = check(spark, np.repeat(x, 25, axis=0), 1, 6, True, 40, monkeypatch)
+    assert all(found[i] == [(0.0, j) for _, j in near] for i, near in want.items())
+
+
+def test_vectors_that_are_not_finite_hide_no_other(spark):
+    rng = np.random.default_rng(6)
+    good = [(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(200, 4)))]
+    bad = [(1000 + i, [c, 0.0, 0.0, 0.0]) for i, c in enumerate([float("nan"), float("inf"), None])] + [(1003, None)]
+    df = spark.createDataFrame(good + bad, "id long, v array<double>").repartition(3)
+    got = {r["id"]: [p["nearest"] for p in r["nearest"]] for r in joins.nearest(df.where("id < 1000"), df, "id", "v", 3, True, 20).collect()}
+    assert got == {i: [j for _, j in near] for i, near in brute(good, good, 3, True).items()}
