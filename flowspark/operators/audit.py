@@ -21,31 +21,42 @@ from .metrics import score_counts
 from .profile import apart, average_rank, by_feature, group_quantiles, in_ranges, long_form, prefix_sum, quantiles, range_number
 
 
-#: Ranks are looked up in a broadcast table where all columns together have at most so many distinct values (64 MB).
+#: Ranks are looked up in a broadcast table where columns have at most so many distinct values together (64 MB).
 RANK_VALUES = 4_000_000
+#: Values that one row in so many has, or more, are ranked by a broadcast table as well: no task gets all rows of such a value.
+HOT_SHARE = 10_000
 
 
-def ranked(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """(key, cols): each column replaced by its average ranks; ranks per distinct value are joined to the rows."""
-    long = long_form(df, cols, [key])
-    ranks = average_rank(long, "value", ["feature"])
-    got = long.join(ranks.select("feature", "value", "rank").hint("merge"), ["feature", "value"])
-    return got.groupBy(key).pivot("feature", cols).agg(F.max("rank"))
+def ranked(df: DataFrame, col: str, counts: DataFrame) -> DataFrame:
+    """df with a column replaced by its average ranks about their mean. counts: (value, n) of its values.
+
+    Frequent values are looked up; all others are joined by value, whole rows once a column. Rows that the join is not for
+    (frequent values, NULL) have no key and go to tasks by their number."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    value, hot, at, cold, none = apart(df.columns, "value", "hot", "key", "cold", "none")
+    ranks = written(prefix_sum(counts, "value", {"n": "before"}).select("value", "n", (F.col("before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0).alias("rank"), F.lit(0).cast("long").alias("none")), "ranks")  # none is read back: a join on a literal would be a join on the value alone
+    often = F.col("n") >= total / HOT_SHARE
+    few = ranks.where(often).select(F.col("value").alias(value), F.col("rank").alias(hot))  # at most HOT_SHARE rows
+    many = ranks.where(~often).select(F.col("value").alias(value), F.col("none").alias(none), F.col("rank").alias(cold))
+    rows = df.withColumn(value, F.col(f"`{col}`")).join(F.broadcast(few), value, "left")
+    rows = rows.withColumn(at, F.when(F.col(hot).isNull(), F.col(value))).withColumn(none, F.when(F.col(at).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
+    got = rows.drop(value).withColumnRenamed(at, value).join(many.hint("merge"), [value, none], "left")
+    return got.select(*[F.coalesce(hot, cold).alias(c) if c == col else F.col(f"`{c}`") for c in df.columns])
 
 
 def _pair_sums(shared, width: int):
-    """Of wide rows: n, sum x, sum x * x and sum x * y of the centred ranks of all pairs of columns, over rows that have both."""
+    """Of wide rows: n, sum x, sum x * x and sum x * y of the centred ranks of all pairs of columns, over rows that have both. A column without steps holds ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, total = shared.value, np.zeros((4, width, width))
         for b in batches:
             r, there = np.zeros((b.num_rows, width)), np.zeros((b.num_rows, width))
-            for i, (values, ranks) in enumerate(steps):
+            for i, of in enumerate(steps):
                 x = b.column(i)
                 held = x.is_valid().to_numpy(zero_copy_only=False)
                 v = x.to_numpy(zero_copy_only=False)[held].astype(float)
                 if len(v):
-                    r[held, i] = ranks[np.searchsorted(values, v)]
+                    r[held, i] = v if of is None else of[1][np.searchsorted(of[0], v)]
                     there[held, i] = 1
             total += there.T @ there, r.T @ there, (r * r).T @ there, r.T @ r
         yield pa.record_batch([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["k", "v"])
@@ -56,29 +67,33 @@ def _pair_sums(shared, width: int):
 def rank_correlations(df: DataFrame, cols: list[str], key: str | None = None) -> dict[tuple[str, str], float | None]:
     """Spearman's rho of all pairs of columns, None where one of them is constant.
 
-    Ranks are step functions of the values. Where the distinct values are counted and few enough, the steps go to all tasks and one pass over
-    the rows adds up products of ranks: no row is joined, pivoted or shuffled. Beyond, ranks are joined to the rows by value (key:
-    a unique column; without one rows are numbered)."""
+    Ranks are step functions of the values. Where distinct values are counted and few enough, the steps go to all tasks and one pass over
+    the rows adds up products of ranks: no row is joined, pivoted or shuffled. A column with too many of them has its ranks joined to
+    the rows by value before that pass. key is not needed."""
     counts = written(long_form(df, cols).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if counts.count() > RANK_VALUES:
-        (at,) = apart(df.columns, "row")
-        rows = df if key else written(df.withColumn(at, F.monotonically_increasing_id()), "numbered")
-        r = ranked(rows, cols, key or at)
-        spread = lambda c, other: F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c)))
-        rho = lambda a, b: F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
-        got = r.agg(F.array(*[rho(a, b) for a, b in pairs]).alias("x")).first()["x"]
-        return dict(zip(pairs, got, strict=True))
-    held = counts.toArrow()
+    distinct = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}  # a row a column
+    few, left = [], RANK_VALUES
+    for c in sorted(cols, key=lambda c: (distinct.get(c, 0), c)):
+        if distinct.get(c, 0) <= left:
+            few.append(c)
+            left -= distinct.get(c, 0)
+    held = counts.where(F.col("feature").isin(few)).toArrow()
     feature, value, n = np.asarray(held["feature"].to_pylist(), object), held["value"].to_numpy(), held["n"].to_numpy()
     steps = []
     for c in cols:
+        if c not in few:
+            steps.append(None)
+            continue
         own = feature == c
         order = np.argsort(value[own], kind="stable")
         v, m = value[own][order], n[own][order].astype(float)
         rank = np.cumsum(m) - m + (m + 1) / 2
         steps.append((v, rank - (m.sum() + 1) / 2))  # about their mean, so that sums of products keep their digits
-    rows = df.select(*[F.col(f"`{c}`").cast("double") for c in cols])
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    for c in cols:
+        if c not in few:
+            rows = ranked(rows, c, counts.where(F.col("feature") == c).select("value", "n"))
     sums = rows.mapInArrow(_pair_sums(df.sparkSession.sparkContext.broadcast(steps), len(cols)), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(4 * len(cols) ** 2)
     for r in sums:

@@ -71,3 +71,34 @@ def test_the_audit_report_derives_flows_once(spark, data, monkeypatch):
     real = audits.written
     monkeypatch.setattr(audits, "written", lambda df, name: (calls.append(name), real(df, name))[1])
     assert plans.QUERIES["d13_audit_report"](spark, data).count() == 12 and calls == ["flows"]
+
+
+def test_only_columns_of_many_values_are_joined_and_frequent_values_are_spread(spark, monkeypatch):
+    """rho against pandas where one column has too many values for a table, most rows one of them, some none and some not a number."""
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"few": rng.integers(0, 4, 3000) * 1.0, "many": np.where(rng.random(3000) < 0.8, 0.5, rng.random(3000)), "value": rng.integers(0, 9, 3000) * 1.0})
+    p["many"] += p["few"] * (p["many"] != 0.5)
+    rows = [(*r,) for r in p.values.tolist()]
+    df = spark.createDataFrame([(a, None if i % 50 == 0 else float("nan") if i % 51 == 0 else b, c) for i, (a, b, c) in enumerate(rows)], "few double, many double, value double").repartition(3)
+    p["many"] = [None if i % 50 == 0 else np.inf if i % 51 == 0 else b for i, b in enumerate(p["many"])]  # not a number is the largest in Spark
+    asked, real, made = [], audit.ranked, []
+
+    def ranked(rows, col, counts):
+        asked.append(col)
+        made.append(real(rows, col, counts))
+        return made[-1]
+
+    monkeypatch.setattr(audit, "ranked", ranked)
+    monkeypatch.setattr(audit, "RANK_VALUES", 50)
+    monkeypatch.setattr(audit, "HOT_SHARE", 100)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = audit.rank_correlations(df, list(p.columns))
+        assert asked == ["many"]
+        parts = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    r = p.rank()
+    assert all(abs(got[a, b] - r[a].corr(r[b])) < 1e-9 for a, b in got)
+    assert sum(parts) == 3000 and max(parts) < 1500
