@@ -131,7 +131,7 @@ def deal(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
     shards = shards or max(1, -(-df.count() // SHARD_ROWS))
     cls = F.col("cls").cast("string") if "cls" in df.columns else F.lit(None).cast("string")
     rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>"), cls.alias("cls"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
-    return written(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "x", "y", "cls"), "shards")
+    return written(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "x", "y", "cls"), "shards")  # by its number: hashed numbers meet in one task
 
 
 def _improve(jobs: list[Job], epoch: int, loss, lr: float, batch: int, noise: float, l2: float, make):

@@ -222,3 +222,9 @@ def test_training_goes_through_the_layers_as_scoring_does():
             a[at] -= 2e-6
             assert math.isclose((up - loss()) / 2e-6, g[at], rel_tol=1e-4, abs_tol=1e-4)
             a[at] += 1e-6
+
+
+def test_every_shard_has_a_task_of_its_own(spark):
+    rows = spark.range(2000).select("id", F.array(F.col("id").cast("float")).alias("x"), F.array(F.lit(0.0)).alias("y"))
+    files = training.deal(rows, "id", 12).groupBy(F.input_file_name().alias("file")).agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("n")).collect()
+    assert [r["shards"] for r in files] == [1] * 12 and sum(r["n"] for r in files) == 2000
