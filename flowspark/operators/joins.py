@@ -61,18 +61,20 @@ def class_table(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame
     return out.groupBy(key).agg(*[F.max(F.when(F.col("_t") == n, F.col("_v"))).alias(n) for n in tables])
 
 
-#: Rows whose distances to a block of the reference one matrix holds; distances worked out at once.
-TILE, EXACT = 128, 1 << 16
+#: Rows and reference vectors whose distances one matrix holds, so that it stays in a core's cache; distances worked out at once.
+TILE, COLUMNS, EXACT = 256, 1_024, 1 << 16
 
 
-def _kth(s: np.ndarray, k: int) -> np.ndarray:
-    """Of each row a bound that k of its values do not exceed, close to the k-th least: of many values the k-th of least ones of groups."""
+def _least(s: np.ndarray, best: np.ndarray, k: int) -> np.ndarray:
+    """Of each row k values that are no less than the k least of s and of best, close to them: of many values those of pairs of pairs."""
     if k == 1:
-        return s.min(axis=1)
-    width = s.shape[1] // 64
-    if width >= 8 * k:
-        s = s[:, : 64 * width].reshape(len(s), 64, width).min(axis=1)
-    return np.partition(s, k - 1, axis=1)[:, k - 1]
+        return np.minimum(best, s.min(axis=1, keepdims=True))
+    while s.shape[1] >= 16 * k:
+        half = s.shape[1] // 2
+        s = np.minimum(s[:, :half], s[:, half : 2 * half])
+    some = np.flatnonzero(s.min(axis=1) < best.max(axis=1))
+    best[some] = np.partition(np.hstack([best[some], s[some]]), k - 1, axis=1)[:, :k]
+    return best
 
 
 def _true(hit: np.ndarray) -> np.ndarray:
@@ -84,6 +86,33 @@ def _true(hit: np.ndarray) -> np.ndarray:
     return place[flat[place]]
 
 
+def _candidates(left: np.ndarray, right: list[np.ndarray], k: int, limit: np.ndarray, error: np.ndarray, most: int) -> np.ndarray | None:
+    """Flat places (row times all columns, plus column) of the products that may be among the k least of their row and within its limit; None
+    where there are more than `most`. right: the columns in pieces. A piece is held against the least of those so far, and what it leaves against the least of all."""
+    n, columns = len(left), sum(r.shape[1] for r in right)
+    room, mask = np.empty(n * right[0].shape[1], left.dtype), np.empty(n * right[0].shape[1], bool)
+    best = np.full((n, k), np.inf, left.dtype)
+    places, values = [np.zeros(0, np.int64)], [np.zeros(0, left.dtype)]
+    held, first = 0, 0
+    for r in right:
+        w = r.shape[1]
+        s = np.matmul(left, r, out=room[: n * w].reshape(n, w))
+        best = _least(s, best, k)
+        bound = (np.minimum(best.max(axis=1), limit) + error).astype(left.dtype)
+        at = _true(np.less_equal(s, bound[:, None], out=mask[: n * w].reshape(n, w)))
+        places.append(at // w * columns + first + at % w)
+        values.append(s.ravel()[at])
+        held, first = held + len(at), first + w
+        if held > most or first == columns:
+            p, v = np.concatenate(places), np.concatenate(values)
+            keep = v <= bound[p // columns]
+            places, values = [p[keep]], [v[keep]]
+            held = len(places[0])
+            if held > most:
+                return None
+    return places[0]
+
+
 def _nearest(k: int, own: bool):
     """Of a block of rows (far: what is farther away is not wanted) and a block of reference vectors: the k nearest of each row.
 
@@ -102,18 +131,21 @@ def _nearest(k: int, own: bool):
             unit = float(np.sqrt((about**2).sum(axis=1).max())) or 1.0
             about /= unit
             double = np.vstack([about.T, (about**2).sum(axis=1)])
-            single = double.astype(np.float32)
+            kinds = [np.float32, np.float64]
+            pieces = [[double[:, c : c + COLUMNS].astype(t, copy=t != np.float64) for c in range(0, len(points), COLUMNS)] for t in kinds]
             for a in range(0, len(x), TILE):
                 y = (x[a : a + TILE] - centre) / unit
                 size = (y**2).sum(axis=1)
                 left = np.hstack([-2 * y, np.ones((len(y), 1))])
                 # in the unit of the widest point: what lies beyond `far`, with room for its own rounding
                 limit = (far[a : a + TILE] / unit * (1 + 1e-9) + 1e-9) ** 2 - size
-                for right in (single, double) if size.max() < 1e12 else (double,):
-                    s = left.astype(right.dtype) @ right
-                    error = 4 * (len(right) + 8) * np.finfo(right.dtype).eps * (1 + 2 * np.sqrt(size) + size)
-                    at = _true(s <= (np.minimum(_kth(s, some), limit) + error).astype(right.dtype)[:, None])
-                    if len(at) <= 64 * len(y):
+                for kind, right in zip(kinds, pieces, strict=True):
+                    if kind == np.float32 and not size.max() < 1e12:
+                        continue
+                    error = 4 * (len(double) + 8) * np.finfo(kind).eps * (1 + 2 * np.sqrt(size) + size)
+                    most = 64 * len(y) if kind == np.float32 else len(y) * len(points)
+                    at = _candidates(left.astype(kind), right, some, limit, error, most)
+                    if at is not None:
                         break
                 row, col = np.divmod(at, len(points))
                 row += a
@@ -134,7 +166,7 @@ def _nearest(k: int, own: bool):
 
 
 #: Vectors that others are placed by, a bounded sample of the reference; rows of a block that meet a block of the reference in one task.
-PIVOTS, ROWS = 64, 16_000
+PIVOTS, ROWS = 64, 32_000
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -160,7 +192,7 @@ def _placed(pivots: np.ndarray):
 
 
 def _blocks_of(pivots: np.ndarray, table: np.ndarray, home: bool):
-    """(id, v, far) to (id, v, far, block): its own block, or all others that may hold a vector at most `far` away.
+    """(id, v, far) to (id, v, far, blocks): its own block, or all others that may hold a vector at most `far` away, if any.
 
     table: cell, least and largest distance to the pivot, a row a block. A vector of a block is at least the larger of
     (distance to the pivot - largest) and (least - distance to the pivot) away."""
@@ -174,20 +206,21 @@ def _blocks_of(pivots: np.ndarray, table: np.ndarray, home: bool):
                 bound = np.maximum(0, np.maximum(d - high, low - d))
                 own = (bound + 1e-9 * d).argmin(axis=1)
                 if home:
-                    row, block = np.arange(len(own)), own
+                    n, block = np.ones(len(own), int), own
                 else:
                     far = np.nan_to_num(part.column(2).to_numpy(zero_copy_only=False), nan=np.inf)
                     may = bound <= (far + 1e-6 * (1 + far))[:, None]
                     may[np.arange(len(own)), own] = False
-                    row, block = np.nonzero(may)
-                at = pa.array(row)
-                yield pa.record_batch([*[part.column(c).take(at) for c in range(3)], pa.array(block.astype(np.int32))], ["id", "v", "far", "block"])
+                    n, block = may.sum(axis=1), np.nonzero(may)[1]
+                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(block.astype(np.int32)))
+                yield pa.record_batch([*[part.column(c) for c in range(3)], blocks], ["id", "v", "far", "blocks"]).filter(pa.array(n > 0))
 
     return run
 
 
 def _met(rows: DataFrame, points: DataFrame, k: int, own: bool) -> DataFrame:
-    """(id, nearest, distance) of rows (id, v, far, block) among the points of their block. Many rows of a block are dealt to several tasks."""
+    """(id, nearest, distance) of rows (id, v, far, blocks) among the points of their blocks. Many rows of a block are dealt to several tasks."""
+    rows = rows.select("id", "v", "far", F.explode("blocks").alias("block"))
     chunks = rows.groupBy("block").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("chunks"))  # a row a block
     dealt = rows.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     copies = points.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -234,7 +267,7 @@ def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: st
     names = spark.createDataFrame([(i, r["cell"], r["ring"], r["sub"]) for i, r in enumerate(made)], "block int, cell int, ring int, sub int")
     points = written(dealt.join(F.broadcast(names), ["cell", "ring", "sub"]).select("id", "v", "block"), "points")
 
-    rows, fields = pick(df), f"id long, v {kind}, far double, block int"
+    rows, fields = pick(df), f"id long, v {kind}, far double, blocks array<int>"
     first = written(_met(written(rows.withColumn("far", F.lit(None).cast("double")).mapInArrow(_blocks_of(pivots, table, True), fields), "rows"), points, k, leave_self), "near")
     kth = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("far"))
     known = rows.join(kth.hint("merge"), "id", "left").select("id", "v", "far")
@@ -242,7 +275,7 @@ def nearest_pruned(df: DataFrame, reference: DataFrame, id_col: str, vec_col: st
     both = first.unionByName(_met(more, points, k, leave_self))
     best = F.sort_array(F.collect_list(F.struct("distance", "nearest")))  # k for each block met
     total = rows.count()
-    counts = {"pairs": total * len(made), "met": total + more.count()}
+    counts = {"pairs": total * len(made), "met": total + (more.agg(F.sum(F.size("blocks"))).first()[0] or 0)}
     return both.groupBy("id").agg(F.slice(best, 1, k).alias("nearest")), counts
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,29 @@ def test_vectors_that_are_not_finite_hide_no_other(spark):
     df = spark.createDataFrame(good + bad, "id long, v array<double>").repartition(3)
     got = {r["id"]: [p["nearest"] for p in r["nearest"]] for r in joins.nearest(df.where("id < 1000"), df, "id", "v", 3, True, 20).collect()}
     assert got == {i: [j for _, j in near] for i, near in brute(good, good, 3, True).items()}
+
+
+def test_a_row_is_written_once_whatever_number_of_blocks_it_may_need():
+    pivots = np.eye(4) * 10
+    table = np.asarray([(c, 0.0, 1.0) for c in range(4)])
+    rows = pa.record_batch([pa.array([1, 2, 3]), pa.array([[10.0, 0, 0, 0], [0.0, 9, 0, 0], [0.0, 0, 10, 0]]), pa.array([None, 0.5, 20.0])], ["id", "v", "far"])
+    got = [r for b in joins._blocks_of(pivots, table, False)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["id"], r["blocks"]) for r in got] == [(1, [1, 2, 3]), (3, [0, 1, 3])]
+    home = [r for b in joins._blocks_of(pivots, table, True)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["id"], r["blocks"]) for r in home] == [(1, [0]), (2, [1]), (3, [2])]
+
+
+@pytest.mark.parametrize("k", [1, 2, 6])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_candidates_of_pieces_are_those_of_the_whole_matrix(k, kind):
+    rng = np.random.default_rng(7)
+    left, right = rng.normal(size=(50, 9)).astype(kind), rng.normal(size=(9, 1003)).astype(kind)
+    pieces, s = [right[:, c : c + 100] for c in range(0, 1003, 100)], left @ right
+    limit = np.where(np.arange(50) % 2, np.inf, np.sort(s, axis=1)[:, 0] - 1.0)
+    at = joins._candidates(left, pieces, k, limit, np.full(50, 1e-3), 50 * 1003)
+    got = np.zeros(s.size, bool)
+    got[at] = True
+    # all of the k least within the limit, and few others
+    assert got.reshape(s.shape)[s <= np.minimum(np.sort(s, axis=1)[:, k - 1], limit)[:, None]].all()
+    assert not got.reshape(s.shape)[::2].any() and len(at) == len(set(at)) <= 25 * 4 * k
+    assert joins._candidates(left, pieces, k, np.full(50, np.inf), np.full(50, 1e3), 1000) is None
