@@ -17,7 +17,7 @@ tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 import public_tokenizers as P  # noqa: E402
 
-from flowspark.llm import coder, decontaminate, fingerprint, jaccard, pieces, pii, quality, shards, sql, token_counts, toxicity, words  # noqa: E402
+from flowspark.llm import chunks, coder, decontaminate, fingerprint, jaccard, pieces, pii, quality, shards, sql, token_counts, toxicity, words  # noqa: E402
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, id string"
@@ -197,6 +197,39 @@ def test_damage_of_any_part_of_a_file_is_refused(spark, tmp_path):
         coder.read_documents(spark, f"{path}.less")
 
 
+def test_frequent_pairs_are_coded_as_one_symbol():
+    """Fewer symbols than ids are coded; runs, where pairs overlap, and pairs that share a hash come back whole."""
+    rng = np.random.default_rng(3)
+    cases = [rng.zipf(1.4, 60_000) % 3000, np.full(9001, 5), np.tile([1, 2, 1], 5000), rng.integers(0, 60_000, 20_000), np.zeros(0, int), np.asarray([7]), np.repeat([3, 4, 3], [100, 1, 101])]
+    for ids in (np.asarray(c, np.int32) for c in cases):
+        pairs, symbols = coder.Pairs.joined(ids)
+        back = coder.Pairs.unpacked(pairs.packed())
+        assert (back.ids(symbols) == ids).all() and back.sizes(symbols).sum() == len(ids)
+    assert len(coder.Pairs.joined(cases[1].astype(np.int32))[1]) == 4501
+    rows = pa.RecordBatch.from_pydict({"part": pa.array([0] * 40, pa.int32()), "id": pa.array(range(40), pa.int64()), "text": ["stone lamp red winter x1 " * 300] * 40})
+    made = [r for b in coder._written_blocks(BPE, 2)(iter([rows])) for r in b.to_pylist()]
+    assert len(made) > 3 and sum(r["n_symbols"] for r in made) < 0.6 * sum(r["n_ids"] for r in made)
+    assert max(r["n_ids"] for r in made) <= coder.BLOCK_IDS
+
+
+def test_chunks_of_the_coder_are_those_of_the_library_and_known_to_the_next_task():
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        cls = np.append(rng.choice(11, int(rng.integers(0, 900)), p=rng.dirichlet(np.ones(11) / 2)), token_counts.END).astype(np.uint8)
+        assert (chunks.starts(cls) == (token_counts.chunk_starts(cls) & (cls != token_counts.END))).all()
+    library = tokenizers.Tokenizer.from_file(BPE)
+    alphabet = ["'s", "'ll", "'", " ", "  ", "\n", "\u00a0", "\0", "a", "ve", "\u00e9", "\u4e2d", "\U0001f600", "7", "\u0664", "--", "<|endoftext|>", " zq"]
+    texts = ["", *("".join(rng.choice(alphabet, int(rng.integers(1, 40)))) for _ in range(400))]
+    table = chunks.chunk_table(BPE)
+    for _ in range(2):
+        held = table.held
+        assert [x.tolist() for x in table.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert table.held == held and chunks.chunk_table(BPE) is table
+    small = chunks.ChunkTable(BPE)
+    words = [f"{a}{b}{c} w{a}x{b} {c}" for a in range(60) for b in range(60) for c in range(12)]  # the table grows
+    assert [x.tolist() for x in small.encode(words)] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 def test_sentencepiece_equals_library(docs, texts, edge, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
