@@ -13,9 +13,10 @@ import functools
 
 import numpy as np
 
-from .token_counts import APOSTROPHE, END, NUMBER, ONE, RV, SPACE, TABLE, WHITE, ChunkIds, E, L, _classes
+from .token_counts import APOSTROPHE, END, NUMBER, ONE, RV, SPACE, WHITE, ChunkIds, E, L, _classes
 from .words import _VALUE_BYTES, mix, powers
 
+TABLE = 1_000_000
 #: letters 0, numbers 1, white 2, other marks 3, ends 4
 _KIND = np.full(END + 1, 3, np.uint8)
 _KIND[: L + 1], _KIND[NUMBER], _KIND[[SPACE, WHITE]], _KIND[END] = 0, 1, 2, 4

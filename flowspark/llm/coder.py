@@ -43,7 +43,7 @@ from .shared import column, shuffle_partitions, small_batches, table_path
 from .words import sliced
 
 #: A block holds so many ids at most: half as many symbols, each an id or two.
-BLOCK_IDS, SLOTS = 4096, 2048
+BLOCK_IDS, SLOTS = 1024, 1024
 BLOCK_SYMBOLS = BLOCK_IDS // 2
 #: Ids that one call codes at a time, in blocks side by side.
 FRAME_IDS = 3_000_000
@@ -51,7 +51,7 @@ FRAME_IDS = 3_000_000
 ORDER0 = 20
 #: Weights move every SEGMENT symbols; of what a state has seen, KEEP stays, FIRMNESS uses of the first weights are added at the
 #: start and a few later on.
-SEGMENT, KEEP, FIRMNESS = 128, 0.85, 8.0
+SEGMENT, KEEP, FIRMNESS = 64, 0.85, 8.0
 #: A pair becomes a symbol where it occurs so often in a frame; pairs are counted by PAIR_BITS of a hash.
 PAIR_LEAST, PAIR_BITS = 24, 20
 FIELDS = "part int, frame int, block int, n_blocks int, first long, n_ids int, n_docs int, crc long, n_symbols int, doc_ids binary, no_id binary, lengths binary, pairs binary, prior binary, payload binary, row_crc long"
@@ -59,15 +59,16 @@ _COUNT = np.asarray([int(2 ** (k / 4)) for k in range(248)], np.int64)
 _LEAST = float(1 << 32)
 
 
+_NAMES, _KINDS = zip(*map(str.split, FIELDS.split(", ")))
+_NUMBERS = [n for n, k in zip(_NAMES[:-1], _KINDS) if k != "binary"]
+_BYTES = [n for n, k in zip(_NAMES, _KINDS) if k == "binary"]
+
+
 def row_crc(row: dict) -> int:
-    """CRC-32 of all fields of a row but itself: numbers as they print, then each field of bytes with its length."""
-    out = 0
-    for field in FIELDS.split(", ")[:-1]:
-        name, kind = field.split()
-        value = row[name]
-        raw = (b"-" if value is None else bytes(value)) if kind == "binary" else str(value).encode()
-        out = zlib.crc32(raw, zlib.crc32(f"{name}:{None if value is None else len(raw)};".encode(), out))
-    return out
+    """CRC-32 of all fields of a row but itself: numbers and lengths of fields of bytes as they print, then the bytes."""
+    raw = [row[n] for n in _BYTES]
+    head = ";".join([*(str(row[n]) for n in _NUMBERS), *("-" if x is None else str(len(x)) for x in raw)])
+    return zlib.crc32(b";".join([head.encode(), *(x for x in raw if x)]))
 
 
 class Prior:
@@ -115,6 +116,20 @@ class Prior:
         return cls(counts)
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a.astype(np.uint32)
+    h *= np.uint32(40503)
+    h += b.astype(np.uint32)
+    h *= np.uint32(0x9E3779B1)
+    h >>= np.uint32(32 - PAIR_BITS)
+    return h
+
+
+def _hashed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first ids, second ids, hashes) of all pairs of neighbours."""
+    return ids[:-1], ids[1:], _pair_hash(ids[:-1], ids[1:]).astype(np.int64)
+
+
 class Pairs:
     """Frequent pairs of neighbouring ids: pair k stands for the symbol first + k."""
 
@@ -129,27 +144,27 @@ class Pairs:
         least = max(PAIR_LEAST, len(ids) >> ORDER0 - 3)  # a frame of one huge text has no more pairs than others
         if len(ids) < 2 * least or first > 1 << ORDER0 - 2 and np.count_nonzero(np.bincount(ids)) > 1 << ORDER0 - 2:
             return none
-        a, b = ids[:-1], ids[1:]
-        h = a.astype(np.uint32)
-        h *= np.uint32(40503)
-        h += b.astype(np.uint32)
-        h *= np.uint32(0x9E3779B1)
-        h = (h >> np.uint32(32 - PAIR_BITS)).astype(np.int64)
-        # each value of the hash stands for one of its pairs, as long as it is frequent
-        left, right = np.zeros(1 << PAIR_BITS, np.int32), np.zeros(1 << PAIR_BITS, np.int32)
-        left[h], right[h] = a, b
-        left[np.bincount(h, minlength=1 << PAIR_BITS) < least] = -1
-        found = left.take(h) == a
-        found &= right.take(h) == b
+        # each value of the hash stands for one of its pairs, as long as it is frequent; half a million ids at a time
+        cuts = range(0, len(ids) - 1, 1 << 19)
+        left, right, counts = (np.zeros(1 << PAIR_BITS, kind) for kind in (np.int32, np.int32, np.int64))
+        for k in cuts:
+            a, b, h = _hashed(ids[k : k + (1 << 19) + 1])
+            left[h], right[h] = a, b
+            counts += np.bincount(h, minlength=1 << PAIR_BITS)
+        left[counts < least] = -1
+        found = np.zeros(len(ids), bool)
+        for k in cuts:
+            a, b, h = _hashed(ids[k : k + (1 << 19) + 1])
+            found[k : k + len(h)] = (left.take(h) == a) & (right.take(h) == b)
         at = np.flatnonzero(found)
         if not len(at):
             return none
         # of pairs that overlap in a run, every other one
-        place = np.arange(len(at))
+        place = np.arange(len(at), dtype=np.int32)
         begin = np.ones(len(at), bool)
         np.greater(at[1:] - at[:-1], 1, out=begin[1:])
-        at = at[(place - np.maximum.accumulate(np.where(begin, place, 0)) & 1) == 0]
-        h = h.take(at)
+        at = at[(place - np.maximum.accumulate(np.where(begin, place, np.int32(0))) & 1) == 0]
+        h = _pair_hash(ids[at], ids[at + 1])
         used = np.zeros(1 << PAIR_BITS, bool)
         used[h] = True
         some = np.flatnonzero(used)
@@ -472,15 +487,14 @@ def _written_blocks(vocabulary: str, end: int):
             ends = np.cumsum([int(pairs.sizes(x).sum()) for x in pieces]).tolist()
             made = encode_blocks(pieces, Prior.unpacked(packed))
             head = (np.asarray([x or 0 for x in names], "<i8").tobytes(), np.flatnonzero([x is None for x in names]).astype("<u4").tobytes(), np.asarray(list(map(len, held)), "<i8").tobytes(), pairs.packed(), packed)
-            names_of = [f.split()[0] for f in FIELDS.split(", ")]
             rows = []
             for k, (x, payload, a, b) in enumerate(zip(pieces, made, [0, *ends], ends)):
                 crc = zlib.crc32(ids[a:b].astype("<u4").tobytes())
-                row = dict(zip(names_of, (part, frame, k, len(pieces), first + a, b - a, 0 if k else len(names), crc, len(x), *((None,) * 5 if k else head), payload), strict=False))
+                row = dict(zip(_NAMES, (part, frame, k, len(pieces), first + a, b - a, 0 if k else len(names), crc, len(x), *((None,) * 5 if k else head), payload), strict=False))
                 rows.append([*row.values(), row_crc(row)])
             held, names, frame, first, total = [], [], frame + 1, first + len(ids), 0
             kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-            return pa.record_batch([pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(FIELDS.split(", "))], names_of)
+            return pa.record_batch([pa.array(column, kinds[kind]) for column, kind in zip(zip(*rows), _KINDS)], list(_NAMES))
 
         for rows in sliced(batches, 2):
             for p, name, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), table.encode(rows.column(2).fill_null("").to_pylist())):
