@@ -11,7 +11,7 @@ carries are settled at the end.
 
 Symbols are coded in blocks of BLOCK_SYMBOLS. Every block starts anew: empty orders 1 and 2, first
 weights, and the order-0 frequencies of its frame; it carries the number of its symbols and ids and two CRC-32, of its
-ids and of the whole row. A frame is a few hundred blocks of whole documents; its first row holds the documents' ids and
+ids and of the whole row. A frame is a few thousand blocks of whole documents; its first row holds the documents' ids and
 lengths, the pairs, and the frequencies of symbols in it, in quarter powers of two, so that a block is read with its frame's first.
 
 A reader refuses what is not whole: a changed byte of a row (its checksum), blocks of a frame that are missing,
