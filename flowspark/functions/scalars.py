@@ -79,8 +79,12 @@ def lenient_double(c: Column) -> Column:
 
 def lenient_long(c: Column) -> Column:
     """Numbers truncated to whole ones, clamped to 64 bits; empty, unreadable and NaN as 0."""
-    d = F.when(c != "", c.try_cast("double"))
-    d = F.when(d.isNull() | F.isnan(d), F.lit(0.0)).otherwise(d)
+    return whole_number(lenient_double(c))
+
+
+def whole_number(d: Column) -> Column:
+    """A double truncated to a whole number, clamped to 64 bits; NaN as 0. It is used several times: better a column than an expression."""
+    d = F.when(F.isnan(d), F.lit(0.0)).otherwise(d)
     top = float(2**63)
     return F.when(d >= top, F.lit(2**63 - 1)).when(d <= -top, F.lit(-(2**63))).otherwise(d.try_cast("long"))
 

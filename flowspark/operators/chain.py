@@ -27,7 +27,7 @@ from ..spec import FUSION_MODES, RETRAIN_ENTROPY, RETRAIN_FAKES, RETRAIN_L2, RET
 from .fusion import PARAMETERS, alarms_of_scores, apply_modes, calibrate, fusion_modes
 from .profile import loss_entropy
 from .sampling import pool_sizes, three_pools
-from .scoring import Autoencoder, Dense, Whitening, dae_forward, fit_whitening, lists, matrix, mean_square, mlp_forward, phi_rows, residual
+from .scoring import Autoencoder, Dense, Whitening, dae_residuals, fit_whitening, is_packed, lists, matrix, mlp_forward, packed_rows, phi_rows, vector
 from .training import Trajectory, autoencoder_of, block_fakes, deal, fit_autoencoder, fit_pseudo_classifier, latent_scaler, packed, unpacked
 
 
@@ -136,7 +136,7 @@ def mined_fakes(latent: int, fakes: tuple[float, float, float], models: list[Den
 
 
 def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, key: str = "id", x_col: str = "x") -> Retrained:
-    """rows: (key, x), taken as benign; key is unique. folder: where steps are written and found again."""
+    """rows: (key, x), taken as benign; key is unique, x an array of floats or a packed row. folder: where steps are written and found again."""
     steps = Steps(spark, folder)
     latent = recipe.widths[-1]
     how = {"batch": recipe.batch, "l2": recipe.l2}
@@ -145,7 +145,7 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
         n = rows.count()
         check_size(n, recipe)
         select, monitor = recipe.pools or pool_sizes(n)
-        steps.write(three_pools(rows.select(F.col(key).alias("id"), F.col(x_col).cast("array<float>").alias("x")), "id", f"pools {recipe.seed}", select, monitor), "pools")
+        steps.write(three_pools(rows.select(F.col(key).alias("id"), vector(rows, x_col).alias("x")), "id", f"pools {recipe.seed}", select, monitor), "pools")
         return {"n": n, "select": select, "monitor": monitor, "gradient": n - select - monitor}
 
     sizes = steps.run("pools", pools)
@@ -155,12 +155,13 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
     def first_stage() -> dict:
         gradient = of(pooled, "gradient")
         share = min(1.0, recipe.eval_rows / max(1, sizes["gradient"]))
-        watched = gradient.where(F.pmod(F.xxhash64("id", F.lit("watched")), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-        place = recipe.n_linear + 1
+        # written once: every epoch reads them again
+        steps.write(gradient.where(F.pmod(F.xxhash64("id", F.lit("watched")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))), "watched")
+        watched = steps.read("watched")
 
         def watch(ae: Autoencoder) -> float:
-            got = dae_forward(watched, ae, "id", keep=("x",)).select(mean_square(F.col("x"), F.col("yhat"), place, recipe.widths[0] - recipe.n_linear).alias("s"))
-            return got.agg(loss_entropy(F.col("s")) if recipe.measure == "entropy" else F.avg("s")).first()[0]
+            s = F.col("s_dae")
+            return dae_residuals(watched, ae, "id").agg(loss_entropy(s) if recipe.measure == "entropy" else F.avg(s)).first()[0]
 
         ae, curve = fit_autoencoder(gradient, "id", "x", recipe.widths, recipe.n_linear, recipe.epochs, seed=recipe.seed, measure=watch, patience=recipe.entropy[0], drop=recipe.entropy[1], shards=recipe.shards, noise=recipe.noise, lr=recipe.lr, **how)
         steps.keep("first_stage", [*ae.encoder.layers, *ae.decoder.layers])
@@ -170,8 +171,7 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
     ae = autoencoder_of(steps.kept("first_stage"), len(recipe.widths) - 1, recipe.n_linear)
 
     def moments() -> dict:
-        seen = dae_forward(of(pooled, "select"), ae, "id", keep=("x",)).select("z", residual(F.col("yhat"), F.col("x")).alias("r"))
-        steps.write(seen, "residuals")
+        steps.write(dae_residuals(of(pooled, "select"), ae, "id").select("z", "r"), "residuals")
         seen = steps.read("residuals")
         wh = fit_whitening(seen, "r")
         mean, std = latent_scaler(seen, "z")
@@ -192,8 +192,13 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
     steps.run("monitor", monitor)
     watched = steps.read("monitor")
 
+    shards: list[DataFrame] = []
+
     def dealt() -> DataFrame:
-        return deal(of(phi, "gradient").select("id", F.col("phi").alias("x"), F.array(F.col("s_dae")).alias("y")), "id", recipe.shards)
+        """Rows of the second stage in the order of training, dealt once for its steps."""
+        if not shards:
+            shards.append(deal(of(phi, "gradient").select("id", F.col("phi").alias("x"), F.array(F.col("s_dae")).alias("y")), "id", recipe.shards))
+        return shards[0]
 
     start = [latent + recipe.widths[0], *recipe.hidden]
 
@@ -211,11 +216,12 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
     def hardening() -> dict:
         models = [Dense(steps.kept("second_stage"))]
         mode = FUSION_MODES["A"]
-        s = scores(models[0])
+        steps.write(scores(models[0]), "first_scores")  # read by every step of the calibration and by the first round
+        s = steps.read("first_scores")
         p = calibrate(s.where("pool = 'train'"), s.where("pool = 'select'"), mode[0], mode[1], mode[2], mode[3]).first().asDict()
         learn, gains, mined = dealt(), [], 0
         for k in range(recipe.rounds):
-            flagged = scores(models[-1]).where("pool = 'train'")
+            flagged = (scores(models[-1]) if k else s).where("pool = 'train'")
             wrong = apply_modes(flagged, spark.createDataFrame([tuple(p.values())], ", ".join(f"{c} double" for c in PARAMETERS))).where("alarm").count()
             gains.append(1 - wrong / max(1, sizes["gradient"]))
             if k and gains[-1] - gains[-2] < recipe.least_gain:
@@ -246,6 +252,7 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
 def fixed_fakes(rows: DataFrame, latent: int, fakes: tuple[float, float, float], seed: int) -> DataFrame:
     """(x, y): dealt rows and a pseudo-anomaly of each, made once by the same rule as in training."""
     make = block_fakes(latent, *fakes)
+    column, kind = (packed_rows, "binary") if is_packed(rows, "x") else (lists, "array<float>")
 
     def run(batches):
         shard, block = None, 0
@@ -255,9 +262,9 @@ def fixed_fakes(rows: DataFrame, latent: int, fakes: tuple[float, float, float],
                 shard, block = (k, 0) if k != shard else (shard, block + 1)
                 x = matrix(b.column(1))[shards == k]
                 both, truth = make(x, None, np.random.default_rng([seed, int(k), block]))
-                yield pa.record_batch([lists(both), pa.array(truth[:, 0].astype(np.float32))], ["x", "y"])
+                yield pa.record_batch([column(both), pa.array(truth[:, 0].astype(np.float32))], ["x", "y"])
 
-    return rows.select("shard", "x").mapInArrow(run, "x array<float>, y float")
+    return rows.select("shard", "x").mapInArrow(run, f"x {kind}, y float")
 
 
 def retrain_seeds(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, seeds: list[int], **columns: str) -> tuple[int, Retrained]:

@@ -6,6 +6,9 @@ an order are needed, they come from prefix sums over ranges of the hash.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,10 +91,40 @@ def pool_sizes(n: int) -> tuple[int, int]:
 
 def three_pools(df: DataFrame, key: str, salt: str, select: int, monitor: int) -> DataFrame:
     """pool: select for the first rows in hash order, then monitor, then gradient."""
-    (at,) = apart([*df.columns, "pool"], "place")
-    got = places(df, key, salt, place=at)
-    pool = F.when(F.col(at) <= select, "select").when(F.col(at) <= select + monitor, "monitor").otherwise("gradient")
-    return got.select(*df.columns, pool.alias("pool"))
+    cuts = zip(("select", "monitor"), first_places(df, key, salt, [select, select + monitor]), strict=True)
+    pool = F.lit("gradient")
+    for name, within in reversed(list(cuts)):
+        pool = F.when(within, name).otherwise(pool)
+    return df.select(*df.columns, pool.alias("pool"))
+
+
+def first_places(df: DataFrame, key: str, salt: str, most: list[int]) -> list[Column]:
+    """For each number whether a row is among the first so many in the order of (hash of key, key): no row is moved.
+
+    Rows are counted by the upper half of the hash, at most 65,536 counts. Those that share the upper half with the row at a place are put in
+    order, and that row is what others are compared with. The key must be unique.
+    """
+    part, h = apart([key], "part", "hash")
+    hashed = df.select(key, hash32(F.col(key), salt).alias(h)).withColumn(part, F.shiftright(h, 16))
+    counts = sorted((r[0], r[1]) for r in hashed.where(F.col(part).isNotNull()).groupBy(part).agg(F.count("*")).collect())
+    ends = list(accumulate(n for _, n in counts))
+    wanted = {m: bisect_left(ends, m) for m in most if 0 < m <= (ends[-1] if ends else 0)}
+    at = {m: (counts[i][0], m - ends[i] + counts[i][1]) for m, i in wanted.items()}
+    found: dict[tuple[int, int], tuple] = {}
+    if at:
+        (place,) = apart([key, part, h], "place")
+        inside = hashed.where(F.col(part).isin(*{p for p, _ in at.values()})).withColumn(place, F.row_number().over(W.partitionBy(part).orderBy(h, key)))
+        rows = inside.where(F.concat_ws(" ", part, place).isin(*[f"{p} {k}" for p, k in at.values()])).select(part, place, h, key).collect()  # a row a number
+        found = {(r[0], r[1]): (r[2], r[3]) for r in rows}
+    own = hash32(F.col(key), salt)
+
+    def within(m: int) -> Column:
+        if m not in at:
+            return F.lit(m > 0)
+        last, k = found[at[m]]
+        return (own < last) | ((own == last) & (F.col(key) <= F.lit(k)))
+
+    return [within(m) for m in most]
 
 
 def replicate(df: DataFrame, copies: int) -> DataFrame:

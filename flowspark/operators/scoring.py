@@ -103,7 +103,12 @@ class Whitening:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An array column as rows of a float matrix."""
+    """A column of arrays, or of packed rows, as rows of a float matrix."""
+    if pa.types.is_binary(column.type):
+        if not len(column):
+            return np.zeros((0, 0), np.float32)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(column), -1)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float32) if len(column) else np.zeros((0, 0), np.float32)
 
@@ -113,6 +118,34 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(x.ravel()))
 
 
+def packed_rows(x: np.ndarray) -> pa.Array:
+    """The inverse of matrix for packed rows: the floats of each row as bytes, which Spark moves as one value."""
+    x = np.ascontiguousarray(x, np.float32)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def is_packed(df: DataFrame, x_col: str) -> bool:
+    return dict(df.dtypes)[x_col] == "binary"
+
+
+def vector(df: DataFrame, x_col: str) -> Column:
+    """A column of vectors as Python tasks take it: packed as it is, else an array of floats."""
+    return F.col(x_col) if is_packed(df, x_col) else F.col(x_col).cast("array<float>")
+
+
+def pack(df: DataFrame, x_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, x_col): arrays of floats of one length, none missing, as packed rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], packed_rows(matrix(b.column(0)))], names=[*keep, x_col])
+
+    kinds = dict(df.dtypes)
+    return df.select(vector(df, x_col).alias("_x"), *keep).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{x_col}` binary"]))
+
+
 def _over(df: DataFrame, id_col: str, x_col: str, make, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep, fields) where make gives the Arrow columns for a matrix; keep passes through, so that nothing is joined back."""
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
@@ -122,7 +155,7 @@ def _over(df: DataFrame, id_col: str, x_col: str, make, fields: str, keep: tuple
             if len(batch):
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *make(matrix(batch.column(0)))], names=[*batch.schema.names[1:], *names])
 
-    rows = df.select(F.col(x_col).cast("array<float>").alias("_x"), id_col, *keep)
+    rows = df.select(vector(df, x_col).alias("_x"), id_col, *keep)
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (id_col, *keep)], fields]))
 
@@ -132,6 +165,17 @@ def dae_forward(df: DataFrame, ae: Autoencoder, id_col: str, x_col: str = "x", k
     return _over(df, id_col, x_col, lambda x: [lists(a) for a in ae.forward(x)], "z array<float>, yhat array<float>", keep)
 
 
+def dae_residuals(df: DataFrame, ae: Autoencoder, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, z, r, s_dae): latent, packed residual and the first score, mean squares of the places through the sigmoid."""
+
+    def make(x: np.ndarray) -> list[pa.Array]:
+        z, y = ae.forward(x)
+        r = y - x
+        return [lists(z), packed_rows(r), pa.array((r[:, ae.n_linear :].astype(np.float64) ** 2).mean(axis=1))]
+
+    return _over(df, id_col, x_col, make, "z array<float>, r binary, s_dae double", keep)
+
+
 def mlp_forward(df: DataFrame, mlp: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep, logit)."""
     return _over(df, id_col, x_col, lambda x: [pa.array(mlp.forward(x)[:, 0].astype(np.float32))], "logit float", keep)
@@ -165,16 +209,16 @@ def score_flows(
 
 
 def phi_rows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep, phi, s_dae): what the second stage learns from, the scaled latent and the whitened residual, and the first score."""
+    """(id, keep, phi, s_dae): what the second stage learns from, the scaled latent and the whitened residual in one packed row, and the first score."""
     std = np.maximum(z_std, 1e-8)
 
     def make(x: np.ndarray) -> list[pa.Array]:
         z, y = ae.forward(x)
         r = y - x
         s = (r[:, ae.n_linear :] ** 2).mean(axis=1)
-        return [lists(np.concatenate([(z - z_mean) / std, wh.apply(r.astype(np.float64))], axis=1)), pa.array(s.astype(np.float32))]
+        return [packed_rows(np.concatenate([(z - z_mean) / std, wh.apply(r.astype(np.float64))], axis=1)), pa.array(s.astype(np.float32))]
 
-    return _over(df, id_col, x_col, make, "phi array<float>, s_dae float", keep)
+    return _over(df, id_col, x_col, make, "phi binary, s_dae float", keep)
 
 
 def fold_affine(clf: Dense, z_mean: np.ndarray, z_std: np.ndarray, wh: Whitening) -> Dense:
@@ -200,7 +244,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def moments(df: DataFrame, x_col: str) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, covariance with divisor n): partial sums per task, width x width rows to the driver."""
-    got = df.select(F.col(x_col).cast("array<float>")).mapInArrow(_moments, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    got = df.select(vector(df, x_col)).mapInArrow(_moments, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(len(got))
     for r in got:
         flat[r["k"]] = r["v"]
@@ -213,9 +257,12 @@ def moments(df: DataFrame, x_col: str) -> tuple[int, np.ndarray, np.ndarray]:
 def fit_whitening(df: DataFrame, r_col: str) -> Whitening:
     """Two passes over benign residuals: mean and covariance, then the fourth moment that the shrinkage needs."""
     n, mean, cov = moments(df, r_col)
-    mu = F.array(*map(F.lit, map(float, mean)))
-    q = squared_length(F.zip_with(F.col(r_col).cast("array<double>"), mu, lambda a, b: a - b))
-    fourth = df.agg(F.avg(q * q)).first()[0]
+
+    def fourths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = [(((matrix(b.column(0)) - mean) ** 2).sum(axis=1) ** 2).sum() for b in batches if len(b)]
+        yield pa.record_batch([pa.array([float(sum(q))])], ["v"])
+
+    fourth = df.select(vector(df, r_col)).mapInArrow(fourths, "v double").agg(F.sum("v")).first()[0] / n
     p = len(mean)
     target = np.trace(cov) / p
     delta = ((cov - target * np.eye(p)) ** 2).sum() / p

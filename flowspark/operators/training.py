@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .scoring import Autoencoder, Dense, matrix, sigmoid
+from .scoring import Autoencoder, Dense, matrix, sigmoid, vector
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
 #: A shard is one task's work in an epoch; its rows are streamed a block at a time, never held.
@@ -127,10 +127,13 @@ def shaped(weights: np.ndarray, like: Weights) -> Weights:
 
 
 def deal(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
-    """df (x, y, and cls if models leave classes out) written in the order of training: shard by shard, by a hash of the key."""
+    """df (x, y, and cls if models leave classes out) written in the order of training: shard by shard, by a hash of the key.
+
+    x and y are arrays or packed rows, as df has them; without y a row is to give itself."""
     shards = shards or max(1, -(-df.count() // SHARD_ROWS))
     cls = F.col("cls").cast("string") if "cls" in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col("x").cast("array<float>"), F.col("y").cast("array<float>"), cls.alias("cls"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
+    y = vector(df, "y") if "y" in df.columns else F.lit(None).cast("binary")
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), vector(df, "x").alias("x"), y.alias("y"), cls.alias("cls"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
     return written(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "x", "y", "cls"), "shards")  # by its number: hashed numbers meet in one task
 
 
@@ -162,7 +165,8 @@ def _improve(jobs: list[Job], epoch: int, loss, lr: float, batch: int, noise: fl
                 yield pa.record_batch([pa.array([j] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([shard] * k, pa.int32()), pa.array([model.rows] * k, pa.int64()), pa.array([model.total] * k), pa.array(cut, pa.binary())], ["job", "piece", "shard", "n", "loss", "w"])
 
         for b in batches:
-            shards, x, y, cls = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2)), np.asarray(b.column(3).to_pylist(), object)
+            shards, x, cls = b.column(0).to_numpy(), matrix(b.column(1)), np.asarray(b.column(3).to_pylist(), object)
+            y = x if b.column(2).null_count == len(b) else matrix(b.column(2))
             edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
             for i, k in zip(edges[:-1], edges[1:], strict=True):
                 if i == k:
@@ -236,7 +240,7 @@ def train_jobs(
 
 
 def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, seed: int = 0, on_epoch: Callable[[int, Weights, float], bool] | None = None, **how) -> tuple[Weights, list[float]]:
-    """Weights and mean loss per epoch of one model. df: columns x and y, arrays of floats. on_epoch(epoch, weights, loss)
+    """Weights and mean loss per epoch of one model. df: columns x and y as deal takes them. on_epoch(epoch, weights, loss)
     may stop the training by returning True."""
     watch = (lambda e, got: {"it"} if on_epoch(e, *got["it"]) else None) if on_epoch else None
     return train_jobs(deal(df, key, shards), {"it": Job(layers, seed)}, loss, epochs, on_epoch=watch, **how)["it"]
@@ -302,7 +306,7 @@ def bce_sums(df: DataFrame, sets: dict[int, Weights], x_col: str = "x", y_col: s
         k = [i for i in (0, 1) if n[i]]
         yield pa.record_batch([pa.array(epochs * len(k), pa.int32()), pa.array(np.repeat(k, len(epochs)), pa.int32()), pa.array(total[k].ravel()), pa.array(np.repeat(n[k], len(epochs)))], ["epoch", "y", "total", "n"])
 
-    got = df.select(F.col(x_col).cast("array<float>").alias("x"), F.col(y_col).cast("float").alias("y")).mapInArrow(run, "epoch int, y int, total double, n long")
+    got = df.select(vector(df, x_col).alias("x"), F.col(y_col).cast("float").alias("y")).mapInArrow(run, "epoch int, y int, total double, n long")
     return got.groupBy("epoch", "y").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -347,7 +351,7 @@ def fit_autoencoder(
     """
     # one stack: the latent is rectified like any inner layer
     layers, k = mirrored(widths, seed)
-    rows = df.select(key, F.col(x_col).alias("x"), F.col(x_col).alias("y"))
+    rows = df.select(key, F.col(x_col).alias("x"))
     if measure is None:
         layers, history = train(rows, layers, mixed_loss(n_linear), key, epochs, seed=seed, noise=noise, **how)
         return autoencoder_of(layers, k, n_linear), history
@@ -434,7 +438,7 @@ def logits_of_all(df: DataFrame, models: list[Dense], x_col: str, keep: list[str
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, len(models)), pa.int32()), pa.array(v.ravel()))
             yield pa.record_batch([*b.columns[1:], lists], [*keep, "logits"])
 
-    return df.select(F.col(x_col).cast("array<float>").alias("x"), *keep).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "logits array<double>"]))
+    return df.select(vector(df, x_col).alias("x"), *keep).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "logits array<double>"]))
 
 
 def fit_classifier(benign: DataFrame, fakes: DataFrame, key: str, x_col: str, widths: list[int], epochs: int = 5, seed: int = 0, **how) -> tuple[Dense, list[float]]:

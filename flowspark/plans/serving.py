@@ -13,10 +13,10 @@ from ..functions.scalars import mcc_from_counts
 from ..operators import chain
 from ..operators.encode import flow_encode
 from ..operators.fusion import alarms_of_scores, apply_modes
-from ..operators.scoring import Autoencoder, Dense, Whitening, score_flows
+from ..operators.scoring import Autoencoder, Dense, Whitening, pack, score_flows
 from ..sources import flow_files as S
 from ..sources.model_files import Model, read_model, write_model
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..spec import CONTINUOUS, FAMILY, FEATURES, RAW_COLUMNS
 from ..streaming import live
 from .files import _raw
@@ -159,6 +159,13 @@ def serve_flow_stream(spark: SparkSession, d: str) -> DataFrame:
     return live.read_alerts(spark, sink).groupBy("mode", "branch", "row_status").agg(F.count("*").alias("n"), F.count_if(F.size("why") > 0).alias("explained"))
 
 
+def distinct_vectors(x: DataFrame) -> DataFrame:
+    """(id, x): a packed row for each id, the least of its copies; written, because every pass over it would parse and encode the lines again."""
+    rows = pack(x, "x", keep=("id",))
+    # in the order of the ids, so that copies follow each other and whole rows are sorted once
+    return written(rows.repartition("id").sortWithinPartitions("id").groupBy("id").agg(F.min("x").alias("x")), "vectors")
+
+
 @query("serve_trained_alerts")
 def serve_trained_alerts(spark: SparkSession, d: str) -> DataFrame:
     """(mode, branch, n): the whole circle: captured flows train a model without labels, its folder serves the same captures."""
@@ -166,7 +173,7 @@ def serve_trained_alerts(spark: SparkSession, d: str) -> DataFrame:
     write_captures(captured_lines(spark, d), RAW_COLUMNS, captured)
     base = untrained_model()
     rows = S.captured_flows(S.capture_lines(spark, captured)).withColumn("id", F.xxhash64(*RAW_COLUMNS))
-    x = flow_encode(rows, base.scaler, base.log_features, keep=("id",)).groupBy("id").agg(F.min("x").alias("x"))
+    x = distinct_vectors(flow_encode(rows, base.scaler, base.log_features, keep=("id",)))
     n = x.count()
     recipe = chain.Recipe([len(FEATURES), 64, 32, LATENT], len(CONTINUOUS), [48, 24], epochs=3, entropy=(2, 0.0), measure="score", cap=2, patience=1, rounds=1, lr=3e-3, second_lr=3e-3, warn_rows=0, least_rows=0, pools=(n // 5, n // 9))
     got = chain.retrain(spark, x, scratch(spark, "chain"), recipe)
