@@ -1,6 +1,6 @@
 """The label-free retraining chain: from benign-like rows to a calibrated model, in seven steps.
 
-1 pools, 2 first stage with an entropy stop, 3 moments and features of the second stage,
+1 pools, 2 first stage with an entropy stop, 3 moments of the second stage's features,
 4 pseudo-anomalies of the monitor, 5 second stage with pseudo-anomalies made anew each epoch and an
 early stop on the monitor's loss, 6 hardening by mined false alarms, 7 calibration.
 
@@ -27,8 +27,8 @@ from ..spec import FUSION_MODES, RETRAIN_ENTROPY, RETRAIN_FAKES, RETRAIN_L2, RET
 from .fusion import PARAMETERS, alarms_of_scores, apply_modes, calibrate, fusion_modes
 from .profile import loss_entropy
 from .sampling import pool_sizes, three_pools
-from .scoring import Autoencoder, Dense, Whitening, dae_residuals, fit_whitening, is_packed, lists, matrix, mlp_forward, packed_rows, phi_rows, vector
-from .training import Trajectory, autoencoder_of, block_fakes, deal, fit_autoencoder, fit_pseudo_classifier, latent_scaler, packed, unpacked
+from .scoring import Autoencoder, Dense, Phi, Whitening, dae_residuals, fit_whitening, is_packed, lists, matrix, packed_rows, phi_logits, phi_rows, vector
+from .training import Trajectory, autoencoder_of, block_fakes, deal, fit_autoencoder, fit_pseudo_classifier, latent_scaler, on_features, packed, unpacked
 
 
 @dataclass
@@ -151,6 +151,13 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
     sizes = steps.run("pools", pools)
     pooled = steps.read("pools")
     of = lambda df, pool: df.where(F.col("pool") == pool)
+    shards: list[DataFrame] = []
+
+    def dealt() -> DataFrame:
+        """Gradient rows in the order of training: dealt once, for both stages and the hardening."""
+        if not shards:
+            shards.append(deal(of(pooled, "gradient").select("id", "x"), "id", recipe.shards))
+        return shards[0]
 
     def first_stage() -> dict:
         gradient = of(pooled, "gradient")
@@ -163,7 +170,7 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
             s = F.col("s_dae")
             return dae_residuals(watched, ae, "id").agg(loss_entropy(s) if recipe.measure == "entropy" else F.avg(s)).first()[0]
 
-        ae, curve = fit_autoencoder(gradient, "id", "x", recipe.widths, recipe.n_linear, recipe.epochs, seed=recipe.seed, measure=watch, patience=recipe.entropy[0], drop=recipe.entropy[1], shards=recipe.shards, noise=recipe.noise, lr=recipe.lr, **how)
+        ae, curve = fit_autoencoder(gradient, "id", "x", recipe.widths, recipe.n_linear, recipe.epochs, seed=recipe.seed, measure=watch, patience=recipe.entropy[0], drop=recipe.entropy[1], dealt=dealt(), noise=recipe.noise, lr=recipe.lr, **how)
         steps.keep("first_stage", [*ae.encoder.layers, *ae.decoder.layers])
         return {"curve": curve}
 
@@ -176,41 +183,32 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
         wh = fit_whitening(seen, "r")
         mean, std = latent_scaler(seen, "z")
         steps.keep("moments", [(wh.mean, wh.factor), (wh.sigma, np.asarray(wh.shrinkage)), (mean, std)])
-        steps.write(phi_rows(pooled, ae, wh, mean, std, "id", keep=("pool",)), "phi")
         return {"shrinkage": wh.shrinkage}
 
     shrinkage = steps.run("moments", moments)["shrinkage"]
     (wh_mean, factor), (sigma, _), (z_mean, z_std) = steps.kept("moments")
     wh = Whitening(wh_mean, factor, sigma, shrinkage)
-    phi = steps.read("phi")
+    phi = Phi(ae, wh, z_mean, z_std)
 
     def monitor() -> None:
         """Benign monitor rows (y 0) and a pseudo-anomaly of each (y 1), made once."""
-        mine = deal(of(phi, "monitor").select("id", F.col("phi").alias("x"), F.array(F.col("s_dae")).alias("y")), "id", recipe.shards)
+        mine = deal(phi_rows(of(pooled, "monitor"), phi, "id").select("id", F.col("phi").alias("x"), F.array(F.col("s_dae")).alias("y")), "id", recipe.shards)
         steps.write(fixed_fakes(mine, latent, recipe.monitor_fakes, recipe.seed + 99), "monitor")
 
     steps.run("monitor", monitor)
     watched = steps.read("monitor")
 
-    shards: list[DataFrame] = []
-
-    def dealt() -> DataFrame:
-        """Rows of the second stage in the order of training, dealt once for its steps."""
-        if not shards:
-            shards.append(deal(of(phi, "gradient").select("id", F.col("phi").alias("x"), F.array(F.col("s_dae")).alias("y")), "id", recipe.shards))
-        return shards[0]
-
     start = [latent + recipe.widths[0], *recipe.hidden]
 
     def second_stage() -> dict:
-        clf, curve = fit_pseudo_classifier(dealt(), start, block_fakes(latent, *recipe.train_fakes), watched, recipe.cap, recipe.patience, seed=recipe.seed + 7, trajectory=Trajectory(spark, steps.path("trajectory")), lr=recipe.second_lr, **how)
+        clf, curve = fit_pseudo_classifier(dealt(), start, on_features(block_fakes(latent, *recipe.train_fakes), phi.of), watched, recipe.cap, recipe.patience, seed=recipe.seed + 7, trajectory=Trajectory(spark, steps.path("trajectory")), lr=recipe.second_lr, **how)
         steps.keep("second_stage", clf.layers)
         return {"curve": curve}
 
     second = steps.run("second_stage", second_stage)
 
     def scores(clf: Dense) -> DataFrame:
-        got = mlp_forward(phi.withColumnRenamed("phi", "x"), clf, "id", keep=("pool", "s_dae"))
+        got = phi_logits(pooled, phi, clf, "id", keep=("pool",))
         return got.select("id", F.when(F.col("pool") == "gradient", "train").otherwise(F.col("pool")).alias("pool"), F.lit(0).alias("label"), "s_dae", "logit")
 
     def hardening() -> dict:
@@ -227,7 +225,7 @@ def retrain(spark: SparkSession, rows: DataFrame, folder: str, recipe: Recipe, k
             if k and gains[-1] - gains[-2] < recipe.least_gain:
                 break
             mined += wrong
-            make = mined_fakes(latent, recipe.train_fakes, list(models), p, recipe.copies)
+            make = on_features(mined_fakes(latent, recipe.train_fakes, list(models), p, recipe.copies), phi.of)
             models.append(fit_pseudo_classifier(learn, start, make, epochs=1, seed=recipe.seed + 23 + k, start=models[-1], lr=recipe.second_lr, **how)[0])
         steps.keep("hardened", models[-1].layers)
         return {"gains": gains, "rounds": len(models) - 1, "flagged": mined}

@@ -146,14 +146,19 @@ def pack(df: DataFrame, x_col: str, keep: tuple[str, ...]) -> DataFrame:
     return df.select(vector(df, x_col).alias("_x"), *keep).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{x_col}` binary"]))
 
 
+#: Rows that a forward pass takes at once, so that what it makes on the way stays in a core's cache.
+SLICE = 2048
+
+
 def _over(df: DataFrame, id_col: str, x_col: str, make, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep, fields) where make gives the Arrow columns for a matrix; keep passes through, so that nothing is joined back."""
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *make(matrix(batch.column(0)))], names=[*batch.schema.names[1:], *names])
+            for i in range(0, len(batch), SLICE):
+                part = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *make(matrix(part.column(0)))], names=[*part.schema.names[1:], *names])
 
     rows = df.select(vector(df, x_col).alias("_x"), id_col, *keep)
     kinds = dict(rows.dtypes)
@@ -208,19 +213,47 @@ def score_flows(
     return _over(df, id_col, x_col, make, "s_dae float, logit float, s_pa float" + (", zr array<float>" if explain else ""), keep)
 
 
-def phi_rows(df: DataFrame, ae: Autoencoder, wh: Whitening, z_mean: np.ndarray, z_std: np.ndarray, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep, phi, s_dae): what the second stage learns from, the scaled latent and the whitened residual in one packed row, and the first score."""
-    std = np.maximum(z_std, 1e-8)
+@dataclass
+class Phi:
+    """What the second stage learns from: vectors to [scaled latent, whitened residual] and the first score."""
 
-    def make(x: np.ndarray) -> list[pa.Array]:
-        z, y = ae.forward(x)
+    ae: Autoencoder
+    whitening: Whitening
+    z_mean: np.ndarray
+    z_std: np.ndarray
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._of(x[i : i + SLICE]) for i in range(0, max(1, len(x)), SLICE)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, y = self.ae.forward(x)
         r = y - x
-        s = (r[:, ae.n_linear :] ** 2).mean(axis=1)
-        return [packed_rows(np.concatenate([(z - z_mean) / std, wh.apply(r.astype(np.float64))], axis=1)), pa.array(s.astype(np.float32))]
+        s = (r[:, self.ae.n_linear :] ** 2).mean(axis=1)
+        phi = np.concatenate([(z - self.z_mean) / np.maximum(self.z_std, 1e-8), self.whitening.apply(r.astype(np.float64))], axis=1)
+        return phi.astype(np.float32), s.astype(np.float32)
+
+
+def phi_rows(df: DataFrame, phi: Phi, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, phi, s_dae): a packed row and the first score."""
+
+    def make(x: np.ndarray) -> list[pa.Array]:
+        v, s = phi.of(x)
+        return [packed_rows(v), pa.array(s)]
 
     return _over(df, id_col, x_col, make, "phi binary, s_dae float", keep)
 
 
+def phi_logits(df: DataFrame, phi: Phi, clf: Dense, id_col: str, x_col: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, s_dae, logit): both scores in one pass; the features of the second stage do not leave the task."""
+
+    def make(x: np.ndarray) -> list[pa.Array]:
+        v, s = phi.of(x)
+        return [pa.array(s), pa.array(clf.forward(v)[:, 0].astype(np.float32))]
+
+    return _over(df, id_col, x_col, make, "s_dae float, logit float", keep)
+
+
 def fold_affine(clf: Dense, z_mean: np.ndarray, z_std: np.ndarray, wh: Whitening) -> Dense:
     """The classifier on raw [z, r] that equals clf on [(z - mean) / std, (r - mu) L]."""
     w, b = (a.astype(np.float64) for a in clf.layers[0])

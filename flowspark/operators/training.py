@@ -115,7 +115,9 @@ def flat(layers: Weights) -> np.ndarray:
 
 
 def shaped(weights: np.ndarray, like: Weights) -> Weights:
-    """The inverse of flat, in single precision."""
+    """The inverse of flat, in single precision. Weights too small for its normal range (those of dead units decay to there) are 0: they change no
+    sum, but processors take many times as long over them."""
+    weights = np.where(np.abs(weights) < np.finfo(np.float32).tiny, 0.0, weights)
     out, at = [], 0
     for pair in like:
         new = []
@@ -239,11 +241,11 @@ def train_jobs(
     return now
 
 
-def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, seed: int = 0, on_epoch: Callable[[int, Weights, float], bool] | None = None, **how) -> tuple[Weights, list[float]]:
-    """Weights and mean loss per epoch of one model. df: columns x and y as deal takes them. on_epoch(epoch, weights, loss)
-    may stop the training by returning True."""
+def train(df: DataFrame, layers: Weights, loss, key: str, epochs: int, shards: int | None = None, seed: int = 0, on_epoch: Callable[[int, Weights, float], bool] | None = None, dealt: DataFrame | None = None, **how) -> tuple[Weights, list[float]]:
+    """Weights and mean loss per epoch of one model. df: columns x and y as deal takes them, or dealt: what it gave. on_epoch(epoch, weights,
+    loss) may stop the training by returning True."""
     watch = (lambda e, got: {"it"} if on_epoch(e, *got["it"]) else None) if on_epoch else None
-    return train_jobs(deal(df, key, shards), {"it": Job(layers, seed)}, loss, epochs, on_epoch=watch, **how)["it"]
+    return train_jobs(deal(df, key, shards) if dealt is None else dealt, {"it": Job(layers, seed)}, loss, epochs, on_epoch=watch, **how)["it"]
 
 
 def packed(layers: Weights) -> bytes:
@@ -385,6 +387,16 @@ def block_fakes(latent: int, delta: float, low: float, high: float):
     return make
 
 
+def on_features(make, features: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """make on what `features` gives for the rows of a block: a vector and a score each, worked out anew in each epoch and kept nowhere."""
+
+    def run(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        v, s = features(x)
+        return make(v, s[:, None], rng)
+
+    return run
+
+
 def fit_pseudo_classifier(
     rows: DataFrame, widths: list[int], make, monitor: DataFrame | None = None, epochs: int = 100, patience: int = 15, least: float = 1e-6, seed: int = 0,
     trajectory: Trajectory | None = None, start: Dense | None = None, **how,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowspark.functions import scalars
 from flowspark.operators import chain, sampling, scoring, training
 from flowspark.operators.encode import flow_encode
+from flowspark.operators.scoring import Dense
 from flowspark.plans import models, serving
 from flowspark.spec import CONTINUOUS, FEATURES, RAW_COLUMNS
 
@@ -49,14 +50,14 @@ def test_rows_are_dealt_and_scored_once_and_packed_ones_train_the_same_model(spa
     recipe = replace(models.small_recipe(), pools=(n // 5, n // 9), epochs=2, cap=2, rounds=1)
     arrays = chain.retrain(spark, benign, f"file://{tmp_path}/arrays", recipe)
     dealt, scored = [], spark.sparkContext.accumulator(0)
-    real_deal, real_forward = chain.deal, chain.mlp_forward
+    real_deal, real_forward = chain.deal, chain.phi_logits
 
     def deal(df, key, shards=None):
         dealt.append(df.count())
         return real_deal(df, key, shards)
 
-    def forward(df, mlp, id_col, keep=()):
-        got = real_forward(df, mlp, id_col, keep=keep)
+    def forward(df, phi, clf, id_col, keep=()):
+        got = real_forward(df, phi, clf, id_col, keep=keep)
 
         def count(batches):
             for b in batches:
@@ -66,14 +67,15 @@ def test_rows_are_dealt_and_scored_once_and_packed_ones_train_the_same_model(spa
         return got.mapInArrow(count, got.schema)
 
     monkeypatch.setattr(chain, "deal", deal)
-    monkeypatch.setattr(chain, "mlp_forward", forward)
+    monkeypatch.setattr(chain, "phi_logits", forward)
     packed = chain.retrain(spark, scoring.pack(benign, "x", ("id",)), f"file://{tmp_path}/packed", recipe)
     sizes = packed.report["pools"]
-    assert dealt == [sizes["monitor"], sizes["gradient"]] and scored.value == 2 * n  # before hardening and after it
+    assert dealt == [sizes["gradient"], sizes["monitor"]] and scored.value == 2 * n  # before hardening and after it
     for a, b in ((arrays.ae.encoder.layers, packed.ae.encoder.layers), (arrays.clf.layers, packed.clf.layers)):
         assert all(np.allclose(p, q, atol=1e-4) for u, v in zip(a, b, strict=True) for p, q in zip(u, v, strict=True))
     steps = chain.Steps(spark, f"file://{tmp_path}/packed")
-    assert dict(steps.read("pools").dtypes)["x"] == dict(steps.read("phi").dtypes)["phi"] == "binary"
+    assert dict(steps.read("pools").dtypes)["x"] == dict(steps.read("monitor").dtypes)["x"] == "binary"
+    assert not (tmp_path / "packed/phi").exists()  # features of the second stage are worked out where they are used
 
 
 def test_a_row_without_y_is_to_give_itself(spark):
@@ -114,3 +116,30 @@ def test_whole_numbers_and_bounds_of_the_encoder(spark):
             mean, std = base.scaler[c]
             v = np.float64(np.float32(np.log1p(max(finite, 0.0)))) if c in base.log_features else finite
             assert np.isclose(x[at(c)], np.clip((v - mean) / std, -10, 10), atol=1e-5)
+
+
+def test_features_of_the_second_stage_do_not_depend_on_slices(monkeypatch):
+    model = serving.untrained_model()
+    phi = scoring.Phi(model.ae, model.whitening, model.z_mean, model.z_std)
+    x = np.random.default_rng(2).normal(size=(500, len(FEATURES))).astype(np.float32)
+    v, s = phi.of(x)
+    z, y = model.ae.forward(x)
+    assert np.allclose(v, np.concatenate([z, y - x], axis=1), atol=1e-4) and np.allclose(s, ((y - x)[:, len(CONTINUOUS) :] ** 2).mean(1), rtol=1e-4)
+    monkeypatch.setattr(scoring, "SLICE", 64)
+    w, t = phi.of(x)
+    assert v.dtype == w.dtype == np.float32 and np.allclose(v, w, atol=1e-4) and np.allclose(s, t, rtol=1e-4) and phi.of(x[:0])[0].shape == (0, v.shape[1])
+    make = training.on_features(lambda a, b, rng: (a, b), phi.of)
+    a, b = make(x, None, None)
+    assert (a == w).all() and (b[:, 0] == t).all()
+
+
+def test_no_weight_is_below_the_normal_range(spark):
+    """An input that is always 0 leaves its weights to their decay."""
+    tiny = np.finfo(np.float32).tiny
+    like = Dense.random([3, 2], 0).layers
+    (w, b), *_ = training.shaped(np.asarray([1e-40, -1e-45, tiny, 1.0, -2.0, np.nan, 0.0, -1e-39]), like)
+    assert w.ravel().tolist()[:5] == [0.0, 0.0, tiny, 1.0, -2.0] and np.isnan(w[2, 1]) and b.tolist() == [0.0, 0.0]
+    rows = spark.range(64).select("id", F.array(F.lit(0.0), F.lit(1.0)).alias("x"), F.array(F.lit(1.0)).alias("y"))
+    start = [(np.asarray([[1e-39], [0.5]], np.float32), np.zeros(1, np.float32))]
+    got = training.train_jobs(training.deal(rows, "id", 1), {"it": training.Job(start)}, training.bce_loss, 1, lr=1e-45)["it"][0]
+    assert got[0][0][0, 0] == 0.0 and abs(got[0][0][1, 0] - 0.5) < 1e-6
