@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,6 +140,20 @@ def deal(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
     return written(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "x", "y", "cls"), "shards")  # by its number: hashed numbers meet in one task
 
 
+@contextmanager
+def a_task_a_file(spark: SparkSession):
+    """Files are neither put together nor cut as they are read: what a shard learns does not depend on their sizes and the number of cores."""
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(1 << 30))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def _improve(jobs: list[Job], epoch: int, loss, lr: float, batch: int, noise: float, l2: float, make):
     """One epoch of all jobs over the rows of a task: pieces of weights times rows, for each shard."""
 
@@ -228,7 +243,9 @@ def train_jobs(
         parts = min(sum(-(-len(flat(j.layers)) // PIECE) for j in some), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         met = pieces.repartition(parts, "job", "piece").sortWithinPartitions("job", "piece", "shard", "n")
         got: dict[int, list] = {}
-        for r in sorted(met.mapInArrow(_add_up, "job int, piece int, n long, loss double, w binary").collect(), key=lambda r: (r["job"], r["piece"])):  # one set of weights a job
+        with a_task_a_file(rows.sparkSession):
+            sums = met.mapInArrow(_add_up, "job int, piece int, n long, loss double, w binary").collect()  # one set of weights a job
+        for r in sorted(sums, key=lambda r: (r["job"], r["piece"])):
             got.setdefault(r["job"], []).append(r)
         for i, k in enumerate(open_):
             if i not in got or not got[i][0]["n"]:

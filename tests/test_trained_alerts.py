@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from flowspark.functions import scalars
@@ -143,3 +144,35 @@ def test_no_weight_is_below_the_normal_range(spark):
     start = [(np.asarray([[1e-39], [0.5]], np.float32), np.zeros(1, np.float32))]
     got = training.train_jobs(training.deal(rows, "id", 1), {"it": training.Job(start)}, training.bce_loss, 1, lr=1e-45)["it"][0]
     assert got[0][0][0, 0] == 0.0 and abs(got[0][0][1, 0] - 0.5) < 1e-6
+
+
+def test_a_shard_is_neither_put_together_with_others_nor_cut(spark, tmp_path):
+    """Small files of many shards have a task each, and a file of several row groups has one."""
+    x = np.random.default_rng(5).normal(size=(3000, 40)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), [1.0]) for i, v in enumerate(x)], "id long, x array<float>, y array<float>")
+    job = {"it": training.Job(Dense.random([40, 1], 0).layers)}
+
+    def tasks(dealt, folder) -> dict[str, int]:
+        (tmp_path / folder).mkdir()
+
+        def make(a, b, rng):
+            with open(tmp_path / folder / str(TaskContext.get().partitionId()), "a") as f:
+                f.write(f"{len(a)} ")
+            return a, b
+
+        training.train_jobs(dealt, job, training.bce_loss, 1, make=make)
+        return {p.name: sum(map(int, p.read_text().split())) for p in (tmp_path / folder).iterdir()}
+
+    many = tasks(training.deal(df, "id", 12), "many")
+    assert len(many) == 12 and sum(many.values()) == 3000
+    conf = {n: spark.conf.get(n) for n in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("parquet.block.size", "65536")  # several row groups a file
+        assert list(tasks(training.deal(df, "id", 1), "one").values()) == [3000]
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "65536"
+    finally:
+        spark.conf.unset("parquet.block.size")
+        for n, v in conf.items():
+            spark.conf.set(n, v)
